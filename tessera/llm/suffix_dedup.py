@@ -171,8 +171,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         own = level.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n", "at", "weight")).alias("runs"))
         return texts.join(own, same_row(texts, own)).select(texts["_id"], texts["_th"], "_text", "runs")
 
-    # One text a row key is enough: copies of a row are in the weights already.
-    texts = stored(with_runs(keyed, ahead).dropDuplicates(["_id", "_th"]))
+    # Copies of a row come back as often as they stand in the table; their runs are settled, so weights above two change nothing.
+    texts = stored(with_runs(keyed, ahead))
     second, ahead = _merged(stored(texts.mapInArrow(_finer_rows(id_type, length, BLOCK, False), schema)))
     third, _ = _merged(stored(with_runs(texts.drop("runs"), ahead).mapInArrow(_finer_rows(id_type, length, 1, True), schema)))
     return first.unionByName(second).unionByName(third)
