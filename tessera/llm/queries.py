@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import suffix_dedup, warc
+from . import ann, cotrain, ctw, langid, near_dedup, packing, quality_rules, sentencepiece_codec, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +18,50 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.measure_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", window=2048)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", with_ids=False)
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=85)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", folds=5, held_fold=1)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.learn_rules(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(True))
+    model = langid.learn(docs.where(~held))
+    return langid.identify(docs, model, [F.col("doc_id"), held.alias("held_out")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_dedup": op1_suffix_dedup,
-    "op5_warc": op5_warc,
+    f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_sentencepiece, op4_near_dedup, op5_warc, op6_cotraining, op7_ann, op8_ctw, op9_quality_rules, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {}
