@@ -37,7 +37,7 @@ SLOTS = 353  # a prime, so that every step of an affine walk visits each slot on
 MISS = 1e-6
 SMALL = 24
 CHUNK = 192
-_SALTS = 16
+_SHARE = 512
 
 
 def signatures(h: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -101,7 +101,7 @@ def _sketch(width: int, rows: int, b: TextBlock, ids: pa.Array, ths: pa.Array, s
 
 
 def _sketches(width: int, rows: int, id_type: pa.DataType):
-    schema = pa.schema([("_id", id_type), ("_th", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("_id", id_type), ("_th", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,16 +112,26 @@ def _sketches(width: int, rows: int, id_type: pa.DataType):
     return apply
 
 
+def pack_set(h: np.ndarray) -> bytes:
+    """A sorted set of hashes as their low 48 bits, six bytes each."""
+    return np.sort(h & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _full_sets(width: int):
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("set", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = one_array(batch.column("node"))
             for b in blocks(batch.column("_text")):
                 h, _, offs = shingle_sets(b.lowered(), width)
-                sets = [h[offs[i] : offs[i + 1]].tobytes() for i in range(b.n)]
-                yield arrow_batch(schema, nodes.slice(b.first, b.n), np.diff(offs).astype(np.int32), pa.array(sets, pa.binary()))
+                yield arrow_batch(schema, nodes.slice(b.first, b.n), pa.array([pack_set(h[offs[i] : offs[i + 1]]) for i in range(b.n)], pa.binary()))
 
     return apply
 
@@ -131,33 +141,34 @@ def linked_sizes(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray |
 
 
 def _verify(percent: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")]
             good = []
-            for i, (x, y) in enumerate(zip(cols[2], cols[3], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+                x, y = unpack_set(x.as_py()), unpack_set(y.as_py())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 if linked_sizes(int((y[at] == x).sum()), len(x), len(y), percent):
                     good.append(i)
-            yield arrow_batch(schema, pa.array([cols[0][i] for i in good], pa.binary()), pa.array([cols[1][i] for i in good], pa.binary()))
+            yield arrow_batch(schema, *[one_array(batch.column(c)).take(pa.array(good, pa.int64())) for c in ("a", "b")])
 
     return apply
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes that are linked, by their full sets."""
-    sized = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
-    sized = sized.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    one = one.join(pairs.select(F.col("a"), F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int").alias("salt")).distinct(), ["a", "salt"], "left_semi")
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent  # else no overlap is enough
-    both = sized.join(one, ["a", "salt"]).where(near).select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verify(percent), "a binary, b binary")
+    """The pairs ``a, b`` of nodes that are linked, by their full sets.
+
+    A node's set goes once to each group of ``_SHARE`` pairs in which it is
+    ``a``, so a node of many pairs is shared among tasks.
+    """
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / _SHARE) + 1).alias("salt"))
+    right = salted.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    left = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("c") / _SHARE))).alias("salt")).join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    return right.join(left, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,15 +198,15 @@ class _Forest:
     """Union-find over a few labels."""
 
     def __init__(self) -> None:
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict[int, int] = {}
 
-    def find(self, x: bytes) -> bytes:
+    def find(self, x: int) -> int:
         while (y := self.up.get(x, x)) != x:
             self.up[x] = self.up.get(y, y)
             x = y
         return x
 
-    def union(self, x: bytes, y: bytes) -> bool:
+    def union(self, x: int, y: int) -> bool:
         x, y = self.find(x), self.find(y)
         if x == y:
             return False
@@ -227,13 +238,14 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def _compare(percent: int):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ls, rs in zip(batch.column("lefts").to_pylist(), batch.column("rights").to_pylist(), strict=True):
-                lsets, rsets = ([np.frombuffer(x["set"], np.uint64) for x in s] for s in (ls, rs))
+            for row in range(len(batch)):
+                ls, rs = (batch.column(c)[row].as_py() for c in ("lefts", "rights"))
+                lsets, rsets = ([unpack_set(x["set"]) for x in s] for s in (ls, rs))
                 common = common_counts(lsets, rsets)
                 ln, rn = np.array([len(s) for s in lsets])[:, None], np.array([len(s) for s in rsets])[None, :]
                 forest = _Forest()
@@ -241,7 +253,7 @@ def _compare(percent: int):
                     if forest.union(ls[i]["comp"], rs[j]["comp"]):
                         a.append(ls[i]["node"])
                         b.append(rs[j]["node"])
-            yield arrow_batch(schema, pa.array(a, pa.binary()), pa.array(b, pa.binary()))
+            yield arrow_batch(schema, pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
     return apply
 
@@ -255,27 +267,36 @@ def _hot_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     packed = rows.join(sets, "node").select("bucket", "chunk", (F.col("comp") != F.col("main")).alias("stray"), F.struct("node", "comp", "set").alias("m"))
     strays = packed.where("stray").groupBy("bucket", "chunk").agg(F.collect_list("m").alias("lefts")).select("bucket", "lefts")
     every = packed.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("rights")).select("bucket", "rights")
-    return strays.join(every, "bucket").select("lefts", "rights").mapInArrow(_compare(percent), "a binary, b binary")
+    return strays.join(every, "bucket").select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint")
+
+
+def _close(a: str, b: str, percent: int) -> str:
+    """SQL: two set sizes that leave room for a link."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links between nodes; enough of them to join all nodes that are connected."""
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("pivot")).where("n > 1")
-    inside = stored(rows.join(shared, "bucket").select("bucket", "node", "n", "pivot"))
-    wanted = inside.select("node").distinct()
-    own = texts.join(wanted, "node", "left_semi").select("node", "_text")
-    sets = stored(own.mapInArrow(_full_sets(width), "node binary, n int, set binary"))
-    first = stored(verified(inside.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
-    open_ = inside.where("n > 2").where("pivot <> node").select("bucket", "node", "n")
-    members = _with_comp(open_, components(first))
+    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1")
+    inside = stored(rows.join(shared, "bucket").where("pivot <> node").select("bucket", "node", "n", "members", "pivot"))
+    sized = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"))
+    star = inside.groupBy("pivot", "node", "n").agg(F.lit(1)).join(sized, "pivot").where(_close("n", "pn", percent))
+    star = stored(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    wanted = star.select(F.col("a").alias("node")).union(star.select("b")).union(inside.where("members > 2").select("node")).distinct()
+    reps = nodes.join(wanted, "node", "left_semi").select("node", "_kh", "_th")
+    texts = keyed.groupBy("_kh", "_th").agg(F.first("_text").alias("_text"))
+    sets = stored(texts.join(reps, ["_kh", "_th"]).select("node", "_text").mapInArrow(_full_sets(width), "node bigint, set binary"))
+    first = stored(verified(star, sets, percent))
+    members = _with_comp(inside.where("members > 2").select("bucket", "node", "n", "members"), components(first))
     live = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     members = stored(members.join(live, "bucket", "left_semi"))
-    few = members.where(F.col("n") <= SMALL)
-    ahead = few.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp")).alias("all"))
-    pairs = few.join(ahead, "bucket").select("node", "comp", F.explode("all").alias("o")).where("node < o.node and comp <> o.comp")
-    small = verified(pairs.select(F.col("node").alias("a"), F.col("o.node").alias("b")).distinct(), sets, percent)
-    large = _hot_links(members.where(F.col("n") > SMALL).select("bucket", "node", "comp"), sets, percent)
+    few = members.where(F.col("members") <= SMALL)
+    ahead = few.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "n")).alias("all"))
+    partners = F.expr(f"filter(all, o -> node < o.node and comp <> o.comp and {_close('n', 'o.n', percent)})")
+    pairs = few.join(ahead, "bucket").select(F.col("node").alias("a"), F.explode(partners).alias("o")).select("a", F.col("o.node").alias("b")).distinct()
+    small = verified(stored(pairs), sets, percent)
+    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp"), sets, percent)
     return first.unionByName(small).unionByName(large)
 
 
@@ -295,18 +316,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    id_type = arrow_type(docs, id_col)
-    sketched = stored(keyed.mapInArrow(_sketches(width, band_rows(percent), id_type), f"_id {kind}, _th bigint, n_shingles bigint, node binary, bands array<bigint>"))
-    full = sketched.where("n_shingles > 0")
-    nodes = stored(full.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")).alias("rep"), F.first("bands").alias("bands")))
-    reps = nodes.select("node", F.col("rep._id").alias("_id"), F.col("rep._th").alias("_th"))
-    both = keyed.select("_id", "_th", "_text").join(reps, keyed["_id"].eqNullSafe(reps["_id"]) & (keyed["_th"] == reps["_th"])).select("node", "_text")
-    comp = components(_links(nodes, both.dropDuplicates(["node"]), width, percent))
-    ids = nodes.select("node", F.col("rep._id").alias("least"))
-    known = stored(_with_comp(ids, comp))
-    least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "comp").select("node", "component_id")
-    out = sketched.select("_id", "n_shingles", "node").join(named, "node", "left")
+    schema = f"_id {kind}, _th bigint, n_shingles bigint, name binary, bands array<bigint>"
+    sketched = stored(keyed.mapInArrow(_sketches(width, band_rows(percent), arrow_type(docs, id_col)), schema))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")).alias("rep")
+    named = sketched.where("n_shingles > 0").groupBy("name").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
+    hashed = keyed.select(F.xxhash64("_id").alias("_kh"), "_th", "_text")
+    comp = components(_links(nodes, hashed, width, percent))
+    known = stored(_with_comp(nodes.select("node", "name", "_id"), comp))
+    ids = known.groupBy("comp").agg(F.min("_id").alias("component_id"))
+    out = sketched.select("_id", "n_shingles", "name").join(known.join(ids, "comp").select("name", "component_id"), "name", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", alone.alias("component_id"), F.col("_id").eqNullSafe(alone).alias("kept"))
 
