@@ -25,7 +25,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, so that lost executors cost no recomputation of what led to it."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -165,7 +165,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_type = arrow_type(docs, id_col)
     schema = _schema(docs, id_col)
     runs = stored(keyed.where(F.octet_length("_text") >= length).mapInArrow(_run_rows(id_type, length, ANCHOR), schema))
-    first, ahead = _merged(runs)
+    # Most anchors stand in one place only; their runs are settled as unique before anything else is moved.
+    again = runs.groupBy("part").agg(F.sum("weight").alias("places")).where("places > 1").select("part")
+    first, ahead = _merged(stored(runs.join(again, "part", "left_semi")))
 
     def with_runs(texts: DataFrame, level: DataFrame) -> DataFrame:
         own = level.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n", "at", "weight")).alias("runs"))
