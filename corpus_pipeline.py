@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import cotrain, near_dedup, packing, quality_rules, suffix_dedup
 from tessera.llm.common import stored
 
-#: Shortest repeated string, in bytes, that is cut; passages of 50 short words are longer.
-REPEAT_BYTES = 200
+#: Shortest repeated string, in bytes, that is cut: about 50 words.
+REPEAT_BYTES = 300
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
