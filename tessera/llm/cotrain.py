@@ -23,8 +23,8 @@ from .textblock import TextBlock, blocks
 
 WORD_BITS = 18
 MAX_WORDS = 1024
-MAX_LABELLED = 8000
-MAX_POOL = 8000
+MAX_LABELLED = 6000
+MAX_POOL = 4000
 META_BUCKETS = 512
 _BINS = 12
 
@@ -202,12 +202,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rest = docs.where(F.pmod(F.xxhash64(F.lit("pool"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, max_pool / total) * (1 << 30)))
     rest = rest.join(target.select(F.col(id_col).alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
     pool = rest.select(F.xxhash64(F.col(id_col)).alias("key"), F.lit(-1).alias("y"), *fields)
-    made = some.unionByName(pool).mapInArrow(_features, "key bigint, y int, meta array<int>, words array<int>, ratios array<double>").toPandas()
-    if not len(made):
+    made = some.unionByName(pool).mapInArrow(_features, "key bigint, y int, meta array<int>, words array<int>, ratios array<double>").toArrow()
+    if not made.num_rows:
         return None
-    made = made.sort_values(["key", "y"], kind="stable")
-    stack = lambda c, t: np.stack(made[c].to_list()).astype(t)
-    return co_train([np.asarray(w, np.int64) for w in made["words"]], stack("ratios", np.float64), stack("meta", np.int64), made["y"].to_numpy(np.int64), rounds)
+    made = made.sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
+    offs, flat = list_parts(made["words"])
+    flat = np.asarray(flat)
+    words = [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)]
+    grid = lambda c: np.asarray(list_parts(made[c])[1]).reshape(made.num_rows, -1)
+    return co_train(words, grid("ratios"), grid("meta").astype(np.int64), np.asarray(made["y"]).astype(np.int64), rounds)
 
 
 def _score(model: CoModel, key_type: pa.DataType):
