@@ -47,9 +47,10 @@ def clean_header(value: object) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def build_record(page_id: object, url: str | None, payload: bytes, refers_to: object = None) -> bytes:
-    """One uncompressed record; all lengths and digests are computed here from the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def build_record(page_id: object, url: str | None, payload: bytes, refers_to: object = None, size: int | None = None, digest: str | None = None) -> bytes:
+    """One uncompressed record; lengths and digests are computed here from the payload, or given for a revisit that comes without it."""
+    size, digest = len(payload) if size is None else size, digest or _digest(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     block = http + payload if refers_to is None else http
     lines = [
@@ -58,7 +59,7 @@ def build_record(page_id: object, url: str | None, payload: bytes, refers_to: ob
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {DATE}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: {_digest(payload)}",
+        f"WARC-Payload-Digest: {digest}",
         f"WARC-Block-Digest: {_digest(block)}",
     ]
     if page_id is not None:
@@ -115,21 +116,25 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def plan_records(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """``pages`` with ``_digest`` and ``_ref``: of equal payloads of at least 100 bytes all refer to the smallest key but that one.
+def _digested(pages: DataFrame, payload: str) -> tuple:
+    raw = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
+    return raw, F.sha2(raw, 256)
+
+
+def plan_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """The rows that become revisits, without payloads: of equal payloads of at least 100 bytes all but those of the smallest key.
 
     Digests, not payloads, are compared and shuffled.  The smallest key of each
     digest is found with map-side partial minima, and the way back is salted, so
     that a payload shared by a third of all pages loads no single task.
     """
-    withd = pages.withColumn("_payload", F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")).withColumn("_digest", F.sha2("_payload", 256))
-    marks = withd.select(F.col(key).alias("_key"), "_digest", F.length("_payload").alias("_n")).where(F.col("_n") >= MIN_REVISIT_BYTES)
+    raw, digest = _digested(pages, payload)
+    marks = pages.select(F.col(key).alias("_key"), F.col(url).alias("url"), digest.alias("_digest"), F.length(raw).cast("long").alias("_n")).where(F.col("_n") >= MIN_REVISIT_BYTES)
     first = marks.groupBy("_digest").agg(F.min("_key").alias("_ref"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     spread = first.select(F.col("_digest").alias("_d"), "_ref", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_s"))
     salted = marks.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(_SALTS)).cast("int"))
     refs = salted.join(spread, (salted["_digest"] == spread["_d"]) & (salted["_salt"] == spread["_s"])).where(F.col("_key") > F.col("_ref"))
-    refs = refs.select("_key", F.col("_d"), "_ref").dropDuplicates(["_key", "_d"])
-    return withd.join(refs, (withd[key] == refs["_key"]) & (withd["_digest"] == refs["_d"]), "left").drop("_key", "_d")
+    return refs.select("_key", "url", "_digest", "_n", "_ref")
 
 
 def _shard_of(edges: list[tuple]):
@@ -164,6 +169,7 @@ def _write_files(folder: str, file_bytes: int):
         fs.create_dir(root, recursive=True)
         done: list[tuple] = []
         out, shard, roll, temp, sha, size, count, first, last = None, None, 0, "", None, 0, 0, "", ""
+        revisit = None
 
         def close() -> None:
             nonlocal out, roll
@@ -177,13 +183,17 @@ def _write_files(folder: str, file_bytes: int):
 
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.payload is not None and revisit == (row.key, row.tie):
+                    continue  # the payload of a row that was written as a revisit just before
+                if row.payload is None:
+                    revisit = (row.key, row.tie)
                 if row.shard != shard:
                     close()
                     shard, roll = row.shard, 0
                 if out is None:
                     temp, size, sha, count, first = f"{root}/.{shard}-{roll}-{attempt}.tmp", 0, hashlib.sha256(), 0, row.key
                     out = fs.open_output_stream(temp, compression=None)
-                raw = gzip_member(build_record(row.key, row.url, bytes(row.payload), row.ref))
+                raw = gzip_member(build_record(row.key, row.url, bytes(row.payload or b""), row.ref, None if row.ref is None else int(row.n), row.digest))
                 out.write(raw)
                 sha.update(raw)
                 size, count, last = size + len(raw), count + 1, row.key
@@ -203,12 +213,17 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     ignored.  Rows that repeat a key get a record each; those of one key never
     revisit one another.  An empty table writes no file and an empty manifest.
     """
-    planned = plan_records(pages.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(payload).alias("_p")), "_k", "_p")
-    rows = planned.select(F.col("_k"), F.xxhash64("_u", "_digest").alias("tie"), F.col("_u").alias("url"), F.col("_payload").alias("payload"), F.col("_ref").cast("string").alias("ref"))
+    base = pages.select(F.col(key).alias("_k"), F.col(url).alias("url"), F.col(payload).alias("_p"))
+    raw, digest = _digested(base, "_p")
+    none = lambda t: F.lit(None).cast(t)
+    whole = base.select("_k", F.xxhash64("url", digest).alias("tie"), "url", raw.alias("payload"), none("string").alias("ref"), F.lit(0).cast("long").alias("n"), none("string").alias("digest"))
+    again = plan_revisits(base, "_k", "url", "_p")
+    again = again.select(F.col("_key").alias("_k"), F.xxhash64("url", "_digest").alias("tie"), "url", none("binary").alias("payload"), F.col("_ref").cast("string").alias("ref"), F.col("_n").alias("n"), F.concat(F.lit("sha256:"), "_digest").alias("digest"))
+    rows = whole.unionByName(again)  # a revisit stands just before its payload, which the writer then leaves out
     sizes = pages.select(F.col(key).alias("_k"), F.xxhash64(F.col(url), F.sha2(F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8"), 256)).alias("tie"), F.octet_length(F.col(payload)).alias("_n"))
     edges = shard_edges(sizes, "_k", "tie", "_n", shard_bytes)
-    sharded = rows.withColumn("shard", _shard_of(edges)("_k", "tie")).repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", "_k", "tie")
-    return stored(sharded.select("shard", F.col("_k").cast("string").alias("key"), "url", "payload", "ref").mapInPandas(_write_files(folder, file_bytes), MANIFEST))
+    sharded = rows.withColumn("shard", _shard_of(edges)("_k", "tie")).repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", "_k", "tie", F.col("payload").isNotNull())
+    return stored(sharded.select("shard", F.col("_k").cast("string").alias("key"), "tie", "url", "payload", "ref", "n", "digest").mapInPandas(_write_files(folder, file_bytes), MANIFEST))
 
 
 READ = "page_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string, file string"
