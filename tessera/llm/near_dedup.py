@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_type, one_array, row_key, stored
@@ -36,7 +36,8 @@ from .textblock import TextBlock, blocks, combine, mix, shingle_sets
 SLOTS = 353  # a prime, so that every step of an affine walk visits each slot once
 MISS = 1e-6
 SMALL = 24
-CHUNK = 192
+CHUNK = 384  # members of a block on average, or fewer if they have more shingles than this
+CHUNK_SHINGLES = 1 << 16
 _SHARE = 512
 
 
@@ -259,13 +260,18 @@ def _compare(percent: int):
 
 
 def _hot_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components within large buckets; ``members``: bucket, node, comp."""
-    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / (CHUNK / 2)).cast("long")).cast("int")
-    rows = members.join(main, "bucket").withColumn("chunk", chunk)
-    packed = rows.join(sets, "node").select("bucket", "chunk", (F.col("comp") != F.col("main")).alias("stray"), F.struct("node", "comp", "set").alias("m"))
-    strays = packed.where("stray").groupBy("bucket", "chunk").agg(F.collect_list("m").alias("lefts")).select("bucket", "lefts")
+    """Links that join components within large buckets; ``members``: bucket, node, comp, n."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("size", "comp", "shingles")).alias("top"))
+    rows = members.join(main, "bucket").withColumn("stray", F.col("comp") != F.col("main"))
+
+    def chunk(size: str, shingles: str) -> Column:
+        n = F.ceil(F.greatest(F.expr(size) / CHUNK, F.expr(shingles) / CHUNK_SHINGLES)).cast("long")
+        return F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+
+    placed = rows.select("bucket", "node", "stray", "comp", chunk("size", "shingles").alias("chunk"), chunk("size - top.size", "shingles - top.shingles").alias("own"))
+    packed = placed.join(sets, "node").select("bucket", "chunk", "own", "stray", F.struct("node", "comp", "set").alias("m"))
+    strays = packed.where("stray").groupBy("bucket", "own").agg(F.collect_list("m").alias("lefts")).select("bucket", "lefts")
     every = packed.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("rights")).select("bucket", "rights")
     return strays.join(every, "bucket").select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint")
 
@@ -296,7 +302,7 @@ def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> Data
     partners = F.expr(f"filter(all, o -> node < o.node and comp <> o.comp and {_close('n', 'o.n', percent)})")
     pairs = few.join(ahead, "bucket").select(F.col("node").alias("a"), F.explode(partners).alias("o")).select("a", F.col("o.node").alias("b")).distinct()
     small = verified(stored(pairs), sets, percent)
-    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp"), sets, percent)
+    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), sets, percent)
     return first.unionByName(small).unionByName(large)
 
 
