@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import cotrain, near_dedup, packing, quality_rules, suffix_dedup
 from tessera.llm.common import stored
 
-#: Shortest repeated string, in bytes, that is cut: about 50 words.
+#: Repeated passages of more words than this are cut.
+REPEAT_WORDS = 50
+#: The shortest such passage: one byte a word and one between two.
+LEAST_BYTES = 2 * REPEAT_WORDS + 1
+#: A repeated passage of so many bytes is cut however few words it has.
 REPEAT_BYTES = 300
 
 
@@ -33,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that stand in several places."""
-    return suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES)
+    """All documents, without the passages of more than ``REPEAT_WORDS`` words that stand in several places."""
+    return suffix_dedup.remove_repeats(docs, length=LEAST_BYTES, over_words=REPEAT_WORDS, or_bytes=REPEAT_BYTES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

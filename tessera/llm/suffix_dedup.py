@@ -237,9 +237,31 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.drop("_th").withColumnRenamed("_id", id_col)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+_LETTER = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
+
+
+def _words_within(raw: np.ndarray, a: int, z: int) -> int:
+    """The words of ``raw[a:z]``, without those that an edge cuts between two letters."""
+    cut = int(0 < a < len(raw) and _LETTER[raw[a - 1]] and _LETTER[raw[a]]) + int(z < len(raw) and _LETTER[raw[z - 1]] and _LETTER[raw[z]])
+    return len(raw[a:z].tobytes().split()) - cut
+
+
+def _passages(spans: list, length: int) -> list[tuple[int, int]]:
+    """Byte ranges whose ``length``-byte windows are all repeated: runs of window starts without a gap."""
+    out: list[list[int]] = []
+    for s, n in sorted((x["start"], x["n"]) for x in spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s + n)
+        else:
+            out.append([s, s + n])
+    return [(s, e - 1 + length) for s, e in out]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, over_words: int = 0, or_bytes: int = 0) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text_col``, all other columns as they are.
 
+    With ``over_words``, a run of repeated ``length``-byte strings is cut only
+    if it has more words than that, or ``or_bytes`` bytes or more.
     Cuts fall between bytes; a character that a cut leaves in part is dropped.
     Texts without a repeated string, null ones included, come back unchanged.
     """
@@ -259,8 +281,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             raw = np.frombuffer(t.encode(), np.uint8)
             keep = np.ones(len(raw), bool)
-            for x in own:
-                keep[x["start"] : x["start"] + x["n"] - 1 + length] = False
+            for a, z in _passages(own, length):
+                if z - a >= or_bytes or _words_within(raw, a, z) > over_words:
+                    keep[a:z] = False
             made.append(raw[keep].tobytes().decode("utf-8", "ignore"))
         return pd.Series(made, dtype=object)
 

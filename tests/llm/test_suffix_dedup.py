@@ -60,3 +60,20 @@ def test_hash_intervals_follow_bytes():
     h = b.hashes(np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
     assert h[0] == h[1] == h[2] != h[3]
     assert list(b.null) == [False, True, False]
+
+
+def test_pipeline_cuts_passages_of_51_short_words_and_spares_shorter_ones(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(n))
+    tiny, short, few, long = (" ".join(r.choice(letters) * k for _ in range(n)) for letters, k, n in (("xyz", 1, 51), ("uvwxyz", 3, 51), ("pqrst", 4, 50), ("klmno", 12, 30)))
+    texts = []
+    for p in (tiny, short, few, long):
+        texts += [f"{own(20)}A {p} B{own(20)}", f"{own(9)}C {p} D{own(9)}"]
+    out = corpus_pipeline.repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    got = {x.doc_id: x.text for x in out.collect()}
+    for i, p in enumerate((tiny, short, few, long)):
+        for k in (2 * i, 2 * i + 1):
+            assert (p in got[k]) == (p is few), (i, got[k])
+            assert len(got[k]) >= len(texts[k]) - len(p) - 2
