@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_type, one_array, row_key, stored
+from .common import arrow_batch, arrow_type, one_array, row_key, same_row, stored
 from .textblock import TextBlock, blocks, combine, mix, shingle_sets
 
 SLOTS = 353  # a prime, so that every step of an affine walk visits each slot once
@@ -306,6 +306,24 @@ def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> Data
     return first.unionByName(small).unionByName(large)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row ``_id, _th, n_shingles, name, bands``, and per set of shingles ``node, name, comp`` and the row ``_id, _th`` that stands for it."""
+    keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"_id {kind}, _th bigint, n_shingles bigint, name binary, bands array<bigint>"
+    sketched = stored(keyed.mapInArrow(_sketches(width, band_rows(percent), arrow_type(docs, id_col)), schema))
+    named = sketched.where("n_shingles > 0").groupBy("name").agg(_least_row().alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
+    hashed = keyed.select(F.xxhash64("_id").alias("_kh"), "_th", "_text")
+    comp = components(_links(nodes, hashed, width, percent))
+    return sketched, stored(_with_comp(nodes.select("node", "name", "_id", "_th"), comp))
+
+
+def _least_row() -> Column:
+    """The row of the least id, known ones first."""
+    return F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of texts whose word-shingle sets overlap by ``percent`` of their union or more.
 
@@ -320,16 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two sets of at least ``percent`` agree in one band or more with a
     probability above 1 - ``MISS``, whatever the threshold.
     """
-    keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, _th bigint, n_shingles bigint, name binary, bands array<bigint>"
-    sketched = stored(keyed.mapInArrow(_sketches(width, band_rows(percent), arrow_type(docs, id_col)), schema))
-    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")).alias("rep")
-    named = sketched.where("n_shingles > 0").groupBy("name").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
-    hashed = keyed.select(F.xxhash64("_id").alias("_kh"), "_th", "_text")
-    comp = components(_links(nodes, hashed, width, percent))
-    known = stored(_with_comp(nodes.select("node", "name", "_id"), comp))
+    sketched, known = _grouped(docs, id_col, text_col, width, percent)
     ids = known.groupBy("comp").agg(F.min("_id").alias("component_id"))
     out = sketched.select("_id", "n_shingles", "name").join(known.join(ids, "comp").select("name", "component_id"), "name", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("component_id"))
@@ -337,13 +346,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the least id; copies of that row go too."""
-    found = near_duplicates(docs, id_col, text_col, width, percent).where("kept and n_shingles > 0").select(F.col(id_col).alias("_k")).distinct()
+    """``docs`` with one row of each group of near duplicates, that of the least id; copies of that row, equal in id and text, go too.
+
+    Rows are told apart by id and text: rows without an id, or of one id, stay if their texts are in different groups.
+    """
+    _, known = _grouped(docs, id_col, text_col, width, percent)
+    reps = known.groupBy("comp").agg(_least_row().alias("rep")).select("rep._id", "rep._th")
     blank = F.col(f"`{text_col}`").isNull() | ~F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")
-    rest = docs.where(blank)
-    texts = docs.where(~blank)
-    stay = texts.join(found, texts[id_col].eqNullSafe(found["_k"]), "left_semi")
-    return stay.dropDuplicates([id_col]).unionByName(rest)
+    texts = docs.where(~blank).select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest"))
+    stay = texts.join(reps, same_row(texts, reps), "left_semi").dropDuplicates(["_id", "_th"])
+    return stay.select(*[F.col("_rest").getField(c).alias(c) for c in docs.columns]).unionByName(docs.where(blank))
 
 
 def brute_force(texts: list[str | None], width: int, percent: int) -> tuple[list[int], list[int]]:

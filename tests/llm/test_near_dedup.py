@@ -51,6 +51,13 @@ def test_empty_null_ids_and_repeats(spark):
     assert len(left) == 3 and left[0].__fields__ == ["doc_id", "text", "node", "bands", "comp"]
 
 
+def test_rows_without_an_id_or_of_one_id_are_told_apart_by_text(spark):
+    t = "a b c d e f g"
+    rows = [(None, t), (5, t), (5, t), (None, "other words here"), (7, None), (None, "a third text"), (None, "a third text"), (5, "quite another one"), (8, "quite another ONE")]
+    left = nd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(5, t), (None, "other words here"), (7, None), (None, "a third text"), (5, "quite another one")], key=str)
+
+
 def test_signature_estimates():
     r = np.random.default_rng(1)
     e = r.integers(0, 1 << 63, 900, dtype=np.uint64)
