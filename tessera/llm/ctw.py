@@ -9,9 +9,9 @@ probability mixes all depths from none to ``DEPTH`` bytes.
 
 Counts of strings of ``DEPTH + 1`` bytes are summed over the whole training
 part, by task, then by the last two context bytes, where all longer contexts
-are complete.  The tree keeps contexts that were seen often enough for it to
-have at most ``MAX_STRINGS`` entries; that bound is what lets every task hold
-it.  A byte that was never seen in a context gets the share that the seen ones
+are complete.  :func:`score_documents` keeps all of them: each part weighs and
+scores the strings whose contexts it has.  :func:`train` makes a tree of at
+most ``MAX_STRINGS`` entries instead, which one task can hold.  A byte that was never seen in a context gets the share that the seen ones
 leave, in the proportions of the next shorter context, so probabilities of all
 256 bytes sum to one.  A text ends with a byte that no text holds.
 """
@@ -161,11 +161,16 @@ class ContextTree:
     floor: float  # log probability of a byte that no training text has
 
     @staticmethod
-    def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-        """``levels``: by depth, sorted strings and their counts; each context's shorter one is there too."""
+    def build(levels: list[tuple[np.ndarray, np.ndarray]], outer: tuple[np.ndarray, np.ndarray] | None = None) -> ContextTree:
+        """``levels``: by depth, sorted strings and their counts; each context's shorter one is there too.
+
+        If the strings from depth two on are those of one part only, ``outer``
+        has for every node of depth one the log probability of its children in
+        all parts; the tree then holds for all strings of that part.
+        """
         totals = [np.zeros(len(keys), np.float32) for keys, _ in levels]
         for b in range(8):
-            ContextTree._add_bit(levels, b, totals)
+            ContextTree._add_bit(levels, b, totals, outer)
         keys_, logp_, ctx_, bow_ = [], [], [], []
         for d, (keys, _) in enumerate(levels):
             total = totals[d].astype(float)
@@ -186,9 +191,9 @@ class ContextTree:
         return ContextTree(keys_, logp_, ctx_, bow_, floor)
 
     @staticmethod
-    def _add_bit(levels: list[tuple[np.ndarray, np.ndarray]], b: int, totals: list[np.ndarray]) -> None:
-        """Adds to each string's log probability that of bit ``b`` of its last byte, mixed over all depths."""
-        nodes, up = [], []  # by depth: zeros and ones of the nodes, the node of each string; the node at one depth less
+    def _nodes(levels: list[tuple[np.ndarray, np.ndarray]], b: int) -> tuple[list, list, list]:
+        """By depth: zeros and ones of the nodes of bit ``b`` and the node of each string; the node at one depth less; the nodes' names."""
+        nodes, up, names = [], [], []
         short = np.zeros(0, _U)
         for d, (keys, n) in enumerate(levels):
             prefix = (keys >> _U(8) << _U(8)) | (_U(1 << b) | ((keys & _U(255)) >> _U(8 - b)))
@@ -201,23 +206,39 @@ class ContextTree:
             shorter = ((prefix >> _U(8)) & _U((1 << 8 * max(d - 1, 0)) - 1)) << _U(8) | (prefix & _U(255))
             up.append(np.searchsorted(short, shorter).astype(np.int32) if d else None)
             short = prefix
+            names.append(prefix)
+        return nodes, up, names
+
+    @staticmethod
+    def _weigh(nodes: list, up: list, names: list, outer: tuple[np.ndarray, np.ndarray] | None = None, least: int = 0) -> tuple[list[np.ndarray], tuple]:
+        """Weights of the nodes' own estimates, by depth from ``least``, and what the nodes of that depth hand to their parents."""
         weights: list[np.ndarray] = []
         below = None
-        for d in range(len(levels) - 1, -1, -1):
+        for d in range(len(nodes) - 1, least - 1, -1):
             zeros, ones, _ = nodes[d]
             mine = _log_kt(zeros, ones)
             if below is None:
                 weighted, w = mine, np.ones(len(mine))
             else:
                 parent, child_log, cz, co = below
-                size = len(mine)
-                rest_z = np.maximum(zeros - np.bincount(parent, weights=cz, minlength=size), 0)
-                rest_o = np.maximum(ones - np.bincount(parent, weights=co, minlength=size), 0)
-                split = np.bincount(parent, weights=child_log, minlength=size) + _log_kt(rest_z, rest_o)  # what pruned children saw counts as one child
+                if outer is not None and d == 1:
+                    split = outer[1][np.searchsorted(outer[0], names[1])]
+                else:
+                    size = len(mine)
+                    rest_z = np.maximum(zeros - np.bincount(parent, weights=cz, minlength=size), 0)
+                    rest_o = np.maximum(ones - np.bincount(parent, weights=co, minlength=size), 0)
+                    split = np.bincount(parent, weights=child_log, minlength=size) + _log_kt(rest_z, rest_o)  # what pruned children saw counts as one child
                 weighted = np.logaddexp(mine, split) - np.log(2)
                 w = np.exp(np.log(0.5) + mine - weighted)
             weights.insert(0, w)
             below = (up[d], weighted, zeros, ones)
+        return weights, below
+
+    @staticmethod
+    def _add_bit(levels: list[tuple[np.ndarray, np.ndarray]], b: int, totals: list[np.ndarray], outer: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Adds to each string's log probability that of bit ``b`` of its last byte, mixed over all depths."""
+        nodes, up, names = ContextTree._nodes(levels, b)
+        weights, _ = ContextTree._weigh(nodes, up, names, outer)
         for d, (keys, _) in enumerate(levels):
             at = nodes[d][2]
             one = ((keys >> _U(7 - b)) & _U(1)) == 1
@@ -336,6 +357,167 @@ def code_lengths(docs: DataFrame, tree: ContextTree, id_col: str = "doc_id", tex
     return out.select(F.col("_id").alias(id_col), *([F.col("_row").alias(row_col)] if row_col else []), "n_bytes", "score", bits.alias("bits_per_byte"))
 
 
+# Scores under the whole tree, part by part: no task and no driver holds more of it than one part.
+
+_Levels = list[tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass
+class _Top:
+    """What all parts share: the strings of up to two bytes, and what the children of contexts of one byte add up to."""
+
+    levels: _Levels
+    outer: tuple[np.ndarray, np.ndarray]  # names of the nodes of depth one, over all bits, sorted; log probability of their children
+
+
+def _sums(keys: list[np.ndarray], values: list[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their values."""
+    k, v = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, _U), (values, dtype)))
+    return (count_sorted(k, v) if dtype is np.int64 else _float_sums(k, v)) if len(k) else (k, v)
+
+
+def _float_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, at = np.unique(keys, return_inverse=True)
+    return names, np.bincount(at, weights=values)
+
+
+def _read_levels(table: pa.Table) -> _Levels:
+    """The strings of one part and their counts, by depth from two."""
+    depth = np.asarray(table["depth"].combine_chunks()) if len(table) else np.zeros(0, np.int32)
+    out = []
+    for d in range(2, DEPTH + 1):
+        own = table.take(pa.array(np.flatnonzero(depth == d)))
+        out.append(_sums([np.frombuffer(x, _U) for x in own["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in own["n"].to_pylist()], np.int64))
+    return out
+
+
+_PART = pa.schema([("p", pa.int32()), ("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
+    """The strings of one part by depth; as depth 1 its strings of two bytes, as depth 0 what it adds to the nodes of depth one."""
+    made = _merge(table)
+    levels = _read_levels(made)
+    for _ in range(2):
+        keys, n = levels[0]
+        levels.insert(0, count_sorted(keys & _U((1 << 8 * (DEPTH + 1 - len(levels))) - 1), n))
+    names, sums = [], []
+    for b in range(8):
+        nodes, up, name = ContextTree._nodes(levels, b)
+        _, (parent, weighted, _, _) = ContextTree._weigh(nodes, up, name, least=2)
+        names.append(name[1])
+        sums.append(np.bincount(parent, weights=weighted, minlength=len(name[1])))
+    more = [(1, *levels[1]), (0, np.concatenate(names), np.concatenate(sums))]
+    depth = made["depth"].to_pylist() + [d for d, _, _ in more]
+    keys, n = (made[c].to_pylist() + [x[i].tobytes() for x in more] for c, i in (("keys", 1), ("n", 2)))
+    return pa.table([pa.array([key[0].as_py()] * len(depth), pa.int32()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], schema=_PART)
+
+
+def _top(levels: DataFrame) -> _Top:
+    """Adds up what the parts say of the two shortest depths; its size is bound by the number of strings of two bytes."""
+    got: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+    for r in levels.where("depth < 2").select("depth", "keys", "n").toLocalIterator():
+        keys, values = got[r["depth"]]
+        keys.append(np.frombuffer(r["keys"], _U))
+        values.append(np.frombuffer(r["n"], np.int64 if r["depth"] else np.float64))
+        if len(keys) > 64:
+            got[r["depth"]] = tuple([x] for x in _sums(keys, values, np.int64 if r["depth"] else np.float64))
+    keys, n = _sums(*got[1], np.int64)
+    return _Top([count_sorted(keys & _U(255), n), (keys, n)], _sums(*got[0], np.float64))
+
+
+def _text_blocks(parts: int, id_type: pa.DataType):
+    """Rows of kind 0 hold the documents of a block, rows of kind 1 its distinct strings by part."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("ids", pa.list_(id_type)), ("rows", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("keys", pa.binary())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        none = lambda t: pa.nulls(1, pa.list_(t))
+        for batch in batches:
+            ids, rows, texts = (one_array(batch.column(c)) for c in ("_id", "_row", "_text"))
+            for b in blocks(texts, _WORD_BLOCK):
+                yield arrow_batch(schema, [block], [0], [0], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)], pa.nulls(1, pa.binary()))
+                for p, keys in _by_part(np.unique(strings(b)[0]), parts)[1]:
+                    yield arrow_batch(schema, [block], [1], [p], none(id_type), none(pa.int64()), none(pa.string()), pa.array([keys.tobytes()], pa.binary()))
+                block += 1
+
+    return apply
+
+
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The order that puts sorted strings part by part, and the strings of each part that has some."""
+    p = _bucket(keys, parts)
+    order = np.argsort(p, kind="stable")
+    bounds = np.searchsorted(p[order], np.arange(parts + 1))
+    return order, [(i, keys[order[bounds[i] : bounds[i + 1]]]) for i in range(parts) if bounds[i] < bounds[i + 1]]
+
+
+_LOGS = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("logp", pa.binary())])
+
+
+def _score_part(top):
+    """The log probabilities of all blocks' strings of one part."""
+
+    def apply(levels: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _LOGS.empty_table()
+        keys = [np.frombuffer(k, _U) for k in asked["keys"].to_pylist()]
+        distinct = np.unique(np.concatenate(keys))
+        tree = ContextTree.build([*top.value.levels, *_read_levels(levels)], top.value.outer)
+        logp = tree.log_probabilities(distinct).astype(np.float32)
+        out = [logp[np.searchsorted(distinct, k)].tobytes() for k in keys]
+        return pa.Table.from_arrays([asked["block"].combine_chunks(), asked["p"].combine_chunks(), pa.array(out, pa.binary())], schema=_LOGS)
+
+    return apply
+
+
+def _sum_up(parts: int, id_type: pa.DataType):
+    schema = pa.schema([("_id", id_type), ("_row", pa.int64()), ("n_bytes", pa.int64()), ("score", pa.float64())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                b = next(blocks(list_parts(one.column("texts"))[1], 1 << 40))
+                key, offs = strings(b)
+                order = np.argsort(key)
+                s = key[order]
+                new = np.append(True, s[1:] != s[:-1])
+                logs = sorted(one.column("logs").to_pylist()[0], key=lambda x: x["p"])
+                found = np.empty(int(new.sum()))
+                found[_by_part(s[new], parts)[0]] = np.frombuffer(b"".join(x["logp"] for x in logs), np.float32)
+                p = np.empty(len(key))
+                p[order] = found[np.cumsum(new) - 1]
+                yield arrow_batch(schema, list_parts(one.column("ids"))[1], list_parts(one.column("rows"))[1], np.diff(b.offs), np.add.reduceat(p, offs[:-1]) / np.log(10))
+
+    return apply
+
+
+def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", row_col: str = "_row") -> DataFrame:
+    """As :func:`code_lengths`, under the tree of all strings of the rows where ``train_col`` holds.
+
+    All contexts of two bytes and more lie in one part.  Every part weighs its
+    own nodes, the sums for shorter contexts are added up, and a block's
+    distinct strings meet the counts part by part, so nothing is pruned and
+    what one task holds does not grow with the corpus.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(row_col).alias("_row"), F.col(train_col).alias("train"), F.col(text_col).alias("_text"))
+    id_type, kind = arrow_type(rows, "_id"), rows.schema["_id"].dataType.simpleString()
+    parts = _parts(rows)
+    counted = rows.where("train").select("_text").mapInArrow(_count(parts), "p int, keys binary, n binary")
+    levels = stored(counted.groupBy("p").applyInArrow(_part_levels, "p int, depth int, keys binary, n binary"))
+    top = docs.sparkSession.sparkContext.broadcast(_top(levels))
+    made = stored(rows.select("_id", "_row", "_text").mapInArrow(_text_blocks(parts, id_type), f"block bigint, kind int, p int, ids array<{kind}>, rows array<bigint>, texts array<string>, keys binary"))
+    asked = made.where("kind = 1").select("block", "p", "keys")
+    logs = levels.where("depth > 1").groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_score_part(top), "block bigint, p int, logp binary")
+    back = logs.groupBy("block").agg(F.collect_list(F.struct("p", "logp")).alias("logs"))
+    joined = made.where("kind = 0").select("block", "ids", "rows", "texts").join(back, "block").select("ids", "rows", "texts", "logs")
+    out = joined.mapInArrow(_sum_up(parts, id_type), f"_id {kind}, _row bigint, n_bytes bigint, score double")
+    bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
+    return out.select(F.col("_id").alias(id_col), F.col("_row").alias(row_col), "n_bytes", "score", bits.alias("bits_per_byte"))
+
+
 # Word counts: the base score that code lengths are compared with.
 
 _WORD_BLOCK = 4 << 20
@@ -465,8 +647,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     crc = F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8"))
     rows = docs.select(F.col(id_col).alias("_k"), F.coalesce(~(F.pmod(crc, F.lit(folds)) == held_fold), F.lit(False)).alias("train"), F.xxhash64(F.col(text_col)).alias("_row"), F.col(text_col).alias("_text"))
-    tree = train(rows.where("train"), "_text")
-    lengths = code_lengths(rows, tree, "_k", "_text", "_row").dropDuplicates(["_k", "_row"])
+    lengths = whole_code_lengths(rows, "train", "_k", "_text").dropDuplicates(["_k", "_row"])
     base = base_scores(rows, "train", "_k", "_text")
     known = F.coalesce(F.pmod(crc, F.lit(folds)) == held_fold, F.lit(True))
     out = base.withColumnRenamed("_k", id_col).withColumn("held_out", known)

@@ -106,3 +106,20 @@ def test_pruned_tree_still_scores(spark):
     assert sum(map(len, small.keys)) < sum(map(len, full.keys)) and ctw.digest(full) == ctw.digest(ctw.train(df.repartition(5)))
     bits = [np.mean([x.bits_per_byte for x in ctw.code_lengths(df, t).collect()]) for t in (full, small)]
     assert bits[0] < bits[1] < 3
+
+
+def test_scores_are_those_of_the_whole_tree_beyond_the_bound(spark):
+    r = np.random.default_rng(6)
+    texts = [bytes(r.integers(97, 123, 50_000, dtype=np.uint8)).decode() for _ in range(30)]
+    texts += [t[:30_000] for t in texts[:8]] + ["", "unseen ÄÖ bytes"]
+    rows = [(i, t, 0, "", 0) for i, t in enumerate(texts)]
+    kept = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    keys = np.concatenate([ctw.strings(b)[0] for b in blocks(pa.array(kept))])
+    levels = [ctw.count_sorted(keys & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(ctw.DEPTH + 1)]
+    assert sum(len(k) for k, _ in levels[3:]) > 2_000_000
+    tree = ctw.ContextTree.build(levels)
+    out = {x.doc_id: x.score for x in ctw.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        own = np.sort(ctw.strings(next(blocks(pa.array([t]))))[0])
+        want = tree.log_probabilities(own).sum() / math.log(10)
+        assert abs(out[i] - want) < 1e-5 * max(1, abs(want)), i
