@@ -88,6 +88,46 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def _best_cut(score: np.ndarray, high: np.ndarray) -> float:
+    """The cut with the least sum of both error rates between scores that should be high and the others; of equal ones, that nearest to a half."""
+    at = np.unique(score)
+    cuts = np.concatenate([(at[1:] + at[:-1]) / 2, [0.5]])
+    hi, lo = np.sort(score[high]), np.sort(score[~high])
+    lost = np.searchsorted(hi, cuts) / len(hi) + 1 - np.searchsorted(lo, cuts) / len(lo)
+    return float(cuts[np.lexsort((np.abs(cuts - 0.5), np.round(lost, 9)))[0]])
+
+
+def _telling_words(flat: np.ndarray, row: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """By word bucket, the column of the words that tell the two labels apart best, or -1."""
+    size = 1 << WORD_BITS
+    sets = {c: np.bincount(flat[np.isin(row, rows[label[rows] == c])], minlength=size) for c in (0, 1)}
+    n0, n1 = (label[rows] == 0).sum(), (label[rows] == 1).sum()
+    p = (sets[0] + sets[1] + 1) / (n0 + n1 + 2)
+    z = np.abs(sets[1] / n1 - sets[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    chosen = np.lexsort((np.arange(size), -z))[:MAX_WORDS]
+    columns = np.full(size, -1, np.int16)
+    columns[chosen] = np.arange(len(chosen))
+    return columns
+
+
+def _text_matrix(flat: np.ndarray, row: np.ndarray, ratios: np.ndarray, edges: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    wide = len(edges) * _BINS
+    xt = np.zeros((len(ratios), wide + MAX_WORDS), np.float32)
+    xt[np.arange(len(ratios))[:, None], _one_hot(ratios, edges)] = 1
+    col = columns[flat]
+    xt[row[col >= 0], wide + col[col >= 0]] = 1
+    return xt
+
+
+@dataclass
+class ToxicModel:
+    columns: np.ndarray
+    text: tuple[np.ndarray, float, float, float]
+    cut: float  # rows of at least this score are dropped
+    recall: float  # share of held-out toxic rows that the cut drops
+    loss: float  # share of the other held-out rows that it drops
+
+
 @dataclass
 class CoModel:
     columns: np.ndarray  # int16 by word bucket: column of the text view or -1
@@ -98,11 +138,19 @@ class CoModel:
     threshold: float
     exchanged: int  # pseudo-labels given in all rounds
     held_out: float  # accuracy on the calibration rows
+    recall: float  # share of held-out bad rows that the threshold drops
+    loss: float  # share of held-out good rows that it drops
+    toxic: ToxicModel | None = None
+
+    def toxic_score(self, words: tuple[np.ndarray, np.ndarray], ratios: np.ndarray) -> np.ndarray:
+        if self.toxic is None:
+            return np.zeros(len(ratios))
+        return 1 / (1 + np.exp(-np.clip(self.text_logit(words, ratios, self.toxic), -500, 500)))
 
-    def text_logit(self, words: tuple[np.ndarray, np.ndarray], ratios: np.ndarray) -> np.ndarray:
-        beta, bias, a, b = self.text
+    def text_logit(self, words: tuple[np.ndarray, np.ndarray], ratios: np.ndarray, of: ToxicModel | None = None) -> np.ndarray:
+        beta, bias, a, b = (of or self).text
         doc, bucket = words
-        col = self.columns[bucket]
+        col = (of or self).columns[bucket]
         hit = col >= 0
         z = np.bincount(doc[hit], weights=beta[len(self.edges) * _BINS + col[hit]], minlength=len(ratios)).astype(np.float64)
         return a * (z + beta[_one_hot(ratios, self.edges)].sum(1) + bias) + b
@@ -116,8 +164,27 @@ class CoModel:
         return tuple(1 / (1 + np.exp(-np.clip(z, -500, 500))) for z in (zt, zm, u * zt + v * zm + c))
 
 
-def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.95, per_round: float = 0.25) -> CoModel | None:
-    """Fits both views.  ``y`` is 1 (good), 0 (bad) or -1 (unlabelled); None without both kinds of labels."""
+def _toxic_model(flat: np.ndarray, row: np.ndarray, ratios: np.ndarray, edges: list[np.ndarray], toxic: np.ndarray, fit: np.ndarray, held: np.ndarray) -> ToxicModel | None:
+    """A calibrated text model of toxicity with a cut of its own; None if rows to fit on or to judge by lack one of the labels."""
+    fit, held = fit[toxic[fit] >= 0], held[toxic[held] >= 0]
+    if len(np.unique(toxic[fit])) < 2 or len(np.unique(toxic[held])) < 2:
+        return None
+    columns = _telling_words(flat, row, fit, toxic)
+    x = _text_matrix(flat, row, ratios, edges, columns)
+    y = toxic[fit].astype(np.float32)
+    beta, bias = _fit(x[fit], y, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32))
+    z = x[held] @ beta + bias
+    a, b = _platt(z, toxic[held])
+    score, bad = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500))), toxic[held] == 1
+    cut = _best_cut(score, bad)
+    return ToxicModel(columns, (beta, bias, a, b), cut, float((score[bad] >= cut).mean()), float((score[~bad] >= cut).mean()))
+
+
+def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.95, per_round: float = 0.25, toxic: np.ndarray | None = None) -> CoModel | None:
+    """Fits both views.  ``y`` is 1 (good), 0 (bad) or -1 (unlabelled), ``toxic`` 1, 0 or -1 (unknown); None without both kinds of labels.
+
+    The threshold, and that of toxicity, has the least sum of both error rates on the held-out rows.
+    """
     if not (y == 1).any() or not (y == 0).any():
         return None
     known = np.flatnonzero(y >= 0)
@@ -126,20 +193,9 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
     if len(np.unique(y[held])) < 2 or len(np.unique(y[fit])) < 2:
         held = fit = known
     flat, row = np.concatenate(words) if words else np.zeros(0, np.int64), np.repeat(np.arange(len(words)), [len(w) for w in words])
-    size = 1 << WORD_BITS
-    sets = {c: np.bincount(flat[np.isin(row, fit[y[fit] == c])], minlength=size) for c in (0, 1)}
-    n0, n1 = (y[fit] == 0).sum(), (y[fit] == 1).sum()
-    p = (sets[0] + sets[1] + 1) / (n0 + n1 + 2)
-    z = np.abs(sets[1] / n1 - sets[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    chosen = np.lexsort((np.arange(size), -z))[:MAX_WORDS]
-    columns = np.full(size, -1, np.int16)
-    columns[chosen] = np.arange(len(chosen))
+    columns = _telling_words(flat, row, fit, y)
     edges = [np.unique(np.quantile(ratios[fit, f], np.linspace(0, 1, _BINS + 1)[1:-1])) for f in range(ratios.shape[1])]
-    wide = len(edges) * _BINS
-    xt = np.zeros((len(y), wide + MAX_WORDS), np.float32)
-    xt[np.arange(len(y))[:, None], _one_hot(ratios, edges)] = 1
-    col = columns[flat]
-    xt[row[col >= 0], wide + col[col >= 0]] = 1
+    xt = _text_matrix(flat, row, ratios, edges, columns)
     xm = np.zeros((len(y), META_BUCKETS), np.float32)
     np.put_along_axis(xm, meta, 1, axis=1)
     views = [xt, xm]
@@ -171,19 +227,25 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
     weights, bias = _fit(both.astype(np.float32) / 4, y[held].astype(np.float32), np.ones(len(held), np.float32), 0.01, 400)
     u, v, c = max(float(weights[0]) / 4, 0.05), max(float(weights[1]) / 4, 0.0), bias
     score = 1 / (1 + np.exp(-np.clip(u * zt + v * zm + c, -500, 500)))
-    threshold = float(min(0.5, np.quantile(score[y[held] == 1], 0.003)))
-    return CoModel(columns, edges, models[0], models[1], (u, v, c), threshold, len(given[0]) + len(given[1]), float(((score >= threshold) == (y[held] == 1)).mean()))
+    good = y[held] == 1
+    threshold = _best_cut(score, good)
+    kept = score >= threshold
+    out = CoModel(columns, edges, models[0], models[1], (u, v, c), threshold, len(given[0]) + len(given[1]), float((kept == good).mean()), float((~kept[~good]).mean()), float((~kept[good]).mean()))
+    if toxic is not None:
+        del views, xt, xm
+        out.toxic = _toxic_model(flat, row, ratios, edges, toxic, fit, held)
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("meta", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64()))])
+    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("toxic", pa.int32()), ("meta", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64()))])
     for batch in batches:
         for b in blocks(batch.column("_text")):
             doc, bucket = word_buckets(b)
             offs = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
             r = ratio_matrix(block_counts(b))
             ratios = pa.ListArray.from_arrays(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32), pa.array(r.ravel()))
-            cut = [one_array(batch.column(c)).slice(b.first, b.n) for c in ("key", "y", "meta")]
+            cut = [one_array(batch.column(c)).slice(b.first, b.n) for c in ("key", "y", "toxic", "meta")]
             yield arrow_batch(schema, *cut, pa.ListArray.from_arrays(offs, pa.array(bucket.astype(np.int32))), ratios)
 
 
@@ -194,15 +256,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     if not {id_col, "quality"} <= set(labels.columns):
         return None
+    known = F.coalesce(F.col("toxic"), F.lit(-1)) if "toxic" in labels.columns else F.lit(-1)
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
-    target = labels.where("quality is not null").select(F.col(id_col), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"))
+    target = labels.where("quality is not null").select(F.col(id_col), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"), known.cast("int").alias("toxic"))
     fields = [F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta")]
-    some = labelled_rows(docs, target, ["good"], id_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), *fields)
+    some = labelled_rows(docs, target, ["good", "toxic"], id_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), F.col("_l_toxic").alias("toxic"), *fields)
     total = max(docs.count(), 1)
     rest = docs.where(F.pmod(F.xxhash64(F.lit("pool"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, max_pool / total) * (1 << 30)))
     rest = rest.join(target.select(F.col(id_col).alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
-    pool = rest.select(F.xxhash64(F.col(id_col)).alias("key"), F.lit(-1).alias("y"), *fields)
-    made = some.unionByName(pool).mapInArrow(_features, "key bigint, y int, meta array<int>, words array<int>, ratios array<double>").toArrow()
+    pool = rest.select(F.xxhash64(F.col(id_col)).alias("key"), F.lit(-1).alias("y"), F.lit(-1).alias("toxic"), *fields)
+    made = some.unionByName(pool).mapInArrow(_features, "key bigint, y int, toxic int, meta array<int>, words array<int>, ratios array<double>").toArrow()
     if not made.num_rows:
         return None
     made = made.sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
@@ -210,27 +273,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     flat = np.asarray(flat)
     words = [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)]
     grid = lambda c: np.asarray(list_parts(made[c])[1]).reshape(made.num_rows, -1)
-    return co_train(words, grid("ratios"), grid("meta").astype(np.int64), np.asarray(made["y"]).astype(np.int64), rounds)
+    return co_train(words, grid("ratios"), grid("meta").astype(np.int64), np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64))
 
 
 def _score(model: CoModel, key_type: pa.DataType):
-    schema = pa.schema([("_key", key_type), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("_key", key_type), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("toxic_score", pa.float64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, flat = list_parts(batch.column("meta"))
             meta = np.asarray(flat).reshape(len(batch), -1)
             for b in blocks(batch.column("_text")):
-                zt = model.text_logit(word_buckets(b), ratio_matrix(block_counts(b)))
-                yield arrow_batch(schema, one_array(batch.column("_key")).slice(b.first, b.n), *model.scores(zt, model.meta_logit(meta[b.rows])))
+                words, ratios = word_buckets(b), ratio_matrix(block_counts(b))
+                zt = model.text_logit(words, ratios)
+                yield arrow_batch(schema, one_array(batch.column("_key")).slice(b.first, b.n), *model.scores(zt, model.meta_logit(meta[b.rows])), model.toxic_score(words, ratios))
 
     return apply
 
 
 def _scored(docs: DataFrame, model: CoModel, key: Column, text_col: str) -> DataFrame:
     rows = docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta"))
-    schema = f"_key {rows.schema['_key'].dataType.simpleString()}, text_score double, meta_score double, score double"
-    return rows.mapInArrow(_score(model, arrow_type(rows, "_key")), schema).withColumn("kept", F.col("score") >= model.threshold)
+    schema = f"_key {rows.schema['_key'].dataType.simpleString()}, text_score double, meta_score double, score double, toxic_score double"
+    return rows.mapInArrow(_score(model, arrow_type(rows, "_key")), schema).withColumn("kept", (F.col("score") >= model.threshold) & (F.col("toxic_score") < (model.toxic.cut if model.toxic else 2.0))).drop("toxic_score")
 
 
 def score(docs: DataFrame, model: CoModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,3 +44,26 @@ def test_odd_rows_and_no_labels(spark):
     assert cotrain.score(docs, model).count() == 4
     assert cotrain.score(docs.limit(0), model).count() == 0
     assert cotrain.score(docs.select("doc_id", "text"), model).count() == 4
+
+
+def test_label_noise_does_not_open_the_threshold(spark):
+    rows, labels = corpus(2400, 7)
+    r = random.Random(3)
+    clean = {i: int(i % 4 != 0) for i in range(2400)}
+    # one bad row in twenty is labelled good: held-out "good" rows with the lowest scores are bad ones
+    noisy = [(i, 1, 0) if not clean[i] and r.random() < 0.05 else (i, q, t) for i, q, t in labels]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = cotrain.fit(docs, spark.createDataFrame(noisy, "doc_id long, quality int, toxic int"))
+    out = {x.doc_id: x.kept for x in cotrain.score(docs, model).collect()}
+    rest = range(1200, 2400)
+    assert sum(out[i] for i in rest if not clean[i]) <= 0.02 * 300
+    assert sum(not out[i] for i in rest if clean[i]) <= 0.05 * 900
+    assert model.toxic is not None and model.toxic.recall > 0.5 and 0 < model.threshold < 1
+
+
+def test_cut_weighs_both_errors():
+    import numpy as np
+
+    score = np.array([0.02, 0.05, 0.1, 0.2, 0.03, 0.8, 0.9, 0.7, 0.95, 0.99])
+    good = np.array([0, 0, 0, 0, 1, 1, 1, 1, 1, 1], bool)
+    assert 0.2 < cotrain._best_cut(score, good) < 0.7
