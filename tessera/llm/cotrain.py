@@ -1,14 +1,14 @@
 """Quality classifier by co-training: a text view and a metadata view teach one another.
 
-Both views are logistic models.  Each predicts a bounded pool of unlabelled
-rows, hands its confident predictions to the other as labels, and both are fitted
+Both views are logistic models.  Each predicts all unlabelled rows of the corpus,
+hands its most confident predictions to the other as labels, and both are fitted
 again, for some rounds.  Held-out labelled rows calibrate the two views and
 weigh them against each other; every document is then scored by both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_type, list_parts, one_array
+from .common import arrow_batch, arrow_type, list_parts, one_array, stored
 from .quality_rules import labelled_rows
 from .text_stats import RATIOS, block_counts, ratio_matrix
 from .textblock import TextBlock, blocks
 
 WORD_BITS = 18
 MAX_WORDS = 1024
-MAX_LABELLED = 6000
-MAX_POOL = 4000
+MAX_LABELLED = 8000
 META_BUCKETS = 512
 _BINS = 12
 
@@ -119,6 +118,12 @@ def _text_matrix(flat: np.ndarray, row: np.ndarray, ratios: np.ndarray, edges: l
     return xt
 
 
+def _meta_matrix(meta: np.ndarray) -> np.ndarray:
+    xm = np.zeros((len(meta), META_BUCKETS), np.float32)
+    np.put_along_axis(xm, meta, 1, axis=1)
+    return xm
+
+
 @dataclass
 class ToxicModel:
     columns: np.ndarray
@@ -180,8 +185,14 @@ def _toxic_model(flat: np.ndarray, row: np.ndarray, ratios: np.ndarray, edges: l
     return ToxicModel(columns, (beta, bias, a, b), cut, float((score[bad] >= cut).mean()), float((score[~bad] >= cut).mean()))
 
 
-def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.95, per_round: float = 0.25, toxic: np.ndarray | None = None) -> CoModel | None:
-    """Fits both views.  ``y`` is 1 (good), 0 (bad) or -1 (unlabelled), ``toxic`` 1, 0 or -1 (unknown); None without both kinds of labels.
+#: Model, confidence and most rows of each label; returns choices (row, view, label), and the words, ratios and metadata of the rows.
+Ask = Callable[["CoModel", float, dict[int, int]], tuple[list[tuple[int, int, int]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+
+
+def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 3, confident: float = 0.95, per_round: float = 0.25, toxic: np.ndarray | None = None, ask: Ask | None = None) -> CoModel | None:
+    """Fits both views.  ``y`` is 1 (good) or 0 (bad), ``toxic`` 1, 0 or -1 (unknown); None without both kinds of labels.
+
+    ``ask`` finds the unlabelled rows of which a model is surest, at most so many of each label.
 
     The threshold, and that of toxicity, has the least sum of both error rates on the held-out rows.
     """
@@ -196,10 +207,8 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
     columns = _telling_words(flat, row, fit, y)
     edges = [np.unique(np.quantile(ratios[fit, f], np.linspace(0, 1, _BINS + 1)[1:-1])) for f in range(ratios.shape[1])]
     xt = _text_matrix(flat, row, ratios, edges, columns)
-    xm = np.zeros((len(y), META_BUCKETS), np.float32)
-    np.put_along_axis(xm, meta, 1, axis=1)
-    views = [xt, xm]
-    pool = np.flatnonzero(y < 0)
+    views = [xt, _meta_matrix(meta)]
+    place: dict[int, int] = {}  # where the rows found by ``ask`` stand
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view has received
     models: list[tuple[np.ndarray, float, float, float]] = []
     for turn in range(rounds + 1):
@@ -214,14 +223,19 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
             beta, bias = _fit(x[rows], target, weight)
             a, b = _platt(x[held] @ beta + bias, y[held])
             models.append((beta, bias, a, b))
-        if turn == rounds or not len(pool):
+        if turn == rounds or ask is None:
             break
-        for k, (x, (beta, bias, a, b)) in enumerate(zip(views, models, strict=True)):
-            prob = 1 / (1 + np.exp(-np.clip(a * (x[pool] @ beta + bias) + b, -30, 30)))
-            for label, sure in ((1, prob), (0, 1 - prob)):
-                most = max(1, int(per_round * len(fit) * (y[fit] == label).mean()))
-                best = np.lexsort((pool, -sure))[:most]
-                given[1 - k].update({int(pool[i]): label for i in best if sure[i] >= confident})
+        most = {label: max(1, int(per_round * len(fit) * (y[fit] == label).mean())) for label in (0, 1)}
+        choices, found = ask(CoModel(columns, edges, models[0], models[1], (0.0, 0.0, 0.0), 0.5, 0, 0.0, 0.0, 0.0), confident, most)
+        new = [k for k in sorted(found) if k not in place]
+        if new:
+            more, own, m = ([found[k][i] for k in new] for i in range(3))
+            at = np.repeat(np.arange(len(new)), [len(w) for w in more])
+            place.update({k: len(views[0]) + i for i, k in enumerate(new)})
+            views[0] = np.concatenate([views[0], _text_matrix(np.concatenate(more), at, np.stack(own), edges, columns)])
+            views[1] = np.concatenate([views[1], _meta_matrix(np.stack(m))])
+        for k, view, label in choices:
+            given[1 - view][place[k]] = label
     zt, zm = ((x[held] @ beta + bias) * a + b for x, (beta, bias, a, b) in zip(views, models, strict=True))
     both = np.stack([zt, zm], axis=1).astype(np.float64)
     weights, bias = _fit(both.astype(np.float32) / 4, y[held].astype(np.float32), np.ones(len(held), np.float32), 0.01, 400)
@@ -232,7 +246,7 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
     kept = score >= threshold
     out = CoModel(columns, edges, models[0], models[1], (u, v, c), threshold, len(given[0]) + len(given[1]), float((kept == good).mean()), float((~kept[~good]).mean()), float((~kept[good]).mean()))
     if toxic is not None:
-        del views, xt, xm
+        del views, xt
         out.toxic = _toxic_model(flat, row, ratios, edges, toxic, fit, held)
     return out
 
@@ -249,10 +263,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrow_batch(schema, *cut, pa.ListArray.from_arrays(offs, pa.array(bucket.astype(np.int32))), ratios)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = 3) -> CoModel | None:
-    """Co-trains on at most ``max_labelled`` labelled rows and a pool of about ``max_pool`` others, both chosen by hashes of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, rounds: int = 3) -> CoModel | None:
+    """Co-trains on at most ``max_labelled`` labelled rows, chosen by hashes of the id, and the most confident of all others.
 
-    A row is good if its quality is 1 and it isn't toxic; rows without a quality label join the pool.
+    A row is good if its quality is 1 and it isn't toxic; rows without a quality label are unlabelled.
     """
     if not {id_col, "quality"} <= set(labels.columns):
         return None
@@ -261,19 +275,63 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     target = labels.where("quality is not null").select(F.col(id_col), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"), known.cast("int").alias("toxic"))
     fields = [F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta")]
     some = labelled_rows(docs, target, ["good", "toxic"], id_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), F.col("_l_toxic").alias("toxic"), *fields)
-    total = max(docs.count(), 1)
-    rest = docs.where(F.pmod(F.xxhash64(F.lit("pool"), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, max_pool / total) * (1 << 30)))
-    rest = rest.join(target.select(F.col(id_col).alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
-    pool = rest.select(F.xxhash64(F.col(id_col)).alias("key"), F.lit(-1).alias("y"), F.lit(-1).alias("toxic"), *fields)
-    made = some.unionByName(pool).mapInArrow(_features, "key bigint, y int, toxic int, meta array<int>, words array<int>, ratios array<double>").toArrow()
+    made = some.mapInArrow(_features, _FEATURES).toArrow()
     if not made.num_rows:
         return None
     made = made.sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
+    words, ratios, meta = _arrays(made)
+    known_ids = target.select(F.col(id_col).alias("_k"))
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_k"), key.alias("key"), *fields)
+
+    def ask(model: CoModel, confident: float, most: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        kind = rows.schema["_k"].dataType.simpleString()
+        sure = rows.mapInArrow(_sure(model, confident, arrow_type(rows, "_k")), f"_k {kind}, key bigint, view int, label int, sure double")
+        sure = stored(sure.join(known_ids, "_k", "left_anti").groupBy("view", "label", "key").agg(F.first("sure").alias("sure")))
+        best = [sure.where((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), "key").limit(most[c]).collect() for v in (0, 1) for c in (0, 1)]
+        choices = [(r["key"], r["view"], r["label"]) for part in best for r in part]
+        if not choices:
+            return [], {}
+        picked = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for k, _, _ in choices})], "key bigint")
+        none = F.lit(-1)
+        wanted = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", none.alias("y"), none.alias("toxic"), "_text", "meta")
+        got = wanted.mapInArrow(_features, _FEATURES).toArrow().combine_chunks()
+        w, r, m = _arrays(got)
+        return choices, {int(k): (w[i], r[i], m[i]) for i, k in enumerate(got["key"].to_pylist())}
+
+    return co_train(words, ratios, meta, np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64), ask=ask)
+
+
+_FEATURES = "key bigint, y int, toxic int, meta array<int>, words array<int>, ratios array<double>"
+
+
+def _arrays(made: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The words, ratios and metadata of rows of features."""
     offs, flat = list_parts(made["words"])
     flat = np.asarray(flat)
-    words = [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)]
     grid = lambda c: np.asarray(list_parts(made[c])[1]).reshape(made.num_rows, -1)
-    return co_train(words, grid("ratios"), grid("meta").astype(np.int64), np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64))
+    return [flat[a:b] for a, b in zip(offs, offs[1:], strict=False)], grid("ratios"), grid("meta").astype(np.int64)
+
+
+def _sure(model: CoModel, confident: float, id_type: pa.DataType):
+    """What each view is sure of: a row for each row and view with at least that confidence."""
+    schema = pa.schema([("_k", id_type), ("key", pa.int64()), ("view", pa.int32()), ("label", pa.int32()), ("sure", pa.float64())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = (one_array(batch.column(c)) for c in ("_k", "key"))
+            meta = np.asarray(list_parts(batch.column("meta"))[1]).reshape(len(batch), -1)
+            for b in blocks(batch.column("_text")):
+                zt, zm = model.text_logit(word_buckets(b), ratio_matrix(block_counts(b))), model.meta_logit(meta[b.rows])
+                for view, z in enumerate((zt, zm)):
+                    prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                    for label, sure in ((1, prob), (0, 1 - prob)):
+                        at = np.flatnonzero(sure >= confident)
+                        if len(at):
+                            row = pa.array(at + b.first)
+                            yield arrow_batch(schema, ids.take(row), keys.take(row), np.full(len(at), view), np.full(len(at), label), sure[at])
+
+    return apply
 
 
 def _score(model: CoModel, key_type: pa.DataType):

@@ -67,3 +67,18 @@ def test_cut_weighs_both_errors():
     score = np.array([0.02, 0.05, 0.1, 0.2, 0.03, 0.8, 0.9, 0.7, 0.95, 0.99])
     good = np.array([0, 0, 0, 0, 1, 1, 1, 1, 1, 1], bool)
     assert 0.2 < cotrain._best_cut(score, good) < 0.7
+
+
+def test_views_exchange_labels_over_all_rows(spark, monkeypatch):
+    rows, labels = corpus(9000, 11)
+    labels = [x for x in labels if x[0] < 400]
+    asked = []
+    sure = cotrain._sure
+    monkeypatch.setattr(cotrain, "_sure", lambda *a: asked.append(a) or sure(*a))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = cotrain.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(asked) == 3 and model.exchanged > 0
+    # every unlabelled row is seen, not a sample of 4,000
+    one = docs.selectExpr("doc_id as _k", "xxhash64(doc_id, text) as key", "text as _text", "*").withColumn("meta", cotrain.meta_columns(docs)).select("_k", "key", "_text", "meta")
+    seen = one.mapInArrow(sure(asked[0][0], 0.0, asked[0][2]), "_k bigint, key bigint, view int, label int, sure double")
+    assert seen.where("view = 0").select("key").distinct().count() == 9000
