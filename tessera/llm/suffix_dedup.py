@@ -35,7 +35,7 @@ from .textblock import TextBlock, blocks, combine
 
 ANCHOR = 48
 BLOCK = 32
-_POS_BITS = 28
+_POS_BITS = 31  # an Arrow string has fewer bytes than this can count
 
 
 def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -59,12 +59,9 @@ def anchored_runs(block: TextBlock, length: int, anchor: int = ANCHOR) -> tuple[
     n = len(block.data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    at = np.arange(n - anchor + 1)
-    h = block.hashes(at, at + anchor)
-    if n >= 1 << _POS_BITS:
-        raise ValueError(f"a text of {n} bytes; at most {(1 << _POS_BITS) - 1} can be searched")
+    h = block.window_hashes(anchor)
     low = np.uint64((1 << _POS_BITS) - 1)
-    key = (h & ~low) | at.astype(np.uint64)
+    key = (h & ~low) | np.arange(len(h)).astype(np.uint64)
     pos = (_slide_min(key, length - anchor + 1) & low).astype(np.int64)
     start = np.arange(len(pos))
     doc = np.repeat(np.arange(block.n), np.diff(block.offs))[: len(pos)]
@@ -166,7 +163,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = _schema(docs, id_col)
     runs = stored(keyed.where(F.octet_length("_text") >= length).mapInArrow(_run_rows(id_type, length, ANCHOR), schema))
     # Most anchors stand in one place only; their runs are settled as unique before anything else is moved.
-    again = runs.groupBy("part").agg(F.sum("weight").alias("places")).where("places > 1").select("part")
+    # Stored by itself, so that the join deals out the runs of a frequent anchor anew instead of giving them to the task that counted them.
+    again = stored(runs.groupBy("part").agg(F.sum("weight").alias("places")).where("places > 1").select("part"))
     first, ahead = _merged(stored(runs.join(again, "part", "left_semi")))
 
     def with_runs(texts: DataFrame, level: DataFrame) -> DataFrame:

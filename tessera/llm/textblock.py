@@ -18,30 +18,60 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 21
 
-_MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Substrings are hashed as polynomials over the prime field of 2^31 - 1, at two points: no string of two letters makes
+#: whole powers cancel, as it can modulo 2^64.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_220_703_125, 1_162_261_467)
+_INVERSES = tuple(pow(x, -1, (1 << 31) - 1) for x in _BASES)
+_TABLES = np.random.default_rng(20240229).integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+def _residue(x: np.ndarray) -> np.ndarray:
+    """``x`` below 2^63 modulo the prime, by folding its upper bits twice."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x -= _PRIME * (x >= _PRIME)
+    return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash multiplier and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
+_powers: list[np.ndarray] = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of both hash bases and of their inverses, by doubling."""
+    if _powers[0].shape[1] < n:
         size = max(n, BLOCK_BYTES + 65536)
+        for k, bases in enumerate((_BASES, _INVERSES)):
+            p = np.ones((2, size), np.uint64)
+            for row, base in zip(p, bases, strict=True):
+                have = 1
+                while have < size:
+                    step = np.uint64(pow(base, have, int(_PRIME)))
+                    take = min(have, size - have)
+                    row[have : have + take] = _residue(row[:take] * step)
+                    have += take
+            _powers[k] = p
+    return _powers
+
+
+_QUICK = 0x9E3779B97F4A7C15
+_quick: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _quick_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _quick
+    if len(_quick[0]) < n:
         made = []
-        for base in (_MULT, _MULT_INV):
-            p = np.full(size, base, np.uint64)
+        for base in (_QUICK, pow(_QUICK, -1, 1 << 64)):
+            p = np.full(max(n, BLOCK_BYTES + 65536), base, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        _powers = (made[0], made[1])
-    return _powers
+        _quick = (made[0], made[1])
+    return _quick
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,10 +112,25 @@ class TextBlock:
         """Hashes of the substrings [start, end); equal bytes have equal hashes wherever they stand."""
         pw, inv = powers(len(self.data) + 1)
         if self._prefix is None:
-            self._prefix = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_TABLE[self.data] * pw[: len(self.data)], out=self._prefix[1:])
-        h = (self._prefix[end] - self._prefix[start]) * inv[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            self._prefix = np.zeros((2, len(self.data) + 1), np.uint64)
+            for k in range(2):
+                for lo in range(0, len(self.data), 1 << 14):  # in pieces that stay in the cache
+                    part = self.data[lo : lo + (1 << 14)]
+                    out = self._prefix[k, lo + 1 : lo + 1 + len(part)]
+                    np.cumsum(_residue(_TABLES[k][part] * pw[k, lo : lo + len(part)]), out=out)
+                    out += self._prefix[k, lo]
+        h = (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for k in range(2):
+            h = mix(h + _residue(_residue(self._prefix[k][end] - self._prefix[k][start]) * inv[k][start]))
+        return h
+
+    def window_hashes(self, width: int) -> np.ndarray:
+        """A quick hash of the ``width`` bytes from every position on.  It only picks places: strings made for it can share one."""
+        n = len(self.data) - width + 1
+        pw, inv = _quick_powers(len(self.data))
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((_TABLES[0] | np.uint64(1))[self.data] * pw[: len(self.data)], out=prefix[1:])
+        return mix((prefix[width:] - prefix[:n]) * inv[:n])
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs where ``inside`` holds; no run crosses a document."""
