@@ -15,7 +15,9 @@ all its pairs:
 2. what is left in different components in a small bucket is verified pairwise
    (at most ``SMALL`` partners a row);
 3. in larger buckets, the nodes outside of the bucket's main component are
-   compared with all members, in blocks of bounded size, by counting common
+   compared with all members, in blocks of bounded size: first by signatures of
+   one byte a slot, whose likeliest pairs are verified, then, for the members
+   that are still similar to one of another component, by counting common
    shingles with matrix products; only links that join components come out.
 
 All links are confirmed on full sets, so a result never rests on estimates.
@@ -259,21 +261,100 @@ def _compare(percent: int):
     return apply
 
 
-def _hot_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components within large buckets; ``members``: bucket, node, comp, n."""
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets to signatures of one byte a slot."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            sets = [unpack_set(x.as_py()) for x in part.column("set")]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            sig = (mix(signatures(np.concatenate(sets), owner, len(sets))) & np.uint64(255)).astype(np.uint8)
+            yield arrow_batch(schema, part.column("node"), pa.array([x.tobytes() for x in sig], pa.binary()))
+
+
+def least_matches(percent: int, slots: int = SLOTS) -> int:
+    """Equal slots that a pair of the least similarity has but for a chance of about one in a billion (six deviations)."""
+    p = percent / 100
+    return int(slots * p - 6 * (slots * p * (1 - p)) ** 0.5)
+
+
+def _likely(percent: int, forest: bool):
+    """Of two blocks of members, pairs of unlike components that signatures take for similar: as many as join components, likeliest first, or else the members of all of them."""
+    fields = [("a", pa.int64()), ("b", pa.int64())] if forest else [("bucket", pa.int64()), ("node", pa.int64())]
+    schema = pa.schema(fields)
+    least = least_matches(percent)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for row in range(len(batch)):
+                ls, rs = (batch.column(c)[row].as_py() for c in ("lefts", "rights"))
+                node, comp, n = ([np.array([m[k] for m in side]) for side in (ls, rs)] for k in ("node", "comp", "n"))
+                left, right = (np.frombuffer(b"".join(m["set"] for m in side), np.uint8).reshape(len(side), -1) for side in (ls, rs))
+                match = np.stack([(right == one).sum(1) for one in left])
+                near = (match >= least) & (comp[0][:, None] != comp[1][None, :])
+                small, large = np.minimum(n[0][:, None], n[1][None, :]), np.maximum(n[0][:, None], n[1][None, :])
+                i, j = np.nonzero(near & (100 * small >= percent * large))
+                if not forest:
+                    some = np.unique(np.concatenate([node[0][i], node[1][j]]))
+                    x += [batch.column("bucket")[row].as_py()] * len(some)
+                    y += some.tolist()
+                    continue
+                joined = _Forest()
+                for k in np.argsort(-match[i, j], kind="stable"):
+                    if joined.union(int(comp[0][i[k]]), int(comp[1][j[k]])):
+                        x.append(int(node[0][i[k]]))
+                        y.append(int(node[1][j[k]]))
+            yield arrow_batch(schema, pa.array(x, pa.int64()), pa.array(y, pa.int64()))
+
+    return apply
+
+
+def _block_pairs(members: DataFrame, payload: DataFrame, by_shingles: bool) -> DataFrame:
+    """``bucket, lefts, rights``: the members outside of a bucket's main component against all its members, in blocks; ``members``: bucket, node, comp, n.
+
+    A pair of blocks is dealt out by itself, so a frequent bucket is shared among tasks.
+    """
     sizes = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("size", "comp", "shingles")).alias("top"))
     rows = members.join(main, "bucket").withColumn("stray", F.col("comp") != F.col("main"))
 
-    def chunk(size: str, shingles: str) -> Column:
-        n = F.ceil(F.greatest(F.expr(size) / CHUNK, F.expr(shingles) / CHUNK_SHINGLES)).cast("long")
-        return F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    def blocks_of(size: str, shingles: str) -> Column:
+        n = F.expr(size) / CHUNK
+        return F.greatest(F.ceil(F.greatest(n, F.expr(shingles) / CHUNK_SHINGLES) if by_shingles else n).cast("int"), F.lit(1))
+
+    h = F.xxhash64("node")
+    placed = rows.withColumn("chunks", blocks_of("size", "shingles")).withColumn("owns", blocks_of("size - top.size", "shingles - top.shingles"))
+    placed = placed.select("bucket", "node", "stray", "comp", "n", "chunks", F.pmod(h, F.col("chunks")).cast("int").alias("chunk"), F.pmod(h, F.col("owns")).cast("int").alias("own"))
+    packed = placed.join(payload, "node").select("bucket", "chunk", "own", "stray", "chunks", F.struct("node", "comp", "n", "set").alias("m"))
+    against = packed.where("stray").select("bucket", "own", "m", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    lefts = against.groupBy("bucket", "chunk", "own").agg(F.collect_list("m").alias("lefts"))
+    rights = packed.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("rights"))
+    return lefts.join(rights, ["bucket", "chunk"]).select("bucket", "lefts", "rights")
+
 
-    placed = rows.select("bucket", "node", "stray", "comp", chunk("size", "shingles").alias("chunk"), chunk("size - top.size", "shingles - top.shingles").alias("own"))
-    packed = placed.join(sets, "node").select("bucket", "chunk", "own", "stray", F.struct("node", "comp", "set").alias("m"))
-    strays = packed.where("stray").groupBy("bucket", "own").agg(F.collect_list("m").alias("lefts")).select("bucket", "lefts")
-    every = packed.groupBy("bucket", "chunk").agg(F.collect_list("m").alias("rights")).select("bucket", "rights")
-    return strays.join(every, "bucket").select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint")
+def _live(members: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components."""
+    live = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return members.join(live, "bucket", "left_semi")
+
+
+def _hot_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components within large buckets; ``members``: bucket, node, comp, n; ``known``: links found before.
+
+    Signatures of one byte a slot propose pairs, likeliest first, and as few as
+    join components.  Once these are verified, full sets go only to members
+    that are still similar, by their signatures, to one of another component:
+    these are compared without fail.
+    """
+    sketch = stored(sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_slots, "node bigint, set binary"))
+    likely = _block_pairs(members, sketch, False).select("lefts", "rights").mapInArrow(_likely(percent, True), "a bigint, b bigint").distinct()
+    found = stored(verified(stored(likely), sets, percent))
+    now = stored(_live(_with_comp(members.drop("comp"), components(known.unionByName(found)))))
+    open_ = _block_pairs(now, sketch, False).mapInArrow(_likely(percent, False), "bucket bigint, node bigint").distinct()
+    rest = stored(now.join(open_, ["bucket", "node"], "left_semi"))
+    return found.unionByName(_block_pairs(rest, sets, True).select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint"))
 
 
 def _close(a: str, b: str, percent: int) -> str:
@@ -294,16 +375,14 @@ def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> Data
     texts = keyed.groupBy("_kh", "_th").agg(F.first("_text").alias("_text"))
     sets = stored(texts.join(reps, ["_kh", "_th"]).select("node", "_text").mapInArrow(_full_sets(width), "node bigint, set binary"))
     first = stored(verified(star, sets, percent))
-    members = _with_comp(inside.where("members > 2").select("bucket", "node", "n", "members"), components(first))
-    live = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    members = stored(members.join(live, "bucket", "left_semi"))
+    members = stored(_live(_with_comp(inside.where("members > 2").select("bucket", "node", "n", "members"), components(first))))
     few = members.where(F.col("members") <= SMALL)
     ahead = few.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "n")).alias("all"))
     partners = F.expr(f"filter(all, o -> node < o.node and comp <> o.comp and {_close('n', 'o.n', percent)})")
     pairs = few.join(ahead, "bucket").select(F.col("node").alias("a"), F.explode(partners).alias("o")).select("a", F.col("o.node").alias("b")).distinct()
-    small = verified(stored(pairs), sets, percent)
-    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), sets, percent)
-    return first.unionByName(small).unionByName(large)
+    known = first.unionByName(stored(verified(stored(pairs), sets, percent)))
+    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), known, sets, percent)
+    return known.unionByName(large)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -29,15 +29,15 @@ def test_equals_brute_force(spark):
     texts = corpus()
     rows = [(i * 3 + 1, t, "n", 1, "c") for i, t in enumerate(texts)]
     sizes, least = nd.brute_force(texts, 3, 85)
-    old = nd.SMALL
+    old = nd.SMALL, nd.CHUNK
     try:
-        for small in (old, 3):  # pairs within small buckets, blocks in larger ones
-            nd.SMALL = small
+        for small, chunk in (old, (3, 10)):  # pairs within small buckets, several blocks in larger ones
+            nd.SMALL, nd.CHUNK = small, chunk
             out = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), width=3, percent=85).collect()
             got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in out}
             assert got == {i * 3 + 1: (n, c * 3 + 1, i == c) for i, (n, c) in enumerate(zip(sizes, least, strict=True))}
     finally:
-        nd.SMALL = old
+        nd.SMALL, nd.CHUNK = old
     assert sum(i != c for i, c in enumerate(least)) > 40
 
 
@@ -68,3 +68,17 @@ def test_signature_estimates():
     one = nd.signatures(e[:3], np.zeros(3, np.int64), 1)
     assert (one != np.uint64(2**64 - 1)).all()
     assert (nd.common_counts([e[:5], e[3:4]], [e[2:9]]) == [[3], [1]]).all()
+
+
+def test_strings_made_to_cancel_modulo_powers_of_two_differ():
+    import pyarrow as pa
+
+    from tessera.llm.textblock import blocks
+
+    bits = [0]
+    for _ in range(12):
+        bits += [1 - x for x in bits]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    block = next(blocks(pa.array([a, b, a])))
+    h = block.hashes(block.offs[:-1], block.offs[1:])
+    assert h[0] == h[2] != h[1]
