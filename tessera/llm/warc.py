@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -150,16 +151,20 @@ def shard_edges(rows: DataFrame, key: str, tie: str, size: str, shard_bytes: int
     """Cut points of ranges of about ``shard_bytes`` of payload, from a sample chosen by hash.
 
     The sample, and so the shards, depend on the rows alone, not on partitions
-    or on what ran before; it holds ``sample`` keys or so, whatever the input.
+    or on what ran before; it holds ``sample`` keys or so, whatever the input,
+    each weighed by its bytes.  Rows are drawn by key and content together, so
+    a page that stands under many keys is drawn in proportion.
     """
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     shards = -(-int(total["b"]) // shard_bytes)
     if shards < 2:
         return []
     every = max(1, int(total["n"]) // sample)
-    picked = rows.select(F.col(key).alias("k"), F.col(tie).alias("t")).where(F.pmod("t", F.lit(every)) == 0)
-    order = sorted({(0, 0, r["t"]) if r["k"] is None else (1, r["k"], r["t"]) for r in picked.collect()})
-    return sorted({order[len(order) * i // shards] for i in range(1, shards)}) if order else []
+    picked = rows.select(F.col(key).alias("k"), F.col(tie).alias("t"), F.col(size).alias("b")).where(F.pmod(F.xxhash64("k", "t"), F.lit(every)) == 0)
+    weight = {(0, 0, r["t"]) if r["k"] is None else (1, r["k"], r["t"]): r["b"] or 0 for r in picked.groupBy("k", "t").agg(F.sum("b").alias("b")).collect()}
+    order = sorted(weight)
+    upto = list(itertools.accumulate(weight[x] for x in order))
+    return sorted({order[bisect.bisect_left(upto, upto[-1] * i / shards)] for i in range(1, shards)}) if order else []
 
 
 def _write_files(folder: str, file_bytes: int):
@@ -222,7 +227,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     rows = whole.unionByName(again)  # a revisit stands just before its payload, which the writer then leaves out
     sizes = pages.select(F.col(key).alias("_k"), F.xxhash64(F.col(url), F.sha2(F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8"), 256)).alias("tie"), F.octet_length(F.col(payload)).alias("_n"))
     edges = shard_edges(sizes, "_k", "tie", "_n", shard_bytes)
-    sharded = rows.withColumn("shard", _shard_of(edges)("_k", "tie")).repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", "_k", "tie", F.col("payload").isNotNull())
+    sharded = rows.withColumn("shard", _shard_of(edges)("_k", "tie")).repartitionById(len(edges) + 1, "shard").sortWithinPartitions("shard", "_k", "tie", F.col("payload").isNotNull())
     return stored(sharded.select("shard", F.col("_k").cast("string").alias("key"), "tie", "url", "payload", "ref", "n", "digest").mapInPandas(_write_files(folder, file_bytes), MANIFEST))
 
 
