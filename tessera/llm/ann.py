@@ -15,16 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import arrow_batch, stored
 
-BOOKS = 8
+BOOKS = 12
 WORDS = 256
 BEAM = 4
 SAMPLE = 12_000
 ROW_BLOCK = 8192
-QUERY_BLOCK = 1024
-SHORTLIST = 128
+QUERY_BLOCK = 8192
+SHORTLIST = 384
 
 
 class AdditiveQuantizer:
@@ -98,8 +99,8 @@ def usable(df: DataFrame, vec_col: str) -> DataFrame:
     return fine.where(F.size(v) == (size[0]["d"] if size else 0))
 
 
-def _encode(q: AdditiveQuantizer, blocks: int):
-    schema = pa.schema([("rb", pa.int32()), ("vec_id", pa.int64()), ("vec", pa.list_(pa.float64())), ("codes", pa.binary()), ("ratio", pa.float32())])
+def _encode(q: AdditiveQuantizer, number: pa.DataType):
+    schema = pa.schema([("rb", pa.int32()), ("vec_id", pa.int64()), ("vec", pa.list_(number)), ("codes", pa.binary()), ("ratio", pa.float32())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +128,8 @@ def _search(q: AdditiveQuantizer, k: int, shortlist: int):
             return schema.empty_table()
         rows = rows.combine_chunks()
         ids, qids = np.asarray(rows["vec_id"]), np.asarray(queries["query_id"])
-        vecs = np.asarray(rows["vec"].combine_chunks().flatten()).reshape(len(ids), -1)
-        asked = np.asarray(queries["q"].combine_chunks().flatten()).reshape(len(qids), -1)
+        vecs = np.asarray(rows["vec"].combine_chunks().flatten()).reshape(len(ids), -1)  # as wide as they came; products are in double precision
+        asked = np.asarray(queries["q"].combine_chunks().flatten()).astype(np.float64).reshape(len(qids), -1)
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
         ratio = np.asarray(rows["ratio"])
         most = min(len(ids), shortlist)
@@ -140,7 +141,7 @@ def _search(q: AdditiveQuantizer, k: int, shortlist: int):
                 near += table[b][codes[:, b]]
             near = np.ascontiguousarray((near * ratio[:, None]).T)
             best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            exact = np.einsum("qrd,qd->qr", vecs[best], asked[lo : lo + 128])
+            exact = np.einsum("qrd,qd->qr", vecs[best].astype(np.float64), asked[lo : lo + 128])
             exact[ids[best] == own[:, None]] = -np.inf
             order = np.lexsort((ids[best], -exact), axis=1)[:, :k]
             score, hit = np.take_along_axis(exact, order, 1), ids[np.take_along_axis(best, order, 1)]
@@ -157,7 +158,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     The codebooks are fitted to at most ``sample`` vectors chosen by a hash;
     every vector is encoded and scored.  Rows go by blocks, so a task holds one
-    block of rows and one of queries.  Of equal vectors only the ``k + 1``
+    block of rows and one of queries; a block of rows is read once for all
+    ``QUERY_BLOCK`` queries.  In every block of ``ROW_BLOCK`` rows, ``shortlist``
+    rows are ranked exactly for each query.  Of equal vectors only the ``k + 1``
     smallest ids can be among the nearest, so only these go on.  A query's own
     id is never a result.  Ties go to the smaller id; vectors or ids that are
     null and vectors that are zero, not finite or of another length take no
@@ -165,7 +168,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     are ignored; no vectors or no queries give an empty result.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")), "vec")
+    single = vectors.schema[vec_col].dataType == ArrayType(FloatType(), vectors.schema[vec_col].dataType.containsNull)
+    kind = "array<float>" if single else "array<double>"
+    rows = usable(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec")), "vec")
     first = Window.partitionBy("vec").orderBy("vec_id")
     rows = stored(rows.dropDuplicates(["vec_id", "vec"]).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).drop("rn"))
     total = rows.count()
@@ -177,8 +182,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     q = AdditiveQuantizer.fit(x)
     n_rows = -(-total // ROW_BLOCK)
     placed = rows.withColumn("rb", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(n_rows)).cast("int"))
-    coded = placed.select("rb", "vec_id", "vec").mapInArrow(_encode(q, n_rows), "rb int, vec_id long, vec array<double>, codes binary, ratio float")
-    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
+    coded = placed.select("rb", "vec_id", "vec").mapInArrow(_encode(q, pa.float32() if single else pa.float64()), f"rb int, vec_id long, vec {kind}, codes binary, ratio float")
+    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast(kind).alias("q"))
     asked = usable(asked, "q").where(F.size("q") == dim)
     n_queries = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(n_queries)).cast("int"))
