@@ -5,14 +5,134 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import han_ngrams, near_duplicate, note_signature
 
-def lexical_score(fields: Mapping[str, tuple[Column, int]], tokens: Sequence[str]) -> Column:
-    """Sum over query tokens and fields of min(length, 4) times the field's weight, if the field has the token."""
-    terms = [F.when(F.array_contains(c, t), min(len(t), 4) * w).otherwise(0) for c, w in fields.values() for t in dict.fromkeys(tokens)]
-    return reduce(Column.__add__, terms, F.lit(0))
+from .stages import written
+
+
+#: Words that say nothing of a technical question; fixed values.
+PLAIN_WORDS = ("the", "and", "for", "with", "how", "what")
+
+
+def search_tokens(text: Column, low: int = 2, high: int = 4) -> Column:
+    """Latin tokens of two characters or more and Han n-grams of a lower-cased text, each once."""
+    latin = F.filter(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9._+\-]*)"), 1), lambda t: F.length(t) >= 2)
+    return F.array_distinct(F.concat(latin, han_ngrams(text, low, high)))
+
+
+def once(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often later steps use them: a one-row generator stands between."""
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*keep, F.explode(made).alias("_once")).select("*", "_once.*").drop("_once")
+
+
+def lexical_matches(df: DataFrame, keep: Sequence[str | Column], fields: Mapping[str, tuple[Column, int]], query: Column) -> DataFrame:
+    """``keep`` columns with ``score``, the sum over fields and their matched query tokens of min(length, 4) times the field's weight, and ``matched``, all matched tokens in order.
+
+    ``fields`` hold token arrays, ``query`` an array of distinct tokens.
+    """
+    hits = once(df, keep, **{f"_{n}": F.array_intersect(query, c) for n, (c, _) in fields.items()})
+
+    def points(n: str, w: int) -> Column:
+        return F.aggregate(f"_{n}", F.lit(0).cast("long"), lambda s, t: s + F.least(F.length(t), F.lit(4)) * w)
+
+    score = reduce(Column.__add__, [points(n, w) for n, (_, w) in fields.items()])
+    matched = F.array_sort(F.array_distinct(F.concat(*[F.col(f"_{n}") for n in fields])))
+    return hits.withColumn("score", score).withColumn("matched", matched).drop(*[f"_{n}" for n in fields])
+
+
+def ranked(scored: DataFrame, key: str, least: int = 12, most: int | None = 5) -> DataFrame:
+    """Scores of ``least`` or more, best first, ties by ``key``; ``confidence`` is the share of 48 points."""
+    good = scored.where(F.col("score") >= least).withColumn("confidence", half_up(F.least(F.col("score") / 48.0, F.lit(1.0)), 3).cast("double"))
+    return good if most is None else good.orderBy(F.desc("score"), key).limit(most)
+
+
+def method(lexical: Column, semantic: Column, least_lexical: float, least_semantic: float) -> Column:
+    """Which of both channels found a row."""
+    return F.when((lexical >= least_lexical) & (semantic >= least_semantic), "HYBRID").when(semantic >= least_semantic, "SEMANTIC").otherwise("LEXICAL")
+
+
+def memory_overlap(query: Column, content: Column) -> Column:
+    """Points for shared tokens (3, or 2 for those of two characters) and 8 more if one text holds the other."""
+    both = F.array_intersect(search_tokens(query, 2, 2), search_tokens(content, 2, 2))
+    points = F.aggregate(both, F.lit(0), lambda s, t: s + F.when(F.length(t) > 2, 3).otherwise(2))
+    inside = (F.length(query) >= 4) & (F.length(content) >= 4) & (F.contains(query, content) | F.contains(content, query))
+    return points + F.when(inside, 8).otherwise(0)
+
+
+def memory_similarity(cos: Column, baseline: Column, known: Column) -> Column:
+    """Similarity above the median of a holder's notes as a share of what is above it; a single note is measured against a fixed floor."""
+    bound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))
+    lift = F.greatest(F.lit(0.0), bound - baseline)
+    alone = F.when(bound >= 0.35, F.least(F.lit(1.0), (bound - 0.35) / 0.65)).otherwise(0.0)
+    several = F.when((bound >= 0.3) & (lift >= 0.03), F.least(F.lit(1.0), lift / F.greatest(F.lit(0.05), 1 - baseline))).otherwise(0.0)
+    return F.when(cos.isNull(), 0.0).when(known == 1, alone).otherwise(several)
+
+
+def near_duplicate_classes(notes: DataFrame, keys: Sequence[str], id_col: str, note: str) -> DataFrame:
+    """Per row ``id_col, class_id`` (the least id of an equal note under the same keys) and ``links`` (other classes that tell the same).
+
+    ``note`` is a canonical text.  Classes are compared, not rows.  Two classes
+    meet only if they share polarity, numbers and one of each one's rarest
+    units: as many as a pair above the threshold can't do without.
+    """
+    rows = notes.select(id_col, *keys, F.sha2(note, 256).alias("same"), F.col(note).alias("note"))
+    classes = rows.groupBy(*keys, "same").agg(F.min(id_col).alias("class_id"), F.first("note").alias("note"))
+    signed = written(once(classes, [*keys, "class_id"], sig=note_signature(F.col("note"))).where(F.size("sig.units") >= 3))
+    unit = signed.select(*keys, "class_id", F.size("sig.units").alias("n"), F.xxhash64(F.col("sig.negative").cast("int"), "sig.numbers").alias("like"), F.explode("sig.units").alias("unit"))
+    frequent = unit.groupBy(*keys, "like", "unit").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = unit.join(frequent, [*keys, "like", "unit"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "unit"))
+    prefix = shared.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1) & (F.col("df") > 1))
+    mark = prefix.select(*keys, "like", "unit", "n", F.col("class_id").alias("x"))
+    other = prefix.select(*keys, "like", "unit", F.col("n").alias("m"), F.col("class_id").alias("y"))
+    near = mark.join(other, [*keys, "like", "unit"]).where("x < y and least(n, m) >= 0.8 * greatest(n, m)").select("x", "y").distinct()
+    sig = signed.select("class_id", "sig")
+    both = near.join(sig.select(F.col("class_id").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("class_id").alias("y"), F.col("sig").alias("sy")), "y")
+    linked = both.where(near_duplicate(F.col("sx"), F.col("sy"))).select(F.explode(F.array("x", "y")).alias("class_id"))
+    counts = linked.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    named = rows.join(classes.select(*keys, "same", "class_id"), [*keys, "same"]).join(counts, "class_id", "left")
+    return named.select(id_col, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def median_of(df: DataFrame, score: str, slices: int = 512) -> float:
+    """The exact median of a column, 0 if it has no value.
+
+    Values are counted by ranges first; only the range or two that hold the
+    middle are looked at again, so no task sees all values.
+    """
+    rows = df.select(F.col(score).cast("double").alias("x")).where(F.col("x").isNotNull())
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n, lo, hi = total["n"], total["lo"], total["hi"]
+    if not n:
+        return 0.0
+    wanted = sorted({(n - 1) // 2, n // 2})
+    before = 0
+    while hi > lo and n > 4096:
+        width = (hi - lo) / slices
+        cell = F.least(F.floor((F.col("x") - lo) / width), F.lit(slices - 1))
+        parts = rows.where(F.col("x").between(lo, hi)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c").collect()
+        at, held = before, []
+        for p in parts:
+            if at <= wanted[-1] and at + p["n"] > wanted[0]:
+                held.append((at, p))
+            at += p["n"]
+        if (held[0][1]["lo"], held[-1][1]["hi"]) == (lo, hi):
+            break
+        before, lo, hi, n = held[0][0], held[0][1]["lo"], held[-1][1]["hi"], sum(p["n"] for _, p in held)
+    if hi == lo:
+        return float(lo)
+    rest = rows.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x")
+    found, at = [], before
+    for r in rest.toLocalIterator():
+        found += [r["x"] for w in wanted if at <= w < at + r["n"]]
+        at += r["n"]
+        if len(found) == len(wanted):
+            break
+    return float(sum(found) / len(found))
 
 
 def half_up(x: Column, digits: int) -> Column:
@@ -21,8 +141,8 @@ def half_up(x: Column, digits: int) -> Column:
 
 
 def with_baseline(df: DataFrame, score: str) -> DataFrame:
-    """``df`` with the median of ``score`` over all rows, from one broadcast row."""
-    return df.crossJoin(F.broadcast(df.agg(F.coalesce(F.median(score), F.lit(0.0)).alias("baseline"))))
+    """``df`` with the median of ``score`` over all rows."""
+    return df.withColumn("baseline", F.lit(median_of(df, score)))
 
 
 def calibrated(cos: Column, baseline: Column, least: float = 0.2, lift: float = 0.025) -> Column:

@@ -291,50 +291,12 @@ def cosine_topk(t: Tables) -> DataFrame:
     return relational.latest_per_key(scored, ["q_id"], [F.desc("score"), F.asc("vec_id")], 10)
 
 
-@query("with q as (select embedding::double[] as qe from embeddings where vec_id = 0), s as (select vec_id, list_cosine_similarity(qe, embedding::double[]) as cos, label from q, embeddings), m as (select median(cos) as b from s), c as (select vec_id, (case when label = 1 then 24 when label = 2 then 6 else 0 end)::double as lex, case when cos >= 0.2 and greatest(0, cos - b) >= 0.025 then least(1, greatest(0, greatest(0, cos - b) / greatest(0.05, 1 - b))) else 0 end as cal from s, m) select vec_id, cast(floor(100 * (0.72 * cal + 0.28 * least(lex / 48.0, 1)) + 0.5) as bigint) as score from c where lex >= 6 or cal >= 0.12 or 0.72 * cal + 0.28 * least(lex / 48.0, 1) >= 0.24")
-def hybrid_rank(t: Tables) -> DataFrame:
-    q = F.broadcast(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("qe")))
-    lex = F.when(F.col("label") == 1, 24).when(F.col("label") == 2, 6).otherwise(0).cast("double")
-    s = t.embeddings.crossJoin(q).select("vec_id", vector.cosine(F.col("qe"), F.col("embedding")).alias("cos"), lex.alias("lex"))
-    c = retrieval.with_baseline(s, "cos").withColumn("cal", retrieval.calibrated(F.col("cos"), F.col("baseline")))
-    return c.where(retrieval.relevant(F.col("cal"), F.col("lex"))).select("vec_id", F.floor(100 * retrieval.combined(F.col("cal"), F.col("lex")) + 0.5).cast("long").alias("score"))
-
-
 @query("select median(value) as baseline, cast(sum(case when value - (select median(value) from events) >= 0.025 then 1 else 0 end) as bigint) as lifted from events")
 def median_baseline_lift(t: Tables) -> DataFrame:
     rows = retrieval.with_baseline(t.events.select("value"), "value")
     return rows.agg(F.first("baseline").alias("baseline"), F.count_if(F.col("value") - F.col("baseline") >= 0.025).alias("lifted"))
 
 
-_TOKENS = ("erin", "thon", "src3", "the", "fr")
-_LEX = " + ".join(f"(case when source = '{x}' then {min(len(x), 4) * 5} else 0 end) + (case when lang = '{x}' then {min(len(x), 4) * 8} else 0 end) + (case when list_contains(tok, '{x}') then {min(len(x), 4)} else 0 end)" for x in _TOKENS)
-
-
-@query(f"select doc_id, cast({_LEX} as bigint) as score, floor(least(({_LEX}) / 48.0, 1) * 1000 + 0.5) / 1000 as confidence from (select doc_id, source, lang, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') as tok from documents) where ({_LEX}) >= 12")
-def lexical_rank_fields(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.array("source").alias("title"), F.array("lang").alias("tags"), text.latin_tokens(F.col("text")).alias("content"))
-    score = retrieval.lexical_score({"title": (F.col("title"), 5), "tags": (F.col("tags"), 8), "content": (F.col("content"), 1)}, _TOKENS)
-    s = d.select("doc_id", score.cast("long").alias("score")).where("score >= 12")
-    return s.withColumn("confidence", retrieval.half_up(F.least(F.col("score") / 48.0, F.lit(1.0)), 3).cast("double"))
-
-
-@query("with m as (select event_id, user_id, least(10, greatest(0, value / 10)) as salience, case event_type when 'view' then 3.0 when 'click' then 8.0 else 0.0 end as lex, greatest(0, date_diff('second', date_trunc('second', ts), timestamp '2024-01-31') / 86400.0) as age from events) select user_id, event_id, round((0.9 * least(1, lex / 24) + 0.1 * salience / 10) * (0.8 + 0.2 * pow(0.5, age / 30.0)), 6) as confidence from m where lex > 0 qualify row_number() over (partition by user_id order by round((0.9 * least(1, lex / 24) + 0.1 * salience / 10) * (0.8 + 0.2 * pow(0.5, age / 30.0)), 6) desc, event_id) <= 4")
-def memory_rank(t: Tables) -> DataFrame:
-    lex = F.when(F.col("event_type") == "view", 3.0).when(F.col("event_type") == "click", 8.0).otherwise(0.0)
-    salience = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("value") / 10))
-    age = (F.unix_timestamp(F.lit("2024-01-31 00:00:00")) - F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))) / 86400.0
-    conf = F.round((0.9 * F.least(F.lit(1.0), lex / 24) + 0.1 * salience / 10) * retrieval.recency(age), 6)
-    return relational.latest_per_key(t.events.where(lex > 0).select("user_id", "event_id", conf.alias("confidence")), ["user_id"], [F.desc("confidence"), F.asc("event_id")], 4)
-
-
-@query("with q as (select embedding::double[] as qe from embeddings where vec_id = 1), s as (select vec_id, label, (list_cosine_similarity(qe, embedding::double[]) + 1) / 2 as image, case when label % 2 = 0 then least(1, 0.65 * 0.5 + 0.35 * label / 10.0) end as txt from q, embeddings where label <> 7) select vec_id, round(case when txt is not null then 0.58 * image + 0.42 * txt else image end, 4) as score from s")
-def multimodal_fusion(t: Tables) -> DataFrame:
-    q = F.broadcast(t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("qe")))
-    txt = F.when(F.col("label") % 2 == 0, F.least(F.lit(1.0), 0.65 * F.lit(0.5) + 0.35 * F.col("label") / 10.0))
-    s = t.embeddings.where("label <> 7").crossJoin(q).select("vec_id", ((vector.cosine(F.col("qe"), F.col("embedding")) + 1) / 2).alias("image"), txt.alias("txt"))
-    return s.select("vec_id", F.round(retrieval.fused(F.col("txt"), F.col("image")), 4).alias("score"))
-
-
 @query("select conv_id, turn, case when regexp_matches(lower(text), '(^|[^a-z])(not|nicht|pas)([^a-z]|$)') then 'NEGATED' when regexp_matches(lower(text), '(^|[^a-z])(the|and)([^a-z]|$)') then 'EN' when regexp_matches(lower(text), '(^|[^a-z])(der|und)([^a-z]|$)') then 'DE' else 'OTHER' end as route from conversations")
 def keyword_route(t: Tables) -> DataFrame:
     has = lambda *w: F.lower("text").rlike(f"(^|[^a-z])({'|'.join(w)})([^a-z]|$)")

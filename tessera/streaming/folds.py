@@ -6,31 +6,40 @@ of one key at a time, so no key's events are ever held together.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], result: str) -> DataFrame:
-    """Calls ``step(state, row)`` in order for each key; it returns (new state, tuple of results) for every row."""
-    names = [c.split()[0] for c in result.split(", ")]
+    """Calls ``step(state, row)`` in order for each key; it returns (new state, tuple of results) for every row, or None for no result.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows without a key make a group of their own.  Values come as plain Python ones: whole numbers stay whole, nulls are None.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(result))
+    names, at = df.columns, df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, begun = None, None, False
+        kind = namedtuple("kind", names)
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                k = getattr(row, key)
-                if not begun or k != current:
-                    current, state, begun = k, start(), True
-                state, made = step(state, row)
-                out.append(made)
-            yield pd.DataFrame(out, columns=names)
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not begun or values[at] != current:
+                    current, state, begun = values[at], start(), True
+                state, made = step(state, kind(*values))
+                if made is not None:
+                    out.append(made)
+            columns = zip(*out, strict=True) if out else [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, result)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, result)
 
 
 def anchored_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int, most: int) -> DataFrame:
@@ -68,6 +77,97 @@ def failure_block(df: DataFrame, key: str, time: str, tie: str, failed: str, mos
     return ordered_fold(rows, key, ["us", tie], lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, blocked boolean")
 
 
+def sliding_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int = 60, most: int = 12, in_all: int = 100) -> DataFrame:
+    """Accepts an event if fewer than ``most`` were accepted in the ``seconds`` before it and fewer than ``in_all`` ever; rejected ones leave no trace."""
+    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+
+    def step(state: tuple, row: Any) -> tuple:
+        recent, total = state
+        recent = [t for t in recent if t > row.us - seconds * 1_000_000]
+        ok = len(recent) < most and total < in_all
+        return ((recent + [row.us], total + 1) if ok else (recent, total)), (getattr(row, tie), getattr(row, key), ok)
+
+    kinds = {c: t for c, t in rows.dtypes}
+    return ordered_fold(rows, key, ["us", tie], lambda: ([], 0), step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean")
+
+
+def throttled(df: DataFrame, key: str, time: str, tie: str, seconds: int = 1) -> DataFrame:
+    """Of each key, events at least ``seconds`` after the last one let through."""
+    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+
+    def step(last: int | None, row: Any) -> tuple:
+        if last is not None and row.us - last < seconds * 1_000_000:
+            return last, None
+        return row.us, (getattr(row, tie), getattr(row, key))
+
+    kinds = {c: t for c, t in rows.dtypes}
+    return ordered_fold(rows, key, ["us", tie], lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}")
+
+
+#: Where a text may be shown although it is short; fixed values.
+BREAKS = "\n。！？；："
+
+
+def micro_batches(df: DataFrame, key: str, order: str, text: str, ms: str, least: int = 24, natural: int = 6, wait: int = 40, chunk: int = 480, stop: str | None = None) -> DataFrame:
+    """Text deltas gathered into chunks: ``key, seq, chunk``.
+
+    Text is let out at ``least`` characters, at ``natural`` ones that end a
+    sentence, or once a delta comes ``wait`` milliseconds or more after the
+    first one held back; what follows ``stop`` is dropped.  A row of ``order``
+    null ends a key's text.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(order).isNull().alias("last"), F.col(order).alias("o"), F.col(text).alias("t"), F.col(ms).alias("ms"))
+
+    def step(state: tuple, row: Any) -> tuple:
+        held, since, seq, closed = state
+        made: list[str] = []
+
+        def let_out() -> None:
+            nonlocal held, since
+            made.extend(held[i : i + chunk] for i in range(0, len(held), chunk))
+            held, since = "", None
+
+        if held and since is not None and row.ms is not None and row.ms - since >= wait:
+            let_out()
+        if not closed and row.t:
+            at = row.t.find(stop) if stop else -1
+            held += row.t if at < 0 else row.t[:at]
+            closed = at >= 0
+            if held and (closed or len(held) >= least or (len(held) >= natural and held[-1] in BREAKS)):
+                let_out()
+            elif held and since is None:
+                since = row.ms
+        if row.last and held:
+            let_out()
+        return (held, since, seq + len(made), closed), (row.k, seq, made)
+
+    out = ordered_fold(rows, "k", ["last", "o"], lambda: ("", None, 0, False), step, f"k {dict(rows.dtypes)['k']}, seq long, chunks array<string>")
+    return out.select(F.col("k").alias(key), "seq", F.posexplode("chunks").alias("i", "chunk")).select(key, (F.col("seq") + F.col("i")).alias("seq"), "chunk")
+
+
+def evidence_rounds(df: DataFrame, key: str, order: list[str], record: str, digest: str, valid: str, most: int = 3) -> DataFrame:
+    """Rounds without new valid evidence; ``most`` in a row escalate a key for good.
+
+    A record or a digest counts once.  Returns ``order`` columns, ``key``,
+    ``stale`` (rounds in a row without new evidence) and ``status``.
+    """
+    rows = df.select(F.col(key).alias("k"), *order, F.col(record).alias("record"), F.col(digest).alias("digest"), F.col(valid).alias("valid"))
+
+    def step(state: tuple, row: Any) -> tuple:
+        stale, records, digests, escalated = state
+        if not escalated:
+            new = bool(row.valid) and row.record not in records and row.digest not in digests
+            stale = 0 if new else min(most, stale + 1)
+            if new:
+                records, digests = records | {row.record}, digests | {row.digest}
+            escalated = stale >= most
+        return (stale, records, digests, escalated), (*(getattr(row, c) for c in order), row.k, stale, "ESCALATED" if escalated else "ACTIVE")
+
+    kinds = dict(rows.dtypes)
+    head = ", ".join(f"{c} {kinds[c]}" for c in order)
+    return ordered_fold(rows, "k", order, lambda: (0, frozenset(), frozenset(), False), step, f"{head}, k {kinds['k']}, stale int, status string").withColumnRenamed("k", key)
+
+
 def latest_state_stream(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The current value of each key, kept up to date as a stream is read (update or complete mode)."""
     return events.groupBy(key).agg(F.max_by(value, order).alias(value), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.analytics import ORACLES, QUERIES
+from tessera.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
