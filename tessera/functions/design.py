@@ -49,3 +49,39 @@ def gcd(a: Column, b: Column) -> Column:
     start = F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.when(s["y"] != 0, s["x"] % s["y"]).otherwise(F.lit(0)).alias("y")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
+
+
+def contrast_passes(ratio: Column) -> dict[str, Column]:
+    """The five readability levels; their thresholds are fixed values."""
+    least = {"normal_aa": 4.5, "normal_aaa": 7.0, "large_aa": 3.0, "large_aaa": 4.5, "parts_aa": 3.0}
+    return {name: ratio >= t for name, t in least.items()}
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    return F.round(x, digits)
+
+
+def cut_grid(width: Column, height: Column, trim_x: Column, trim_y: Column, gap_x: Column, gap_y: Column, across: Column, down: Column) -> Column:
+    """A sheet cut into equal pieces: struct of usable size, sums of gaps, pieces in all and the size of one."""
+    w, h, gx, gy = width - trim_x, height - trim_y, gap_x * (across - 1), gap_y * (down - 1)
+    return F.struct(
+        w.alias("usable_w"), h.alias("usable_h"), (across * down).cast("long").alias("pieces"), rounded(gx).alias("gaps_w"), rounded(gy).alias("gaps_h"), ((w - gx) / across).alias("piece_w"), ((h - gy) / down).alias("piece_h")
+    )
+
+
+def frames_to_seconds(frames: Column, num: Column, den: Column) -> Column:
+    """Struct of frames a second, duration in seconds and milliseconds a frame."""
+    return F.struct(rounded(num / den).alias("fps"), rounded(frames * den / num).alias("seconds"), rounded(1000 * den / num).alias("frame_ms"))
+
+
+def round_to_multiple(x: Column, multiple: Column) -> Column:
+    return F.greatest(multiple, F.floor(x / multiple + 0.5) * multiple)
+
+
+def scaled(width: Column, height: Column, target: Column, by_width: Column, multiple: Column) -> Column:
+    """A picture size scaled to a target width or height, the other side rounded to a multiple: struct of both sides, scale, error of the aspect in percent, megapixels."""
+    scale = F.when(by_width, target / width).otherwise(target / height)
+    side = round_to_multiple(F.when(by_width, height * scale).otherwise(width * scale), multiple)
+    w, h = F.when(by_width, target).otherwise(side), F.when(by_width, side).otherwise(target)
+    own = width / height
+    return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"), rounded(scale).alias("scale"), rounded(F.abs(w / h - own) / own * 100).alias("error_percent"), rounded(w * h / 1_000_000).alias("megapixels"))

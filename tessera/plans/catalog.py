@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, knowledge
+from . import analytics, knowledge, scalars
 
 QUERIES, ORACLES = analytics.QUERIES, analytics.ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "knowledge"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "knowledge", "scalars"]
