@@ -39,6 +39,25 @@ _BLOCK = 1 << 19  # bytes of text worked on at once
 _U = np.uint64
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as equal high bytes compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def gaps(keys: np.ndarray) -> bytes:
+    """Ascending numbers as the planes of their differences."""
+    return planes(np.diff(keys, prepend=_U(0)))
+
+
+def from_gaps(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw, _U), dtype=_U)
+
+
 def strings(block: TextBlock, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every text and its end: the byte with the ``depth`` bytes before it as one number; and the document offsets."""
     size = np.diff(block.offs)
@@ -98,7 +117,7 @@ def _count(parts: int):
         for i in range(parts):
             own = order[bounds[i] : bounds[i + 1]]
             if len(own):
-                yield arrow_batch(schema, [i], pa.array([keys[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary()))
+                yield arrow_batch(schema, [i], pa.array([gaps(keys[own])], pa.binary()), pa.array([planes(n[own])], pa.binary()))
 
     return apply
 
@@ -108,14 +127,14 @@ _LEVELS = pa.schema([("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.bina
 
 def _merge(table: pa.Table) -> pa.Table:
     """All counts of one part: for each depth from two, its strings, their counts and those of their contexts."""
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), _U)
-    n = np.frombuffer(b"".join(table["n"].to_pylist()), np.int64)
+    keys = np.concatenate([from_gaps(x) for x in table["keys"].to_pylist()])
+    n = np.concatenate([from_planes(x, np.int64) for x in table["n"].to_pylist()])
     rows: list[list[object]] = [[], [], [], []]
     for depth in range(DEPTH, 1, -1):
         keys, n = count_sorted(keys & _U((1 << 8 * (depth + 1)) - 1), n)
         total = _context_sums(keys, n)
         for lo in range(0, len(keys), 1 << 20):
-            for r, v in zip(rows, (depth, *(x[lo : lo + (1 << 20)].tobytes() for x in (keys, n, total))), strict=True):
+            for r, v in zip(rows, (depth, gaps(keys[lo : lo + (1 << 20)]), *(planes(x[lo : lo + (1 << 20)]) for x in (n, total))), strict=True):
                 r.append(v)
     return pa.Table.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _LEVELS, strict=True)], schema=_LEVELS)
 
@@ -291,7 +310,7 @@ def train(texts: DataFrame, text_col: str = "text", max_strings: int = MAX_STRIN
         schema = pa.schema([("total", pa.int64()), ("strings", pa.int64())])
         for batch in batches:
             for raw in batch.column("total"):
-                t = np.frombuffer(raw.as_py(), np.int64)
+                t = from_planes(raw.as_py(), np.int64)
                 # powers of two, so that the table of sizes stays small
                 level, n = np.unique(np.frexp(t.astype(float))[1] - 1, return_counts=True)
                 yield arrow_batch(schema, level.astype(np.int64), n.astype(np.int64))
@@ -308,13 +327,13 @@ def train(texts: DataFrame, text_col: str = "text", max_strings: int = MAX_STRIN
         schema = pa.schema([("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
         for batch in batches:
             for d, k, n, t in zip(*(batch.column(c).to_pylist() for c in ("depth", "keys", "n", "total")), strict=True):
-                use = np.frombuffer(t, np.int64) >= (least if d > 2 else 0)
+                use = from_planes(t, np.int64) >= (least if d > 2 else 0)
                 if use.any():
-                    yield arrow_batch(schema, [d], pa.array([np.frombuffer(k, _U)[use].tobytes()], pa.binary()), pa.array([np.frombuffer(n, np.int64)[use].tobytes()], pa.binary()))
+                    yield arrow_batch(schema, [d], pa.array([gaps(from_gaps(k)[use])], pa.binary()), pa.array([planes(from_planes(n, np.int64)[use])], pa.binary()))
 
     got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in range(DEPTH + 1)}
     for r in levels.mapInArrow(kept, "depth int, keys binary, n binary").toLocalIterator():
-        got[r["depth"]].append((np.frombuffer(r["keys"], _U), np.frombuffer(r["n"], np.int64)))
+        got[r["depth"]].append((from_gaps(r["keys"]), from_planes(r["n"], np.int64)))
     made = []
     for d in range(DEPTH, -1, -1):
         if d >= 2:
@@ -387,7 +406,7 @@ def _read_levels(table: pa.Table) -> _Levels:
     out = []
     for d in range(2, DEPTH + 1):
         own = table.take(pa.array(np.flatnonzero(depth == d)))
-        out.append(_sums([np.frombuffer(x, _U) for x in own["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in own["n"].to_pylist()], np.int64))
+        out.append(_sums([from_gaps(x) for x in own["keys"].to_pylist()], [from_planes(x, np.int64) for x in own["n"].to_pylist()], np.int64))
     return out
 
 
@@ -409,7 +428,7 @@ def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
         sums.append(np.bincount(parent, weights=weighted, minlength=len(name[1])))
     more = [(1, *levels[1]), (0, np.concatenate(names), np.concatenate(sums))]
     depth = made["depth"].to_pylist() + [d for d, _, _ in more]
-    keys, n = (made[c].to_pylist() + [x[i].tobytes() for x in more] for c, i in (("keys", 1), ("n", 2)))
+    keys, n = (made[c].to_pylist() + [pack(x[i]) for x in more] for c, i, pack in (("keys", 1, gaps), ("n", 2, planes)))
     return pa.table([pa.array([key[0].as_py()] * len(depth), pa.int32()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], schema=_PART)
 
 
@@ -418,8 +437,8 @@ def _top(levels: DataFrame) -> _Top:
     got: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
     for r in levels.where("depth < 2").select("depth", "keys", "n").toLocalIterator():
         keys, values = got[r["depth"]]
-        keys.append(np.frombuffer(r["keys"], _U))
-        values.append(np.frombuffer(r["n"], np.int64 if r["depth"] else np.float64))
+        keys.append(from_gaps(r["keys"]))
+        values.append(from_planes(r["n"], np.int64 if r["depth"] else np.float64))
         if len(keys) > 64:
             got[r["depth"]] = tuple([x] for x in _sums(keys, values, np.int64 if r["depth"] else np.float64))
     keys, n = _sums(*got[1], np.int64)
@@ -439,7 +458,7 @@ def _text_blocks(parts: int, id_type: pa.DataType):
             for b in blocks(texts, _WORD_BLOCK):
                 yield arrow_batch(schema, [block], [0], [0], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)], pa.nulls(1, pa.binary()))
                 for p, keys in _by_part(np.unique(strings(b)[0]), parts)[1]:
-                    yield arrow_batch(schema, [block], [1], [p], none(id_type), none(pa.int64()), none(pa.string()), pa.array([keys.tobytes()], pa.binary()))
+                    yield arrow_batch(schema, [block], [1], [p], none(id_type), none(pa.int64()), none(pa.string()), pa.array([gaps(keys)], pa.binary()))
                 block += 1
 
     return apply
@@ -462,11 +481,11 @@ def _score_part(top):
     def apply(levels: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(asked):
             return _LOGS.empty_table()
-        keys = [np.frombuffer(k, _U) for k in asked["keys"].to_pylist()]
+        keys = [from_gaps(k) for k in asked["keys"].to_pylist()]
         distinct = np.unique(np.concatenate(keys))
         tree = ContextTree.build([*top.value.levels, *_read_levels(levels)], top.value.outer)
         logp = tree.log_probabilities(distinct).astype(np.float32)
-        out = [logp[np.searchsorted(distinct, k)].tobytes() for k in keys]
+        out = [planes(logp[np.searchsorted(distinct, k)]) for k in keys]
         return pa.Table.from_arrays([asked["block"].combine_chunks(), asked["p"].combine_chunks(), pa.array(out, pa.binary())], schema=_LOGS)
 
     return apply
@@ -486,7 +505,7 @@ def _sum_up(parts: int, id_type: pa.DataType):
                 new = np.append(True, s[1:] != s[:-1])
                 logs = sorted(one.column("logs").to_pylist()[0], key=lambda x: x["p"])
                 found = np.empty(int(new.sum()))
-                found[_by_part(s[new], parts)[0]] = np.frombuffer(b"".join(x["logp"] for x in logs), np.float32)
+                found[_by_part(s[new], parts)[0]] = np.concatenate([from_planes(x["logp"], np.float32) for x in logs])
                 p = np.empty(len(key))
                 p[order] = found[np.cumsum(new) - 1]
                 yield arrow_batch(schema, list_parts(one.column("ids"))[1], list_parts(one.column("rows"))[1], np.diff(b.offs), np.add.reduceat(p, offs[:-1]) / np.log(10))
@@ -552,13 +571,13 @@ def _word_blocks(bits: int, id_type: pa.DataType):
             local = np.sort((doc << 32) | inverse) & 0xFFFFFFFF  # in a text, order doesn't matter to a sum
             one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a if isinstance(a, pa.Array) else pa.array(a, t))
             none = lambda t: pa.nulls(1, pa.list_(t))
-            yield arrow_batch(schema, [block], [0], [0], one(ids, id_type), one(rows, pa.int64()), one(train, pa.bool_()), one(sizes.astype(np.int32), pa.int32()), pa.array([local.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.binary()))
+            yield arrow_batch(schema, [block], [0], [0], one(ids, id_type), one(rows, pa.int64()), one(train, pa.bool_()), one(sizes.astype(np.int32), pa.int32()), pa.array([planes(local.astype("<u4"))], pa.binary()), pa.nulls(1, pa.binary()))
             p = (words >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
             bounds = np.searchsorted(p, np.arange((1 << bits) + 1))
             for i in range(1 << bits):
                 a, z = bounds[i], bounds[i + 1]
                 if a < z:
-                    yield arrow_batch(schema, [block], [1], [i], none(id_type), none(pa.int64()), none(pa.bool_()), none(pa.int32()), pa.array([words[a:z].tobytes()], pa.binary()), pa.array([n[a:z].tobytes()], pa.binary()))
+                    yield arrow_batch(schema, [block], [1], [i], none(id_type), none(pa.int64()), none(pa.bool_()), none(pa.int32()), pa.array([gaps(words[a:z])], pa.binary()), pa.array([planes(n[a:z])], pa.binary()))
             held, size, seq = [], 0, seq + 1
 
         for batch in batches:
@@ -579,10 +598,10 @@ _COUNTED = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("c", pa.binary(
 
 def _total_words(table: pa.Table) -> pa.Table:
     """Of one part of the words, their counts over all blocks, by block; and how many of them were seen in training."""
-    words = [np.frombuffer(w, _U) for w in table["words"].to_pylist()]
-    flat, n = np.concatenate(words), np.frombuffer(b"".join(table["n"].to_pylist()), np.int64)
+    words = [from_gaps(w) for w in table["words"].to_pylist()]
+    flat, n = np.concatenate(words), np.concatenate([from_planes(x, np.int64) for x in table["n"].to_pylist()])
     keys, sums = count_sorted(flat, n)
-    c = [sums[np.searchsorted(keys, w)].tobytes() for w in words]
+    c = [planes(sums[np.searchsorted(keys, w)]) for w in words]
     distinct = [int((sums > 0).sum())] + [0] * (len(words) - 1)
     return pa.Table.from_arrays([table["block"].combine_chunks(), table["p"].combine_chunks(), pa.array(c, pa.binary()), pa.array(distinct, pa.int64())], schema=_COUNTED)
 
@@ -595,9 +614,9 @@ def _base(id_type: pa.DataType):
             for i in range(len(batch)):
                 one = batch.slice(i, 1)
                 counts = sorted(one.column("parts").to_pylist()[0] or [], key=lambda x: x["p"])
-                c = np.frombuffer(b"".join(x["c"] for x in counts), np.int64)
+                c = np.concatenate([np.zeros(0, np.int64), *[from_planes(x["c"], np.int64) for x in counts]])
                 sizes = np.asarray(one.column("sizes").flatten()).astype(np.int64)
-                own = c[np.frombuffer(one.column("words")[0].as_py(), "<u4")]
+                own = c[from_planes(one.column("words")[0].as_py(), np.uint32)]
                 offs = np.zeros(len(sizes) + 1, np.int64)
                 np.cumsum(sizes, out=offs[1:])
                 known = np.zeros(len(own) + 1, np.int64)
@@ -621,7 +640,7 @@ def base_scores(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(row_col).alias("_row"), F.col(train_col).alias("train"), F.col(text_col).alias("_text"))
     id_type, kind = arrow_type(rows, "_id"), rows.schema["_id"].dataType.simpleString()
-    bits = min(12, max(3, (rows.rdd.getNumPartitions() - 1).bit_length()))
+    bits = max(3, (rows.rdd.getNumPartitions() - 1).bit_length())
     made = stored(rows.mapInArrow(_word_blocks(bits, id_type), f"block bigint, kind int, p int, ids array<{kind}>, rows array<bigint>, train array<boolean>, sizes array<int>, words binary, n binary"))
     counted = stored(made.where("kind = 1").select("block", "p", "words", "n").groupBy("p").applyInArrow(_total_words, "block bigint, p int, c binary, distinct bigint"))
     vocabulary = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"]
