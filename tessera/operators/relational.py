@@ -59,6 +59,29 @@ def keyset_page(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequenc
     return df.orderBy(*[F.desc(n) if d else F.asc(n) for n, d in order]).limit(size + 1)
 
 
+def offset_page(df: DataFrame, order: Sequence[Column], size: int, offset: int = 0, most: int = 200) -> DataFrame:
+    """A page of ``size`` rows (held between 1 and ``most``) with ``total``, the number of all rows, and ``truncated``, whether more follow."""
+    size = max(1, min(size, most))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))
+    return df.orderBy(*order).offset(max(0, offset)).limit(size).crossJoin(total).withColumn("truncated", F.col("total") > offset + size)
+
+
+def ordinal(value: Column, order: Sequence[str]) -> Column:
+    """The place of a value in a fixed order; others come last."""
+    out = F.when(value == order[0], 0)
+    for i, v in enumerate(order[1:], 1):
+        out = out.when(value == v, i)
+    return out.otherwise(len(order))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0
+
+
+def same_set(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
 def nested(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
     """Parents with their children as an ordered array; none is an empty array."""
     rest = [c for c in children.columns if c != key and c not in order]

@@ -403,12 +403,6 @@ def rate_limit_anchored(t: Tables) -> DataFrame:
     return folds.anchored_limit(t.events, "user_id", "ts", "event_id", 86_400, 2)
 
 
-@query(None)
-def failure_limiter(t: Tables) -> DataFrame:
-    rows = t.events.withColumn("failed", F.col("event_type") == "error")
-    return folds.failure_block(rows, "user_id", "ts", "event_id", "failed", 2, 86_400, 86_400)
-
-
 @query("select event_id, count(*) over (partition by user_id order by epoch_us(date_trunc('second', ts)) range between 86399000000 preceding and current row) as n from events")
 def sliding_count_limit(t: Tables) -> DataFrame:
     sec = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
@@ -452,18 +446,6 @@ def set_overlap_pairs(t: Tables) -> DataFrame:
     return w.where("size(a) > 0 and size(b) > 0").select("conv_id", "turn", F.round(inside, 4).alias("containment"), F.round(jaccard, 4).alias("jaccard"))
 
 
-@query(None)
-def evidence_rounds(t: Tables) -> DataFrame:
-    """Three events in a row without a purchase or signup escalate a user, until one comes."""
-
-    def step(n, row):
-        n = 0 if row.event_type in ("purchase", "signup") else n + 1
-        return n, (row.event_id, row.user_id, n, n >= 3)
-
-    rows = t.events.select("user_id", "ts", "event_id", "event_type").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    return folds.ordered_fold(rows, "user_id", ["us", "event_id"], lambda: 0, step, "event_id long, user_id long, stale int, escalated boolean")
-
-
 @query("select time_bucket(interval 1 day, ts) as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def daily_windows(t: Tables) -> DataFrame:
     """An extra: tumbling windows."""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, knowledge, scalars
+from . import analytics, knowledge, records, scalars
 
 QUERIES, ORACLES = analytics.QUERIES, analytics.ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "knowledge", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "knowledge", "records", "scalars"]

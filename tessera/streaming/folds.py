@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -176,3 +176,23 @@ def latest_state_stream(events: DataFrame, key: str, value: str, order: str) ->
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
     """Event-time counts that forget windows older than ``late``."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table of Parquet files as a stream of its files; ``path`` may be a folder or one file."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, which a single file can fit too
+
+
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Reads a stream of aggregates up to its present end and returns the rows as they then are.
+
+    The checkpoint lies in ``folder``: run again with the same one, it goes on where it stopped.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    last = spark.read.parquet(f"{folder}/state").agg(F.max("batch").alias("b")).first()["b"]
+    return spark.read.schema(stream.schema).parquet(f"{folder}/state/batch={last}")
