@@ -445,25 +445,37 @@ def _top(levels: DataFrame) -> _Top:
     return _Top([count_sorted(keys & _U(255), n), (keys, n)], _sums(*got[0], np.float64))
 
 
-def _text_blocks(parts: int, id_type: pa.DataType):
-    """Rows of kind 0 hold the documents of a block, rows of kind 1 its distinct strings by part."""
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("ids", pa.list_(id_type)), ("rows", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("keys", pa.binary())])
+def _text_blocks(id_type: pa.DataType):
+    """Documents in blocks, a row each."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("rows", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        none = lambda t: pa.nulls(1, pa.list_(t))
         for batch in batches:
             ids, rows, texts = (one_array(batch.column(c)) for c in ("_id", "_row", "_text"))
             for b in blocks(texts, _WORD_BLOCK):
-                yield arrow_batch(schema, [block], [0], [0], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)], pa.nulls(1, pa.binary()))
-                for p, keys in _by_part(np.unique(strings(b)[0]), parts)[1]:
-                    yield arrow_batch(schema, [block], [1], [p], none(id_type), none(pa.int64()), none(pa.string()), pa.array([gaps(keys)], pa.binary()))
+                yield arrow_batch(schema, [block], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)])
                 block += 1
 
     return apply
 
 
+def _asked(parts: int):
+    """The distinct strings of every block, by part."""
+    schema = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("keys", pa.binary())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.slice(i, 1)
+                b = next(blocks(list_parts(one.column("texts"))[1], 1 << 40))
+                for p, keys in _by_part(np.unique(strings(b)[0]), parts)[1]:
+                    yield arrow_batch(schema, one.column("block"), [p], pa.array([gaps(keys)], pa.binary()))
+
+    return apply
+
+
 def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """The order that puts sorted strings part by part, and the strings of each part that has some."""
     p = _bucket(keys, parts)
@@ -527,11 +539,11 @@ def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id",
     counted = rows.where("train").select("_text").mapInArrow(_count(parts), "p int, keys binary, n binary")
     levels = stored(counted.groupBy("p").applyInArrow(_part_levels, "p int, depth int, keys binary, n binary"))
     top = docs.sparkSession.sparkContext.broadcast(_top(levels))
-    made = stored(rows.select("_id", "_row", "_text").mapInArrow(_text_blocks(parts, id_type), f"block bigint, kind int, p int, ids array<{kind}>, rows array<bigint>, texts array<string>, keys binary"))
-    asked = made.where("kind = 1").select("block", "p", "keys")
+    made = stored(rows.select("_id", "_row", "_text").mapInArrow(_text_blocks(id_type), f"block bigint, ids array<{kind}>, rows array<bigint>, texts array<string>"))
+    asked = made.select("block", "texts").mapInArrow(_asked(parts), "block bigint, p int, keys binary")
     logs = levels.where("depth > 1").groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_score_part(top), "block bigint, p int, logp binary")
     back = logs.groupBy("block").agg(F.collect_list(F.struct("p", "logp")).alias("logs"))
-    joined = made.where("kind = 0").select("block", "ids", "rows", "texts").join(back, "block").select("ids", "rows", "texts", "logs")
+    joined = made.join(back, "block").select("ids", "rows", "texts", "logs")
     out = joined.mapInArrow(_sum_up(parts, id_type), f"_id {kind}, _row bigint, n_bytes bigint, score double")
     bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
     return out.select(F.col("_id").alias(id_col), F.col("_row").alias(row_col), "n_bytes", "score", bits.alias("bits_per_byte"))
