@@ -36,6 +36,7 @@ MAX_STRINGS = 2_000_000
 END = 0xFF
 _MERGE_AT = 1_200_000
 _BLOCK = 1 << 19  # bytes of text worked on at once
+_STRING_BLOCK = 5 << 20  # bytes of text whose distinct strings are asked for together
 _U = np.uint64
 
 
@@ -50,12 +51,12 @@ def from_planes(raw: bytes, dtype: type) -> np.ndarray:
 
 
 def gaps(keys: np.ndarray) -> bytes:
-    """Ascending numbers as the planes of their differences."""
-    return planes(np.diff(keys, prepend=_U(0)))
+    """Mostly ascending unsigned numbers as the planes of their differences."""
+    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
-def from_gaps(raw: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(raw, _U), dtype=_U)
+def from_gaps(raw: bytes, dtype: type = _U) -> np.ndarray:
+    return np.cumsum(from_planes(raw, dtype), dtype=dtype)
 
 
 def strings(block: TextBlock, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -454,7 +455,7 @@ def _text_blocks(id_type: pa.DataType):
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         for batch in batches:
             ids, rows, texts = (one_array(batch.column(c)) for c in ("_id", "_row", "_text"))
-            for b in blocks(texts, _WORD_BLOCK):
+            for b in blocks(texts, _STRING_BLOCK):
                 yield arrow_batch(schema, [block], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)])
                 block += 1
 
@@ -551,7 +552,7 @@ def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id",
 
 # Word counts: the base score that code lengths are compared with.
 
-_WORD_BLOCK = 4 << 20
+_WORD_BLOCK = 8 << 20
 
 
 def _hash_words(b: TextBlock) -> tuple[np.ndarray, np.ndarray]:
@@ -583,7 +584,7 @@ def _word_blocks(bits: int, id_type: pa.DataType):
             local = np.sort((doc << 32) | inverse) & 0xFFFFFFFF  # in a text, order doesn't matter to a sum
             one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a if isinstance(a, pa.Array) else pa.array(a, t))
             none = lambda t: pa.nulls(1, pa.list_(t))
-            yield arrow_batch(schema, [block], [0], [0], one(ids, id_type), one(rows, pa.int64()), one(train, pa.bool_()), one(sizes.astype(np.int32), pa.int32()), pa.array([planes(local.astype("<u4"))], pa.binary()), pa.nulls(1, pa.binary()))
+            yield arrow_batch(schema, [block], [0], [0], one(ids, id_type), one(rows, pa.int64()), one(train, pa.bool_()), one(sizes.astype(np.int32), pa.int32()), pa.array([gaps(local.astype(np.uint32))], pa.binary()), pa.nulls(1, pa.binary()))
             p = (words >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
             bounds = np.searchsorted(p, np.arange((1 << bits) + 1))
             for i in range(1 << bits):
@@ -628,7 +629,7 @@ def _base(id_type: pa.DataType):
                 counts = sorted(one.column("parts").to_pylist()[0] or [], key=lambda x: x["p"])
                 c = np.concatenate([np.zeros(0, np.int64), *[from_planes(x["c"], np.int64) for x in counts]])
                 sizes = np.asarray(one.column("sizes").flatten()).astype(np.int64)
-                own = c[from_planes(one.column("words")[0].as_py(), np.uint32)]
+                own = c[from_gaps(one.column("words")[0].as_py(), np.uint32)]
                 offs = np.zeros(len(sizes) + 1, np.int64)
                 np.cumsum(sizes, out=offs[1:])
                 known = np.zeros(len(own) + 1, np.int64)
