@@ -266,7 +266,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, rounds: int = 3) -> CoModel | None:
     """Co-trains on at most ``max_labelled`` labelled rows, chosen by hashes of the id, and the most confident of all others.
 
-    A row is good if its quality is 1 and it isn't toxic; rows without a quality label are unlabelled.
+    A row is good if its quality is 1 and it isn't toxic; rows without a quality
+    label, and those without an id, are unlabelled.  Null texts are empty ones.
+    Of rows that share a labelled id one is fitted on, that of the least hash of
+    its text.  The text view knows the ``MAX_WORDS`` words that tell most of the
+    labels.  Other columns than text and metadata are ignored whatever their names.
     """
     if not {id_col, "quality"} <= set(labels.columns):
         return None
@@ -274,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
     target = labels.where("quality is not null").select(F.col(id_col), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"), known.cast("int").alias("toxic"))
     fields = [F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta")]
-    some = labelled_rows(docs, target, ["good", "toxic"], id_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), F.col("_l_toxic").alias("toxic"), *fields)
+    some = labelled_rows(docs, target, ["good", "toxic"], fields, id_col, text_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), F.col("_l_toxic").alias("toxic"), "_text", "meta")
     made = some.mapInArrow(_features, _FEATURES).toArrow()
     if not made.num_rows:
         return None

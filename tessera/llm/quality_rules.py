@@ -96,19 +96,30 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 12,
     return rules
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, columns: list[str], id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
-    """At most ``most`` rows of ``docs`` with their labels, chosen by a hash of the id; one row for an id."""
-    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_k"), *[F.col(c).alias(f"_l_{c}") for c in columns]).dropDuplicates(["_k"])
+def labelled_rows(docs: DataFrame, labels: DataFrame, columns: list[str], fields: list[Column], id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
+    """``_k``, the labels as ``_l_..`` and ``fields`` of at most ``most`` labelled rows of ``docs``, chosen by a hash of the id.
+
+    One row for an id: of rows that share one, that of the least hash of its
+    text; of labels that share one, the least.  Null ids are no labels.
+    """
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_k")).agg(F.min(F.struct(*[F.col(c).alias(f"_l_{c}") for c in columns])).alias("_l"))
     picked = known.orderBy(F.xxhash64("_k"), "_k").limit(most)
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("_k")).dropDuplicates(["_k"])
+    slim = docs.select(F.col(f"`{id_col}`").alias("_k"), F.xxhash64(F.col(f"`{text_col}`")).alias("_order"), F.struct(*fields).alias("_f"))
+    one = slim.join(F.broadcast(picked), "_k").groupBy("_k").agg(F.first("_l").alias("_l"), F.min_by("_f", "_order").alias("_f"))
+    return one.select("_k", "_l.*", "_f.*")
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, **options: object) -> list[Rule]:
-    """Rules from at most ``max_labelled`` labelled rows (``labels``: id, quality 0 or 1); none without both kinds of labels."""
+    """Rules from at most ``max_labelled`` labelled rows (``labels``: id, quality 0 or 1); none without both kinds of labels.
+
+    A list has at most 12 rules of 4 terms each (``max_rules`` and ``max_terms``
+    of :func:`learn`).  A null text counts as one without words; other columns
+    are ignored whatever their names.
+    """
     if not {id_col, "quality"} <= set(labels.columns):
         return []
-    rows = labelled_rows(docs, labels.where("quality is not null"), ["quality"], id_col, max_labelled)
-    made = counts_of(rows, [F.col("_k"), F.col("_l_quality").alias("_q")], text_col).select("_k", "_q", *[ratio_column(n).alias(n) for n in RATIOS]).toPandas().sort_values("_k")
+    rows = labelled_rows(docs, labels.where("quality is not null"), ["quality"], [F.col(f"`{text_col}`").alias("_text")], id_col, text_col, max_labelled)
+    made = counts_of(rows, [F.col("_k"), F.col("_l_quality").alias("_q")], "_text").select("_k", "_q", *[ratio_column(n).alias(n) for n in RATIOS]).toPandas().sort_values("_k")
     if not len(made):
         return []
     return learn(made[list(RATIOS)].to_numpy(float), (made["_q"] == 0).to_numpy(), list(RATIOS), **options)
