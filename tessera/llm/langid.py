@@ -68,8 +68,11 @@ def _em(p: np.ndarray, n: np.ndarray, lo: np.ndarray, owner: np.ndarray, total:
     return mix, like
 
 
-def infer(model: LanguageModel, doc: np.ndarray, gram: np.ndarray, count: np.ndarray, n_docs: int, most: int = 3, penalty: float = 3.0) -> np.ndarray:
-    """Proportions (document x language) within the chosen set of languages; zeros for documents without trigrams."""
+def infer(model: LanguageModel, doc: np.ndarray, gram: np.ndarray, count: np.ndarray, n_docs: int, penalty: float = 3.0) -> np.ndarray:
+    """Proportions (document x language) within the chosen set of languages; zeros for documents without trigrams.
+
+    Sets grow by the language of the next largest share, for as long as that betters the penalised likelihood of any document of the batch.
+    """
     out = np.zeros((n_docs, len(model.names)), np.float32)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     bounds = np.append(starts, len(doc))
@@ -85,12 +88,14 @@ def infer(model: LanguageModel, doc: np.ndarray, gram: np.ndarray, count: np.nda
         mix, _ = _em(p, n, lo, owner, total, np.full((j - i, langs), 1 / langs, np.float32), 6)
         order = np.argsort(-mix, axis=1, kind="stable")
         best, gain = np.zeros_like(mix), np.full(j - i, -np.inf)
-        for k in range(1, min(most, langs) + 1):
+        for k in range(1, langs + 1):
             start = np.zeros_like(mix)
             np.put_along_axis(start, order[:, :k], 1 / k, axis=1)
             made, like = _em(p, n, lo, owner, total, start, 0 if k == 1 else 5)
             worth = like - penalty * (k - 1) * np.log(total + 1)
             better = worth > gain + 1e-6
+            if not better.any():
+                break
             best[better], gain[better] = made[better], worth[better]
         out[rows] = best
         i = j
@@ -113,11 +118,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow_batch(schema, [lang], pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([v[some].astype(np.int64)], pa.list_(pa.int64())))
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel | None:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_languages: int = 256) -> LanguageModel | None:
     """Trigram counts of every language over all rows with a language; None without any.
 
-    The model holds 65,536 numbers a language, however many rows there are.
+    The model holds 65,536 numbers a language, however many rows there are; more
+    than ``most_languages`` values of ``lang_col`` are refused, as they would be
+    no languages.  Null and empty texts add nothing; repeated rows count as often
+    as they stand; other columns are ignored.
     """
+    if (found := docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most_languages + 1).count()) > most_languages:
+        raise ValueError(f"{found} or more values in {lang_col}; most_languages is {most_languages}")
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
     parts = rows.mapInArrow(_count, "lang string, grams array<int>, n array<bigint>")
     flat = parts.select("lang", F.explode(F.arrays_zip("grams", "n")).alias("x")).groupBy("lang", F.col("x.grams").alias("gram")).agg(F.sum("x.n").alias("n"))
