@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under ``spark.checkpoint.dir``; local sessions without that setting get one under the temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+from tessera.operators.stages import shared_folder as shared_dir
 
 
 def stored(df: DataFrame) -> DataFrame:
