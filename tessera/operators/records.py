@@ -142,3 +142,8 @@ def mismatches(pairs: Sequence[tuple[str, DataFrame, Column, Column]]) -> DataFr
     """Per named join, how many of its rows disagree."""
     made = [df.where(a != b).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, df, a, b in pairs]
     return reduce(DataFrame.unionByName, made)
+
+
+def tagged(parts: Mapping[str, DataFrame], name: str) -> DataFrame:
+    """Frames of one shape on top of one another, each with its tag in column ``name``."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(tag).alias(name), "*") for tag, df in parts.items()])

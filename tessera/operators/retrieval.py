@@ -72,6 +72,29 @@ def memory_similarity(cos: Column, baseline: Column, known: Column) -> Column:
     return F.when(cos.isNull(), 0.0).when(known == 1, alone).otherwise(several)
 
 
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], slices: int = 1024) -> DataFrame:
+    """Exact nearest-rank percentiles per key: ``keys`` and a column for each of ``quantiles``.
+
+    Equal values are counted first, then summed by ranges of a key's span; only
+    the ranges that hold a wanted rank are put in order, each by itself, so a
+    frequent key isn't sorted in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices), F.lit(slices - 1))).otherwise(0)
+    placed = written(counts.join(span, list(keys)).select(*keys, "_v", "_c", "_n", cell.alias("_cell")))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1)).alias("rank")) for n, q in quantiles.items()]))
+    wanted = sums.select(*keys, "_cell", "_s", "_before", ranks.alias("_r")).where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_before") + F.col("_s")))
+    found = placed.join(wanted.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v"))
+    rows = found.withColumn("_upto", upto).join(wanted.select(*keys, "_cell", "_before", "_r"), [*keys, "_cell"])
+    at = F.col("_r.rank") - F.col("_before")
+    hit = rows.where((at <= F.col("_upto")) & (at > F.col("_upto") - F.col("_c")))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_r.name") == n, F.col("_v"))).alias(n) for n in quantiles])
+
+
 def near_duplicate_classes(notes: DataFrame, keys: Sequence[str], id_col: str, note: str) -> DataFrame:
     """Per row ``id_col, class_id`` (the least id of an equal note under the same keys) and ``links`` (other classes that tell the same).
 

@@ -200,8 +200,9 @@ def turn_to_messages(t: Tables) -> DataFrame:
 
 @query("select event_type, count(*) as n, min(value) as lo, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90, quantile_disc(value, 0.95) as p95, max(value) as hi, round(avg(value), 4) as average, round(sum(value), 2) as total from events group by 1")
 def latency_nearest_rank(t: Tables) -> DataFrame:
-    p = [F.expr(f"percentile_disc({q}) within group (order by value)").alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"))]
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), *p, F.max("value").alias("hi"), F.round(F.avg("value"), 4).alias("average"), F.round(F.sum("value"), 2).alias("total"))
+    ranks = retrieval.nearest_ranks(t.events, ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    plain = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 4).alias("average"), F.round(F.sum("value"), 2).alias("total"))
+    return plain.join(ranks, "event_type", "left").select("event_type", "n", "lo", "p50", "p90", "p95", "hi", "average", "total")
 
 
 @query("with l as (select c.role, c.conv_id, avg(coalesce(l.quality, 0)) as q from conversations c left join labels l on l.doc_id = c.conv_id group by 1, 2) select role, count(*) as n, round(avg(q), 4) as pass_rate, bool_and(q >= 0) as gate from l group by 1")
@@ -297,11 +298,23 @@ def median_baseline_lift(t: Tables) -> DataFrame:
     return rows.agg(F.first("baseline").alias("baseline"), F.count_if(F.col("value") - F.col("baseline") >= 0.025).alias("lifted"))
 
 
-@query("select conv_id, turn, case when regexp_matches(lower(text), '(^|[^a-z])(not|nicht|pas)([^a-z]|$)') then 'NEGATED' when regexp_matches(lower(text), '(^|[^a-z])(the|and)([^a-z]|$)') then 'EN' when regexp_matches(lower(text), '(^|[^a-z])(der|und)([^a-z]|$)') then 'DE' else 'OTHER' end as route from conversations")
+def _word(*words: str) -> str:
+    return f"(^|[^a-zà-ÿ])({'|'.join(words)})($|[^a-zà-ÿ])"
+
+
+_ROUTES = (
+    ("DEBUG", _word("fail", "error", "wrong", "stuck", "nicht", "kaputt", "pas", "panne", "fallo"), None),
+    ("ENGLISH", _word("the", "and", "with", "from", "this", "that"), _word("not the", "not this", "not that")),
+    ("GERMAN", _word("der", "die", "das", "und", "mit", "ein", "eine"), _word("kein", "keine")),
+    ("FRENCH", _word("le", "la", "les", "des", "une", "dans", "avec"), None),
+    ("SPANISH", _word("el", "los", "las", "una", "con", "para", "por"), None),
+)
+
+
+@query("select conv_id, turn, case " + " ".join(f"when regexp_matches(lower(text), '{p}')" + (f" and not regexp_matches(lower(text), '{v}')" if v else "") + f" then '{n}'" for n, p, v in _ROUTES) + " else upper(role) end as route from conversations")
 def keyword_route(t: Tables) -> DataFrame:
-    has = lambda *w: F.lower("text").rlike(f"(^|[^a-z])({'|'.join(w)})([^a-z]|$)")
-    route = F.when(has("not", "nicht", "pas"), "NEGATED").when(has("the", "and"), "EN").when(has("der", "und"), "DE").otherwise("OTHER")
-    return t.conversations.select("conv_id", "turn", route.alias("route"))
+    """Ordered rules; the first that fits and isn't negated decides, else the speaker does."""
+    return t.conversations.select("conv_id", "turn", text.routed(F.lower("text"), _ROUTES, F.upper("role")).alias("route"))
 
 
 @query("select o_orderkey, l_linenumber, case when o_orderdate > timestamp '1998-01-01' then 'NOT_YET_VALID' when l_shipdate < timestamp '1998-01-01' then 'EXPIRED' else 'VALID' end as state from orders join lineitem on l_orderkey = o_orderkey")

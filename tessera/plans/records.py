@@ -366,3 +366,53 @@ def state_mismatches(t: Tables) -> DataFrame:
         ("nation", t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")), F.col("n_regionkey").cast("long"), F.col("c_custkey") % 5),
     ]
     return records.mismatches(pairs)
+
+
+_BRANCHES = (("F", "1-URGENT"), ("O", "1-URGENT"), ("P", "1-URGENT"), ("F", "2-HIGH"), ("O", "2-HIGH"), ("P", "2-HIGH"), ("F", "5-LOW"), ("O", "5-LOW"), ("P", "5-LOW"), ("X", "5-LOW"))
+
+
+@query("select relation, id from (" + " union all ".join(f"select 'R{i}_{s}' as relation, o_orderkey as id from orders join customer on c_custkey = o_custkey where o_orderstatus = '{s}' and o_orderpriority = '{p}' and (c_acctbal > 0) <> (o_totalprice > 200000)" for i, (s, p) in enumerate(_BRANCHES)) + ") order by relation, id limit 1")
+def first_mismatch(t: Tables) -> DataFrame:
+    """The first of ten kinds of rows whose parent disagrees with them."""
+    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).where((F.col("c_acctbal") > 0) != (F.col("o_totalprice") > 200000))
+    parts = {f"R{i}_{s}": j.where((F.col("o_orderstatus") == s) & (F.col("o_orderpriority") == p)).select(F.col("o_orderkey").alias("id")) for i, (s, p) in enumerate(_BRANCHES)}
+    return records.tagged(parts, "relation").orderBy("relation", "id").limit(1)
+
+
+_DRAFT_SQL = "(select o_orderkey as id, o_custkey % 7 as revision, md5(o_orderpriority) as digest, case when o_orderkey % 2 = 0 then 'REVIEW' else 'DRAFT' end as stage from orders)"
+
+
+@query(f"select l_orderkey, l_linenumber, d.revision from lineitem join {_DRAFT_SQL} d on d.id = l_orderkey and d.revision = l_partkey % 7 and d.digest = md5(case when l_quantity > 25 then '1-URGENT' else '5-LOW' end) and d.stage = 'REVIEW'")
+def draft_bound_join(t: Tables) -> DataFrame:
+    """Cases with the very draft that they were opened for: id, revision, digest and stage must all agree."""
+    drafts = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("revision"), F.md5("o_orderpriority").alias("digest"), F.when(F.col("o_orderkey") % 2 == 0, "REVIEW").otherwise("DRAFT").alias("stage"))
+    cases = t.lineitem.select(F.col("l_orderkey").alias("id"), "l_linenumber", (F.col("l_partkey") % 7).alias("revision"), F.md5(F.when(F.col("l_quantity") > 25, "1-URGENT").otherwise("5-LOW")).alias("digest"), F.lit("REVIEW").alias("stage"))
+    return cases.join(drafts, ["id", "revision", "digest", "stage"]).select(F.col("id").alias("l_orderkey"), "l_linenumber", "revision")
+
+
+@query("select event_id, cast(i as bigint) as i, asset from (select event_id, unnest(['a' || user_id, event_type, 'a' || user_id]) as asset, unnest([0, 1, 2]) as i from events)")
+def json_array_unnest(t: Tables) -> DataFrame:
+    """A JSON list of media as rows, each with its place."""
+    raw = F.to_json(F.array(*[F.struct(x.alias("asset")) for x in (F.concat(F.lit("a"), "user_id"), F.col("event_type"), F.concat(F.lit("a"), "user_id"))]))
+    made = t.events.select("event_id", F.posexplode(F.from_json(raw, "array<struct<asset: string>>")).alias("i", "m"))
+    return made.select("event_id", F.col("i").cast("long").alias("i"), F.col("m.asset").alias("asset"))
+
+
+_PAGES = ("cover", "quick-start", "map", "featured-activity", "calendar", "stories", "join-us", "back")
+
+
+@query("with p as (select p_partkey, list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: (i * case when p_partkey % 3 = 0 then 3 else 1 end + case when p_partkey % 5 = 0 then 1 else 0 end) % case when p_partkey % 11 = 0 then 7 else 8 end) as o, p_size > 10 as diagnosed, p_partkey % 4 <> 0 as newcomers, p_size > 30 as moved from part), c as (select p_partkey, diagnosed as a, len(list_distinct(o)) = 8 as b, o[1] = 0 and list_position(o, 1) < list_position(o, 3) and coalesce(list_position(o, 6), 0) > 5 as c, newcomers or moved as d from p) select p_partkey, cast(a as int) + cast(b as int) + cast(c as int) + cast(d as int) as score, a and b and c and d as passed, case when not a then 'DIAGNOSTIC' when not b then 'PAGE_BOUNDARY' when not c then 'READING_PATH' when not d then 'AUDIENCE_TRANSFER' end as first_reason from c")
+def book_layout_rubric(t: Tables) -> DataFrame:
+    """Four criteria of a page order: a diagnosis first, eight different pages, a reading path, and a change for another audience."""
+    n = F.col("p_partkey")
+    step, shift, size = F.when(n % 3 == 0, 3).otherwise(1), F.when(n % 5 == 0, 1).otherwise(0), F.when(n % 11 == 0, 7).otherwise(8)
+    pages = F.array(*[F.lit(p) for p in _PAGES])
+    rows = t.part.select("p_partkey", "p_size", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at(pages, ((i * step + shift) % size + 1).cast("int"))).alias("order"))
+    place = lambda p: F.array_position("order", p)
+    criteria = {
+        "DIAGNOSTIC": F.col("p_size") > 10,
+        "PAGE_BOUNDARY": F.size(F.array_distinct("order")) == 8,
+        "READING_PATH": (F.element_at("order", 1) == "cover") & (place("quick-start") < place("featured-activity")) & (place("join-us") > 5),
+        "AUDIENCE_TRANSFER": (n % 4 != 0) | (F.col("p_size") > 30),
+    }
+    return rows.select("p_partkey", *[c.alias(name) for name, c in records.scored(criteria).items()])
