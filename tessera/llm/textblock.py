@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: Substrings are hashed as polynomials over the prime field of 2^31 - 1, at two points: no string of two letters makes
 #: whole powers cancel, as it can modulo 2^64.
@@ -38,7 +38,7 @@ def _residue(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: list[np.ndarray] = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
+_powers: list[np.ndarray] = [np.ones((2, 1), np.uint32), np.ones((2, 1), np.uint32)]
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -46,7 +46,7 @@ def powers(n: int) -> list[np.ndarray]:
     if _powers[0].shape[1] < n:
         size = max(n, BLOCK_BYTES + 65536)
         for k, bases in enumerate((_BASES, _INVERSES)):
-            p = np.ones((2, size), np.uint64)
+            p = np.ones((2, size), np.uint32)
             for row, base in zip(p, bases, strict=True):
                 have = 1
                 while have < size:
@@ -112,16 +112,15 @@ class TextBlock:
         """Hashes of the substrings [start, end); equal bytes have equal hashes wherever they stand."""
         pw, inv = powers(len(self.data) + 1)
         if self._prefix is None:
-            self._prefix = np.zeros((2, len(self.data) + 1), np.uint64)
+            self._prefix = np.zeros((2, len(self.data) + 1), np.uint32)
             for k in range(2):
                 for lo in range(0, len(self.data), 1 << 14):  # in pieces that stay in the cache
                     part = self.data[lo : lo + (1 << 14)]
-                    out = self._prefix[k, lo + 1 : lo + 1 + len(part)]
-                    np.cumsum(_residue(_TABLES[k][part] * pw[k, lo : lo + len(part)]), out=out)
-                    out += self._prefix[k, lo]
+                    sums = np.cumsum(_residue(_TABLES[k][part] * pw[k, lo : lo + len(part)]))
+                    self._prefix[k, lo + 1 : lo + 1 + len(part)] = _residue(sums + np.uint64(self._prefix[k, lo]))
         h = (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for k in range(2):
-            h = mix(h + _residue(_residue(self._prefix[k][end] - self._prefix[k][start]) * inv[k][start]))
+            h = mix(h + _residue(_residue(self._prefix[k][end] + _PRIME - self._prefix[k][start]) * inv[k][start]))
         return h
 
     def window_hashes(self, width: int) -> np.ndarray:
