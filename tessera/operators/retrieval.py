@@ -18,9 +18,9 @@ PLAIN_WORDS = ("the", "and", "for", "with", "how", "what")
 
 
 def search_tokens(text: Column, low: int = 2, high: int = 4) -> Column:
-    """Latin tokens of two characters or more and Han n-grams of a lower-cased text, each once."""
-    latin = F.filter(F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9._+\-]*)"), 1), lambda t: F.length(t) >= 2)
-    return F.array_distinct(F.concat(latin, han_ngrams(text, low, high)))
+    """Latin tokens of two characters or more and Han n-grams of a lower-cased text; a repeated token may stand more than once."""
+    latin = F.regexp_extract_all(text, F.lit(r"([a-z0-9][a-z0-9._+\-]+)"), 1)
+    return F.when(text.rlike(r"\p{IsHan}"), F.concat(latin, han_ngrams(text, low, high))).otherwise(latin)
 
 
 def once(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
@@ -57,7 +57,7 @@ def method(lexical: Column, semantic: Column, least_lexical: float, least_semant
 
 def memory_overlap(query: Column, content: Column) -> Column:
     """Points for shared tokens (3, or 2 for those of two characters) and 8 more if one text holds the other."""
-    both = F.array_intersect(search_tokens(query, 2, 2), search_tokens(content, 2, 2))
+    both = F.array_intersect(search_tokens(query, 2, 2), search_tokens(content, 2, 2))  # each shared token once
     points = F.aggregate(both, F.lit(0), lambda s, t: s + F.when(F.length(t) > 2, 3).otherwise(2))
     inside = (F.length(query) >= 4) & (F.length(content) >= 4) & (F.contains(query, content) | F.contains(content, query))
     return points + F.when(inside, 8).otherwise(0)
