@@ -251,16 +251,21 @@ def co_train(words: list[np.ndarray], ratios: np.ndarray, meta: np.ndarray, y: n
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("toxic", pa.int32()), ("meta", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64()))])
-    for batch in batches:
-        for b in blocks(batch.column("_text")):
-            doc, bucket = word_buckets(b)
-            offs = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
-            r = ratio_matrix(block_counts(b))
-            ratios = pa.ListArray.from_arrays(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32), pa.array(r.ravel()))
-            cut = [one_array(batch.column(c)).slice(b.first, b.n) for c in ("key", "y", "toxic", "meta")]
-            yield arrow_batch(schema, *cut, pa.ListArray.from_arrays(offs, pa.array(bucket.astype(np.int32))), ratios)
+def _features(*more: pa.Field):
+    """Words, ratios and metadata of texts, with the columns ``more`` as they are."""
+    schema = pa.schema([*more, ("meta", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("ratios", pa.list_(pa.float64()))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column("_text")):
+                doc, bucket = word_buckets(b)
+                offs = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
+                r = ratio_matrix(block_counts(b))
+                ratios = pa.ListArray.from_arrays(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32), pa.array(r.ravel()))
+                cut = [one_array(batch.column(f.name)).slice(b.first, b.n) for f in (*more, schema.field("meta"))]
+                yield arrow_batch(schema, *cut, pa.ListArray.from_arrays(offs, pa.array(bucket.astype(np.int32))), ratios)
+
+    return apply
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, rounds: int = 3) -> CoModel | None:
@@ -279,34 +284,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     target = labels.where("quality is not null").select(F.col(id_col), ((F.col("quality") == 1) & (toxic == 0)).cast("int").alias("good"), known.cast("int").alias("toxic"))
     fields = [F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta")]
     some = labelled_rows(docs, target, ["good", "toxic"], fields, id_col, text_col, max_labelled).select(F.xxhash64("_k").alias("key"), F.col("_l_good").alias("y"), F.col("_l_toxic").alias("toxic"), "_text", "meta")
-    made = some.mapInArrow(_features, _FEATURES).toArrow()
+    label = [pa.field("key", pa.int64()), pa.field("y", pa.int32()), pa.field("toxic", pa.int32())]
+    made = some.mapInArrow(_features(*label), f"key bigint, y int, toxic int, {_FEATURES}").toArrow()
     if not made.num_rows:
         return None
     made = made.sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
     words, ratios, meta = _arrays(made)
     known_ids = target.select(F.col(id_col).alias("_k"))
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_k"), key.alias("key"), *fields)
+    texts = docs.select(F.col(f"`{id_col}`").alias("_k"), key.alias("key"), *fields)
+    kind, id_type = texts.schema["_k"].dataType.simpleString(), arrow_type(texts, "_k")
+    # What both views look at is worked out once for all rounds.
+    rows = stored(texts.mapInArrow(_features(pa.field("_k", id_type), pa.field("key", pa.int64())), f"_k {kind}, key bigint, {_FEATURES}"))
 
     def ask(model: CoModel, confident: float, most: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        kind = rows.schema["_k"].dataType.simpleString()
-        sure = rows.mapInArrow(_sure(model, confident, arrow_type(rows, "_k")), f"_k {kind}, key bigint, view int, label int, sure double")
+        sure = rows.mapInArrow(_sure(model, confident, id_type), f"_k {kind}, key bigint, view int, label int, sure double")
         sure = stored(sure.join(known_ids, "_k", "left_anti").groupBy("view", "label", "key").agg(F.first("sure").alias("sure")))
         best = [sure.where((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), "key").limit(most[c]).collect() for v in (0, 1) for c in (0, 1)]
         choices = [(r["key"], r["view"], r["label"]) for part in best for r in part]
         if not choices:
             return [], {}
         picked = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for k, _, _ in choices})], "key bigint")
-        none = F.lit(-1)
-        wanted = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", none.alias("y"), none.alias("toxic"), "_text", "meta")
-        got = wanted.mapInArrow(_features, _FEATURES).toArrow().combine_chunks()
+        got = rows.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("key", "meta", "words", "ratios").toArrow().combine_chunks()
         w, r, m = _arrays(got)
         return choices, {int(k): (w[i], r[i], m[i]) for i, k in enumerate(got["key"].to_pylist())}
 
     return co_train(words, ratios, meta, np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64), ask=ask)
 
 
-_FEATURES = "key bigint, y int, toxic int, meta array<int>, words array<int>, ratios array<double>"
+_FEATURES = "meta array<int>, words array<int>, ratios array<double>"
 
 
 def _arrays(made: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -323,17 +329,19 @@ def _sure(model: CoModel, confident: float, id_type: pa.DataType):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             ids, keys = (one_array(batch.column(c)) for c in ("_k", "key"))
-            meta = np.asarray(list_parts(batch.column("meta"))[1]).reshape(len(batch), -1)
-            for b in blocks(batch.column("_text")):
-                zt, zm = model.text_logit(word_buckets(b), ratio_matrix(block_counts(b))), model.meta_logit(meta[b.rows])
-                for view, z in enumerate((zt, zm)):
-                    prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    for label, sure in ((1, prob), (0, 1 - prob)):
-                        at = np.flatnonzero(sure >= confident)
-                        if len(at):
-                            row = pa.array(at + b.first)
-                            yield arrow_batch(schema, ids.take(row), keys.take(row), np.full(len(at), view), np.full(len(at), label), sure[at])
+            offs, flat = list_parts(batch.column("words"))
+            meta, ratios = (np.asarray(list_parts(batch.column(c))[1]).reshape(len(batch), -1) for c in ("meta", "ratios"))
+            words = np.repeat(np.arange(len(batch)), np.diff(offs)), np.asarray(flat)
+            for view, z in enumerate((model.text_logit(words, ratios), model.meta_logit(meta))):
+                prob = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                for label, sure in ((1, prob), (0, 1 - prob)):
+                    at = np.flatnonzero(sure >= confident)
+                    if len(at):
+                        row = pa.array(at)
+                        yield arrow_batch(schema, ids.take(row), keys.take(row), np.full(len(at), view), np.full(len(at), label), sure[at])
 
     return apply
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from tessera.llm import cotrain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -80,5 +82,7 @@ def test_views_exchange_labels_over_all_rows(spark, monkeypatch):
     assert len(asked) == 3 and model.exchanged > 0
     # every unlabelled row is seen, not a sample of 4,000
     one = docs.selectExpr("doc_id as _k", "xxhash64(doc_id, text) as key", "text as _text", "*").withColumn("meta", cotrain.meta_columns(docs)).select("_k", "key", "_text", "meta")
+    fields = [pa.field("_k", pa.int64()), pa.field("key", pa.int64())]
+    one = one.mapInArrow(cotrain._features(*fields), f"_k bigint, key bigint, {cotrain._FEATURES}")
     seen = one.mapInArrow(sure(asked[0][0], 0.0, asked[0][2]), "_k bigint, key bigint, view int, label int, sure double")
     assert seen.where("view = 0").select("key").distinct().count() == 9000
