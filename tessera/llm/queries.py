@@ -31,7 +31,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return warc.round_trip(_table(spark, sf_dir, "pages"), "page_id", "url", "html").drop("file")
 
 
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_sentencepiece, op4_near_dedup, op5_warc, op6_cotraining, op7_ann, op8_ctw, op9_quality_rules, op10_language_id)
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER = "".join(map(chr, range(65, 91)))
+
+#: SQL for the queries whose whole result it can express; the others are tested against brute force, exact round trips or held-out rows.
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ s as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from d),
+ e as materialized (select doc_id, len(g) as n, unnest(g) as x from s),
+ p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+ l as materialized (select a, b from p where 100 * k >= 85 * (n + m - k)),
+ u as (select a, b from l union select b, a from l),
+ r as (select doc_id as node, doc_id as other from documents union select r.node, u.b from r join u on u.a = r.other),
+ c as (select node, min(other) as component_id from r group by 1)
+ select doc_id, cast(len(g) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c on node = doc_id""",
+    "op5_warc": """with p as (select page_id, url, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+ f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+ select page_id, url, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type, case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to from f""",
+}

@@ -77,3 +77,21 @@ def test_pipeline_cuts_passages_of_51_short_words_and_spares_shorter_ones(spark)
         for k in (2 * i, 2 * i + 1):
             assert (p in got[k]) == (p is few), (i, got[k])
             assert len(got[k]) >= len(texts[k]) - len(p) - 2
+
+
+def test_one_passage_in_a_third_of_all_rows(spark):
+    r = random.Random(21)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    hot = prose(450)
+    texts = [prose(120) + (hot[r.randrange(40) :] if i % 3 == 0 else prose(330)) + prose(60) for i in range(240)]
+    rows = [(i, t, 0, "") for i, t in enumerate(texts)]
+    got = {x[0]: tuple(x)[1:] for x in sd.measure_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    want = sd.brute_force(texts)
+    assert got == dict(enumerate(want)) and sum(w[1] > 400 for w in want) == 80
+
+
+def test_blocks_beyond_the_usual_size(spark):
+    base = "".join(random.Random(2).choice("abcdef") for _ in range(3000))
+    texts = ["x" + base * 400, base[:700], "y" * 1000]
+    got = {x[0]: tuple(x)[1:] for x in sd.measure_repeats(spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got[0][:3] == (1_200_001, 1_200_000, 1) and got[1][1] == 700 and got[2][1] == 1000
