@@ -9,16 +9,14 @@ probability mixes all depths from none to ``DEPTH`` bytes.
 
 Counts of strings of ``DEPTH + 1`` bytes are summed over the whole training
 part, by task, then by the last two context bytes, where all longer contexts
-are complete.  :func:`score_documents` keeps all of them: each part weighs and
-scores the strings whose contexts it has.  :func:`train` makes a tree of at
-most ``MAX_STRINGS`` entries instead, which one task can hold.  A byte that was never seen in a context gets the share that the seen ones
-leave, in the proportions of the next shorter context, so probabilities of all
-256 bytes sum to one.  A text ends with a byte that no text holds.
+are complete, and all of them are kept: each part weighs and scores the strings
+whose contexts it has.  A context that was never seen has an estimate of a half
+for every bit, so probabilities of all 256 bytes sum to one.  A text ends with
+a byte that no text holds.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +30,13 @@ from .common import arrow_batch, arrow_type, list_parts, one_array, stored
 from .textblock import TextBlock, blocks
 
 DEPTH = 5
-MAX_STRINGS = 2_000_000
 END = 0xFF
 _MERGE_AT = 1_200_000
 _BLOCK = 1 << 19  # bytes of text worked on at once
 _STRING_BLOCK = 5 << 20  # bytes of text whose distinct strings are asked for together
 _U = np.uint64
+_Counts = tuple[np.ndarray, np.ndarray]  # sorted strings, and the count of each
+_Levels = list[_Counts]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -172,214 +171,82 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i / 1680))) - shift
 
 
-@dataclass
-class ContextTree:
-    keys: list[np.ndarray]  # by depth: strings, sorted
-    logp: list[np.ndarray]  # their log probabilities, given that the context of that depth is the longest known
-    ctx: list[np.ndarray]  # by depth: contexts, sorted
-    bow: list[np.ndarray]  # log of the factor for bytes not seen in them
-    floor: float  # log probability of a byte that no training text has
-
-    @staticmethod
-    def build(levels: list[tuple[np.ndarray, np.ndarray]], outer: tuple[np.ndarray, np.ndarray] | None = None) -> ContextTree:
-        """``levels``: by depth, sorted strings and their counts; each context's shorter one is there too.
-
-        If the strings from depth two on are those of one part only, ``outer``
-        has for every node of depth one the log probability of its children in
-        all parts; the tree then holds for all strings of that part.
-        """
-        totals = [np.zeros(len(keys), np.float32) for keys, _ in levels]
-        for b in range(8):
-            ContextTree._add_bit(levels, b, totals, outer)
-        keys_, logp_, ctx_, bow_ = [], [], [], []
-        for d, (keys, _) in enumerate(levels):
-            total = totals[d].astype(float)
-            ctx = keys >> _U(8)
-            first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
-            seen = np.add.reduceat(np.exp(total), first) if len(first) else np.zeros(0)
-            if d:
-                at = np.searchsorted(keys_[d - 1], keys & _U((1 << 8 * d) - 1))
-                short = np.add.reduceat(np.exp(logp_[d - 1][at].astype(float)), first) if len(first) else seen
-                bow = np.log(np.maximum(1 - seen, 1e-12)) - np.log(np.maximum(1 - short, 1e-12))
-            else:
-                bow = np.zeros(len(first))
-                floor = float(np.log(np.maximum(1 - seen.sum(), 1e-12) / max(256 - len(keys), 1))) if len(keys) else float(-np.log(256))
-            keys_.append(keys)
-            logp_.append(total.astype(np.float32))
-            ctx_.append(ctx[first])
-            bow_.append(bow.astype(np.float32))
-        return ContextTree(keys_, logp_, ctx_, bow_, floor)
-
-    @staticmethod
-    def _nodes(levels: list[tuple[np.ndarray, np.ndarray]], b: int) -> tuple[list, list, list]:
-        """By depth: zeros and ones of the nodes of bit ``b`` and the node of each string; the node at one depth less; the nodes' names."""
-        nodes, up, names = [], [], []
-        short = np.zeros(0, _U)
-        for d, (keys, n) in enumerate(levels):
-            prefix = (keys >> _U(8) << _U(8)) | (_U(1 << b) | ((keys & _U(255)) >> _U(8 - b)))
-            new = np.append(True, prefix[1:] != prefix[:-1]) if len(prefix) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            one = (keys >> _U(7 - b)) & _U(1)
-            zeros, ones = (np.add.reduceat(np.where(one == v, n, 0), at).astype(float) for v in (0, 1))
-            nodes.append((zeros, ones, (np.cumsum(new) - 1).astype(np.int32)))
-            prefix = prefix[at]
-            shorter = ((prefix >> _U(8)) & _U((1 << 8 * max(d - 1, 0)) - 1)) << _U(8) | (prefix & _U(255))
-            up.append(np.searchsorted(short, shorter).astype(np.int32) if d else None)
-            short = prefix
-            names.append(prefix)
-        return nodes, up, names
-
-    @staticmethod
-    def _weigh(nodes: list, up: list, names: list, outer: tuple[np.ndarray, np.ndarray] | None = None, least: int = 0) -> tuple[list[np.ndarray], tuple]:
-        """Weights of the nodes' own estimates, by depth from ``least``, and what the nodes of that depth hand to their parents."""
-        weights: list[np.ndarray] = []
-        below = None
-        for d in range(len(nodes) - 1, least - 1, -1):
-            zeros, ones, _ = nodes[d]
-            mine = _log_kt(zeros, ones)
-            if below is None:
-                weighted, w = mine, np.ones(len(mine))
-            else:
-                parent, child_log, cz, co = below
-                if outer is not None and d == 1:
-                    split = outer[1][np.searchsorted(outer[0], names[1])]
-                else:
-                    size = len(mine)
-                    rest_z = np.maximum(zeros - np.bincount(parent, weights=cz, minlength=size), 0)
-                    rest_o = np.maximum(ones - np.bincount(parent, weights=co, minlength=size), 0)
-                    split = np.bincount(parent, weights=child_log, minlength=size) + _log_kt(rest_z, rest_o)  # what pruned children saw counts as one child
-                weighted = np.logaddexp(mine, split) - np.log(2)
-                w = np.exp(np.log(0.5) + mine - weighted)
-            weights.insert(0, w)
-            below = (up[d], weighted, zeros, ones)
-        return weights, below
-
-    @staticmethod
-    def _add_bit(levels: list[tuple[np.ndarray, np.ndarray]], b: int, totals: list[np.ndarray], outer: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """Adds to each string's log probability that of bit ``b`` of its last byte, mixed over all depths."""
-        nodes, up, names = ContextTree._nodes(levels, b)
-        weights, _ = ContextTree._weigh(nodes, up, names, outer)
-        for d, (keys, _) in enumerate(levels):
-            at = nodes[d][2]
-            one = ((keys >> _U(7 - b)) & _U(1)) == 1
-            p = None
-            for e in range(d, -1, -1):
-                zeros, ones, _ = nodes[e]
-                kt = (np.where(one, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
-                if p is None:
-                    p = kt
-                else:
-                    w = weights[e][at]
-                    p = w * kt + (1 - w) * p
-                at = up[e][at] if e else at
-            totals[d] += np.log(p)
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of sorted strings of the full depth."""
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        for d in range(len(self.keys) - 1, -1, -1):
-            if not len(left):
-                break
-            k = keys[left] & _U((1 << 8 * (d + 1)) - 1)
-            if not len(self.keys[d]):
-                continue
-            at = np.minimum(np.searchsorted(self.keys[d], k), len(self.keys[d]) - 1)
-            hit = self.keys[d][at] == k
-            out[left[hit]] += self.logp[d][at[hit]]
-            left, k = left[~hit], k[~hit]
-            c = k >> _U(8)
-            at = np.minimum(np.searchsorted(self.ctx[d], c), len(self.ctx[d]) - 1)
-            known = self.ctx[d][at] == c
-            out[left[known]] += self.bow[d][at[known]]
-        out[left] += self.floor
-        return out
-
-
-def _parts(docs: DataFrame) -> int:
-    """Twice the number of tasks that read the input, so that a part holds less than a task has counted."""
-    return max(8, 2 * docs.rdd.getNumPartitions())
-
-
-def train(texts: DataFrame, text_col: str = "text", max_strings: int = MAX_STRINGS) -> ContextTree:
-    """The context tree of all rows; null texts are empty ones."""
-    rows = texts.select(F.col(text_col).alias("_text"))
-    counted = rows.mapInArrow(_count(_parts(rows)), "p int, keys binary, n binary")
-    levels = stored(counted.groupBy("p").applyInArrow(_merge, "depth int, keys binary, n binary, total binary"))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("total", pa.int64()), ("strings", pa.int64())])
-        for batch in batches:
-            for raw in batch.column("total"):
-                t = from_planes(raw.as_py(), np.int64)
-                # powers of two, so that the table of sizes stays small
-                level, n = np.unique(np.frexp(t.astype(float))[1] - 1, return_counts=True)
-                yield arrow_batch(schema, level.astype(np.int64), n.astype(np.int64))
-
-    found = {r["total"]: r["n"] for r in levels.where("depth > 2").select("total").mapInArrow(sizes, "total bigint, strings bigint").groupBy("total").agg(F.sum("strings").alias("n")).collect()}
-    least, held = 0, 0
-    for power in sorted(found, reverse=True):
-        held += found[power]
-        if held > max_strings:
-            least = 1 << (power + 1)
-            break
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-        for batch in batches:
-            for d, k, n, t in zip(*(batch.column(c).to_pylist() for c in ("depth", "keys", "n", "total")), strict=True):
-                use = from_planes(t, np.int64) >= (least if d > 2 else 0)
-                if use.any():
-                    yield arrow_batch(schema, [d], pa.array([gaps(from_gaps(k)[use])], pa.binary()), pa.array([planes(from_planes(n, np.int64)[use])], pa.binary()))
-
-    got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in range(DEPTH + 1)}
-    for r in levels.mapInArrow(kept, "depth int, keys binary, n binary").toLocalIterator():
-        got[r["depth"]].append((from_gaps(r["keys"]), from_planes(r["n"], np.int64)))
-    made = []
-    for d in range(DEPTH, -1, -1):
-        if d >= 2:
-            keys, n = (np.concatenate([x[i] for x in got[d]]) if got[d] else np.zeros(0, (_U, np.int64)[i]) for i in (0, 1))
-            got[d] = []
+def _nodes(levels: list[tuple[np.ndarray, np.ndarray]], b: int) -> tuple[list, list, list]:
+    """By depth: zeros and ones of the nodes of bit ``b`` and the node of each string; the node at one depth less; the nodes' names."""
+    nodes, up, names = [], [], []
+    short = np.zeros(0, _U)
+    for d, (keys, n) in enumerate(levels):
+        prefix = (keys >> _U(8) << _U(8)) | (_U(1 << b) | ((keys & _U(255)) >> _U(8 - b)))
+        new = np.append(True, prefix[1:] != prefix[:-1]) if len(prefix) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        one = (keys >> _U(7 - b)) & _U(1)
+        zeros, ones = (np.add.reduceat(np.where(one == v, n, 0), at).astype(float) for v in (0, 1))
+        nodes.append((zeros, ones, (np.cumsum(new) - 1).astype(np.int32)))
+        prefix = prefix[at]
+        shorter = ((prefix >> _U(8)) & _U((1 << 8 * max(d - 1, 0)) - 1)) << _U(8) | (prefix & _U(255))
+        up.append(np.searchsorted(short, shorter).astype(np.int32) if d else None)
+        short = prefix
+        names.append(prefix)
+    return nodes, up, names
+
+
+def _weigh(nodes: list, up: list, names: list, outer: tuple[np.ndarray, np.ndarray] | None = None, least: int = 0) -> tuple[list[np.ndarray], tuple]:
+    """Weights of the nodes' own estimates, by depth from ``least``, and what the nodes of that depth hand to their parents."""
+    weights: list[np.ndarray] = []
+    below = None
+    for d in range(len(nodes) - 1, least - 1, -1):
+        zeros, ones, _ = nodes[d]
+        mine = _log_kt(zeros, ones)
+        if below is None:
+            weighted, w = mine, np.ones(len(mine))
         else:
-            keys = made[-1][0] & _U((1 << 8 * (d + 1)) - 1)
-            n = made[-1][1]
-        made.append(count_sorted(keys, n))
-    return ContextTree.build(made[::-1])
-
-
-def _score(tree, id_type: pa.DataType):
-    schema = pa.schema([("_id", id_type), ("_row", pa.int64()), ("n_bytes", pa.int64()), ("score", pa.float64())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
-        for batch in batches:
-            for b in blocks(batch.column("_text"), _BLOCK):
-                key, offs = strings(b)
-                order = np.argsort(key)
-                s = key[order]
-                new = np.append(True, s[1:] != s[:-1])
-                p = np.empty(len(key))
-                p[order] = model.log_probabilities(s[new])[np.cumsum(new) - 1]
-                # summed text by text, so that a text's score doesn't depend on its neighbours
-                total = np.add.reduceat(p, offs[:-1]) / np.log(10)
-                yield arrow_batch(schema, one_array(batch.column("_id")).slice(b.first, b.n), one_array(batch.column("_row")).slice(b.first, b.n), np.diff(b.offs), total)
+            parent, child_log = below
+            if outer is not None and d == 1:
+                split = outer[1][np.searchsorted(outer[0], names[1])]
+            else:
+                split = np.bincount(parent, weights=child_log, minlength=len(mine))
+            weighted = np.logaddexp(mine, split) - np.log(2)
+            w = np.exp(np.log(0.5) + mine - weighted)
+        weights.insert(0, w)
+        below = (up[d], weighted)
+    return weights, below
 
-    return apply
 
+def log_probabilities(levels: list[_Counts], keys: np.ndarray, outer: _Counts | None = None) -> np.ndarray:
+    """Natural log probabilities of the last bytes of ``keys``, strings of the full depth, under the tree of all strings.
 
-def code_lengths(docs: DataFrame, tree: ContextTree, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """Per row ``id_col, n_bytes, score`` (log10 of the text's probability) and ``bits_per_byte``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), (F.col(row_col) if row_col else F.lit(0).cast("long")).alias("_row"), F.col(text_col).alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(_score(spark.sparkContext.broadcast(tree), arrow_type(rows, "_id")), f"_id {kind}, _row bigint, n_bytes bigint, score double")
-    bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
-    return out.select(F.col("_id").alias(id_col), *([F.col("_row").alias(row_col)] if row_col else []), "n_bytes", "score", bits.alias("bits_per_byte"))
+    ``levels``: by depth, sorted strings and their counts; each context's shorter
+    one is there too.  If the strings from depth two on are those of one part
+    only, ``outer`` has for every node of depth one the log probability of its
+    children in all parts; the result then holds for strings of that part.
 
+    A bit's probability at a node is the mean of the node's own estimate and
+    that of the deeper context, weighed by what each has earned; a context
+    without a node has seen nothing, so its estimate is a half.
+    """
+    out = np.zeros(len(keys))
+    for b in range(8):
+        nodes, up, names = _nodes(levels, b)
+        weights, _ = _weigh(nodes, up, names, outer)
+        one = ((keys >> _U(7 - b)) & _U(1)) == 1
+        prefix = _U(1 << b) | ((keys & _U(255)) >> _U(8 - b))
+        p = np.full(len(keys), 0.5)
+        for d in range(len(levels) - 1, -1, -1):
+            if not len(names[d]):
+                continue
+            name = ((keys >> _U(8)) & _U((1 << 8 * d) - 1)) << _U(8) | prefix
+            at = np.minimum(np.searchsorted(names[d], name), len(names[d]) - 1)
+            zeros, ones = nodes[d][0][at], nodes[d][1][at]
+            mine = (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1)
+            w = weights[d][at]
+            p = np.where(names[d][at] == name, w * mine + (1 - w) * p, p)
+        out += np.log(p)
+    return out
 
-# Scores under the whole tree, part by part: no task and no driver holds more of it than one part.
 
-_Levels = list[tuple[np.ndarray, np.ndarray]]
+def _parts(docs: DataFrame) -> int:
+    """Twice the number of tasks that read the input, so that a part holds less than a task has counted."""
+    return max(8, 2 * docs.rdd.getNumPartitions())
 
 
 @dataclass
@@ -423,8 +290,8 @@ def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
         levels.insert(0, count_sorted(keys & _U((1 << 8 * (DEPTH + 1 - len(levels))) - 1), n))
     names, sums = [], []
     for b in range(8):
-        nodes, up, name = ContextTree._nodes(levels, b)
-        _, (parent, weighted, _, _) = ContextTree._weigh(nodes, up, name, least=2)
+        nodes, up, name = _nodes(levels, b)
+        _, (parent, weighted) = _weigh(nodes, up, name, least=2)
         names.append(name[1])
         sums.append(np.bincount(parent, weights=weighted, minlength=len(name[1])))
     more = [(1, *levels[1]), (0, np.concatenate(names), np.concatenate(sums))]
@@ -496,8 +363,7 @@ def _score_part(top):
             return _LOGS.empty_table()
         keys = [from_gaps(k) for k in asked["keys"].to_pylist()]
         distinct = np.unique(np.concatenate(keys))
-        tree = ContextTree.build([*top.value.levels, *_read_levels(levels)], top.value.outer)
-        logp = tree.log_probabilities(distinct).astype(np.float32)
+        logp = log_probabilities([*top.value.levels, *_read_levels(levels)], distinct, top.value.outer).astype(np.float32)
         out = [planes(logp[np.searchsorted(distinct, k)]) for k in keys]
         return pa.Table.from_arrays([asked["block"].combine_chunks(), asked["p"].combine_chunks(), pa.array(out, pa.binary())], schema=_LOGS)
 
@@ -685,11 +551,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = base.withColumnRenamed("_k", id_col).withColumn("held_out", known)
     both = out.join(lengths, out[id_col].eqNullSafe(lengths["_k"]) & (out["_row"] == lengths["_row"]))
     return both.select(out[id_col], "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
-
-
-def digest(tree: ContextTree) -> str:
-    """A fingerprint of a tree, equal for equal training rows."""
-    h = hashlib.sha256()
-    for a in (*tree.keys, *tree.logp):
-        h.update(a.tobytes())
-    return h.hexdigest()
