@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path, so that any store that Spark reaches will do."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what led to it runs once, however often it is read."""
     path = shared_folder(df.sparkSession)

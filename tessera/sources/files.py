@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import text
+from tessera.operators.stages import filesystem
 
 
 def front_matter(spark: SparkSession, path: str, scalars: list[str], lists: list[str], id_key: str | None = None, redact: bool = False) -> DataFrame:
@@ -76,12 +77,6 @@ def sealed_rows(rows: DataFrame, digest: str, columns: list[str]) -> bool:
     return content_digest(rows, columns) == digest
 
 
-def _filesystem(spark: SparkSession, path: str):
-    """Hadoop's view of a path, so that any store that Spark reaches will do."""
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
-
-
 def publish(rows: DataFrame, path: str) -> str:
     """Writes ``rows`` as a sealed index at ``path`` that is there whole or not at all; returns its digest.
 
@@ -90,21 +85,21 @@ def publish(rows: DataFrame, path: str) -> str:
     exists is refused.
     """
     spark = rows.sparkSession
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     if fs.exists(target):
         raise FileExistsError(path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     rows.write.parquet(f"{staging}/rows")
     digest = content_digest(spark.read.schema(rows.schema).parquet(f"{staging}/rows"), rows.columns)
     spark.createDataFrame([(json.dumps({"columns": rows.columns, "digest": digest}),)], "value string").coalesce(1).write.text(f"{staging}/DONE")
-    if not fs.rename(_filesystem(spark, staging)[1], target):
+    if not fs.rename(filesystem(spark, staging)[1], target):
         raise OSError(f"could not rename {staging}")
     return digest
 
 
 def sealed_index(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of :func:`publish`, or None if the marker is missing or the content isn't the one that it seals."""
-    fs, done = _filesystem(spark, f"{path.rstrip('/')}/DONE")
+    fs, done = filesystem(spark, f"{path.rstrip('/')}/DONE")
     if not fs.exists(done):
         return None
     seal = json.loads(spark.read.text(f"{path.rstrip('/')}/DONE").first()["value"])
