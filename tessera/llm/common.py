@@ -7,15 +7,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.stages import filesystem
 from tessera.operators.stages import shared_folder as shared_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, so that lost executors cost no recomputation of what led to it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
+    path = path or shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that are stored for a while: what they led to is stored too before they go, so nothing ever has to be made again from them."""
+
+    def __init__(self) -> None:
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession)
+        out = stored(df, path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables."""
+        for df, path in [x for x in self.kept if any(x[0] is t for t in tables)]:
+            fs, where = filesystem(df.sparkSession, path)
+            fs.delete(where, True)
+        self.kept = [x for x in self.kept if not any(x[0] is t for t in tables)]
+
+    def drop_rest(self) -> None:
+        self.drop(*[df for df, _ in self.kept])
 
 
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:

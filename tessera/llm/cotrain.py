@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_type, list_parts, one_array, stored
+from .common import Scratch, arrow_batch, arrow_type, list_parts, one_array
 from .quality_rules import labelled_rows
 from .text_stats import RATIOS, block_counts, ratio_matrix
 from .textblock import TextBlock, blocks
@@ -295,11 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("_k"), key.alias("key"), *fields)
     kind, id_type = texts.schema["_k"].dataType.simpleString(), arrow_type(texts, "_k")
     # What both views look at is worked out once for all rounds.
-    rows = stored(texts.mapInArrow(_features(pa.field("_k", id_type), pa.field("key", pa.int64())), f"_k {kind}, key bigint, {_FEATURES}"))
+    scratch = Scratch()
+    rows = scratch.stored(texts.mapInArrow(_features(pa.field("_k", id_type), pa.field("key", pa.int64())), f"_k {kind}, key bigint, {_FEATURES}"))
 
     def ask(model: CoModel, confident: float, most: dict[int, int]) -> tuple[list[tuple[int, int, int]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         sure = rows.mapInArrow(_sure(model, confident, id_type), f"_k {kind}, key bigint, view int, label int, sure double")
-        sure = stored(sure.join(known_ids, "_k", "left_anti").groupBy("view", "label", "key").agg(F.first("sure").alias("sure")))
+        sure = scratch.stored(sure.join(known_ids, "_k", "left_anti").groupBy("view", "label", "key").agg(F.first("sure").alias("sure")))
         best = [sure.where((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("sure"), "key").limit(most[c]).collect() for v in (0, 1) for c in (0, 1)]
         choices = [(r["key"], r["view"], r["label"]) for part in best for r in part]
         if not choices:
@@ -309,7 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         w, r, m = _arrays(got)
         return choices, {int(k): (w[i], r[i], m[i]) for i, k in enumerate(got["key"].to_pylist())}
 
-    return co_train(words, ratios, meta, np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64), ask=ask)
+    model = co_train(words, ratios, meta, np.asarray(made["y"]).astype(np.int64), rounds, toxic=np.asarray(made["toxic"]).astype(np.int64), ask=ask)
+    scratch.drop_rest()
+    return model
 
 
 _FEATURES = "meta array<int>, words array<int>, ratios array<double>"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_type, one_array, row_key, same_row, stored
+from .common import Scratch, arrow_batch, arrow_type, one_array, row_key, same_row, stored
 from .textblock import TextBlock, blocks, combine, mix, shingle_sets
 
 SLOTS = 353  # a prime, so that every step of an affine walk visits each slot once
@@ -180,16 +180,19 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread over edges and then jump to the label of the label, so that
     the number of rounds follows the logarithm of a component's diameter.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    scratch = Scratch()
+    both = scratch.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         offered = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         spread = labels.join(offered, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("m"))
-        after = stored(spread.join(up, "comp").select("node", F.least("comp", "m").alias("comp"), "was"))
+        after = scratch.stored(spread.join(up, "comp").select("node", F.least("comp", "m").alias("comp"), "was"))
         changed = after.where("comp <> was").limit(1).count()
         labels = after.select("node", "comp")
         if not changed:
+            labels = stored(labels)
+            scratch.drop_rest()
             return labels
 
 
@@ -340,7 +343,7 @@ def _live(members: DataFrame) -> DataFrame:
     return members.join(live, "bucket", "left_semi")
 
 
-def _hot_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _hot_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links that join components within large buckets; ``members``: bucket, node, comp, n; ``known``: links found before.
 
     Signatures of one byte a slot propose pairs, likeliest first, and as few as
@@ -348,12 +351,12 @@ def _hot_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: i
     that are still similar, by their signatures, to one of another component:
     these are compared without fail.
     """
-    sketch = stored(sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_slots, "node bigint, set binary"))
+    sketch = scratch.stored(sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_slots, "node bigint, set binary"))
     likely = _block_pairs(members, sketch, False).select("lefts", "rights").mapInArrow(_likely(percent, True), "a bigint, b bigint").distinct()
-    found = stored(verified(stored(likely), sets, percent))
-    now = stored(_live(_with_comp(members.drop("comp"), components(known.unionByName(found)))))
+    found = scratch.stored(verified(scratch.stored(likely), sets, percent))
+    now = scratch.stored(_live(_with_comp(members.drop("comp"), components(known.unionByName(found)))))
     open_ = _block_pairs(now, sketch, False).mapInArrow(_likely(percent, False), "bucket bigint, node bigint").distinct()
-    rest = stored(now.join(open_, ["bucket", "node"], "left_semi"))
+    rest = scratch.stored(now.join(open_, ["bucket", "node"], "left_semi"))
     return found.unionByName(_block_pairs(rest, sets, True).select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint"))
 
 
@@ -362,26 +365,26 @@ def _close(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links between nodes; enough of them to join all nodes that are connected."""
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    inside = stored(rows.join(shared, "bucket").where("pivot <> node").select("bucket", "node", "n", "members", "pivot"))
+    inside = scratch.stored(rows.join(shared, "bucket").where("pivot <> node").select("bucket", "node", "n", "members", "pivot"))
     sized = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("pn"))
     star = inside.groupBy("pivot", "node", "n").agg(F.lit(1)).join(sized, "pivot").where(_close("n", "pn", percent))
-    star = stored(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    star = scratch.stored(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     wanted = star.select(F.col("a").alias("node")).union(star.select("b")).union(inside.where("members > 2").select("node")).distinct()
     reps = nodes.join(wanted, "node", "left_semi").select("node", "_kh", "_th")
     texts = keyed.groupBy("_kh", "_th").agg(F.first("_text").alias("_text"))
-    sets = stored(texts.join(reps, ["_kh", "_th"]).select("node", "_text").mapInArrow(_full_sets(width), "node bigint, set binary"))
-    first = stored(verified(star, sets, percent))
-    members = stored(_live(_with_comp(inside.where("members > 2").select("bucket", "node", "n", "members"), components(first))))
+    sets = scratch.stored(texts.join(reps, ["_kh", "_th"]).select("node", "_text").mapInArrow(_full_sets(width), "node bigint, set binary"))
+    first = scratch.stored(verified(star, sets, percent))
+    members = scratch.stored(_live(_with_comp(inside.where("members > 2").select("bucket", "node", "n", "members"), components(first))))
     few = members.where(F.col("members") <= SMALL)
     ahead = few.groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "n")).alias("all"))
     partners = F.expr(f"filter(all, o -> node < o.node and comp <> o.comp and {_close('n', 'o.n', percent)})")
     pairs = few.join(ahead, "bucket").select(F.col("node").alias("a"), F.explode(partners).alias("o")).select("a", F.col("o.node").alias("b")).distinct()
-    known = first.unionByName(stored(verified(stored(pairs), sets, percent)))
-    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), known, sets, percent)
+    known = first.unionByName(scratch.stored(verified(scratch.stored(pairs), sets, percent)))
+    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), known, sets, percent, scratch)
     return known.unionByName(large)
 
 
@@ -392,10 +395,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     schema = f"_id {kind}, _th bigint, n_shingles bigint, name binary, bands array<bigint>"
     sketched = stored(keyed.mapInArrow(_sketches(width, band_rows(percent), arrow_type(docs, id_col)), schema))
     named = sketched.where("n_shingles > 0").groupBy("name").agg(_least_row().alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
+    scratch = Scratch()
+    nodes = scratch.stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
     hashed = keyed.select(F.xxhash64("_id").alias("_kh"), "_th", "_text")
-    comp = components(_links(nodes, hashed, width, percent))
-    return sketched, stored(_with_comp(nodes.select("node", "name", "_id", "_th"), comp))
+    comp = components(_links(nodes, hashed, width, percent, scratch))
+    known = stored(_with_comp(nodes.select("node", "name", "_id", "_th"), comp))
+    scratch.drop_rest()
+    return sketched, known
 
 
 def _least_row() -> Column:

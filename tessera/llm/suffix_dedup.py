@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_type, list_parts, one_array, ranges, row_key, same_row, stored
+from .common import Scratch, arrow_batch, arrow_type, list_parts, one_array, ranges, row_key, same_row, stored
 from .textblock import TextBlock, blocks, combine
 
 ANCHOR = 48
@@ -128,7 +128,7 @@ def _finer_rows(id_type: pa.DataType, length: int, step: int, last: bool):
     return apply
 
 
-def _merged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _merged(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Merges the shards' intervals and tells which are settled.
 
     Returns the rows whose ``whole`` interval holds several suffixes: all their
@@ -136,11 +136,13 @@ def _merged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``whole`` of every ``part`` that has more than one, weighing two if it
     stands for several: rows that are settled still count for others.
     """
-    sizes = stored(rows.groupBy("part", "whole").agg(F.sum("weight").alias("size"), F.min(F.struct("_id", "_th", "start", "n", "at")).alias("rep")))
+    sizes = scratch.stored(rows.groupBy("part", "whole").agg(F.sum("weight").alias("size"), F.min(F.struct("_id", "_th", "start", "n", "at")).alias("rep")))
     several = sizes.where("size > 1").select("part", "whole")
-    settled = rows.join(several, ["part", "whole"], "left_semi").select("_id", "_th", "start", "n")
+    settled = scratch.stored(rows.join(several, ["part", "whole"], "left_semi").select("_id", "_th", "start", "n"))
+    scratch.drop(rows)
     parts = sizes.groupBy("part").agg(F.count(F.lit(1)).alias("wholes")).where("wholes > 1").select("part")
-    ahead = sizes.join(parts, "part", "left_semi").select("rep.*", F.least("size", F.lit(2)).cast("int").alias("weight"))
+    ahead = scratch.stored(sizes.join(parts, "part", "left_semi").select("rep.*", F.least("size", F.lit(2)).cast("int").alias("weight")))
+    scratch.drop(sizes)
     return settled, ahead
 
 
@@ -161,21 +163,28 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
     id_type = arrow_type(docs, id_col)
     schema = _schema(docs, id_col)
-    runs = stored(keyed.where(F.octet_length("_text") >= length).mapInArrow(_run_rows(id_type, length, ANCHOR), schema))
+    scratch = Scratch()
+    runs = scratch.stored(keyed.where(F.octet_length("_text") >= length).mapInArrow(_run_rows(id_type, length, ANCHOR), schema))
     # Most anchors stand in one place only; their runs are settled as unique before anything else is moved.
     # Stored by itself, so that the join deals out the runs of a frequent anchor anew instead of giving them to the task that counted them.
-    again = stored(runs.groupBy("part").agg(F.sum("weight").alias("places")).where("places > 1").select("part"))
-    first, ahead = _merged(stored(runs.join(again, "part", "left_semi")))
+    again = scratch.stored(runs.groupBy("part").agg(F.sum("weight").alias("places")).where("places > 1").select("part"))
+    rows = scratch.stored(runs.join(again, "part", "left_semi"))
+    scratch.drop(runs, again)
+    first, ahead = _merged(rows, scratch)
 
     def with_runs(texts: DataFrame, level: DataFrame) -> DataFrame:
         own = level.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "n", "at", "weight")).alias("runs"))
         return texts.join(own, same_row(texts, own)).select(texts["_id"], texts["_th"], "_text", "runs")
 
     # Copies of a row come back as often as they stand in the table; their runs are settled, so weights above two change nothing.
-    texts = stored(with_runs(keyed, ahead))
-    second, ahead = _merged(stored(texts.mapInArrow(_finer_rows(id_type, length, BLOCK, False), schema)))
-    third, _ = _merged(stored(with_runs(texts.drop("runs"), ahead).mapInArrow(_finer_rows(id_type, length, 1, True), schema)))
-    return first.unionByName(second).unionByName(third)
+    texts = scratch.stored(with_runs(keyed, ahead))
+    second, ahead = _merged(scratch.stored(texts.mapInArrow(_finer_rows(id_type, length, BLOCK, False), schema)), scratch)
+    rows = scratch.stored(with_runs(texts.drop("runs"), ahead).mapInArrow(_finer_rows(id_type, length, 1, True), schema))
+    scratch.drop(texts)
+    third, _ = _merged(rows, scratch)
+    out = stored(first.unionByName(second).unionByName(third))
+    scratch.drop_rest()
+    return out
 
 
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
