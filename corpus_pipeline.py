@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five operators, one after another, each over all that its predecessor kept."""
+"""A training corpus from raw documents: five operators, one after another, each over all that its predecessor kept.
+
+Every stage but the last gives rows of the table that it was given, with all
+their columns, whatever else these are called; repeated rows and ids count as
+rows of their own unless a stage says otherwise; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -22,27 +27,41 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no learned rule and no base rule rejects."""
+    """Documents that no learned rule and no base rule rejects.
+
+    Null, empty and blank texts have no ten words and go; texts of any length are counted whole.
+    """
     return quality_rules.filter_by_rules(docs, quality_rules.learn_rules(docs, _labels(spark, sf_dir)))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier takes for good."""
+    """Documents that the co-trained classifier takes for good.
+
+    Null texts count as empty ones and null metadata as a value of its own;
+    without labels of both kinds for these documents, all stay.
+    """
     return cotrain.filter_good(docs, cotrain.fit(docs, _labels(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles overlap by four fifths or more."""
+    """One document of each group whose sets of five-word shingles overlap by four fifths or more.
+
+    The row of the least id stays, known ids before null ones; rows equal to it
+    in id and text go too.  Texts without a word, null ones included, all stay.
+    """
     return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of more than ``REPEAT_WORDS`` words that stand in several places."""
+    """All documents, without the passages of more than ``REPEAT_WORDS`` words that stand in several places.
+
+    Null texts stay null; of equal texts all lose what they share, so copies are for the stage before.
+    """
     return suffix_dedup.remove_repeats(docs, length=LEAST_BYTES, over_words=REPEAT_WORDS, or_bytes=REPEAT_BYTES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
+    """The pieces of all documents in sequences of 2048 ids; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
