@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.measure_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return suffix_dedup.measure_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", length=400, passages=(200, 50, 300))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,9 +202,9 @@ def _keep_mask(b: TextBlock, list_offs: np.ndarray, s: np.ndarray, n: np.ndarray
     return np.cumsum(edge[:-1]) == 0
 
 
-def _cut(length: int, id_type: pa.DataType, with_text: bool):
+def _cut(length: int, id_type: pa.DataType, passages: tuple[int, int, int] | None):
     fields = [("_id", id_type), ("_th", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema([*fields, ("kept", pa.binary())] if with_text else fields)
+    schema = pa.schema([*fields, ("text", pa.string())] if passages else fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,13 +220,16 @@ def _cut(length: int, id_type: pa.DataType, with_text: bool):
                 removed = size - (total[b.offs[1:]] - total[b.offs[:-1]])
                 kept = [b.text(i) if not removed[i] else b.data[b.offs[i] : b.offs[i + 1]][keep[b.offs[i] : b.offs[i + 1]]].tobytes() for i in range(b.n)]
                 sha = [hashlib.sha256(k).hexdigest() for k in kept]
-                more = [pa.array(kept, pa.binary())] if with_text else []
+                more = []
+                if passages:
+                    found = batch.column("passages").slice(b.first, b.n).to_pylist()
+                    more = [pa.array([_without(b.data[b.offs[i] : b.offs[i + 1]], own, *passages) for i, own in enumerate(found)], pa.string())]
                 yield arrow_batch(schema, one_array(batch.column("_id")).slice(b.first, b.n), one_array(batch.column("_th")).slice(b.first, b.n), size, removed, n_spans, sha, *more)
 
     return apply
 
 
-def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passages: tuple[int, int, int] | None = None) -> DataFrame:
     """What removing repeated strings leaves of every row.
 
     Each byte covered by a ``length``-byte string that also starts anywhere
@@ -235,13 +238,20 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     input row.  A null text counts as empty, texts shorter than ``length`` stay
     whole, repeated rows remove one another's long strings, an empty table gives
     an empty result, and other columns are ignored whatever their names.
+
+    With ``passages`` (length, over_words, or_bytes), ``text`` follows: the text
+    as :func:`remove_repeats` leaves it with these, by a search of its own.
     """
     keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     spans = covered_spans(docs, id_col, text_col, length)
-    both = keyed.join(spans, same_row(keyed, spans), "left").select(keyed["_id"], keyed["_th"], "_text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.mapInArrow(_cut(length, arrow_type(docs, id_col), False), f"_id {kind}, _th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return out.drop("_th").withColumnRenamed("_id", id_col)
+    schema = f"_id {kind}, _th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    both = keyed.join(spans, same_row(keyed, spans), "left").select(keyed["_id"], keyed["_th"], "_text", "spans")
+    if passages:
+        found = covered_spans(docs, id_col, text_col, passages[0]).withColumnRenamed("spans", "passages")
+        both = both.join(found, same_row(both, found), "left").select(both["_id"], both["_th"], "_text", "spans", "passages")
+        schema += ", text string"
+    return both.mapInArrow(_cut(length, arrow_type(docs, id_col), passages), schema).drop("_th").withColumnRenamed("_id", id_col)
 
 
 _LETTER = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
@@ -264,6 +274,17 @@ def _passages(spans: list, length: int) -> list[tuple[int, int]]:
     return [(s, e - 1 + length) for s, e in out]
 
 
+def _without(raw: np.ndarray, spans: list | None, length: int, over_words: int, or_bytes: int) -> str:
+    """A text without its repeated passages of enough words or bytes."""
+    if not spans:
+        return raw.tobytes().decode()
+    keep = np.ones(len(raw), bool)
+    for a, z in _passages(spans, length):
+        if z - a >= or_bytes or _words_within(raw, a, z) > over_words:
+            keep[a:z] = False
+    return raw[keep].tobytes().decode("utf-8", "ignore")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, over_words: int = 0, or_bytes: int = 0) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text_col``, all other columns as they are.
 
@@ -286,12 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if t is None or own is None or not len(own):
                 made.append(t)
                 continue
-            raw = np.frombuffer(t.encode(), np.uint8)
-            keep = np.ones(len(raw), bool)
-            for a, z in _passages(own, length):
-                if z - a >= or_bytes or _words_within(raw, a, z) > over_words:
-                    keep[a:z] = False
-            made.append(raw[keep].tobytes().decode("utf-8", "ignore"))
+            made.append(_without(np.frombuffer(t.encode(), np.uint8), list(own), length, over_words, or_bytes))
         return pd.Series(made, dtype=object)
 
     cleaned = both.withColumn("_text", cut("_text", "spans"))

@@ -95,3 +95,14 @@ def test_blocks_beyond_the_usual_size(spark):
     texts = ["x" + base * 400, base[:700], "y" * 1000]
     got = {x[0]: tuple(x)[1:] for x in sd.measure_repeats(spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert got[0][:3] == (1_200_001, 1_200_000, 1) and got[1][1] == 700 and got[2][1] == 1000
+
+
+def test_text_without_passages_beside_the_measures(spark):
+    r = random.Random(31)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared, short = " ".join(r.choice(("red", "ink", "oak", "sun")) for _ in range(55)), " ".join(r.choice(("moss", "fern")) for _ in range(44))
+    texts = [None, "", f"{own(30)} A {shared} B {own(30)}", f"{own(9)} C {shared} D {own(20)}", f"{own(9)} E {short} F", f"{own(5)} G {short} H", own(80)]
+    out = {x.doc_id: x for x in sd.measure_repeats(spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA), passages=(200, 50, 300)).collect()}
+    assert [tuple(out[i])[1:5] for i in range(7)] == sd.brute_force(texts) and out[2].n_removed == 0
+    assert all(shared not in out[i].text and texts[i].startswith(out[i].text[:20]) for i in (2, 3))
+    assert [out[i].text for i in (0, 1, 4, 5, 6)] == ["", "", *texts[4:]]
