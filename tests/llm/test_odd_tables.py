@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, cotrain, ctw, langid, near_dedup, packing, quality_rules, sentencepiece_codec, suffix_dedup, warc
+from tessera.llm import ann, cotrain, ctw, langid, lexical, merkle, near_dedup, packing, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, warc
 
 EXTRA = ("_k", "_text", "_rest", "_id", "_th", "_key", "_row", "_f", "_l", "_order", "key", "block", "part", "rows", "train", "score", "kept", "n_words", "meta", "node", "comp", "name", "bands", "runs", "spans", "start", "n", "at", "y", "toxic", "shard", "tie", "payload", "languages")
 
@@ -31,6 +31,8 @@ OPERATORS = {
     "cotrain": lambda d, s: cotrain.score(d, cotrain.fit(d, labels(s))),
     "ctw": lambda d, s: ctw.score_documents(d),
     "rules": lambda d, s: quality_rules.apply_rules(d, quality_rules.learn_rules(d, labels(s))),
+    "merkle": lambda d, s: merkle.manifest(d),
+    "token_counts": lambda d, s: token_counts.count_tokens(d),
     "langid": lambda d, s: langid.identify(d, langid.learn(d), [F.col("doc_id")]),
 }
 
@@ -50,6 +52,13 @@ def test_neighbours(spark):
     assert got == [(1, 1, 2, 1.0), (1, 2, 6, 0.2), (2, 1, 1, 1.0), (2, 2, 6, 0.2), (6, 1, 1, 0.2), (6, 2, 2, 0.2)]
 
 
+def test_search(spark):
+    docs, _ = odd(spark)
+    got = lexical.search(docs, docs, item_col="doc_id")
+    assert got.columns == ["doc_id", "rank", "doc_id", "score"] and got.count() > 0
+    assert lexical.search(docs.limit(0), docs, item_col="doc_id").count() == 0
+
+
 def test_filters_keep_all_columns(spark):
     docs, _ = odd(spark)
     rules = quality_rules.learn_rules(docs, labels(spark))
