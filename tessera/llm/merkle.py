@@ -115,9 +115,13 @@ def _packed(key_type: pa.DataType, group_type: pa.DataType, run: int):
     return apply
 
 
+def _node_schema(group_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("_g", group_type), ("size", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("digest", pa.binary()), ("lone", pa.bool_())])
+
+
 def _edge_nodes(group_type: pa.DataType, fanout: int):
     """Of every run: the group's top if the run has the whole group, else the nodes that no parent within the run takes."""
-    schema = pa.schema([("_g", group_type), ("size", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("digest", pa.binary()), ("lone", pa.bool_())])
+    schema = _node_schema(group_type)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,17 +139,15 @@ def _edge_nodes(group_type: pa.DataType, fanout: int):
     return apply
 
 
-def _finish_block(fanout: int, top: int):
+def _finish_block(fanout: int, top: int, schema: pa.Schema):
     """Builds every parent of the nodes of one block, up to level ``top``; a parent that isn't local to a run has all its children here."""
 
-    def apply(block):
-        import pandas as pd
-
-        size, level = int(block["size"].iloc[0]), int(block["level"].min())
+    def apply(block: pa.Table) -> pa.Table:
+        whole = size = block["size"][0].as_py()
         have: dict[int, dict[int, bytes]] = {}
-        for k, i, d in zip(block["level"], block["idx"], block["digest"], strict=True):
-            have.setdefault(int(k), {})[int(i)] = d.hex().encode()
-        made = []
+        for k, i, d in zip(*(block[c].to_pylist() for c in ("level", "idx", "digest")), strict=True):
+            have.setdefault(k, {})[i] = d.hex().encode()
+        level, made = min(have), []
         for _ in range(level):
             size = -(-size // fanout)
         while level < top and size > 1:
@@ -154,7 +156,9 @@ def _finish_block(fanout: int, top: int):
                 upper[p] = _parent([nodes[c] for c in range(p * fanout, min((p + 1) * fanout, size))])
                 made.append((level + 1, p, bytes.fromhex(upper[p].decode())))
             level, size = level + 1, -(-size // fanout)
-        return pd.DataFrame({"_g": [block["_g"].iloc[0]] * len(made), "size": [int(block["size"].iloc[0])] * len(made), "level": [m[0] for m in made], "idx": [m[1] for m in made], "digest": [m[2] for m in made], "lone": [False] * len(made)})
+        group = one_array(block["_g"]).take(pa.array([0] * len(made), pa.int64()))
+        columns = [group, [whole] * len(made), *([m[j] for m in made] for j in range(3)), [False] * len(made)]
+        return pa.Table.from_batches([arrow_batch(schema, *columns)])
 
     return apply
 
@@ -209,7 +213,7 @@ def build_tree(rows: DataFrame, order: list[str], scratch: Scratch, fanout: int
         part = part if floor is None else part.unionByName(floor)
         width = F.pow(F.lit(float(fanout)), low + SPAN - F.col("level"))
         blocks = part.where("not lone").withColumn("block", F.floor(F.col("idx") / width))
-        floor = scratch.stored(blocks.groupBy("_g", "block").applyInPandas(_finish_block(fanout, low + SPAN), level_of))
+        floor = scratch.stored(blocks.groupBy("_g", "block").applyInArrow(_finish_block(fanout, low + SPAN, _node_schema(group_type)), level_of))
         nodes = nodes.unionByName(floor)
         floor = floor.where(F.col("level") == low + SPAN)
     heights = F.lit(0)
