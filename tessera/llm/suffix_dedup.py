@@ -229,31 +229,6 @@ def _cut(length: int, id_type: pa.DataType, passages: tuple[int, int, int] | Non
     return apply
 
 
-def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passages: tuple[int, int, int] | None = None) -> DataFrame:
-    """What removing repeated strings leaves of every row.
-
-    Each byte covered by a ``length``-byte string that also starts anywhere
-    else (same text included, overlaps count, judged on the input) is removed.
-    Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256``: one row per
-    input row.  A null text counts as empty, texts shorter than ``length`` stay
-    whole, repeated rows remove one another's long strings, an empty table gives
-    an empty result, and other columns are ignored whatever their names.
-
-    With ``passages`` (length, over_words, or_bytes), ``text`` follows: the text
-    as :func:`remove_repeats` leaves it with these, by a search of its own.
-    """
-    keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    spans = covered_spans(docs, id_col, text_col, length)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, _th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    both = keyed.join(spans, same_row(keyed, spans), "left").select(keyed["_id"], keyed["_th"], "_text", "spans")
-    if passages:
-        found = covered_spans(docs, id_col, text_col, passages[0]).withColumnRenamed("spans", "passages")
-        both = both.join(found, same_row(both, found), "left").select(both["_id"], both["_th"], "_text", "spans", "passages")
-        schema += ", text string"
-    return both.mapInArrow(_cut(length, arrow_type(docs, id_col), passages), schema).drop("_th").withColumnRenamed("_id", id_col)
-
-
 _LETTER = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
 
 
@@ -285,6 +260,70 @@ def _without(raw: np.ndarray, spans: list | None, length: int, over_words: int,
     return raw[keep].tobytes().decode("utf-8", "ignore")
 
 
+def _stretches(short: int, length: int, id_type: pa.DataType):
+    """The parts of texts that are long enough for ``length`` and have all their ``short``-byte strings repeated, with their places."""
+    schema = pa.schema([("_id", id_type), ("_th", pa.int64()), ("_from", pa.int64()), ("_text", pa.binary())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ths = one_array(batch.column("_id")), one_array(batch.column("_th"))
+            for i in range(len(batch)):
+                places = [(a, z) for a, z in _passages(batch.column("passages")[i].as_py(), short) if z - a >= length]
+                if places:
+                    raw, own = batch.column("_text")[i].as_py().encode(), pa.array([i] * len(places))
+                    yield arrow_batch(schema, ids.take(own), ths.take(own), [a for a, _ in places], [raw[a:z] for a, z in places])
+
+    return apply
+
+
+def _longer_spans(keyed: DataFrame, found: DataFrame, short: int, length: int, scratch: Scratch) -> DataFrame:
+    """As :func:`covered_spans` for ``length``, given all repeated strings of ``short`` bytes.
+
+    A string that is repeated has only repeated strings inside, next to one
+    another, so all places of a longer one lie in stretches whose shorter
+    strings are all repeated; the search goes over these alone.
+    """
+    enough = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["n"]) > length - short
+    likely = found.where(enough).select("_id", "_th", "passages")
+    kind = found.schema["_id"].dataType.simpleString()
+    near = keyed.join(likely, same_row(keyed, likely)).select(keyed["_id"], keyed["_th"], "_text", "passages")
+    made = near.mapInArrow(_stretches(short, length, arrow_type(found, "_id")), f"_id {kind}, _th bigint, _from bigint, _text binary")
+    parts = scratch.stored(made.withColumn("_part", F.monotonically_increasing_id()))
+    windows = repeated_windows(parts.select("_part", "_text"), "_part", "_text", length).select(F.col("_id").alias("_part"), "start", "n")
+    placed = windows.join(parts.select("_part", "_id", "_th", "_from"), "_part")
+    return placed.groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("start") + F.col("_from")).cast("int").alias("start"), "n")).alias("spans"))
+
+
+def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passages: tuple[int, int, int] | None = None) -> DataFrame:
+    """What removing repeated strings leaves of every row.
+
+    Each byte covered by a ``length``-byte string that also starts anywhere
+    else (same text included, overlaps count, judged on the input) is removed.
+    Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256``: one row per
+    input row.  A null text counts as empty, texts shorter than ``length`` stay
+    whole, repeated rows remove one another's long strings, an empty table gives
+    an empty result, and other columns are ignored whatever their names.
+
+    With ``passages`` (length, over_words, or_bytes), ``text`` follows: the text
+    as :func:`remove_repeats` leaves it with these.  If these strings are the
+    shorter ones, all texts are searched once, for them; the longer ones are
+    then searched for within what they cover.
+    """
+    keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"_id {kind}, _th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    scratch = Scratch()
+    if passages:
+        found = scratch.stored(covered_spans(docs, id_col, text_col, passages[0]).withColumnRenamed("spans", "passages"))
+        spans = _longer_spans(keyed, found, passages[0], length, scratch) if passages[0] < length else covered_spans(docs, id_col, text_col, length)
+        spans = found.join(spans, same_row(found, spans), "left").select(found["_id"], found["_th"], "spans", "passages")
+        schema += ", text string"
+    else:
+        spans = covered_spans(docs, id_col, text_col, length)
+    both = keyed.join(spans, same_row(keyed, spans), "left").select(keyed["_id"], keyed["_th"], "_text", *[c for c in ("spans", "passages") if c in spans.columns])
+    return both.mapInArrow(_cut(length, arrow_type(docs, id_col), passages), schema).drop("_th").withColumnRenamed("_id", id_col)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, over_words: int = 0, or_bytes: int = 0) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text_col``, all other columns as they are.
 

@@ -106,3 +106,16 @@ def test_text_without_passages_beside_the_measures(spark):
     assert [tuple(out[i])[1:5] for i in range(7)] == sd.brute_force(texts) and out[2].n_removed == 0
     assert all(shared not in out[i].text and texts[i].startswith(out[i].text[:20]) for i in (2, 3))
     assert [out[i].text for i in (0, 1, 4, 5, 6)] == ["", "", *texts[4:]]
+
+
+def test_one_search_for_both_lengths(spark):
+    """Strings of 400 bytes found within stretches of repeated strings of 200 are those that a search of all texts finds."""
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    hot, mid = prose(700), prose(300)
+    texts = [prose(90) + hot[r.randrange(300) :][: r.randrange(150, 600)] + prose(r.randrange(80)) + mid + hot[:120] for _ in range(60)]
+    texts += ["z" * 399, "z" * 450, "ab" * 300, texts[0], texts[0], "", None, mid + "!" + mid, hot + hot]
+    rows = [(i, t, 0, "") for i, t in enumerate(texts)] + [(3, texts[3], 0, "")]
+    got = sorted(tuple(x)[:5] for x in sd.measure_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), passages=(200, 50, 300)).collect())
+    want = sd.brute_force([x[1] for x in rows])
+    assert got == sorted((x[0], *w) for x, w in zip(rows, want, strict=True)) and sum(w[1] > 0 for w in want) > 20
