@@ -68,10 +68,20 @@ def _em(p: np.ndarray, n: np.ndarray, lo: np.ndarray, owner: np.ndarray, total:
     return mix, like
 
 
+def _most_likely(p: np.ndarray, n: np.ndarray, lo: np.ndarray, owner: np.ndarray, total: np.ndarray, mix: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """A bound on the log likelihood of every mixture: by Jensen's inequality none exceeds that of ``mix`` by more than ``total`` times the log of the greatest factor of its next step."""
+    factor = np.add.reduceat(p * (n / np.maximum((mix[owner] * p).sum(1), 1e-30))[:, None], lo, axis=0) / total[:, None]
+    return like + total * np.log(np.maximum(factor.max(1), 1))
+
+
 def infer(model: LanguageModel, doc: np.ndarray, gram: np.ndarray, count: np.ndarray, n_docs: int, penalty: float = 3.0) -> np.ndarray:
     """Proportions (document x language) within the chosen set of languages; zeros for documents without trigrams.
 
-    Sets grow by the language of the next largest share, for as long as that betters the penalised likelihood of any document of the batch.
+    Sets of every size are tried, by the largest shares of a mixture of all
+    languages; the one of the greatest penalised likelihood is chosen, the
+    smaller one if equal.  A document leaves once no larger set can better what
+    it has, by the bound of :func:`_most_likely`; what stands beside it in a
+    batch never matters.
     """
     out = np.zeros((n_docs, len(model.names)), np.float32)
     starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
@@ -81,22 +91,30 @@ def infer(model: LanguageModel, doc: np.ndarray, gram: np.ndarray, count: np.nda
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _BATCH, side="right")) - 1)
         a, b = bounds[i], bounds[j]
         rows = doc[starts[i:j]]
-        owner = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+        size = np.diff(bounds[i : j + 1])
+        owner = np.repeat(np.arange(j - i), size)
         p, n, lo = model.prob[gram[a:b]], count[a:b].astype(np.float32), starts[i:j] - a
         total = np.add.reduceat(n, lo)
         langs = p.shape[1]
-        mix, _ = _em(p, n, lo, owner, total, np.full((j - i, langs), 1 / langs, np.float32), 6)
+        mix, like = _em(p, n, lo, owner, total, np.full((j - i, langs), 1 / langs, np.float32), 6)
+        most = _most_likely(p, n, lo, owner, total, mix, like) + 1e-3 * (1 + np.abs(like)) ** 0.5
         order = np.argsort(-mix, axis=1, kind="stable")
         best, gain = np.zeros_like(mix), np.full(j - i, -np.inf)
+        live = np.arange(j - i)
         for k in range(1, langs + 1):
-            start = np.zeros_like(mix)
-            np.put_along_axis(start, order[:, :k], 1 / k, axis=1)
-            made, like = _em(p, n, lo, owner, total, start, 0 if k == 1 else 5)
-            worth = like - penalty * (k - 1) * np.log(total + 1)
-            better = worth > gain + 1e-6
-            if not better.any():
+            start = np.zeros((len(live), langs), np.float32)
+            np.put_along_axis(start, order[live, :k], 1 / k, axis=1)
+            made, like = _em(p, n, lo, owner, total[live], start, 0 if k == 1 else 5)
+            worth = like - penalty * (k - 1) * np.log(total[live] + 1)
+            better = worth > gain[live] + 1e-6
+            best[live[better]], gain[live[better]] = made[better], worth[better]
+            stay = most[live] - penalty * k * np.log(total[live] + 1) > gain[live]
+            if not stay.any():
                 break
-            best[better], gain[better] = made[better], worth[better]
+            if not stay.all():
+                keep = stay[owner]
+                p, n, size, live = p[keep], n[keep], size[stay], live[stay]
+                owner, lo = np.repeat(np.arange(len(live)), size), np.cumsum(size) - size
         out[rows] = best
         i = j
     return out
@@ -121,29 +139,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_languages: int = 256) -> LanguageModel | None:
     """Trigram counts of every language over all rows with a language; None without any.
 
-    The model holds 65,536 numbers a language, however many rows there are; more
-    than ``most_languages`` values of ``lang_col`` are refused, as they would be
-    no languages.  Null and empty texts add nothing; repeated rows count as often
-    as they stand; other columns are ignored.
+    The model holds 65,536 numbers a language, however many rows there are.  Of
+    more than ``most_languages`` values of ``lang_col`` those of the most rows
+    are learned, by name if equal; the others are no languages then.  Null and
+    empty texts add nothing; repeated rows count as often as they stand; other
+    columns are ignored.
     """
-    if (found := docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most_languages + 1).count()) > most_languages:
-        raise ValueError(f"{found} or more values in {lang_col}; most_languages is {most_languages}")
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
+    if len(known) > most_languages:
+        rows = rows.where(F.col("lang").isin([r["lang"] for r in known[:most_languages]]))
     parts = rows.mapInArrow(_count, "lang string, grams array<int>, n array<bigint>")
     flat = parts.select("lang", F.explode(F.arrays_zip("grams", "n")).alias("x")).groupBy("lang", F.col("x.grams").alias("gram")).agg(F.sum("x.n").alias("n"))
-    made = flat.toPandas()
-    names = sorted(set(made["lang"]))
+    names, counts = [], []
+    for r in flat.groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("n")).toLocalIterator():  # at most 65,536 pairs a language
+        names.append(r["lang"])
+        counts.append(np.bincount(r["grams"], weights=r["n"], minlength=1 << GRAM_BITS))
     if not names:
         return None
-    counts = np.zeros((len(names), 1 << GRAM_BITS))
-    counts[made["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(int), made["gram"].to_numpy(int)] = made["n"]
-    return LanguageModel.from_counts(names, counts)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return LanguageModel.from_counts([names[i] for i in order], np.stack([counts[i] for i in order]))
 
 
-def _predict(model: LanguageModel, key_types: list[tuple[str, pa.DataType]]):
+def _predict(shared, key_types: list[tuple[str, pa.DataType]]):
     schema = pa.schema([*key_types, ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             letter = np.asarray(batch.column("_letter").fill_null(False))
             for b in blocks(batch.column("_text")):
@@ -170,4 +192,5 @@ def identify(docs: DataFrame, model: LanguageModel | None, keys: list[Column], t
     if model is None:
         return rows.select(*names, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("languages"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(_predict(model, [(c, arrow_type(rows, c)) for c in names]), f"{kinds}, lang_pred string, score double, languages array<string>")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most_languages`` columns of 256 KB
+    return rows.mapInArrow(_predict(shared, [(c, arrow_type(rows, c)) for c in names]), f"{kinds}, lang_pred string, score double, languages array<string>")
