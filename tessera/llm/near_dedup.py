@@ -25,6 +25,7 @@ All links are confirmed on full sets, so a result never rests on estimates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ from .textblock import TextBlock, blocks, combine, mix, shingle_sets
 SLOTS = 353  # a prime, so that every step of an affine walk visits each slot once
 MISS = 1e-6
 SMALL = 24
+LOST = 1e-9
 CHUNK = 384  # members of a block on average, or fewer if they have more shingles than this
 CHUNK_SHINGLES = 1 << 16
 _SHARE = 512
@@ -276,10 +278,14 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrow_batch(schema, part.column("node"), pa.array([x.tobytes() for x in sig], pa.binary()))
 
 
-def least_matches(percent: int, slots: int = SLOTS) -> int:
-    """Equal slots that a pair of the least similarity has but for a chance of about one in a billion (six deviations)."""
-    p = percent / 100
-    return int(slots * p - 6 * (slots * p * (1 - p)) ** 0.5)
+def least_matches(percent: int, slots: int = SLOTS, lost: float = LOST) -> int:
+    """The most slots such that a pair of the least similarity has fewer equal ones with a probability of at most ``lost``, from the binomial distribution."""
+    p, below = percent / 100, 0.0
+    for k in range(slots + 1):
+        below += math.comb(slots, k) * p**k * (1 - p) ** (slots - k)
+        if below > lost:
+            return k
+    return slots
 
 
 def _likely(percent: int, forest: bool):
@@ -365,7 +371,7 @@ def _close(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int, scratch: Scratch, exact: bool = False) -> DataFrame:
     """Verified links between nodes; enough of them to join all nodes that are connected."""
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1")
@@ -384,11 +390,15 @@ def _links(nodes: DataFrame, keyed: DataFrame, width: int, percent: int, scratch
     partners = F.expr(f"filter(all, o -> node < o.node and comp <> o.comp and {_close('n', 'o.n', percent)})")
     pairs = few.join(ahead, "bucket").select(F.col("node").alias("a"), F.explode(partners).alias("o")).select("a", F.col("o.node").alias("b")).distinct()
     known = first.unionByName(scratch.stored(verified(scratch.stored(pairs), sets, percent)))
-    large = _hot_links(members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n"), known, sets, percent, scratch)
+    many = members.where(F.col("members") > SMALL).select("bucket", "node", "comp", "n")
+    if exact:
+        large = _block_pairs(many, sets, True).select("lefts", "rights").mapInArrow(_compare(percent), "a bigint, b bigint")
+    else:
+        large = _hot_links(many, known, sets, percent, scratch)
     return known.unionByName(large)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per row ``_id, _th, n_shingles, name, bands``, and per set of shingles ``node, name, comp`` and the row ``_id, _th`` that stands for it."""
     keyed = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -398,7 +408,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     scratch = Scratch()
     nodes = scratch.stored(named.select(F.monotonically_increasing_id().alias("node"), "name", "n", F.col("rep._id").alias("_id"), F.xxhash64("rep._id").alias("_kh"), F.col("rep._th").alias("_th"), "bands"))
     hashed = keyed.select(F.xxhash64("_id").alias("_kh"), "_th", "_text")
-    comp = components(_links(nodes, hashed, width, percent, scratch))
+    comp = components(_links(nodes, hashed, width, percent, scratch, exact))
     known = stored(_with_comp(nodes.select("node", "name", "_id", "_th"), comp))
     scratch.drop_rest()
     return sketched, known
@@ -409,7 +419,7 @@ def _least_row() -> Column:
     return F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_th"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Groups of texts whose word-shingle sets overlap by ``percent`` of their union or more.
 
     Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` with A-Z lowered; a text
@@ -421,9 +431,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored whatever their names; an empty table gives an empty result.
 
     Two sets of at least ``percent`` agree in one band or more with a
-    probability above 1 - ``MISS``, whatever the threshold.
+    probability above 1 - ``MISS``, whatever the threshold.  In a band's bucket
+    of more than ``SMALL`` sets, one-byte signatures choose the pairs whose full
+    sets are compared, and miss a pair of just ``percent`` with a probability of
+    at most ``LOST``; with ``exact``, full sets are compared there too.
     """
-    sketched, known = _grouped(docs, id_col, text_col, width, percent)
+    sketched, known = _grouped(docs, id_col, text_col, width, percent, exact)
     ids = known.groupBy("comp").agg(F.min("_id").alias("component_id"))
     out = sketched.select("_id", "n_shingles", "name").join(known.join(ids, "comp").select("name", "component_id"), "name", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("_id")).otherwise(F.col("component_id"))
