@@ -8,9 +8,9 @@ the weight that a node's own estimate gets when depths are mixed, so a byte's
 probability mixes all depths from none to ``DEPTH`` bytes.
 
 Counts of strings of ``DEPTH + 1`` bytes are summed over the whole training
-part, by task, then by the last two context bytes, where all longer contexts
+part, by task, then by the last ``SHARED + 1`` context bytes, where all longer contexts
 are complete, and all of them are kept: each part weighs and scores the strings
-whose contexts it has.  A context that was never seen has an estimate of a half
+whose contexts it has.  Shorter contexts are shared by all parts.  A context that was never seen has an estimate of a half
 for every bit, so probabilities of all 256 bytes sum to one.  A text ends with
 a byte that no text holds.
 """
@@ -30,6 +30,8 @@ from .common import arrow_batch, arrow_type, list_parts, one_array, stored
 from .textblock import TextBlock, blocks
 
 DEPTH = 5
+#: Contexts of so many bytes and fewer are known to all parts; longer ones lie in the part of their first ``SHARED + 1`` bytes.
+SHARED = 2
 END = 0xFF
 _MERGE_AT = 1_200_000
 _BLOCK = 1 << 19  # bytes of text worked on at once
@@ -91,8 +93,8 @@ def count_sorted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def _bucket(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a string: by the two bytes before its last."""
-    ctx = (keys >> _U(8)) & _U(0xFFFF)
+    """The part of a string: by the ``SHARED + 1`` bytes before its last."""
+    ctx = (keys >> _U(8)) & _U((1 << 8 * (SHARED + 1)) - 1)
     return ((ctx * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) % parts
 
 
@@ -126,11 +128,11 @@ _LEVELS = pa.schema([("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.bina
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """All counts of one part: for each depth from two, its strings, their counts and those of their contexts."""
+    """All counts of one part: for each depth that isn't shared, its strings, their counts and those of their contexts."""
     keys = np.concatenate([from_gaps(x) for x in table["keys"].to_pylist()])
     n = np.concatenate([from_planes(x, np.int64) for x in table["n"].to_pylist()])
     rows: list[list[object]] = [[], [], [], []]
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, SHARED, -1):
         keys, n = count_sorted(keys & _U((1 << 8 * (depth + 1)) - 1), n)
         total = _context_sums(keys, n)
         for lo in range(0, len(keys), 1 << 20):
@@ -201,8 +203,8 @@ def _weigh(nodes: list, up: list, names: list, outer: tuple[np.ndarray, np.ndarr
             weighted, w = mine, np.ones(len(mine))
         else:
             parent, child_log = below
-            if outer is not None and d == 1:
-                split = outer[1][np.searchsorted(outer[0], names[1])]
+            if outer is not None and d == SHARED:
+                split = outer[1][np.searchsorted(outer[0], names[d])]
             else:
                 split = np.bincount(parent, weights=child_log, minlength=len(mine))
             weighted = np.logaddexp(mine, split) - np.log(2)
@@ -216,9 +218,9 @@ def log_probabilities(levels: list[_Counts], keys: np.ndarray, outer: _Counts |
     """Natural log probabilities of the last bytes of ``keys``, strings of the full depth, under the tree of all strings.
 
     ``levels``: by depth, sorted strings and their counts; each context's shorter
-    one is there too.  If the strings from depth two on are those of one part
-    only, ``outer`` has for every node of depth one the log probability of its
-    children in all parts; the result then holds for strings of that part.
+    one is there too.  If the strings beyond the shared depths are those
+    of one part only, ``outer`` has for every node of the last shared depth the log
+    probability of its children in all parts; the result then holds for strings of that part.
 
     A bit's probability at a node is the mean of the node's own estimate and
     that of the deeper context, weighed by what each has earned; a context
@@ -251,10 +253,10 @@ def _parts(docs: DataFrame) -> int:
 
 @dataclass
 class _Top:
-    """What all parts share: the strings of up to two bytes, and what the children of contexts of one byte add up to."""
+    """What all parts share: the strings of up to ``SHARED + 1`` bytes, and what the children of contexts of ``SHARED`` bytes add up to."""
 
     levels: _Levels
-    outer: tuple[np.ndarray, np.ndarray]  # names of the nodes of depth one, over all bits, sorted; log probability of their children
+    outer: tuple[np.ndarray, np.ndarray]  # names of the nodes of the last shared depth, over all bits, sorted; log probability of their children
 
 
 def _sums(keys: list[np.ndarray], values: list[np.ndarray], dtype: type) -> tuple[np.ndarray, np.ndarray]:
@@ -269,10 +271,10 @@ def _float_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _read_levels(table: pa.Table) -> _Levels:
-    """The strings of one part and their counts, by depth from two."""
+    """The strings of one part and their counts, by depth beyond the shared ones."""
     depth = np.asarray(table["depth"].combine_chunks()) if len(table) else np.zeros(0, np.int32)
     out = []
-    for d in range(2, DEPTH + 1):
+    for d in range(SHARED + 1, DEPTH + 1):
         own = table.take(pa.array(np.flatnonzero(depth == d)))
         out.append(_sums([from_gaps(x) for x in own["keys"].to_pylist()], [from_planes(x, np.int64) for x in own["n"].to_pylist()], np.int64))
     return out
@@ -282,26 +284,26 @@ _PART = pa.schema([("p", pa.int32()), ("depth", pa.int32()), ("keys", pa.binary(
 
 
 def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
-    """The strings of one part by depth; as depth 1 its strings of two bytes, as depth 0 what it adds to the nodes of depth one."""
+    """The strings of one part by depth; as depth 1 its strings of the last shared depth, as depth 0 what it adds to the nodes of that depth."""
     made = _merge(table)
     levels = _read_levels(made)
-    for _ in range(2):
+    for d in range(SHARED, -1, -1):
         keys, n = levels[0]
-        levels.insert(0, count_sorted(keys & _U((1 << 8 * (DEPTH + 1 - len(levels))) - 1), n))
+        levels.insert(0, count_sorted(keys & _U((1 << 8 * (d + 1)) - 1), n))
     names, sums = [], []
     for b in range(8):
         nodes, up, name = _nodes(levels, b)
-        _, (parent, weighted) = _weigh(nodes, up, name, least=2)
-        names.append(name[1])
-        sums.append(np.bincount(parent, weights=weighted, minlength=len(name[1])))
-    more = [(1, *levels[1]), (0, np.concatenate(names), np.concatenate(sums))]
+        _, (parent, weighted) = _weigh(nodes, up, name, least=SHARED + 1)
+        names.append(name[SHARED])
+        sums.append(np.bincount(parent, weights=weighted, minlength=len(name[SHARED])))
+    more = [(1, *levels[SHARED]), (0, np.concatenate(names), np.concatenate(sums))]
     depth = made["depth"].to_pylist() + [d for d, _, _ in more]
     keys, n = (made[c].to_pylist() + [pack(x[i]) for x in more] for c, i, pack in (("keys", 1, gaps), ("n", 2, planes)))
     return pa.table([pa.array([key[0].as_py()] * len(depth), pa.int32()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], schema=_PART)
 
 
 def _top(levels: DataFrame) -> _Top:
-    """Adds up what the parts say of the two shortest depths; its size is bound by the number of strings of two bytes."""
+    """Adds up what the parts say of the shared depths; its size is bound by the number of strings of ``SHARED + 1`` bytes."""
     got: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
     for r in levels.where("depth < 2").select("depth", "keys", "n").toLocalIterator():
         keys, values = got[r["depth"]]
@@ -310,7 +312,7 @@ def _top(levels: DataFrame) -> _Top:
         if len(keys) > 64:
             got[r["depth"]] = tuple([x] for x in _sums(keys, values, np.int64 if r["depth"] else np.float64))
     keys, n = _sums(*got[1], np.int64)
-    return _Top([count_sorted(keys & _U(255), n), (keys, n)], _sums(*got[0], np.float64))
+    return _Top([count_sorted(keys & _U((1 << 8 * (d + 1)) - 1), n) for d in range(SHARED)] + [(keys, n)], _sums(*got[0], np.float64))
 
 
 def _text_blocks(id_type: pa.DataType):
@@ -395,10 +397,10 @@ def _sum_up(parts: int, id_type: pa.DataType):
 def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text", row_col: str = "_row") -> DataFrame:
     """As :func:`code_lengths`, under the tree of all strings of the rows where ``train_col`` holds.
 
-    All contexts of two bytes and more lie in one part.  Every part weighs its
-    own nodes, the sums for shorter contexts are added up, and a block's
-    distinct strings meet the counts part by part, so nothing is pruned and
-    what one task holds does not grow with the corpus.
+    All contexts that have their first ``SHARED + 1`` bytes in common lie in one
+    part.  Every part weighs its own nodes, the sums for shorter contexts are
+    added up, and a block's distinct strings meet the counts part by part, so
+    nothing is pruned.  The largest part is that of the commonest three bytes.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(row_col).alias("_row"), F.col(train_col).alias("train"), F.col(text_col).alias("_text"))
     id_type, kind = arrow_type(rows, "_id"), rows.schema["_id"].dataType.simpleString()
@@ -408,7 +410,7 @@ def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id",
     top = docs.sparkSession.sparkContext.broadcast(_top(levels))
     made = stored(rows.select("_id", "_row", "_text").mapInArrow(_text_blocks(id_type), f"block bigint, ids array<{kind}>, rows array<bigint>, texts array<string>"))
     asked = made.select("block", "texts").mapInArrow(_asked(parts), "block bigint, p int, keys binary")
-    logs = levels.where("depth > 1").groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_score_part(top), "block bigint, p int, logp binary")
+    logs = levels.where(f"depth > {SHARED}").groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_score_part(top), "block bigint, p int, logp binary")
     back = logs.groupBy("block").agg(F.collect_list(F.struct("p", "logp")).alias("logs"))
     joined = made.join(back, "block").select("ids", "rows", "texts", "logs")
     out = joined.mapInArrow(_sum_up(parts, id_type), f"_id {kind}, _row bigint, n_bytes bigint, score double")
