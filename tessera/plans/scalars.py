@@ -44,10 +44,14 @@ def url_paths(t: Tables) -> DataFrame:
     return p.select("page_id", folder.alias("folder"), text.basename(F.col("p")).alias("name"), text.joined_path(folder, F.lit("./index.html")).alias("sibling"), text.joined_path(folder, F.lit("../top")).alias("above"))
 
 
-@query("select event_id, 'see [本地文件]/' || event_type || '.mov or [本地文件]/b.png' as shown from events")
+@query("select event_id, case event_id % 3 when 0 then 'see [本地文件]/' || event_type || ' one.mov or \"[本地文件]/b.PNG\"' when 1 then 'keep E:/' || event_type || '/none and /tmp/a.png' else '[本地文件]/' || user_id || '.txt [本地文件]/' || event_type || '.tox' end as shown from events")
 def local_paths_hidden(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("see C:\\Users\\u"), "user_id", F.lit("\\"), "event_type", F.lit(".mov or D:/a/b.png"))
-    return t.events.select("event_id", text.without_local_paths(said).alias("shown"))
+    """Folders of one's own disk, with blanks in their names too; paths without a known ending stay."""
+    m, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    one = F.concat(F.lit("see C:\\Users\\Jane "), user, F.lit("\\"), "event_type", F.lit(' one.mov or "D:/a b/b.PNG"'))
+    two = F.concat(F.lit("keep E:/"), "event_type", F.lit("/none and /tmp/a.png"))
+    three = F.concat(F.lit("C:\\"), user, F.lit(".txt f:\\x y\\z/"), "event_type", F.lit(".tox"))
+    return t.events.select("event_id", text.without_local_paths(F.when(m == 0, one).when(m == 1, two).otherwise(three)).alias("shown"))
 
 
 _RAW_JSON_SQL = "case event_id % 4 when 0 then props when 1 then '{\"z\": [1, 2], \"k\": {\"y\": true, \"b\": ' || user_id || '}, \"a\": null}' when 2 then '{\"k\": ' || user_id else '[1, ' || user_id || ', \"x\"]' end"
@@ -65,13 +69,17 @@ def json_contracts(t: Tables) -> DataFrame:
     return v.select("event_id", F.col("v").isNotNull().alias("valid"), kind.alias("kind"), text.canonical_json(F.col("raw")).alias("canonical")).withColumn("revision", F.sha2("canonical", 256))
 
 
-@query(r"select item_id, case when length(f) > 0 and not regexp_matches(f, '(?i)[a-z][a-z0-9+.-]*://|(?:^|\s)[a-z]:[\\/]|\\\\[^\s]|(?:^|[\s(])/(?:[^\s/]+/)+|\b(?:localhost|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+)\b') then trim(left(f, 60)) end as shown, case item_id % 3 when 0 then ['plain', 'text'] else ['plain'] end as tags from (select item_id, trim(regexp_replace(case item_id % 3 when 0 then text when 1 then 'from http://' || text else 'on 10.0.0.' || item_id || ' ' || text end, '\s+', ' ', 'g')) as f from benchmark where text is not null)".replace("case item_id % 3 when 0 then ['plain', 'text'] else ['plain'] end as tags", "case item_id % 3 when 0 then 'plain,text' else 'plain' end as tags"))
+#: One text for each way in which a place may show; none is let through.
+_PLACED = ("http://h ", "on 10.0.0.7 ", "file:x ", "candidate:5 ", '"C:\\x\\y" ', "at \\\\box\\s ", "(/srv/a/b) ", "127.0.0.1 ", "172.20.1.1 ", "169.254.0.9 ", "nas.local ", "ＬＯＣＡＬＨＯＳＴ ")
+
+
+@query(f"select item_id, case when item_id % {len(_PLACED) + 2} >= {len(_PLACED)} and length(f) > 0 then trim(left(case item_id % {len(_PLACED) + 2} when {len(_PLACED)} then f else 'profile: A/B ' || f end, 60)) end as shown, case item_id % 3 when 0 then 'plain,' || trim(left(f, 80)) else 'plain' end as tags from (select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from benchmark where text is not null)")
 def student_projection(t: Tables) -> DataFrame:
     """Texts shown only if no private locator is in them, and lists of which only safe items stay."""
-    m = F.col("item_id") % 3
-    said = F.when(m == 0, F.col("text")).when(m == 1, F.concat(F.lit("from http://"), "text")).otherwise(F.concat(F.lit("on 10.0.0."), "item_id", F.lit(" "), "text"))
-    tags = F.array(F.lit("plain"), F.when(m == 0, "text").otherwise("file:///x/y"), F.lit("plain"))
-    return t.benchmark.where("text is not null").select("item_id", text.safe_text(said, 60).alias("shown"), F.array_join(text.safe_list(tags, 5), ",").alias("tags"))
+    kind, m = F.col("item_id") % (len(_PLACED) + 2), F.col("item_id") % 3
+    place = F.element_at(F.array(*map(F.lit, (*_PLACED, "", "profile: A／B "))), (kind + 1).cast("int"))
+    tags = F.array(F.lit("plain"), F.when(m == 0, F.col("text")).otherwise("file:///x/y"), F.lit("plain"))
+    return t.benchmark.where("text is not null").select("item_id", text.safe_text(F.concat(place, "text"), 60).alias("shown"), F.array_join(text.safe_list(tags, 5), ",").alias("tags"))
 
 
 @query("select p_partkey, cast(p_size as varchar) || '/' || p_brand as kept from part")
