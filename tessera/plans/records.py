@@ -268,17 +268,53 @@ def stream_tail_state(t: Tables) -> DataFrame:
     """The latest state of every run, from the log read as a stream up to its present end; the checkpoint lets a later run go on from there."""
     folder = stages.shared_folder(t.spark)
     log = folds.file_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema).select("user_id", "event_type", "event_id")
-    return folds.run_to_end(folds.latest_state_stream(log, "user_id", "event_type", "event_id"), folder)
+    return folds.run_to_end(folds.latest_state_stream(log, "user_id", "event_type", "event_id"), folder, ["user_id"])
 
 
 @query("select time_bucket(interval 1 day, ts) as day, event_type, count(*) as n from events group by 1, 2")
 def stream_daily_windows(t: Tables) -> DataFrame:
     """Event-time windows of the log read as a stream."""
     log = folds.file_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema).withColumn("at", F.col("ts").cast("timestamp"))
-    made = folds.run_to_end(folds.windowed_counts(log, "at", "1 day", "400 days", "event_type").select(F.col("window.start").alias("day"), "event_type", "n"), stages.shared_folder(t.spark))
+    made = folds.run_to_end(folds.windowed_counts(log, "at", "1 day", "400 days", "event_type").select(F.col("window.start").alias("day"), "event_type", "n"), stages.shared_folder(t.spark), ["day", "event_type"])
     return made.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+#: The watermark has passed all events before the last one's millisecond; they are final.
+_PASSED = "(select date_trunc('millisecond', max(ts)) from events)"
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    return folds.file_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _final(t: Tables, stream: DataFrame) -> DataFrame:
+    return folds.append_to_end(stream, stages.shared_folder(t.spark))
+
+
+@query(f"with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as rn from events), r as (select user_id, event_id, rn, ts, ts as begun, 1 as n, true as accepted from e where rn = 1 union all select e.user_id, e.event_id, e.rn, e.ts, case when e.ts >= r.begun + interval 1 day then e.ts else r.begun end, case when e.ts >= r.begun + interval 1 day then 1 when r.n < 2 then r.n + 1 else r.n end, e.ts >= r.begun + interval 1 day or r.n < 2 from r join e on e.user_id = r.user_id and e.rn = r.rn + 1) select event_id, user_id, accepted from r where ts < {_PASSED}")
+def stream_rate_limit(t: Tables) -> DataFrame:
+    """Windows anchored at a key's own first event, as a stream with keyed state: what the watermark has passed is final."""
+    return _final(t, folds.anchored_limit(_event_stream(t), "user_id", "ts", "event_id", 86_400, 2, late="0 seconds"))
+
+
+@query(f"""with recursive e as (select user_id, event_id, ts, event_type in ('error', 'view') as failed, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+ r as (select user_id, event_id, rn, ts, case when failed then ts end as begun, case when failed then 1 else 0 end as n, timestamp '1970-01-01' as until, false as blocked from e where rn = 1
+  union all select s.user_id, s.event_id, s.rn, s.ts, case when counts and m >= 3 then null when counts then b else begun end, case when counts and m >= 3 then 0 when counts then m else n end, case when counts and m >= 3 then s.ts + interval 2 day else until end, s.blocked
+   from (select e.user_id, e.event_id, e.rn, e.ts, r.begun, r.n, r.until, e.ts < r.until as blocked, e.failed and e.ts >= r.until as counts, case when r.begun is null or e.ts >= r.begun + interval 3 day then e.ts else r.begun end as b, case when r.begun is null or e.ts >= r.begun + interval 3 day then 1 else r.n + 1 end as m from r join e on e.user_id = r.user_id and e.rn = r.rn + 1) s)
+ select event_id, user_id, blocked from r where ts < {_PASSED}""")
+def stream_failure_block(t: Tables) -> DataFrame:
+    """Three failures within three days block a user for two, as a stream; a state that is over is dropped by a timer."""
+    failed = _event_stream(t).withColumn("failed", F.col("event_type").isin("error", "view"))
+    return _final(t, folds.failure_block(failed, "user_id", "ts", "event_id", "failed", 3, 3 * 86_400, 2 * 86_400, late="0 seconds"))
+
+
+@query(f"with e as (select user_id, ts, event_type, lead(ts) over w as next, lag(event_type) over w as was, event_id from events window w as (partition by user_id order by ts, event_id)) select user_id, epoch_us(ts) + 86400000000 as us from e where event_type = 'view' and coalesce(next, timestamp '2999-01-01') > ts + interval 1 day and ts + interval 1 day < {_PASSED}")
+def stream_leases(t: Tables) -> DataFrame:
+    """When a viewing user has had no event for a day: told by a timer, not by the next event."""
+    made = folds.leases(_event_stream(t), "user_id", "ts", "event_id", "event_type", running="view", seconds=86_400, attempts=1 << 30, late="0 seconds")
+    return _final(t, made).select("user_id", "us")
+
+
 @query("with s as (select user_id, arg_max(event_type, (ts, event_id)) as state, max(ts) as last_ts, min(ts) as born, count(*) as attempts from events group by 1) select user_id, state, attempts < 70 as executes from s where state = 'signup' or (state = 'view' and last_ts <= timestamp '2024-01-30') order by born, user_id limit 20")
 def recovery_scan(t: Tables) -> DataFrame:
     """The 20 oldest runs that wait or whose lease is over; those at the cap of attempts fail instead of running again."""

@@ -1,50 +1,181 @@
 """Per-key folds over ordered events, in batch and as streams.
 
-A batch fold reads each partition sorted by key and time and carries the state
-of one key at a time, so no key's events are ever held together.
+A :class:`Fold` says what one key's events, taken in order, do to its state and
+what they give.  In batch, each partition is read sorted by key and time and the
+state of one key at a time is carried, so no key's events are ever held
+together.  As a stream, a key keeps its state and the events that may still be
+overtaken; once the watermark has passed an event, it is folded.  So both give
+the same rows for all events that the watermark has passed, however the stream
+was cut into batches, and a stream goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
+from tessera.sources.versioned import VersionedTable
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], result: str) -> DataFrame:
-    """Calls ``step(state, row)`` in order for each key; it returns (new state, tuple of results) for every row, or None for no result.
 
-    Rows without a key make a group of their own.  Values come as plain Python ones: whole numbers stay whole, nulls are None.
+@dataclass(frozen=True)
+class Fold:
+    """One key's events in order.
+
+    ``step(state, row)`` returns the new state and a tuple of results, or None
+    for no result.  ``lapse(state, key, us)``, if given, tells what time alone
+    does to a state up to ``us``: None for nothing, else the same pair; and
+    ``wake(state)`` when that will be, None for never.  A state that has had no
+    event for ``idle`` microseconds is as good as none.
+    """
+
+    key: str
+    order: tuple[str, ...]
+    start: Callable[[], Any]
+    step: Callable[[Any, Any], tuple]
+    result: str
+    lapse: Callable[[Any, Any, int], tuple | None] | None = None
+    wake: Callable[[Any], int | None] | None = None
+    idle: int | None = None
+    #: A state from its JSON form, in which tuples and sets are lists.
+    load: Callable[[Any], Any] = lambda made: tuple(made) if isinstance(made, list) else made
+
+
+def folded(df: DataFrame, fold: Fold, upto: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """The results of a fold over a batch, or over a stream whose events are at most ``late`` overtaken.
+
+    Rows without a key make a group of their own.  Values come as plain Python
+    ones: whole numbers stay whole, nulls are None.  ``upto`` (microseconds) is
+    when a batch ends for :attr:`Fold.lapse`; a stream's first order column must
+    be its time in microseconds, ``us``.
     """
-    schema = to_arrow_schema(StructType.fromDDL(result))
-    names, at = df.columns, df.columns.index(key)
+    return _stream(df, fold, late) if df.isStreaming else _batch(df, fold, upto)
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], tuple], result: str) -> DataFrame:
+    """:func:`folded` over a batch for a fold that needs no more than these."""
+    return _batch(df, Fold(key, tuple(order), start, step, result), None)
+
+
+def _batch(df: DataFrame, fold: Fold, upto: int | None) -> DataFrame:
+    schema = to_arrow_schema(StructType.fromDDL(fold.result))
+    names, at = df.columns, df.columns.index(fold.key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, begun = None, None, False
         kind = namedtuple("kind", names)
+
+        def packed(out: list) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[] for _ in schema]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        def ended() -> list:
+            made = fold.lapse(state, current, upto) if begun and fold.lapse and upto is not None else None
+            return [made[1]] if made and made[1] is not None else []
+
         for batch in batches:
             out = []
             for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not begun or values[at] != current:
-                    current, state, begun = values[at], start(), True
-                state, made = step(state, kind(*values))
-                if made is not None:
-                    out.append(made)
-            columns = zip(*out, strict=True) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, result)
-
-
-def anchored_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int, most: int) -> DataFrame:
+                    out += ended()
+                    current, state, begun = values[at], fold.start(), True
+                state, made = _taken(fold, state, current, kind(*values))
+                out += made
+            yield packed(out)
+        yield packed(ended())
+
+    return df.repartition(fold.key).sortWithinPartitions(fold.key, *fold.order).mapInArrow(run, fold.result)
+
+
+def _taken(fold: Fold, state: Any, key: Any, row: Any) -> tuple[Any, list]:
+    """The state after an event and what time up to it and the event itself gave."""
+    out = []
+    if fold.lapse and (gone := fold.lapse(state, key, row.us)):
+        state = gone[0]
+        out += [gone[1]] if gone[1] is not None else []
+    state, made = fold.step(state, row)
+    return state, out + ([made] if made is not None else [])
+
+
+class _Ordered(StatefulProcessor):
+    """Holds a key's events back until the watermark has passed them, then folds them in order."""
+
+    def __init__(self, fold: Fold, names: list[str], kinds: str, out: list[str]):
+        self.fold, self.names, self.kinds, self.out = fold, names, kinds, out
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "state string, us bigint")
+        self.held = handle.getListState("held", self.kinds)
+        self.kind = namedtuple("kind", self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [tuple(r[c] for c in self.names) for r in rows if r["us"] >= passed]  # what comes later than allowed is dropped
+        if new:
+            self.held.appendList(new)
+            at = self.names.index("us")
+            self.handle.registerTimer(min(r[at] for r in new) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fold, held = self.fold, [self.kind(*r) for r in self.held.get()]
+        due = sorted((r for r in held if r.us < passed), key=lambda r: tuple((getattr(r, c) is not None, getattr(r, c)) for c in fold.order))
+        rest = [r for r in held if r.us >= passed]
+        kept = self.kept.get() if self.kept.exists() else None
+        state, last = (fold.load(json.loads(kept[0])), kept[1]) if kept else (fold.start(), None)
+        out = []
+        for r in due:
+            state, made = _taken(fold, state, key[0], r)
+            out, last = out + made, r.us
+        if fold.lapse and last is not None and (gone := fold.lapse(state, key[0], passed)):
+            state = gone[0]
+            out += [gone[1]] if gone[1] is not None else []
+        if last is not None and fold.idle is not None and last + fold.idle < passed:
+            self.kept.clear()
+        elif due or fold.lapse:
+            self.kept.update((json.dumps(state, default=sorted), last))
+        if due:
+            self.held.clear()
+            if rest:
+                self.held.put([tuple(r) for r in rest])
+        if rest:
+            self.handle.registerTimer(min(r.us for r in rest) // 1000 + 1)
+        if due and fold.idle is not None:
+            self.handle.registerTimer((last + fold.idle) // 1000 + 1)
+        if fold.wake and (at := fold.wake(state)) is not None:
+            self.handle.registerTimer(at // 1000 + 1)
+        yield from (Row(**dict(zip(self.out, r, strict=True))) for r in out)
+
+    def close(self) -> None:
+        pass
+
+
+def _stream(df: DataFrame, fold: Fold, late: str) -> DataFrame:
+    kinds = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
+    timed = df.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late)
+    result = StructType.fromDDL(fold.result)
+    return timed.groupBy(fold.key).transformWithState(_Ordered(fold, df.columns, kinds, result.names), result, "append", "eventTime")
+
+
+def _timed(df: DataFrame, key: str, time: str, tie: str, **more: str) -> DataFrame:
+    return df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie, *[F.col(c).alias(n) for n, c in more.items()])
+
+
+def anchored_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int, most: int, late: str = "10 minutes") -> DataFrame:
     """Fixed windows that begin with the first event after the last one's end; events above ``most`` are rejected and change nothing."""
-    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+    rows = _timed(df, key, time, tie)
     span = seconds * 1_000_000
 
     def step(state: tuple | None, row: Any) -> tuple:
@@ -55,12 +186,12 @@ def anchored_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int, m
         return (begun, n + ok), (getattr(row, tie), getattr(row, key), bool(ok))
 
     kinds = {c: t for c, t in rows.dtypes}
-    return ordered_fold(rows, key, ["us", tie], lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean")
+    return folded(rows, Fold(key, ("us", tie), lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean", idle=span), late=late)
 
 
-def failure_block(df: DataFrame, key: str, time: str, tie: str, failed: str, most: int = 5, seconds: int = 900, block: int = 900) -> DataFrame:
+def failure_block(df: DataFrame, key: str, time: str, tie: str, failed: str, most: int = 5, seconds: int = 900, block: int = 900, late: str = "10 minutes") -> DataFrame:
     """``most`` failures within ``seconds`` block a key for ``block`` seconds; blocked events count for nothing."""
-    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie, F.col(failed).alias("failed"))
+    rows = _timed(df, key, time, tie, failed=failed)
 
     def step(state: tuple | None, row: Any) -> tuple:
         begun, n, until = state if state else (None, 0, 0)
@@ -74,12 +205,13 @@ def failure_block(df: DataFrame, key: str, time: str, tie: str, failed: str, mos
         return (begun, n, until), (getattr(row, tie), getattr(row, key), bool(blocked))
 
     kinds = {c: t for c, t in rows.dtypes}
-    return ordered_fold(rows, key, ["us", tie], lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, blocked boolean")
+    result = f"{tie} {kinds[tie]}, {key} {kinds[key]}, blocked boolean"
+    return folded(rows, Fold(key, ("us", tie), lambda: None, step, result, idle=max(seconds, block) * 1_000_000), late=late)
 
 
-def sliding_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int = 60, most: int = 12, in_all: int = 100) -> DataFrame:
+def sliding_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int = 60, most: int = 12, in_all: int = 100, late: str = "10 minutes") -> DataFrame:
     """Accepts an event if fewer than ``most`` were accepted in the ``seconds`` before it and fewer than ``in_all`` ever; rejected ones leave no trace."""
-    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+    rows = _timed(df, key, time, tie)
 
     def step(state: tuple, row: Any) -> tuple:
         recent, total = state
@@ -88,12 +220,12 @@ def sliding_limit(df: DataFrame, key: str, time: str, tie: str, seconds: int = 6
         return ((recent + [row.us], total + 1) if ok else (recent, total)), (getattr(row, tie), getattr(row, key), ok)
 
     kinds = {c: t for c, t in rows.dtypes}
-    return ordered_fold(rows, key, ["us", tie], lambda: ([], 0), step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean")
+    return folded(rows, Fold(key, ("us", tie), lambda: ([], 0), step, f"{tie} {kinds[tie]}, {key} {kinds[key]}, accepted boolean"), late=late)
 
 
-def throttled(df: DataFrame, key: str, time: str, tie: str, seconds: int = 1) -> DataFrame:
+def throttled(df: DataFrame, key: str, time: str, tie: str, seconds: int = 1, late: str = "10 minutes") -> DataFrame:
     """Of each key, events at least ``seconds`` after the last one let through."""
-    rows = df.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"), tie)
+    rows = _timed(df, key, time, tie)
 
     def step(last: int | None, row: Any) -> tuple:
         if last is not None and row.us - last < seconds * 1_000_000:
@@ -101,7 +233,40 @@ def throttled(df: DataFrame, key: str, time: str, tie: str, seconds: int = 1) ->
         return row.us, (getattr(row, tie), getattr(row, key))
 
     kinds = {c: t for c, t in rows.dtypes}
-    return ordered_fold(rows, key, ["us", tie], lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}")
+    return folded(rows, Fold(key, ("us", tie), lambda: None, step, f"{tie} {kinds[tie]}, {key} {kinds[key]}", idle=seconds * 1_000_000), late=late)
+
+
+#: States that a run never leaves.
+ENDED = ("COMPLETED", "FAILED", "CANCELLED")
+
+
+def leases(df: DataFrame, key: str, time: str, tie: str, state: str, running: str = "RUNNING", seconds: int = 120, attempts: int = 3, upto: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """Runs that were ``running`` without news for ``seconds``: ``key, us`` (when the lease ended), ``attempt`` and ``outcome``.
+
+    A run whose lease ends is queued again, or fails for good at its last
+    attempt; an attempt begins when a run starts running after another state.
+    Runs that have ended stay so.  In a batch, leases end up to ``upto``.
+    """
+    rows = _timed(df, key, time, tie, state=state)
+    span = seconds * 1_000_000
+
+    def step(now: tuple | None, row: Any) -> tuple:
+        was, _, attempt = now if now else (None, 0, 0)
+        if was in ENDED:
+            return (was, row.us, attempt), None
+        return (row.state, row.us, attempt + (row.state == running and was != running)), None
+
+    def lapse(now: tuple | None, name: Any, us: int) -> tuple | None:
+        if not now or now[0] != running or us <= now[1] + span:
+            return None
+        last = now[2] >= attempts
+        return ("FAILED" if last else "QUEUED", now[1], now[2]), (name, now[1] + span, now[2], "FAILED" if last else "QUEUED")
+
+    def wake(now: tuple | None) -> int | None:
+        return now[1] + span if now and now[0] == running else None
+
+    kinds = {c: t for c, t in rows.dtypes}
+    return folded(rows, Fold(key, ("us", tie), lambda: None, step, f"{key} {kinds[key]}, us bigint, attempt int, outcome string", lapse=lapse, wake=wake), upto, late)
 
 
 #: Where a text may be shown although it is short; fixed values.
@@ -145,10 +310,11 @@ def micro_batches(df: DataFrame, key: str, order: str, text: str, ms: str, least
     return out.select(F.col("k").alias(key), "seq", F.posexplode("chunks").alias("i", "chunk")).select(key, (F.col("seq") + F.col("i")).alias("seq"), "chunk")
 
 
-def evidence_rounds(df: DataFrame, key: str, order: list[str], record: str, digest: str, valid: str, most: int = 3) -> DataFrame:
+def evidence_rounds(df: DataFrame, key: str, order: list[str], record: str, digest: str, valid: str, most: int = 3, late: str = "10 minutes") -> DataFrame:
     """Rounds without new valid evidence; ``most`` in a row escalate a key for good.
 
-    A record or a digest counts once.  Returns ``order`` columns, ``key``,
+    A record or a digest counts once.  The first of ``order`` is ``us`` if rows
+    are a stream.  Returns ``order`` columns, ``key``,
     ``stale`` (rounds in a row without new evidence) and ``status``.
     """
     rows = df.select(F.col(key).alias("k"), *order, F.col(record).alias("record"), F.col(digest).alias("digest"), F.col(valid).alias("valid"))
@@ -165,7 +331,9 @@ def evidence_rounds(df: DataFrame, key: str, order: list[str], record: str, dige
 
     kinds = dict(rows.dtypes)
     head = ", ".join(f"{c} {kinds[c]}" for c in order)
-    return ordered_fold(rows, "k", order, lambda: (0, frozenset(), frozenset(), False), step, f"{head}, k {kinds['k']}, stale int, status string").withColumnRenamed("k", key)
+    load = lambda made: (made[0], frozenset(made[1]), frozenset(made[2]), made[3])
+    fold = Fold("k", tuple(order), lambda: (0, frozenset(), frozenset(), False), step, f"{head}, k {kinds['k']}, stale int, status string", load=load)
+    return folded(rows, fold, late=late).withColumnRenamed("k", key)
 
 
 def latest_state_stream(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -183,16 +351,67 @@ def file_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, which a single file can fit too
 
 
-def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
-    """Reads a stream of aggregates up to its present end and returns the rows as they then are.
+#: Keyed state with timers needs this store; the default one has no column families.
+_STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def append_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Reads a stream of results that are final once given (a fold's) up to its present end, and returns all that it has given.
+
+    Results and checkpoint lie in ``folder``: run again with the same one, it goes on where it stopped, and gives no row twice.
+    """
+    spark = stream.sparkSession
+    with _settings(spark, **_STATE_STORE):
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{folder}/rows") if VersionedTable.exists(spark, f"{folder}/rows/_spark_metadata") else spark.createDataFrame([], stream.schema)
+
 
-    The checkpoint lies in ``folder``: run again with the same one, it goes on where it stopped.
+def run_to_end(stream: DataFrame, folder: str, keys: list[str], buckets: int = 32) -> DataFrame:
+    """Reads a stream of aggregates up to its present end and returns the rows, one for each of ``keys``, as they then are.
+
+    Only rows whose aggregates changed in a batch reach the table in ``folder``,
+    and only the buckets that they fall into are written anew; table and batch
+    number are committed as one, so a batch that is repeated changes nothing.
+    Run again with the same folder, the stream goes on where it stopped.
     """
+    spark = stream.sparkSession
+    table = VersionedTable.open(spark, f"{folder}/table", stream.schema, keys, buckets)
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
+        table.upsert(rows, batch=batch)
 
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    spark = stream.sparkSession
-    last = spark.read.parquet(f"{folder}/state").agg(F.max("batch").alias("b")).first()["b"]
-    return spark.read.schema(stream.schema).parquet(f"{folder}/state/batch={last}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    table.vacuum(keep=2)
+    return table.read()
+
+
+class Reader:
+    """A reader of an event log that goes on from its own position: ``key`` and sequence of what it has read, kept in a versioned table."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, key_type: str, seq: str = "sequence"):
+        self.key, self.seq = key, seq
+        self.positions = VersionedTable.open(spark, folder, StructType.fromDDL(f"{key} {key_type}, {seq} bigint"), [key], 16)
+
+    def next(self, log: DataFrame, page: int = 100) -> DataFrame:
+        """The rows after the reader's position, at most ``page`` for each key."""
+        seen = self.positions.read().select(F.col(self.key).alias("_k"), F.col(self.seq).alias("_seen"))
+        new = log.join(seen, F.col(self.key).eqNullSafe(F.col("_k")), "left").where(F.col(self.seq) > F.coalesce("_seen", F.lit(0))).drop("_k")
+        # Sequences have no gaps beyond the position, so a page needs no sorting.
+        return new.where(F.col(self.seq) <= F.coalesce("_seen", F.lit(0)) + page).drop("_seen")
+
+    def done(self, rows: DataFrame) -> None:
+        """Moves the position past rows that have been dealt with; never back."""
+        self.positions.upsert(rows.groupBy(self.key).agg(F.max(self.seq).alias(self.seq)), version=self.seq)

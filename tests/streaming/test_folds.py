@@ -62,6 +62,6 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     schema = "k long, v string, seq long"
     spark.createDataFrame([(1, "queued", 1), (2, "queued", 1)], schema).write.parquet(log)
     stream = folds.latest_state_stream(folds.file_stream(spark, log, spark.read.parquet(log).schema), "k", "v", "seq")
-    assert {(r.k, r.v, r.n) for r in folds.run_to_end(stream, folder).collect()} == {(1, "queued", 1), (2, "queued", 1)}
+    assert {(r.k, r.v, r.n) for r in folds.run_to_end(stream, folder, ["k"]).collect()} == {(1, "queued", 1), (2, "queued", 1)}
     spark.createDataFrame([(1, "running", 2)], schema).write.mode("append").parquet(log)
-    assert {(r.k, r.v, r.n) for r in folds.run_to_end(stream, folder).collect()} == {(1, "running", 2), (2, "queued", 1)}
+    assert {(r.k, r.v, r.n) for r in folds.run_to_end(stream, folder, ["k"]).collect()} == {(1, "running", 2), (2, "queued", 1)}
