@@ -147,3 +147,14 @@ def mismatches(pairs: Sequence[tuple[str, DataFrame, Column, Column]]) -> DataFr
 def tagged(parts: Mapping[str, DataFrame], name: str) -> DataFrame:
     """Frames of one shape on top of one another, each with its tag in column ``name``."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(tag).alias(name), "*") for tag, df in parts.items()])
+
+
+def first_mismatch(relations: Mapping[str, tuple[DataFrame, Column, Column, str]]) -> DataFrame:
+    """``relation, id`` of the first relation, by name, with rows whose two sides differ, and the least id of these; no row if all agree.
+
+    Each relation gives one row, the least of its own, so nothing is sorted.
+    """
+    firsts = [rows.where(~a.eqNullSafe(b)).agg(F.min(F.col(key).cast("long")).alias("id")).select(F.lit(name).alias("relation"), "id") for name, (rows, a, b, key) in relations.items()]
+    made = reduce(DataFrame.unionByName, firsts).where("id is not null")
+    first = made.agg(F.min(F.struct("relation", "id")).alias("m")).where("m is not null")
+    return first.select("m.relation", "m.id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,18 @@ def search_tokens(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.when(text.rlike(r"\p{IsHan}"), F.concat(latin, han_ngrams(text, low, high))).otherwise(latin)
 
 
+def found_tokens(text: Column, tokens: Sequence[str], low: int = 2, high: int = 4) -> Column:
+    """Those of ``tokens`` that :func:`search_tokens` of a lower-cased text would give, without listing all of its tokens."""
+    latin = [t for t in tokens if re.fullmatch(r"[a-z0-9][a-z0-9._+\-]+", t)]
+    han = [t for t in tokens if low <= len(t) <= high and regex.fullmatch(r"\p{Han}+", t)]
+    out = []
+    if latin:  # the longest first: of tokens that begin alike only a whole one fits
+        any_of = "|".join(re.escape(t) for t in sorted(latin, key=len, reverse=True))
+        out.append(F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9._+\-])[._+\-]*({any_of})(?![a-z0-9._+\-])"), 1))
+    out += [F.when(F.contains(text, F.lit(t)), F.array(F.lit(t))).otherwise(F.array().cast("array<string>")) for t in han]
+    return F.array_distinct(F.concat(*out)) if out else F.array().cast("array<string>")
+
+
 def once(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once a row, however often later steps use them: a one-row generator stands between."""
     made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
@@ -72,8 +86,17 @@ def memory_similarity(cos: Column, baseline: Column, known: Column) -> Column:
     return F.when(cos.isNull(), 0.0).when(known == 1, alone).otherwise(several)
 
 
-def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], slices: int = 1024) -> DataFrame:
-    """Exact nearest-rank percentiles per key: ``keys`` and a column for each of ``quantiles``.
+#: The ranks of the middle: one for an odd number of values, two for an even one.
+MIDDLE = {"low": 0.5, "high": lambda n: F.floor(n / 2) + 1}
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The exact median of each key: ``keys`` and ``median``; keys without a value have none."""
+    return nearest_ranks(df, keys, value, MIDDLE).select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float | Callable[[Column], Column]], slices: int = 1024) -> DataFrame:
+    """Exact nearest-rank percentiles per key: ``keys`` and a column for each of ``quantiles``, shares or ranks made from the number of values.
 
     Equal values are counted first, then summed by ranges of a key's span; only
     the ranges that hold a wanted rank are put in order, each by itself, so a
@@ -82,10 +105,10 @@ def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices), F.lit(slices - 1))).otherwise(0)
-    placed = written(counts.join(span, list(keys)).select(*keys, "_v", "_c", "_n", cell.alias("_cell")))
+    placed = counts.join(span, list(keys)).select(*keys, "_v", "_c", "_n", cell.alias("_cell"))  # small once counted, and exchanged once
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1)).alias("rank")) for n, q in quantiles.items()]))
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (q(F.col("_n")) if callable(q) else F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1))).alias("rank")) for n, q in quantiles.items()]))
     wanted = sums.select(*keys, "_cell", "_s", "_before", ranks.alias("_r")).where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_before") + F.col("_s")))
     found = placed.join(wanted.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v"))
@@ -95,24 +118,35 @@ def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_r.name") == n, F.col("_v"))).alias(n) for n in quantiles])
 
 
+#: Classes that share one unit and stand in one block of it.
+UNIT_BLOCK = 256
+
+
 def near_duplicate_classes(notes: DataFrame, keys: Sequence[str], id_col: str, note: str) -> DataFrame:
     """Per row ``id_col, class_id`` (the least id of an equal note under the same keys) and ``links`` (other classes that tell the same).
 
     ``note`` is a canonical text.  Classes are compared, not rows.  Two classes
     meet only if they share polarity, numbers and one of each one's rarest
-    units: as many as a pair above the threshold can't do without.
+    units, as many as a pair above the threshold can't do without, and if their
+    sizes are within a fifth; what shares a frequent unit meets in blocks of
+    about ``UNIT_BLOCK``, each pair of blocks in a task of its own.
     """
     rows = notes.select(id_col, *keys, F.sha2(note, 256).alias("same"), F.col(note).alias("note"))
     classes = rows.groupBy(*keys, "same").agg(F.min(id_col).alias("class_id"), F.first("note").alias("note"))
     signed = written(once(classes, [*keys, "class_id"], sig=note_signature(F.col("note"))).where(F.size("sig.units") >= 3))
-    unit = signed.select(*keys, "class_id", F.size("sig.units").alias("n"), F.xxhash64(F.col("sig.negative").cast("int"), "sig.numbers").alias("like"), F.explode("sig.units").alias("unit"))
-    frequent = unit.groupBy(*keys, "like", "unit").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = unit.join(frequent, [*keys, "like", "unit"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    like = F.xxhash64(*keys, F.col("sig.negative").cast("int"), "sig.numbers")
+    unit = signed.select("class_id", F.size("sig.units").alias("n"), like.alias("like"), F.explode("sig.units").alias("unit"))
+    frequent = unit.groupBy("like", "unit").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = unit.join(frequent, ["like", "unit"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "unit"))
     prefix = shared.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1) & (F.col("df") > 1))
-    mark = prefix.select(*keys, "like", "unit", "n", F.col("class_id").alias("x"))
-    other = prefix.select(*keys, "like", "unit", F.col("n").alias("m"), F.col("class_id").alias("y"))
-    near = mark.join(other, [*keys, "like", "unit"]).where("x < y and least(n, m) >= 0.8 * greatest(n, m)").select("x", "y").distinct()
+    # Sizes within a fifth fall into the same or neighbouring steps of a quarter.
+    blocks = F.ceil(F.col("df") / UNIT_BLOCK).cast("int")
+    placed = prefix.select("like", "unit", "n", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("step"))
+    mark = placed.select("like", "unit", "n", F.col("class_id").alias("x"), "step", "block")
+    other = placed.select("like", "unit", F.col("n").alias("m"), F.col("class_id").alias("y"), F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), "blocks")
+    other = other.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
+    near = mark.join(other, ["like", "unit", "step", "block"]).where("x < y and least(n, m) >= 0.8 * greatest(n, m)").select("x", "y").distinct()
     sig = signed.select("class_id", "sig")
     both = near.join(sig.select(F.col("class_id").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("class_id").alias("y"), F.col("sig").alias("sy")), "y")
     linked = both.where(near_duplicate(F.col("sx"), F.col("sy"))).select(F.explode(F.array("x", "y")).alias("class_id"))
@@ -121,6 +155,32 @@ def near_duplicate_classes(notes: DataFrame, keys: Sequence[str], id_col: str, n
     return named.select(id_col, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def newest(df: DataFrame, time: str, tie: str, k: int, slices: int = 1024) -> DataFrame:
+    """The ``k`` rows of the greatest ``time`` (a number), ties by ascending ``tie``; rows without a time are none of them.
+
+    The k-th value is found by counting ranges, so no task sees all rows; only
+    rows of that very value are put in order, and no more than ``k`` of these.
+    """
+    rows = df.where(F.col(time).isNotNull())
+    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+    n, lo, hi, above = span["n"], span["lo"], span["hi"], 0  # ``above``: rows beyond ``hi``
+    if n <= k:
+        return rows
+    while hi > lo:
+        width = (float(hi) - float(lo)) / slices
+        cell = F.least(F.floor((F.col(time).cast("double") - float(lo)) / width), F.lit(slices - 1))
+        parts = rows.where(F.col(time).between(lo, hi)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")).orderBy(F.desc("c")).collect()  # at most ``slices`` rows
+        for p in parts:
+            if above + p["n"] >= k:
+                break
+            above += p["n"]
+        if (p["lo"], p["hi"]) == (lo, hi):
+            break
+        lo, hi = p["lo"], p["hi"]
+    last = rows.where(F.col(time).between(lo, hi)).orderBy(F.desc(time), tie).limit(k - above)
+    return rows.where(F.col(time) > hi).unionByName(last)
+
+
 def median_of(df: DataFrame, score: str, slices: int = 512) -> float:
     """The exact median of a column, 0 if it has no value.
 
@@ -164,7 +224,8 @@ def half_up(x: Column, digits: int) -> Column:
 
 
 def with_baseline(df: DataFrame, score: str) -> DataFrame:
-    """``df`` with the median of ``score`` over all rows."""
+    """``df`` with the median of ``score`` over all rows; what led to them runs once."""
+    df = written(df)
     return df.withColumn("baseline", F.lit(median_of(df, score)))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vector
-from tessera.operators import graph, relational, retrieval
+from tessera.operators import graph, relational, retrieval, stages
+from tessera.operators.postings import Postings
 
 from .analytics import Tables, query
 
@@ -36,16 +37,15 @@ def _lexical_sql(q: str, rows: str = "documents", more: str = "") -> str:
     return f"(select doc_id{more}, cast({score} as bigint) as score, array_to_string({matched}, ' ') as matched from (select doc_id{more}, {hits} from {rows}))"
 
 
-def _lexical(docs: DataFrame, keep: list[str], q: Column) -> DataFrame:
-    """Title, facts, tags and content of a document: its first 40 characters, the next 120, its language and source, and all of it."""
+def _fields() -> dict[str, tuple[Column, int]]:
+    """Title, facts, tags and content of a document, and their weights: its first 40 characters, the next 120, its language and source, and all of it."""
     low = F.lower("text")
-    field = {
-        "title": (retrieval.search_tokens(F.substring(low, 1, 40)), 5),
-        "tags": (retrieval.search_tokens(F.lower(F.concat_ws(" ", "lang", "source"))), 8),
-        "facts": (retrieval.search_tokens(F.substring(low, 41, 120)), 4),
-        "content": (retrieval.search_tokens(low), 1),
-    }
-    return retrieval.lexical_matches(docs, keep, field, q)
+    return {"title": (F.substring(low, 1, 40), 5), "tags": (F.lower(F.concat_ws(" ", "lang", "source")), 8), "facts": (F.substring(low, 41, 120), 4), "content": (low, 1)}
+
+
+def _lexical(docs: DataFrame, keep: list[str | Column], q: tuple[str, ...]) -> DataFrame:
+    found = {n: (retrieval.found_tokens(c, q), w) for n, (c, w) in _fields().items()}
+    return retrieval.lexical_matches(docs, keep, found, F.array(*[F.lit(x) for x in q]))
 
 
 _Q_SQL = "[" + ", ".join(f"'{t}'" for t in _QUERY) + "]"
@@ -54,14 +54,28 @@ _CONF_SQL = "floor(least(score / 48.0, 1) * 1000 + 0.5) / 1000"
 
 @query(f"select doc_id, score, matched, {_CONF_SQL} as confidence from {_lexical_sql(_Q_SQL)} where score >= 12")
 def lexical_rank_fields(t: Tables) -> DataFrame:
-    s = _lexical(t.documents, ["doc_id"], F.array(*[F.lit(x) for x in _QUERY]))
+    s = _lexical(t.documents, ["doc_id"], _QUERY)
     return retrieval.ranked(s, "doc_id", most=None).select("doc_id", "score", F.array_join("matched", " ").alias("matched"), "confidence")
 
 
+def _index(t: Tables) -> Postings:
+    """The stored index of the documents' fields, and of their words between blanks."""
+    tokens = {n: F.when(F.col("text").isNotNull(), retrieval.search_tokens(c)) for n, (c, _) in _fields().items()}
+    words = {"fts": F.split(F.lower("text"), r"\s+"), "alias": F.array(F.lower("source")), "facet": F.array(F.lower("lang"))}
+    return Postings.build(t.documents, stages.shared_folder(t.spark), "doc_id", tokens | words, revision=t.sf_dir)
+
+
+@query(f"select doc_id, score, matched from {_lexical_sql(_Q_SQL, '(select * from documents where text is not null)')} where score >= 6")
+def indexed_rank(t: Tables) -> DataFrame:
+    """Lexical scores from the stored index: once it is there, a query reads its own terms' buckets and no text."""
+    found = _index(t).lexical(_QUERY, {n: w for n, (_, w) in _fields().items()}).where("score >= 6")
+    return found.select(F.col("id").alias("doc_id"), "score", F.array_join("matched", " ").alias("matched"))
+
+
 @query(f"with s as {_lexical_sql(_Q_SQL)}, k as (select case when max(score) >= 12 then 12 else 6 end as least_score from s) select doc_id, score, {_CONF_SQL} as confidence from s, k where score >= least_score order by score desc, doc_id limit 5")
 def lexical_top_five(t: Tables) -> DataFrame:
     """The five best of 12 points or more; if none has that many, of 6 or more."""
-    s = _lexical(t.documents, ["doc_id"], F.array(*[F.lit(x) for x in _QUERY])).where("score >= 6")
+    s = _lexical(t.documents, ["doc_id"], _QUERY).where("score >= 6")
     top = retrieval.ranked(s, "doc_id", least=6)
     best = F.max("score").over(Window.partitionBy(F.lit(1)))
     return top.withColumn("best", best).where((F.col("score") >= 12) | (F.col("best") < 12)).select("doc_id", "score", "confidence")
@@ -80,11 +94,12 @@ _HYBRID_SQL = f"""with q as (select embedding::double[] as qe from embeddings wh
 def hybrid_rank(t: Tables) -> DataFrame:
     """Similarity to one vector above the median, mixed with the lexical score of the document of the same id."""
     q = F.broadcast(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("qe")).limit(1))
-    lex = _lexical(t.documents, [F.col("doc_id").alias("vec_id")], F.array(*[F.lit(x) for x in _QUERY]))
+    lex = _lexical(t.documents, [F.col("doc_id").alias("vec_id")], _QUERY)
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vector.cosine(F.col("qe"), F.col("embedding"))))
     s = t.embeddings.crossJoin(q).select("vec_id", cos.alias("cos")).join(lex, "vec_id", "left")
     s = s.select("vec_id", "cos", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("lex"), F.coalesce(F.array_join("matched", " "), F.lit("")).alias("matched"))
-    base = retrieval.median_of(t.embeddings.crossJoin(q).select(cos.alias("cos")), "cos")
+    s = stages.written(s)  # similarities and points are worked out once, however often the median looks at them
+    base = retrieval.median_of(s, "cos")
     c = s.withColumn("cal", retrieval.calibrated(F.col("cos"), F.lit(base)))
     good = c.where(retrieval.relevant(F.col("cal"), F.col("lex")))
     return good.select("vec_id", F.floor(100 * retrieval.combined(F.col("cal"), F.col("lex")) + 0.5).cast("long").alias("score"), "matched", retrieval.method(F.col("lex"), F.col("cal"), 6, 0.12).alias("method"))
@@ -156,7 +171,9 @@ def memory_rank_hybrid(t: Tables) -> DataFrame:
     j = m.join(q, "label").where("vec_id <> q.vec_id")
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vector.cosine(F.col("q.embedding"), F.col("embedding"))))
     s = retrieval.once(j, ["label", "vec_id", "salience", "age"], cos=cos, lex=retrieval.memory_overlap(F.col("q.body"), F.col("body")))
-    b = s.groupBy("label").agg(F.median("cos").alias("base"), F.count("cos").alias("known"))
+    s = stages.written(s)
+    known = s.groupBy("label").agg(F.count("cos").alias("known"))
+    b = known.join(retrieval.medians(s, ["label"], "cos").withColumnRenamed("median", "base"), "label", "left")
     s = s.join(b, "label").withColumn("sem", retrieval.memory_similarity(F.col("cos"), F.col("base"), F.col("known"))).where("sem >= 0.08 or lex > 0")
     conf = F.round((0.78 * F.col("sem") + 0.17 * F.least(F.lit(1.0), F.col("lex") / 24.0) + 0.04 * F.col("salience") / 10.0) * retrieval.recency(F.col("age")), 6)
     made = s.select("label", "vec_id", conf.alias("confidence"), retrieval.method(F.col("lex"), F.col("sem"), 1, 0.08).alias("method"))
@@ -173,7 +190,7 @@ def multimodal_fusion(t: Tables) -> DataFrame:
     """Picture and text channels of active entries of a topic; a third of the entries has both, a third each only one."""
     q = F.broadcast(t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("qe")).limit(1))
     active = t.documents.where(F.col("lang").isin("en", "fr"))
-    lex = _lexical(active, [F.col("doc_id").alias("vec_id")], F.array(*[F.lit(x) for x in _QUERY])).select("vec_id", F.col("score").alias("lex"))
+    lex = _lexical(active, [F.col("doc_id").alias("vec_id")], _QUERY).select("vec_id", F.col("score").alias("lex"))
     s = t.embeddings.crossJoin(q).select("vec_id", vector.cosine(F.col("qe"), F.col("embedding")).alias("cos")).join(lex, "vec_id")
     channel = F.col("vec_id") % 3
     txt = F.when(channel != 1, F.least(F.lit(1.0), 0.65 * F.greatest(F.lit(0.0), F.col("cos")) + 0.35 * F.least(F.lit(1.0), F.col("lex") / 48.0)))
@@ -198,6 +215,13 @@ def seed_search(t: Tables) -> DataFrame:
     return made.select("doc_id", F.array_join("modes", ",").alias("matched_by"))
 
 
+@query("with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as fts, lower(source) as alias, lower(lang) as facet from documents), h as (select doc_id, case when " + " or ".join(f"list_contains(fts, '{x}')" for x in _SEED_TOKENS) + " then 'FTS' end as f, case when alias in ('fr', 'src3', 'and') then 'ALIAS' end as a, case when facet in ('fr', 'src3', 'and') then 'FACET' end as c from d) select doc_id, concat_ws(',', a, c, f) as matched_by from h where coalesce(a, c, f) is not null")
+def indexed_seed_search(t: Tables) -> DataFrame:
+    """As :func:`seed_search`, from the stored index."""
+    hits = _index(t).lookup(_SEED_TOKENS).where(F.col("field").isin("fts", "alias", "facet"))
+    return hits.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set(F.upper("field"))), ",").alias("matched_by"))
+
+
 @query(r"with w as (select conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9._+\-]{2,}')), lambda x: x not in ('the', 'and', 'for', 'with', 'how', 'what')) as tok, lag(lower(text)) over (partition by conv_id order by turn) as corpus from conversations) select conv_id, turn, cast(len(tok) as bigint) as tokens, len(tok) >= 2 and len(list_filter(tok, lambda x: contains(corpus, x))) = 0 as vetoed from w where corpus is not null")
 def technical_veto(t: Tables) -> DataFrame:
     """A question of two technical words or more, none of which the found texts hold, gets no answer."""
@@ -226,15 +250,24 @@ def source_minimisation(t: Tables) -> DataFrame:
 _NOTE_SQL = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
 
-@query(rf"""with d as (select doc_id, lang, source, {_NOTE_SQL} as c from documents where text is not null),
- s as (select lang, source, c, min(doc_id) as class_id, regexp_matches(c, '{text.NEGATIVE}') as neg, regexp_extract_all(c, '\d+(?:\.\d+)?') as num, list_distinct(regexp_extract_all(c, '[a-z0-9][a-z0-9._+\-]*')) as units from d group by 1, 2, 3),
- p as (select a.class_id as x, b.class_id as y, len(list_intersect(a.units, b.units)) as k, len(a.units) as n, len(b.units) as m from s a join s b on a.lang = b.lang and a.source = b.source and a.class_id < b.class_id and a.neg = b.neg and a.num = b.num where least(len(a.units), len(b.units)) >= 3),
- l as (select x, y from p where k / least(n, m) >= 0.9 and k / (n + m - k) >= 0.8),
+#: Letters as Han characters, so that a third of the texts is Han.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "光影动画城市声音色彩节奏空间时序材料触觉剧场故事"
+_SAID_SQL = f"case when doc_id % 3 = 0 then translate(lower(text), '{_LETTERS}', '{_HAN}') else text end"
+_CORE_SQL = rf"regexp_replace(regexp_replace(c, '{text.FILLER}', '', 'g'), '[\p{{P}}\p{{S}}\s]', '', 'g')"
+
+
+@query(rf"""with d as (select doc_id, lang, source, lower(trim(regexp_replace({_SAID_SQL}, '\s+', ' ', 'g'))) as c from documents where text is not null),
+ k as (select lang, source, c, min(doc_id) as class_id, {_CORE_SQL} as core from d group by 1, 2, 3),
+ s as (select *, regexp_matches(c, '{text.NEGATIVE}') as neg, regexp_extract_all(c, '\d+(?:\.\d+)?') as num, list_distinct(regexp_extract_all(core, '[a-z0-9]+') || regexp_extract_all(core, '\p{{Han}}')) as units,
+  list_distinct(flatten(list_transform(regexp_extract_all(core, '\p{{Han}}{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: r[i:i + 1])))) as pairs from k),
+ p as (select a.class_id as x, b.class_id as y, len(list_intersect(a.units, b.units)) as k, len(a.units) as n, len(b.units) as m, len(list_intersect(a.pairs, b.pairs)) as pk, least(len(a.pairs), len(b.pairs)) as pl from s a join s b on a.lang = b.lang and a.source = b.source and a.class_id < b.class_id and a.neg = b.neg and a.num = b.num where least(len(a.units), len(b.units)) >= 3 and least(len(a.units), len(b.units)) >= 0.8 * greatest(len(a.units), len(b.units))),
+ l as (select x, y from p where k / least(n, m) >= 0.9 and k / (n + m - k) >= 0.8 and (pl < 2 or pk / pl >= 0.8)),
  c as (select class_id, count(*) as links from (select x as class_id from l union all select y from l) group by 1)
  select doc_id, s.class_id, coalesce(links, 0) as links from d join s using (lang, source, c) left join c on c.class_id = s.class_id""")
 def near_duplicates(t: Tables) -> DataFrame:
-    """Within a language and source: each text's class of equal texts, and how many other classes tell the same."""
-    c = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    """Within a language and source: each text's class of equal texts, and how many other classes tell the same; a third of the texts in Han characters."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.translate(F.lower("text"), _LETTERS, _HAN)).otherwise(F.col("text"))
+    c = F.lower(F.trim(F.regexp_replace(said, r"\s+", " ")))
     notes = t.documents.where("text is not null").select("doc_id", "lang", "source", c.alias("note"))
     return retrieval.near_duplicate_classes(notes, ["lang", "source"], "doc_id", "note")
 
@@ -276,23 +309,34 @@ def hint_levels(t: Tables) -> DataFrame:
     return h.join(n, "user_id", "left").select("user_id", level.alias("level"), "evidence")
 
 
-_ASKED = "why did the purchase in the checkout fail with 42 and red light"
+#: What is asked of each third of the users: of a fault, of none that any fact fits, and of one that no fact fits.
+_ASKED = ("why did the purchase in the checkout fail with 42 and red light", "which colours does the poster have", "ＣＨＥＣＫＯＵＴ 没反应, nothing else")
+#: Words of a question that looks for a fault.
+FAULT_WORDS = ("不动", "没反应", "没有变化", "未变化", "故障", "排查")
+_ASKED_SQL = "(case user_id % 3 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(("why did the purchase in the checkout fail with 42 and red light", "which colours does the poster have", "checkout 没反应, nothing else"))) + " end)"
 
 
-@query(f"""with f as (select user_id, event_id, case when value > 50 then 1 else 0 end + case when contains('{_ASKED}', event_type) then 8 else 0 end + 4 * (case when event_type = 'error' and contains('{_ASKED}', 'fail') then 1 else 0 end + case when event_type = 'error' and contains('{_ASKED}', 'crash') then 1 else 0 end + case when event_type = 'view' and contains('{_ASKED}', 'light') then 1 else 0 end) + least(3, len(list_filter(regexp_extract_all(lower('the ' || event_type || ' light was ' || props), '[a-z][a-z0-9._+\\-]{{2,}}'), lambda x: contains('{_ASKED}', x)))) as score from events),
+@query(f"""with q as (select *, {_ASKED_SQL} as asked, 'the ' || event_type || ' light was ' || props || case when event_id % 2 = 0 then ' 画面没反应' else '' end as statement from events),
+ f as (select user_id, event_id, asked, case when value > 50 then 1 else 0 end + case when contains(asked, event_type) then 8 else 0 end + 4 * (case when event_type = 'error' and contains(asked, 'fail') then 1 else 0 end + case when event_type = 'error' and contains(asked, 'crash') then 1 else 0 end + case when event_type = 'view' and contains(asked, 'light') then 1 else 0 end) + least(3, len(list_filter(regexp_extract_all(lower(statement), '[a-z][a-z0-9._+\\-]{{2,}}|\\p{{Han}}{{2,6}}'), lambda x: contains(asked, x)))) as score from q),
  d as (select *, max(score) over (partition by user_id) >= 4 as direct from f)
- select user_id, event_id, cast(score as bigint) as score from d where score >= 4 or not direct qualify row_number() over (partition by user_id order by score desc, event_id desc) <= 5""")
+ select user_id, event_id, cast(score as bigint) as score from d where score >= 4 or (not direct and user_id % 3 = 2) qualify row_number() over (partition by user_id order by score desc, event_id desc) <= 5""")
 def evidence_fact_rank(t: Tables) -> DataFrame:
-    """The five facts of each user that a question asks for: checked ones, named labels, hints at their layer, shared words; all of them if it asks for a fault and none fits."""
-    asked = F.lit(_ASKED)
+    """The five facts of each user that a question asks for: checked ones, named labels, hints at their layer, shared words.
+
+    If none fits well, all of them stand for a question that looks for a fault, and none for any other.
+    """
+    asked = F.lower(text.nfkc(F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("user_id") % 3 + 1).cast("int"))))
     hints = {"error": ("fail", "crash"), "view": ("light",)}
+    statement = F.concat(F.lit("the "), "event_type", F.lit(" light was "), "props", F.when(F.col("event_id") % 2 == 0, " 画面没反应").otherwise(""))
+    rows = retrieval.once(t.events, ["user_id", "event_id", "event_type", "value"], asked=asked, words=F.regexp_extract_all(F.lower(statement), F.lit(r"([a-z][a-z0-9._+\-]{2,}|\p{IsHan}{2,6})"), 1))
+    asked = F.col("asked")
     layer = sum((F.when((F.col("event_type") == k) & F.contains(asked, F.lit(h)), 4).otherwise(0) for k, hs in hints.items() for h in hs), F.lit(0))
-    words = F.regexp_extract_all(F.lower(F.concat(F.lit("the "), "event_type", F.lit(" light was "), "props")), F.lit(r"([a-z][a-z0-9._+\-]{2,})"), 1)
-    shared = F.least(F.lit(3), F.size(F.filter(words, lambda x: F.contains(asked, x))))
+    shared = F.least(F.lit(3), F.size(F.filter("words", lambda x: F.contains(F.col("asked"), x))))
     score = F.when(F.col("value") > 50, 1).otherwise(0) + F.when(F.contains(asked, F.col("event_type")), 8).otherwise(0) + layer + shared
-    rows = retrieval.once(t.events, ["user_id", "event_id"], score=score.cast("long"))
-    rows = rows.withColumn("best", F.max("score").over(Window.partitionBy("user_id"))).where("score >= 4 or best < 4")
-    return relational.latest_per_key(rows, ["user_id"], [F.desc("score"), F.desc("event_id")], 5).select("user_id", "event_id", "score")
+    fault = asked.rlike("|".join(FAULT_WORDS))
+    scored = retrieval.once(rows, ["user_id", "event_id"], score=score.cast("long"), fault=fault)
+    kept = scored.withColumn("best", F.max("score").over(Window.partitionBy("user_id"))).where("score >= 4 or (best < 4 and fault)")
+    return relational.latest_per_key(kept, ["user_id"], [F.desc("score"), F.desc("event_id")], 5).select("user_id", "event_id", "score")
 
 
 # Reviewed links: pages are users, links join the users of neighbouring events.

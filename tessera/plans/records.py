@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import records, relational, stages
+from tessera.operators import records, relational, retrieval, stages
 from tessera.streaming import folds
 
 from .analytics import STATUSES, Tables, query
@@ -404,15 +404,46 @@ def state_mismatches(t: Tables) -> DataFrame:
     return records.mismatches(pairs)
 
 
-_BRANCHES = (("F", "1-URGENT"), ("O", "1-URGENT"), ("P", "1-URGENT"), ("F", "2-HIGH"), ("O", "2-HIGH"), ("P", "2-HIGH"), ("F", "5-LOW"), ("O", "5-LOW"), ("P", "5-LOW"), ("X", "5-LOW"))
+#: Ten relations in the order in which they are checked: parent and child, how they are joined, what must agree, and the child's id.
+_RELATIONS_SQL = (
+    ("A_ORDER", "orders join customer on c_custkey = o_custkey where c_custkey <> o_custkey", "o_orderkey"),
+    ("B_LINE", "lineitem join orders on o_orderkey = l_orderkey where l_orderkey <> o_orderkey", "l_orderkey"),
+    ("C_NATION", "nation join region on r_regionkey = n_regionkey where r_name is null", "n_nationkey"),
+    ("D_SUPPLIER", "supplier join nation on n_nationkey = s_nationkey where n_regionkey > 99", "s_suppkey"),
+    ("E_PART", "lineitem join part on p_partkey = l_partkey where (l_quantity > 49) <> (p_size > 49) and l_discount > 0.08", "l_orderkey"),
+    ("F_STATE", "lineitem join orders on o_orderkey = l_orderkey where l_linestatus <> o_orderstatus", "l_orderkey"),
+    ("G_OWNER", "orders join customer on c_custkey = o_custkey where (c_acctbal > 0) <> (o_totalprice > 200000)", "o_orderkey"),
+    ("H_LABEL", "labels l join documents d on d.doc_id = l.doc_id where (quality = 1) <> (n_chars > 500)", "l.doc_id"),
+    ("I_USER", "events join customer on c_custkey = user_id where (value > 50) <> (c_acctbal > 0)", "event_id"),
+    ("J_SUPPLY", "lineitem join supplier on s_suppkey = l_suppkey where (l_tax > 0.05) <> (s_acctbal > 0)", "l_orderkey"),
+)
 
 
-@query("select relation, id from (" + " union all ".join(f"select 'R{i}_{s}' as relation, o_orderkey as id from orders join customer on c_custkey = o_custkey where o_orderstatus = '{s}' and o_orderpriority = '{p}' and (c_acctbal > 0) <> (o_totalprice > 200000)" for i, (s, p) in enumerate(_BRANCHES)) + ") order by relation, id limit 1")
+@query("select relation, id from (" + " union all ".join(f"select '{n}' as relation, {i} as id from {j}" for n, j, i in _RELATIONS_SQL) + ") order by relation, id limit 1")
 def first_mismatch(t: Tables) -> DataFrame:
-    """The first of ten kinds of rows whose parent disagrees with them."""
-    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).where((F.col("c_acctbal") > 0) != (F.col("o_totalprice") > 200000))
-    parts = {f"R{i}_{s}": j.where((F.col("o_orderstatus") == s) & (F.col("o_orderpriority") == p)).select(F.col("o_orderkey").alias("id")) for i, (s, p) in enumerate(_BRANCHES)}
-    return records.tagged(parts, "relation").orderBy("relation", "id").limit(1)
+    """The first of ten relations in which a row disagrees with its parent, and the least such row."""
+    c = F.col
+    labelled = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    made = {
+        "A_ORDER": (t.orders.join(t.customer, c("c_custkey") == c("o_custkey")), c("o_custkey"), c("c_custkey"), "o_orderkey"),
+        "B_LINE": (t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey")), c("l_orderkey"), c("o_orderkey"), "l_orderkey"),
+        "C_NATION": (t.nation.join(t.region, c("r_regionkey") == c("n_regionkey")), c("r_name").isNull(), F.lit(False), "n_nationkey"),
+        "D_SUPPLIER": (t.supplier.join(t.nation, c("n_nationkey") == c("s_nationkey")), c("n_regionkey") > 99, F.lit(False), "s_suppkey"),
+        "E_PART": (t.lineitem.where("l_discount > 0.08").join(t.part, c("p_partkey") == c("l_partkey")), c("l_quantity") > 49, c("p_size") > 49, "l_orderkey"),
+        "F_STATE": (t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey")), c("l_linestatus"), c("o_orderstatus"), "l_orderkey"),
+        "G_OWNER": (t.orders.join(t.customer, c("c_custkey") == c("o_custkey")), c("c_acctbal") > 0, c("o_totalprice") > 200000, "o_orderkey"),
+        "H_LABEL": (labelled, c("quality") == 1, c("n_chars") > 500, "doc_id"),
+        "I_USER": (t.events.join(t.customer, c("c_custkey") == c("user_id")), c("value") > 50, c("c_acctbal") > 0, "event_id"),
+        "J_SUPPLY": (t.lineitem.join(t.supplier, c("s_suppkey") == c("l_suppkey")), c("l_tax") > 0.05, c("s_acctbal") > 0, "l_orderkey"),
+    }
+    return records.first_mismatch(made)
+
+
+@query("select user_id, event_type, epoch_us(max(ts)) as us from events group by 1, 2 order by us desc, user_id * 10 + length(event_type) limit 150")
+def newest_buckets(t: Tables) -> DataFrame:
+    """Of all limiter buckets (a user and a kind of event) the 150 seen last; the others are evicted."""
+    seen = t.events.groupBy("user_id", "event_type").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("us")).withColumn("tie", F.col("user_id") * 10 + F.length("event_type"))
+    return retrieval.newest(stages.written(seen), "us", "tie", 150).select("user_id", "event_type", "us")
 
 
 _DRAFT_SQL = "(select o_orderkey as id, o_custkey % 7 as revision, md5(o_orderpriority) as digest, case when o_orderkey % 2 = 0 then 'REVIEW' else 'DRAFT' end as stage from orders)"

@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -41,12 +42,53 @@ def test_memory_scores(spark):
 
 
 def test_near_duplicate_classes_keep_copies_together(spark):
-    t = "red ink flows over the old paper while nobody is looking at it"
-    rows = [(i, "k", t) for i in range(40)] + [(50, "k", t + " now"), (51, "k", t.replace("red ink flows", "no blue water runs")), (52, "j", t), (53, "k", "quite another text of some words")]
+    t = "红色墨水流过旧纸张而行人看着"
+    rows = [(i, "k", t) for i in range(40)] + [(50, "k", t + " 呢"), (51, "k", t.replace("而", "不想")), (52, "j", t), (53, "k", "完全另一段文字内容")]
     got = {r.id: (r.class_id, r.links) for r in retrieval.near_duplicate_classes(spark.createDataFrame(rows, "id long, key string, note string"), ["key"], "id", "note").collect()}
     assert {got[i] for i in range(40)} == {(0, 1)} and got[50] == (50, 1) and got[52] == (52, 0) and got[53] == (53, 0)
 
 
+def test_near_duplicate_classes_over_hot_units(spark, monkeypatch):
+    """Units that all classes have meet in blocks; no pair is lost."""
+    from tessera.functions import text
+
+    monkeypatch.setattr(retrieval, "UNIT_BLOCK", 3)
+    r = random.Random(9)
+    common, rare = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉"
+    notes = ["".join(common[: r.choice([8, 9, 10])]) + "".join(r.sample(rare, r.choice([0, 1, 1]))) for _ in range(70)]
+    rows = [(i, "k", n) for i, n in enumerate(notes)]
+    got = {x.id: (x.class_id, x.links) for x in retrieval.near_duplicate_classes(spark.createDataFrame(rows, "id long, key string, note string"), ["key"], "id", "note").collect()}
+    first = {n: notes.index(n) for n in notes}
+    pairs = spark.createDataFrame([(a, b) for a in first for b in first if first[a] < first[b]], "a string, b string")
+    same = pairs.where(text.near_duplicate(text.note_signature(F.col("a")), text.note_signature(F.col("b")))).collect()
+    links = {n: 0 for n in first}
+    for p in same:
+        links[p.a] += 1
+        links[p.b] += 1
+    assert got == {i: (first[n], links[n]) for i, n in enumerate(notes)} and sum(links.values()) > 40
+
+
+def test_found_tokens_are_those_of_the_whole_list(spark):
+    words = ("ab", "a.b", "ab-", "b1", "光影", "光", "影动画", "x+y", "光影动画城", "b")
+    texts = ["ab a.b", "-ab .ab-", "..ab", "xab ab1 b1", "光影动画城市 b1", "x+y x+y+", "a.b.", "ab\nab", "", "é-ab é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select("t", F.array_sort(retrieval.found_tokens(F.col("t"), words)).alias("a"), F.array_sort(F.array_intersect(F.array(*map(F.lit, words)), retrieval.search_tokens(F.col("t")))).alias("b")).collect()
+    assert all(r.a == r.b for r in made) and sum(bool(r.a) for r in made) > 6
+
+
+def test_newest_and_medians(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice([5, 5, 5, r.randrange(10**12), -3, None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    ordered = sorted((x for x in rows if x[1] is not None), key=lambda x: (-x[1], x[0]))
+    for k in (1, 40, 333, 700, 5000):
+        assert {x.id for x in retrieval.newest(df, "v", "id", k, slices=7).collect()} == {i for i, _ in ordered[:k]}, k
+    keyed = spark.createDataFrame([(k, float(r.randrange(50))) for k in (1, 2, 2, 3, 3, 3, 4) for _ in range(5)] + [(9, None)], "k long, v double")
+    want = {x.k: x.m for x in keyed.groupBy("k").agg(F.median("v").alias("m")).collect() if x.m is not None}
+    assert {x.k: x.median for x in retrieval.medians(keyed, ["k"], "v").collect()} == want
+
+
+
 def test_paths_do_not_cross_hidden_pages(spark):
     pages = spark.createDataFrame([(x,) for x in "abcde"], "page string")
     links = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "a", "c"), (4, "c", "d"), (5, "a", "h"), (6, "h", "e"), (7, "a", "a")], "link long, a string, b string")
