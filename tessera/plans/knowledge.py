@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text, vector
+from tessera.functions import statements, text, vector
 from tessera.operators import graph, relational, retrieval, stages
 from tessera.operators.postings import Postings
 
@@ -112,6 +112,24 @@ def hybrid_top_five(t: Tables) -> DataFrame:
     return QUERIES["hybrid_rank"](t.spark, t.sf_dir).orderBy(F.desc("score"), "vec_id").limit(5)
 
 
+#: Sentences, and the kind that each tells.
+_SAYINGS = (("我总是在端口设置上卡住。", "RECURRING_STRUGGLE"), ("我的同学学会了遮罩。", None), ("今天，我学会了遮罩！", "LEARNED_CONCEPT"), ("我更喜欢冷色吗？", None), ("我更喜欢冷色。", "PREFERENCE"), ("如果我喜欢红，就用红。", None), ("我正在设计装置。", "PROJECT_FACT"))
+_KIND_ORDER = "['MISCONCEPTION_CORRECTED', 'RECURRING_STRUGGLE', 'LEARNED_CONCEPT', 'PREFERENCE', 'PROJECT_FACT']"
+_SAYINGS_SQL = "[" + ", ".join(f"struct_pack(t := '{a}', k := " + (f"'{b}')" if b else "null)") for a, b in _SAYINGS) + "]"
+
+
+@query(f"""with s as (select user_id, event_id, {_SAYINGS_SQL} as m from events),
+ f as (select event_id, list_distinct(list_filter([m[event_id % 7 + 1].k, m[user_id % 7 + 1].k, m[(event_id * 3 + user_id) % 7 + 1].k], lambda x: x is not null)) as ks from s)
+ select event_id, array_to_string(list_filter({_KIND_ORDER}, lambda x: list_contains(ks, x))[1:2], ',') as kinds from f""")
+def stated_facts(t: Tables) -> DataFrame:
+    """What three sentences say of their writer, personal data masked first: the first two kinds; questions, suppositions and what others do don't count."""
+    n, u = F.col("event_id"), F.col("user_id")
+    pick = lambda at: F.element_at(F.array(*[F.lit(a) for a, _ in _SAYINGS]), (at % len(_SAYINGS) + 1).cast("int"))
+    said = F.concat(pick(n), F.lit("\n"), pick(u), F.lit(" "), pick(n * 3 + u))
+    made = statements.explicit_statements(text.redact(said), 2)
+    return t.events.select("event_id", F.array_join(F.transform(made, lambda s: s["kind"]), ",").alias("kinds"))
+
+
 _ODD_VECTOR_SQL = "case vec_id % 4 when 0 then embedding::double[] when 1 then null when 2 then list_transform(embedding::double[], lambda x: 0.0) else list_slice(embedding::double[], 1, len(embedding) - 1) end"
 
 
