@@ -85,3 +85,36 @@ def scaled(width: Column, height: Column, target: Column, by_width: Column, mult
     w, h = F.when(by_width, target).otherwise(side), F.when(by_width, side).otherwise(target)
     own = width / height
     return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"), rounded(scale).alias("scale"), rounded(F.abs(w / h - own) / own * 100).alias("error_percent"), rounded(w * h / 1_000_000).alias("megapixels"))
+
+
+# What is wrong with the input of a calculation: names of fields, in order; empty if nothing is.
+
+
+def _faults(**bad: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(is_bad, name) for name, is_bad in bad.items()]))
+
+
+def layout_faults(width: Column, height: Column, top: Column, bottom: Column, left: Column, right: Column, gutter: Column, columns: Column) -> Column:
+    """A page grid needs some height within its margins, and some width beside its gutters."""
+    return _faults(margins=height - top - bottom <= 0, columns=width - left - right - gutter * (columns - 1) <= 0)
+
+
+def yield_faults(width: Column, height: Column, edge: Column) -> Column:
+    """A sheet needs some width and some height within its edges; each lack is named."""
+    return F.concat(_faults(edgeMarginMm=width - 2 * edge <= 0), _faults(edgeMarginMm=height - 2 * edge <= 0))
+
+
+def cut_faults(width: Column, height: Column, left: Column, right: Column, top: Column, bottom: Column, gap_x: Column, gap_y: Column, across: Column, down: Column) -> Column:
+    """Pieces of a sheet need some width and some height beside trims and gaps."""
+    return _faults(horizontalGapMm=width - left - right - gap_x * (across - 1) <= 0, verticalGapMm=height - top - bottom - gap_y * (down - 1) <= 0)
+
+
+def rate_faults(num: Column, den: Column) -> Column:
+    """From a frame in a thousand seconds to a thousand a second."""
+    return _faults(frameRate=~(num / den).between(0.001, 1000))
+
+
+def scale_faults(width: Column, height: Column, target: Column, by_width: Column, multiple: Column, most: int = 100_000) -> Column:
+    """The side that follows from the other has from one pixel to ``most``, rounded too."""
+    side = F.when(by_width, height * (target / width)).otherwise(width * (target / height))
+    return _faults(targetValue=~side.between(1, most) | (round_to_multiple(side, multiple) > most))

@@ -47,14 +47,31 @@ def missing_and_unexpected(expected: DataFrame, found: DataFrame, key: str) -> D
     return missing.unionByName(found.select(key).distinct().join(expected, key, "left_anti").withColumn("side", F.lit("UNEXPECTED")))
 
 
+#: Readers' languages, and the alphabets in which they look names up.
+ALPHABETS = {"zh-CN": "zh_Hans_CHN", "de": "de", "es": "es", "fr": "fr", "en": "en", None: "UNICODE"}
+
+
+def collated(name: Column, language: str | None = None) -> Column:
+    """A name as a reader of a language orders it: letters before accents, accents before case; in Chinese, Han characters by their sound and before all letters.
+
+    It sorts, ranges and compares by that alphabet, and is still the name; names that only look alike are different.
+    """
+    return F.collate(name, ALPHABETS[language])
+
+
 def keyset_page(df: DataFrame, order: Sequence[tuple[str, bool]], after: Sequence[object] | None, size: int) -> DataFrame:
-    """The page after a cursor; ``order`` holds (column, descending) with a unique column last.  One row more than ``size`` tells that a next page exists."""
+    """The page after a cursor; ``order`` holds (column, descending) with a unique column last.  One row more than ``size`` tells that a next page exists.
+
+    A column of :func:`collated` names is paged by its alphabet.
+    """
     if after is not None:
         terms, equal = [], F.lit(True)
         for (name, desc), value in zip(order, after, strict=True):
             c = F.col(name)
-            terms.append(equal & ((c < F.lit(value)) if desc else (c > F.lit(value))))
-            equal = equal & (c == F.lit(value))
+            collation = getattr(df.schema[name].dataType, "collation", "UTF8_BINARY")
+            value = F.lit(value) if collation == "UTF8_BINARY" else F.collate(F.lit(value), collation)
+            terms.append(equal & ((c < value) if desc else (c > value)))
+            equal = equal & (c == value)
         df = df.where(reduce(Column.__or__, terms))
     return df.orderBy(*[F.desc(n) if d else F.asc(n) for n, d in order]).limit(size + 1)
 

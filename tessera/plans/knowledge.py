@@ -170,7 +170,7 @@ def memory_rank(t: Tables) -> DataFrame:
     return top.select("conv_id", "turn", "confidence", F.concat(F.lit("M"), F.col("rn")).alias("alias"))
 
 
-_MEMORY_HYBRID_SQL = f"""with m as (select vec_id, label, embedding::double[] as e, lower(trim(regexp_replace(left(text, 300), '\\s+', ' ', 'g'))) as body, {_tok_sql("left(text, 300)")} as tok, vec_id % 11 as salience, vec_id % 90 as age from embeddings join documents on doc_id = vec_id),
+_MEMORY_HYBRID_SQL = f"""with m as (select vec_id, label, embedding::double[] as e, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as body, {_tok_sql("text")} as tok, vec_id % 11 as salience, vec_id % 90 as age from embeddings join documents on doc_id = vec_id),
  q as (select label, vec_id as q_id, e as qe, body as qb, tok as qt from m qualify row_number() over (partition by label order by vec_id) = 1),
  j as (select label, vec_id, salience, age, greatest(-1, least(1, list_cosine_similarity(qe, e))) as cos, coalesce(list_sum(list_transform(list_intersect(qt, tok), lambda x: case when length(x) > 2 then 3 else 2 end)), 0) + case when length(qb) >= 4 and length(body) >= 4 and (contains(qb, body) or contains(body, qb)) then 8 else 0 end as lex from m join q using (label) where vec_id <> q_id),
  b as (select label, median(cos) as base, count(cos) as known from j group by 1),
@@ -182,7 +182,7 @@ _MEMORY_HYBRID_SQL = f"""with m as (select vec_id, label, embedding::double[] as
 @query(_MEMORY_HYBRID_SQL)
 def memory_rank_hybrid(t: Tables) -> DataFrame:
     """As :func:`memory_rank`, with similarity above each holder's median."""
-    body = F.lower(F.trim(F.regexp_replace(F.substring("text", 1, 300), r"\s+", " ")))
+    body = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     d = t.documents.select(F.col("doc_id").alias("vec_id"), body.alias("body"))
     m = t.embeddings.join(d, "vec_id").select("vec_id", "label", "embedding", "body", (F.col("vec_id") % 11).alias("salience"), (F.col("vec_id") % 90).alias("age"))
     q = m.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding", "body"), "vec_id").alias("q"))

@@ -49,11 +49,11 @@ def eligibility_gate(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", reasons.alias("r")).select("l_orderkey", "l_linenumber", (F.size("r") == 0).alias("eligible"), F.when(F.size("r") > 0, F.array_join("r", ",")).alias("reasons"))
 
 
-@query("select doc_id from documents where contains(lower(left(text, 200)), 'die') or contains(lower(left(text, 200)), 'der') or contains(lower(left(text, 200)), 'und')")
+@query("select doc_id from documents where contains(lower(text), 'die') or contains(lower(text), 'der') or contains(lower(text), 'und')")
 def synonym_search(t: Tables) -> DataFrame:
     """A query's own tokens and those that its facets stand for; any of them as part of a text is enough."""
     facets = {"german": ("der", "und"), "french": ("les",)}
-    return t.documents.where(records.mentions(F.substring("text", 1, 200), "die german", facets, drop=("german",))).select("doc_id")
+    return t.documents.where(records.mentions(F.col("text"), "die german", facets, drop=("german",))).select("doc_id")
 
 
 @query("select user_id, event_id from events where user_id in (select user_id from (select user_id, max(event_id) as last_event from events group by 1 order by last_event desc, user_id limit 30)) and event_type = 'error'")
@@ -162,7 +162,20 @@ def idempotent_replay(t: Tables) -> DataFrame:
 @query("select p_partkey, p_name from part order by lower(p_name), p_name, p_partkey limit 40")
 def locale_order(t: Tables) -> DataFrame:
     """By a reader's alphabet, in which case matters last; then by code points."""
-    return t.part.select("p_partkey", "p_name").orderBy(F.collate("p_name", "UNICODE"), "p_name", "p_partkey").limit(40)
+    return t.part.select("p_partkey", "p_name").orderBy(relational.collated(F.col("p_name")), "p_name", "p_partkey").limit(40)
+
+
+#: Names in the order in which a Chinese reader looks them up.
+_NAMES = ("安", "白", "陈", "丁", "方", "高", "何", "李", "王", "张", "anna", "Anna", "ánna", "Émile", "emilia", "zoë")
+
+
+@query(f"with n as (select p_partkey, p_partkey * 7 % {len(_NAMES)} as place, p_size from part), k as (select *, {list(_NAMES)}[place + 1] as name from n) select p_partkey, name from k where place > {_NAMES.index('李')} or (place = {_NAMES.index('李')} and p_partkey > 9) order by place, p_partkey limit 101")
+def alphabet_page(t: Tables) -> DataFrame:
+    """The page after a cursor in a Chinese reader's alphabet: Han characters by sound, then letters, accents after these and case last."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") * 7 % len(_NAMES) + 1).cast("int"))
+    rows = t.part.select("p_partkey", relational.collated(name, "zh-CN").alias("name"))
+    page = relational.keyset_page(rows, [("name", False), ("p_partkey", False)], ("李", 9), 100)
+    return page.select("p_partkey", F.collate("name", "UTF8_BINARY").alias("name"))
 
 
 @query("select conv_id, turn, role from conversations order by conv_id desc, case role when 'user' then 0 when 'assistant' then 1 else 2 end, turn limit 60")
@@ -390,6 +403,33 @@ def delta_batches(t: Tables) -> DataFrame:
     return made.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.transform("p", lambda x: x["chunk"]), "").alias("whole"))
 
 
+_SPLIT_SQL = "list_transform(range(0, (length({x}) + 479) // 480), lambda i: {x}[i * 480 + 1:i * 480 + 480])"
+
+
+def _delta_sql() -> str:
+    late = "(r.held <> '' and r.since is not null and e.ms - r.since >= 40)"
+    now = f"(case when {late} then '' else r.held end || e.t)"
+    due = "(length(now) >= 24 or (length(now) >= 6 and now[-1] in (chr(10), '。', '！', '？', '；', '：')))"
+    done = "case when late then " + _SPLIT_SQL.format(x="was") + " else [] end"
+    return f"""with recursive w as (select conv_id, turn, unnest(string_split(text, ' ')) as t, generate_subscripts(string_split(text, ' '), 1) as i from conversations where text is not null),
+ e as materialized (select conv_id, row_number() over (partition by conv_id order by turn, i) as rn, t || ' ' as t, 15 * (row_number() over (partition by conv_id order by turn, i)) + 30 * turn as ms from w),
+ r as (select conv_id, 0::bigint as rn, '' as held, null::bigint as since, []::varchar[] as out from e group by 1
+  union all select conv_id, rn, case when {due} then '' else now end, case when {due} then null when late or since is null then ms else since end, out || ({done}) || (case when {due} then {_SPLIT_SQL.format(x="now")} else [] end)
+   from (select e.conv_id, e.rn, e.ms, r.since, r.out, r.held as was, {late} as late, {now} as now from r join e on e.conv_id = r.conv_id and e.rn = r.rn + 1) s),
+ f as (select conv_id, arg_max(out || case when held <> '' then {_SPLIT_SQL.format(x="held")} else [] end, rn) as chunks from r group by 1)
+ select conv_id, cast(s - 1 as bigint) as seq, chunk from (select conv_id, unnest(chunks) as chunk, generate_subscripts(chunks, 1) as s from f)"""
+
+
+@query(_delta_sql())
+def delta_chunks(t: Tables) -> DataFrame:
+    """Each conversation's words as they come, let out in chunks by size, sentence end or waiting time: the chunks themselves, in order."""
+    words = t.conversations.where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i")).cast("long")
+    rows = words.select("conv_id", rn.alias("rn"), F.concat("w", F.lit(" ")).alias("t"), (15 * rn + 30 * F.col("turn")).cast("long").alias("ms"))
+    ends = rows.select("conv_id").distinct().select("conv_id", F.lit(None).cast("long").alias("rn"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("long").alias("ms"))
+    return folds.micro_batches(rows.unionByName(ends), "conv_id", "rn", "t", "ms")
+
+
 _GATES = tuple(s.lower() for s in STATUSES)
 
 

@@ -10,15 +10,15 @@ from tessera.functions import design, text
 from .analytics import Tables, query
 
 
-@query(r"""select doc_id, md5(regexp_replace(lower(left(text, 500)), '[\p{P}\p{S}\s]', '', 'g')) as compacted, case when length(text) > 80 then left(text, 79) || '…' else text end as short, contains(lower(text), 'the') as has_the,
+@query(r"""select doc_id, md5(regexp_replace(lower(text), '[\p{P}\p{S}\s]', '', 'g')) as compacted, case when length(text) > 80 then left(text, 79) || '…' else text end as short, contains(lower(text), 'the') as has_the,
  md5(array_to_string(list_sort(list_distinct(list_filter((case when length(h) <= 240 then [h] else [] end) || regexp_split_to_array(h, '[\s,，。；;、:：!?！？()\[\]{}"''“”‘’]+'), lambda x: length(x) > 0 and length(x) <= 240)))[1:200], '|')) as terms,
  'doc:' || substr(sha256(source || chr(0) || text), 1, 32) as stable_id
- from (select *, lower(left(text, 300)) as h from documents) where text is not null""")
+ from (select *, lower(text) as h from documents) where text is not null""")
 def text_forms(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null")
-    low = F.lower(F.substring("text", 1, 300))
+    low = F.lower("text")
     return d.select(
-        "doc_id", F.md5(text.compact(F.lower(F.substring("text", 1, 500)))).alias("compacted"), text.truncated(F.col("text"), 80).alias("short"), text.contains_folded(F.col("text"), F.lit("THE")).alias("has_the"),
+        "doc_id", F.md5(text.compact(low)).alias("compacted"), text.truncated(F.col("text"), 80).alias("short"), text.contains_folded(F.col("text"), F.lit("THE")).alias("has_the"),
         F.md5(F.array_join(text.terms(low), "|")).alias("terms"), text.stable_id("doc:", F.col("source"), F.col("text")).alias("stable_id"),
     )
 
@@ -35,11 +35,11 @@ def sentence_and_cursor_forms(t: Tables) -> DataFrame:
 _PATH = "regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', '')"
 
 
-@query(f"select page_id, regexp_replace({_PATH}, '/[^/]*$', '') as folder, split_part({_PATH}, '/', -1) as name, regexp_replace({_PATH}, '/[^/]*$', '') || '/index.html' as sibling, regexp_replace(regexp_replace({_PATH}, '/[^/]*$', ''), '/[^/]*$', '') || '/top' as above from pages where url is not null and length({_PATH}) - length(replace({_PATH}, '/', '')) = 2")
+@query(f"with p as (select page_id, {_PATH} as p from pages where url is not null), f as (select *, case when contains(p, '/') then regexp_replace(p, '/[^/]*$', '') else '' end as folder from p) select page_id, folder, split_part(p, '/', -1) as name, case when folder = '' then 'index.html' else folder || '/index.html' end as sibling, case when folder = '' then '../top' when contains(folder, '/') then regexp_replace(folder, '/[^/]*$', '') || '/top' else 'top' end as above from f")
 def url_paths(t: Tables) -> DataFrame:
-    """Folders, names and resolved relative paths of pages two steps deep."""
+    """Folders, names and resolved relative paths of all pages."""
     path = F.regexp_replace(F.substring_index(F.substring_index("url", "?", 1), "#", 1), "^https?://", "")
-    p = t.pages.where("url is not null").select("page_id", path.alias("p")).where(F.length("p") - F.length(F.replace("p", F.lit("/"), F.lit(""))) == 2)
+    p = t.pages.where("url is not null").select("page_id", path.alias("p"))
     folder = text.dirname(F.col("p"))
     return p.select("page_id", folder.alias("folder"), text.basename(F.col("p")).alias("name"), text.joined_path(folder, F.lit("./index.html")).alias("sibling"), text.joined_path(folder, F.lit("../top")).alias("above"))
 
@@ -110,6 +110,27 @@ def resolution_scale(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", s.alias("s")).select("p_partkey", "s.*")
 
 
+@query("""with c as (select p_partkey, p_partkey % 6 as kind, p_size::double as s, 1 + p_partkey % 24 as n, p_partkey % 7 as m from part),
+ f as (select p_partkey, kind, case kind
+   when 0 then [case when 100 + 3 * s - 8 * s <= 0 then 'margins' end, case when 400 - 8 * s - 16 * (n - 1) <= 0 then 'columns' end]
+   when 1 then [case when 60 - 2 * s <= 0 then 'edgeMarginMm' end, case when 80 - 2 * s <= 0 then 'edgeMarginMm' end]
+   when 2 then [case when 300 - 2 * s - 12 * (n - 1) <= 0 then 'horizontalGapMm' end, case when 200 - s - 30 * m <= 0 then 'verticalGapMm' end]
+   when 3 then [case when 24000 / (n * 1000 * m * m + 0.5) not between 0.001 and 1000 then 'frameRate' end]
+   when 4 then [case when 30 * s * s / n not between 0.001 and 1000 then 'frameRate' end]
+   else [case when 4000 * (s * s * 60 / 1000) not between 1 and 100000 or greatest(8, floor(4000 * (s * s * 60 / 1000) / 8 + 0.5) * 8) > 100000 then 'targetValue' end] end as faults from c)
+ select p_partkey, cast(kind as int) as kind, array_to_string(list_filter(faults, lambda x: x is not null), ',') as faults from f""")
+def calculation_faults(t: Tables) -> DataFrame:
+    """What is wrong with the input of six kinds of calculations, one kind for each sixth of the parts."""
+    c = lambda x: F.lit(float(x))
+    s, n, m = F.col("p_size").cast("double"), 1 + F.col("p_partkey") % 24, F.col("p_partkey") % 7
+    kinds = [
+        design.layout_faults(c(400), 100 + 3 * s, 4 * s, 4 * s, 4 * s, 4 * s, c(16), n), design.yield_faults(c(60), c(80), s), design.cut_faults(c(300), c(200), s, s, s, c(0), c(12), c(30), n, m + 1),
+        design.rate_faults(c(24000), n * 1000 * m * m + 0.5), design.rate_faults(30 * s * s, n.cast("double")), design.scale_faults(c(1000), c(4000), s * s * 60, F.lit(True), c(8)),
+    ]
+    kind = (F.col("p_partkey") % 6).cast("int")
+    return t.part.select("p_partkey", kind.alias("kind"), F.array_join(F.element_at(F.array(*kinds), kind + 1), ",").alias("faults"))
+
+
 @query("with l as (select p_partkey, 100 + (p_partkey * 97) % 900 as page_w, 100 + p_size * 3 as page_h, p_size * 4 as margin, 16 as gutter, 1 + p_partkey % 24 as n from part) select p_partkey, page_w - 2 * margin as content_w, page_h - 2 * margin as content_h, gutter * (n - 1) as gutters, array_to_string(list_filter([case when page_h - 2 * margin <= 0 then 'margins' end, case when page_w - 2 * margin - gutter * (n - 1) <= 0 then 'columns' end], lambda x: x is not null), ',') as faults, round(case when page_h - 2 * margin > 0 and page_w - 2 * margin - gutter * (n - 1) > 0 then (page_w - 2 * margin - gutter * (n - 1))::double / n end, 6) as column_w from l")
 def grid_input_faults(t: Tables) -> DataFrame:
     """Page grids with what is wrong with their input; a width only where nothing is."""

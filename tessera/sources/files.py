@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import text
+from tessera.operators.relational import collated
 from tessera.operators.stages import filesystem
 
 
@@ -131,15 +132,20 @@ def bundle_table(spark: SparkSession, folder: str, table: str, schema: StructTyp
 
 #: Node families that are told apart; all others are OTHER.  Fixed values.
 FAMILIES = ("COMP", "TOP", "CHOP", "SOP", "POP", "MAT", "DAT")
-_EXPRESSION = r"op\(|me\.|absTime|\[|parent\("
+#: Beginnings of parameter names that say nothing, parts and endings of those that matter, and marks of an expression.
+NOISE = ("pageindex", "w", "h", "resizecomp", "repocomp", "border", "parentshortcut", "clone", "ext[0-9]", "opviewer", "viewer", "display", "pickable", "render", "cooktype", "nodecolorr", "nodecolorg", "nodecolorb")
+IMPORTANT = ("instance", "input", "output", "file", "resolution", "res", "rows", "cols", "amp", "period", "gain", "offset", "rotate", "scale", "translate", "feedback", "noise", "font", "text")
+IMPORTANT_ENDS = ("top", "sop", "chop", "tx", "ty", "tz", "r", "g", "b")
+EXPRESSIONS = ("absTime", r"me\.", r"op\(", r"parent\(", r"chop\(", "curTime", "python", "expr")
 
 
 def project_nodes(spark: SparkSession, root: str, most: int = 10) -> DataFrame:
     """Nodes of an expanded project: ``path, folder, name, family, kind, inputs, parameters, n_parameters, signature``.
 
     ``inputs`` are structs of place and source as written, ``parameters`` the
-    first ``most`` as structs of name and value, expressions before plain
-    values, local paths hidden.  The folders ``local`` and ``perform`` are left out.
+    first ``most`` that matter as structs of name and value: expressions count
+    four points and telling names two, equal ones go by the alphabet; names that
+    say nothing are left out, local paths hidden.  The folders ``local`` and ``perform`` are left out.
     """
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{n,parm}")
     rel = F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{re.escape(root.rstrip('/').removeprefix('file://'))}/", "")
@@ -153,10 +159,14 @@ def project_nodes(spark: SparkSession, root: str, most: int = 10) -> DataFrame:
     place, source = (F.regexp_extract_all(block, F.lit(r"(?m)^\s*(\d+)\s+\"?([^\"\n]+?)\"?\s*$"), i) for i in (1, 2))
     name, value = (F.regexp_extract_all("parm", F.lit(r"(?m)^[ \t]*(\S+)[ \t]+\d+[ \t]+(.*)$"), i) for i in (1, 2))
     inputs = F.zip_with(place, source, lambda p, s: F.struct(p.cast("int").alias("place"), s.alias("source")))
-    params = F.zip_with(name, value, lambda n, v: F.struct(F.when(v.rlike(_EXPRESSION), 0).otherwise(1).alias("rank"), n.alias("name"), F.substring(text.without_local_paths(v), 1, 240).alias("value")))
+    some = lambda c, words: c.rlike("(?i)(?:" + "|".join(words) + ")")
+    points = lambda n, v: some(v, EXPRESSIONS).cast("int") * 4 + (some(n, IMPORTANT) | n.rlike("(?i)(?:" + "|".join(IMPORTANT_ENDS) + ")$")).cast("int") * 2
+    given = F.zip_with(name, value, lambda n, v: F.struct((-points(n, v)).alias("rank"), collated(n, "zh-CN").alias("place"), n.alias("name"), F.substring(text.without_local_paths(v), 1, 240).alias("value")))
+    kept = F.filter(given, lambda p: ~p["name"].rlike("(?i)^(?:" + "|".join(NOISE) + ")"))
+    params = F.transform(F.slice(F.array_sort(kept), 1, most), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
     return both.select(
         "path", text.dirname(F.col("path")).alias("folder"), text.basename(F.col("path")).alias("name"), F.when(family.isin(*FAMILIES), family).otherwise("OTHER").alias("family"),
-        F.trim(F.regexp_extract("body", r"^\s*[^:\n]+:([^\n]+)", 1)).alias("kind"), inputs.alias("inputs"), F.slice(F.array_sort(params), 1, most).alias("parameters"), F.size(name).alias("n_parameters"),
+        F.trim(F.regexp_extract("body", r"^\s*[^:\n]+:([^\n]+)", 1)).alias("kind"), inputs.alias("inputs"), params.alias("parameters"), F.size(name).alias("n_parameters"),
         F.sha2(F.concat_ws("\n", "body", "parm"), 256).alias("signature"),
     )
 

@@ -73,6 +73,15 @@ def test_project_folder(spark, tmp_path):
     assert len({r.signature for r in got.values()}) == 4
 
 
+def test_parameters_that_matter(spark, tmp_path):
+    parm = "\n".join(f"{n} 17 {v}" for n, v in [("wide", "1"), ("Zeta", "2"), ("alpha", "3"), ("beta", "me.digits"), ("amp", "absTime.frame"), ("gain", "0.5"), ("ext1", "x"), ("pageindex", "op('a')"), ("tx", "1"), ("Alpha2", "4"), ("émile", "5"), ("height", "6"), ("file", "C:\\Jane Doe\\a b.mov")] + [(f"q{i}", "1") for i in range(9)])
+    write(tmp_path / "p", n1__n="TOP:noise\n", n1__parm=parm + "\n")
+    node = files.project_nodes(spark, str(tmp_path / "p")).first()
+    # Expressions of telling names, expressions, telling names, all by the alphabet; noise is left out.
+    assert [p.name for p in node.parameters] == ["amp", "beta", "file", "gain", "tx", "alpha", "Alpha2", "émile", "q0", "q1"]
+    assert node.n_parameters == 22 and node.parameters[2].value == "[本地文件]/a b.mov"
+
+
 def test_archive_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("case/one.toe", "12345")
