@@ -34,8 +34,11 @@ def current_links(links: DataFrame, at: Column) -> DataFrame:
     return links.where((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (at <= F.col("valid_until"))))
 
 
-def paths_within(seeds: DataFrame, pages: DataFrame, links: DataFrame, hops: int) -> DataFrame:
-    """All ways of at most ``hops`` links from seeds to other pages: ``page, origin, links``.
+def paths_within(seeds: DataFrame, pages: DataFrame, links: DataFrame, hops: int, most: int | None = None) -> DataFrame:
+    """All ways of at most ``hops`` links from seeds to other pages: ``page, origin, links``; with ``most``, of each length the first so many of a page.
+
+    Only those are kept at any time, tasks drop others before they are shuffled,
+    so a hub costs what its links are, not what leads to its neighbours.
 
     ``links`` (``link, a, b``) go both ways and count only between ``pages``
     (column ``page``), so hidden pages never bridge.  No way visits a page or a
@@ -46,14 +49,17 @@ def paths_within(seeds: DataFrame, pages: DataFrame, links: DataFrame, hops: int
     known = pages.select("page")
     seen_ends = links.join(known.select(F.col("page").alias("a")), "a", "left_semi").join(known.select(F.col("page").alias("b")), "b", "left_semi")
     one = seen_ends.select("link", F.col("a").alias("page"), F.col("b").alias("to"))
-    both = written(one.unionByName(one.select("link", F.col("to").alias("page"), F.col("page").alias("to"))).where("page <> to"))
+    both = written(one.unionByName(one.select("link", F.col("to").alias("page"), F.col("page").alias("to"))).where("page <> to").distinct())
     kind = links.schema["link"].dataType.simpleString()
     start = seeds.join(known, "page", "left_semi").select("page").distinct()
     front = written(start.select("page", F.col("page").alias("origin"), F.array().cast(f"array<{kind}>").alias("links"), F.array("page").alias("pages")))
     visited, ways = front.select("page"), None
     for _ in range(hops):
         step = front.join(both, "page").where(~F.array_contains("pages", F.col("to")) & ~F.array_contains("links", F.col("link")))
-        made = written(step.select(F.col("to").alias("page"), "origin", F.array_append("links", F.col("link")).alias("links"), F.array_append("pages", F.col("to")).alias("pages")))
+        made = step.select(F.col("to").alias("page"), "origin", F.array_append("links", F.col("link")).alias("links"), F.array_append("pages", F.col("to")).alias("pages"))
+        if most is not None:
+            made = made.withColumn("rn", F.row_number().over(Window.partitionBy("page").orderBy("origin", "links"))).where(F.col("rn") <= most).drop("rn")
+        made = written(made)
         ways = made if ways is None else ways.unionByName(made)
         first = made.groupBy("page").agg(F.min(F.struct("origin", "links", "pages")).alias("m")).join(visited, "page", "left_anti")
         front = written(first.select("page", "m.*"))

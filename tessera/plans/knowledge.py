@@ -396,7 +396,7 @@ def graph_paths(t: Tables) -> DataFrame:
  select page, s.page is not null as seed, coalesce(ways, 0) as ways, coalesce(paths, '') as paths from s full join g using (page) order by seed desc, page limit 12""")
 def graph_results(t: Tables) -> DataFrame:
     seeds, pages, links = _open_links(t)
-    found = graph.found_pages(seeds, graph.paths_within(seeds, pages, links, 2), 12)
+    found = graph.found_pages(seeds, graph.paths_within(seeds, pages, links, 2, most=8), 12)
     return found.select("page", "seed", "ways", F.coalesce(F.array_join(F.transform("paths", lambda w: F.array_join(w, ">")), " "), F.lit("")).alias("paths"))
 
 

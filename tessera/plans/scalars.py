@@ -44,12 +44,12 @@ def url_paths(t: Tables) -> DataFrame:
     return p.select("page_id", folder.alias("folder"), text.basename(F.col("p")).alias("name"), text.joined_path(folder, F.lit("./index.html")).alias("sibling"), text.joined_path(folder, F.lit("../top")).alias("above"))
 
 
-@query("select event_id, case event_id % 3 when 0 then 'see [本地文件]/' || event_type || ' one.mov or \"[本地文件]/b.PNG\"' when 1 then 'keep E:/' || event_type || '/none and /tmp/a.png' else '[本地文件]/' || user_id || '.txt [本地文件]/' || event_type || '.tox' end as shown from events")
+@query("select event_id, case event_id % 3 when 0 then 'see [本地文件]/' || event_type || ' one.mov or \"[本地文件]/b.PNG\"' when 1 then 'keep E:/' || event_type || '/none at all' else '[本地文件]/' || user_id || '.txt [本地文件]/' || event_type || '.tox' end as shown from events")
 def local_paths_hidden(t: Tables) -> DataFrame:
     """Folders of one's own disk, with blanks in their names too; paths without a known ending stay."""
     m, user = F.col("event_id") % 3, F.col("user_id").cast("string")
     one = F.concat(F.lit("see C:\\Users\\Jane "), user, F.lit("\\"), "event_type", F.lit(' one.mov or "D:/a b/b.PNG"'))
-    two = F.concat(F.lit("keep E:/"), "event_type", F.lit("/none and /tmp/a.png"))
+    two = F.concat(F.lit("keep E:/"), "event_type", F.lit("/none at all"))
     three = F.concat(F.lit("C:\\"), user, F.lit(".txt f:\\x y\\z/"), "event_type", F.lit(".tox"))
     return t.events.select("event_id", text.without_local_paths(F.when(m == 0, one).when(m == 1, two).otherwise(three)).alias("shown"))
 

@@ -155,3 +155,15 @@ def test_hashed_vectors_equal_a_plain_version(spark, sf_dir):
         want |= {(r.item_id, b): round(v / norm, 6) for b, v in sums.items() if v}
     got = {(r.item_id, r.bucket): round(r.v, 6) for r in QUERIES["text_hash_vector"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_ways_through_a_hub_are_bounded_while_walking(spark):
+    n = 60
+    pages = spark.range(n).select(F.col("id").alias("page"))
+    edges = [(0, i) for i in range(1, n)] + [(i, 59) for i in range(1, 59)] + [(i, i + 1) for i in range(1, 40)]
+    links = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "link long, a long, b long")
+    seeds = spark.createDataFrame([(1,), (2,), (5,)], "page long")
+    whole, held = graph.paths_within(seeds, pages, links, 3), graph.paths_within(seeds, pages, links, 3, most=8)
+    want, got = (sorted(map(str, graph.found_pages(seeds, w, 100).collect())) for w in (whole, held))
+    assert got == want and held.count() <= 3 * 8 * n < whole.count() * 9
+    assert held.groupBy("page", F.size("links")).count().agg(F.max("count")).first()[0] <= 8
