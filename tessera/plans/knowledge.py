@@ -302,10 +302,14 @@ def merged_salience(t: Tables) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.least(F.lit(10).cast("long"), F.max(F.col("fresh") + F.col("later"))).alias("salience"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_source"))
 
 
-@query("select p_partkey, case when p_size > 25 and p_retailprice > 1200 then 'BOTH' when p_size > 25 then (case when p_partkey % 5 = 0 then 'BOTH' else 'PHYSICAL' end) when p_retailprice > 1200 then (case when p_size % 3 = 0 then (case when p_partkey % 5 = 0 then 'VISUAL' else 'PHYSICAL' end) else 'VISUAL' end) else (case when p_partkey % 5 = 0 then 'VISUAL' else 'PHYSICAL' end) end as path from part")
+#: The tools' paths, for hands-on control, for pictures in real time and for both; requirements order them as the query says.
+TOOL_PATHS = ("DIGISHOW", "TOUCHDESIGNER", "COLLABORATIVE")
+
+
+@query("select p_partkey, case when p_size > 25 and p_retailprice > 1200 then 'COLLABORATIVE' when p_size > 25 then (case when p_partkey % 5 = 0 then 'COLLABORATIVE' else 'DIGISHOW' end) when p_retailprice > 1200 then (case when p_size % 3 = 0 then (case when p_partkey % 5 = 0 then 'TOUCHDESIGNER' else 'DIGISHOW' end) else 'TOUCHDESIGNER' end) else (case when p_partkey % 5 = 0 then 'TOUCHDESIGNER' else 'DIGISHOW' end) end as path from part")
 def tool_path(t: Tables) -> DataFrame:
     """The first candidate, in the order that the requirements give, that is allowed."""
-    both, physical, visual = (F.lit(x) for x in ("BOTH", "PHYSICAL", "VISUAL"))
+    physical, visual, both = (F.lit(x) for x in TOOL_PATHS)
     hands, screen = F.col("p_size") > 25, F.col("p_retailprice") > 1200
     order = F.when(hands & screen, F.array(both)).when(hands, F.array(physical, both)).when(screen & (F.col("p_size") % 3 == 0), F.array(physical, visual, both)).when(screen, F.array(visual, both, physical)).otherwise(F.array(physical, visual, both))
     allowed = F.when(F.col("p_partkey") % 5 == 0, F.array(visual, both)).otherwise(F.array(physical, visual, both))

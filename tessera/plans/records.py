@@ -505,6 +505,7 @@ def json_array_unnest(t: Tables) -> DataFrame:
     return made.select("event_id", F.col("i").cast("long").alias("i"), F.col("m.asset").alias("asset"))
 
 
+#: The eight pages, and below the names and thresholds of the four criteria that their order is judged by.
 _PAGES = ("cover", "quick-start", "map", "featured-activity", "calendar", "stories", "join-us", "back")
 
 

@@ -269,6 +269,46 @@ def leases(df: DataFrame, key: str, time: str, tie: str, state: str, running: st
     return folded(rows, Fold(key, ("us", tie), lambda: None, step, f"{key} {kinds[key]}, us bigint, attempt int, outcome string", lapse=lapse, wake=wake), upto, late)
 
 
+def run_states(df: DataFrame, key: str, time: str, tie: str, wanted: str, lease: int = 60, attempts: int = 3, late: str = "10 minutes") -> DataFrame:
+    """What becomes of each request to move a run: ``tie, key, outcome, state, attempt``.
+
+    A run begins QUEUED.  RUNNING claims it, which is BUSY while another claim's
+    ``lease`` (seconds) holds or approval is waited for; beyond ``attempts``
+    claims it has FAILED.  WAITING_APPROVAL, COMPLETED and FAILED need a running
+    run, QUEUED one that runs or waits.  CANCELLED ends a run that doesn't run
+    at once, and one that does at its next claim.  Nothing moves a run that has
+    ended.
+    """
+    rows = _timed(df, key, time, tie, wanted=wanted)
+    span = lease * 1_000_000
+
+    def step(now: tuple | None, row: Any) -> tuple:
+        state, attempt, until, cancel = now if now else ("QUEUED", 0, 0, False)
+        outcome = "MOVED"
+        if state in ENDED:
+            outcome = "TERMINAL"
+        elif row.wanted == "RUNNING":
+            if state == "WAITING_APPROVAL" or (state == "RUNNING" and until > row.us):
+                outcome = "BUSY"
+            elif cancel:
+                state = "CANCELLED"
+            elif attempt >= attempts:
+                state = "FAILED"
+            else:
+                state, attempt, until = "RUNNING", attempt + 1, row.us + span
+        elif row.wanted == "CANCELLED":
+            state, cancel = ("RUNNING", True) if state == "RUNNING" else ("CANCELLED", cancel)
+        elif (state == "RUNNING" and row.wanted in ("WAITING_APPROVAL", "COMPLETED", "FAILED")) or (row.wanted == "QUEUED" and state in ("RUNNING", "WAITING_APPROVAL")):
+            state = row.wanted
+        else:
+            outcome = "REFUSED"
+        return (state, attempt, until, cancel), (getattr(row, tie), getattr(row, key), outcome, state, attempt)
+
+    kinds = {c: t for c, t in rows.dtypes}
+    result = f"{tie} {kinds[tie]}, {key} {kinds[key]}, outcome string, state string, attempt int"
+    return folded(rows, Fold(key, ("us", tie), lambda: None, step, result), late=late)
+
+
 #: Where a text may be shown although it is short; fixed values.
 BREAKS = "\n。！？；："
 

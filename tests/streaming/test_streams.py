@@ -10,12 +10,13 @@ from tessera.sources.versioned import VersionedTable
 from tessera.streaming import folds
 
 SCHEMA = "id long, k long, ts timestamp, bad boolean, state string, digest long"
-STATES = ["QUEUED", "RUNNING", "RUNNING", "WAITING", "COMPLETED"]
+STATES = ["QUEUED", "RUNNING", "RUNNING", "RUNNING", "WAITING_APPROVAL", "CANCELLED"]
 FOLDS = {
     "anchored": lambda d: folds.anchored_limit(d, "k", "ts", "id", 60, 2, late="30 seconds"),
     "block": lambda d: folds.failure_block(d, "k", "ts", "id", "bad", 2, 90, 120, late="30 seconds"),
     "sliding": lambda d: folds.sliding_limit(d, "k", "ts", "id", 60, 2, 20, late="30 seconds"),
     "throttle": lambda d: folds.throttled(d, "k", "ts", "id", 25, late="30 seconds"),
+    "states": lambda d: folds.run_states(d, "k", "ts", "id", "state", 30, 3, late="30 seconds"),
     "rounds": lambda d: folds.evidence_rounds(d.select("k", F.unix_micros("ts").alias("us"), "id", "digest", "bad"), "k", ["us", "id"], "id", "digest", "bad", 3, late="30 seconds"),
 }
 
@@ -64,6 +65,18 @@ def test_stream_equals_batch_over_batches_and_a_restart(spark, tmp_path, name):
     assert known(folds.append_to_end(FOLDS[name](reading(spark, source)), folder)) == want  # nothing new, nothing twice
 
 
+def test_run_states(spark):
+    asked = [(0, "COMPLETED"), (1, "RUNNING"), (30, "RUNNING"), (40, "WAITING_APPROVAL"), (50, "RUNNING"), (60, "QUEUED"), (70, "RUNNING"), (131, "RUNNING"), (140, "CANCELLED"), (150, "RUNNING"), (200, "RUNNING"), (210, "QUEUED")]
+    rows = [(i, 1, 1_700_000_000 + s, False, w, 0) for i, (s, w) in enumerate(asked)] + [(50 + i, 2, 1_700_000_000 + 100 * i, False, "RUNNING", 0) for i in range(5)] + [(90, 3, 1_700_000_000, False, "CANCELLED", 0)]
+    got = {r.id: (r.outcome, r.state, r.attempt) for r in folds.run_states(frame(spark, rows), "k", "ts", "id", "state").collect()}
+    assert [got[i] for i in range(12)] == [
+        ("REFUSED", "QUEUED", 0), ("MOVED", "RUNNING", 1), ("BUSY", "RUNNING", 1), ("MOVED", "WAITING_APPROVAL", 1), ("BUSY", "WAITING_APPROVAL", 1), ("MOVED", "QUEUED", 1),
+        ("MOVED", "RUNNING", 2), ("MOVED", "RUNNING", 3), ("MOVED", "RUNNING", 3), ("BUSY", "RUNNING", 3), ("MOVED", "CANCELLED", 3), ("TERMINAL", "CANCELLED", 3),
+    ]
+    assert [got[50 + i] for i in range(5)] == [*[("MOVED", "RUNNING", i + 1) for i in range(3)], ("MOVED", "FAILED", 3), ("TERMINAL", "FAILED", 3)]
+    assert got[90] == ("MOVED", "CANCELLED", 0)
+
+
 def test_leases(spark, tmp_path):
     rows = [(i, k, 1_700_000_000 + s, False, state, 0) for i, (k, s, state) in enumerate([(1, 0, "QUEUED"), (1, 10, "RUNNING"), (1, 60, "RUNNING"), (2, 70, "RUNNING"), (2, 100, "COMPLETED"), (1, 300, "RUNNING"), (3, 310, "RUNNING"), (3, 400, "FAILED"), (1, 900, "RUNNING"), (2, 950, "RUNNING")])]
     lease = lambda d, **more: folds.leases(d, "k", "ts", "id", "state", seconds=120, attempts=3, late="30 seconds", **more)
