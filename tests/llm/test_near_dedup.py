@@ -82,3 +82,22 @@ def test_strings_made_to_cancel_modulo_powers_of_two_differ():
     block = next(blocks(pa.array([a, b, a])))
     h = block.hashes(block.offs[:-1], block.offs[1:])
     assert h[0] == h[2] != h[1]
+
+
+def test_signature_threshold_is_the_exact_tail():
+    from fractions import Fraction
+    from math import comb
+
+    for percent in (80, 85, 95):
+        p = Fraction(percent, 100)
+        below = lambda k: sum(comb(nd.SLOTS, i) * p**i * (1 - p) ** (nd.SLOTS - i) for i in range(k))  # noqa: E731, B023
+        least = nd.least_matches(percent)
+        assert below(least) <= nd.LOST < below(least + 1)
+
+
+def test_full_sets_everywhere(spark):
+    texts = corpus(9)
+    rows = [(i, t, "n", 1, "c") for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), width=3, percent=85, exact=True).collect()}
+    sizes, label = nd.brute_force(texts, 3, 85)
+    assert got == {i: (sizes[i], label[i]) for i in range(len(texts))}
