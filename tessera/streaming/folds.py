@@ -94,7 +94,9 @@ def _batch(df: DataFrame, fold: Fold, upto: int | None) -> DataFrame:
             yield packed(out)
         yield packed(ended())
 
-    return df.repartition(fold.key).sortWithinPartitions(fold.key, *fold.order).mapInArrow(run, fold.result)
+    # By the key's hash, not the key: Spark leaves out a shuffle by the key itself over a union of parts that are dealt by it,
+    # and then merges the partitions of each part by itself, as nothing tells it that a fold needs a key's rows together.
+    return df.repartition(F.xxhash64(fold.key)).sortWithinPartitions(fold.key, *fold.order).mapInArrow(run, fold.result)
 
 
 def _taken(fold: Fold, state: Any, key: Any, row: Any) -> tuple[Any, list]:

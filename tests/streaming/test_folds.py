@@ -49,6 +49,22 @@ def test_micro_batches(spark):
     assert got == ["Hello!", (" more" + "x" * 30)[:20], (" more" + "x" * 30)[20:], "好的，完成。", "tail "]
 
 
+def test_a_key_is_folded_whole_though_its_rows_come_from_two_dealt_parts(spark):
+    """Large words and small ends, both dealt by the key: merged partitions of one are not those of the other."""
+    words = spark.range(40_000).select((F.col("id") % 50).alias("k"), (F.col("id") / 50).cast("long").alias("o"), F.sha2(F.col("id").cast("string"), 512).alias("t"), F.lit(0).cast("long").alias("ms"))
+    words = words.groupBy("k", "o").agg(F.first("t").alias("t"), F.first("ms").alias("ms")).repartition("k")
+    ends = words.select("k").distinct().select("k", *[F.lit(None).cast(c).alias(n) for n, c in (("o", "long"), ("t", "string"), ("ms", "long"))])
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for c, v in zip(before, ("16", "600k", "false"), strict=True):
+            spark.conf.set(c, v)
+        got = folds.micro_batches(words.unionByName(ends), "k", "o", "t", "ms", least=1 << 20, chunk=1 << 20).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    assert sorted(r.k for r in got) == list(range(50)) and {len(r.chunk) for r in got} == {800 * 128}
+
+
 def test_evidence_rounds_end_for_good(spark):
     rows = [(1, 1, "a", "d1", True), (1, 2, "a", "d2", True), (1, 3, "b", "d1", True), (1, 4, "c", "d3", True), (1, 5, None, None, False), (1, 6, None, None, False), (1, 7, None, None, False), (1, 8, "e", "d9", True)]
     df = spark.createDataFrame(rows, "k long, seq long, rec string, dig string, ok boolean")
