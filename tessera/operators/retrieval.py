@@ -9,9 +9,11 @@ from functools import reduce
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.text import han_ngrams, near_duplicate, note_signature
+from tessera.functions.text import han_ngrams, note_core, note_signature, overlapping
 
+from . import blocks
 from .stages import written
 
 
@@ -118,41 +120,70 @@ def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, quantiles: Map
     return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_r.name") == n, F.col("_v"))).alias(n) for n in quantiles])
 
 
-#: Classes that share one unit and stand in one block of it.
-UNIT_BLOCK = 256
+#: A unit of more classes under like keys, polarity and numbers is frequent.
+UNIT_BLOCK = 64
+#: Classes of a block, about; two blocks are compared at once.
+BLOCK_CLASSES = 4096
 
 
 def near_duplicate_classes(notes: DataFrame, keys: Sequence[str], id_col: str, note: str) -> DataFrame:
     """Per row ``id_col, class_id`` (the least id of an equal note under the same keys) and ``links`` (other classes that tell the same).
 
-    ``note`` is a canonical text.  Classes are compared, not rows.  Two classes
-    meet only if they share polarity, numbers and one of each one's rarest
-    units, as many as a pair above the threshold can't do without, and if their
-    sizes are within a fifth; what shares a frequent unit meets in blocks of
-    about ``UNIT_BLOCK``, each pair of blocks in a task of its own.
+    ``note`` is a canonical text.  Classes are compared, not rows, and only
+    under like polarity and numbers.  A pair above the threshold shares one of
+    each one's rarest units, as many as it can't do without.  What shares a rare
+    one is compared pair by pair.  Classes that have a frequent one among them
+    are compared in blocks, each pair of blocks in a step of its own that counts
+    what all their classes share, so no pair of these is ever a row.  Units and
+    bigrams are compared by their 64-bit hashes.
     """
-    rows = notes.select(id_col, *keys, F.sha2(note, 256).alias("same"), F.col(note).alias("note"))
-    classes = rows.groupBy(*keys, "same").agg(F.min(id_col).alias("class_id"), F.first("note").alias("note"))
-    signed = written(once(classes, [*keys, "class_id"], sig=note_signature(F.col("note"))).where(F.size("sig.units") >= 3))
+    cored = once(notes, [F.col(id_col).alias("id"), *keys, F.col(note).alias("note")], core=note_core(F.col(note)))
+    made = once(cored, ["id", *keys, F.sha2("note", 256).alias("same")], sig=note_signature(F.col("note"), F.col("core")))
     like = F.xxhash64(*keys, F.col("sig.negative").cast("int"), "sig.numbers")
-    unit = signed.select("class_id", F.size("sig.units").alias("n"), like.alias("like"), F.explode("sig.units").alias("unit"))
-    frequent = unit.groupBy("like", "unit").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = unit.join(frequent, ["like", "unit"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rows = written(made.select("id", *keys, "same", like.alias("like"), *[F.transform(f"sig.{c}", lambda x: F.xxhash64(x)).alias(c) for c in ("units", "bigrams")]))
+    classes = rows.groupBy(*keys, "same").agg(F.min("id").alias("class_id"), *[F.first(c).alias(c) for c in ("like", "units", "bigrams")])
+    signed = written(classes.select("class_id", "like", "units", "bigrams").where(F.size("units") >= 3))
+    unit = signed.select("class_id", F.size("units").alias("n"), "like", F.explode("units").alias("unit"))
+    common = unit.groupBy("like", "unit").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = unit.join(common, ["like", "unit"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "unit"))
-    prefix = shared.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1) & (F.col("df") > 1))
-    # Sizes within a fifth fall into the same or neighbouring steps of a quarter.
-    blocks = F.ceil(F.col("df") / UNIT_BLOCK).cast("int")
-    placed = prefix.select("like", "unit", "n", "class_id", blocks.alias("blocks"), F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("block"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("step"))
-    mark = placed.select("like", "unit", "n", F.col("class_id").alias("x"), "step", "block")
-    other = placed.select("like", "unit", F.col("n").alias("m"), F.col("class_id").alias("y"), F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"), "blocks")
-    other = other.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
-    near = mark.join(other, ["like", "unit", "step", "block"]).where("x < y and least(n, m) >= 0.8 * greatest(n, m)").select("x", "y").distinct()
-    sig = signed.select("class_id", "sig")
+    prefix = written(shared.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1) & (F.col("df") > 1)).drop("rank"))
+    frequent = written(prefix.where(F.col("df") > UNIT_BLOCK).select("class_id").distinct())
+    counts = _links_in_blocks(signed.join(frequent, "class_id", "left_semi")).unionByName(_links_by_rare_units(signed, prefix.where(F.col("df") <= UNIT_BLOCK), frequent))
+    counts = counts.groupBy("class_id").agg(F.sum("links").alias("links"))
+    ids = rows.groupBy(*keys, "same").agg(F.min("id").alias("class_id"))
+    named = rows.select("id", *keys, "same").join(ids, [*keys, "same"]).join(counts, "class_id", "left")
+    return named.select(F.col("id").alias(id_col), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _links_by_rare_units(signed: DataFrame, rare: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``class_id, links`` of pairs that share one of ``rare`` units and aren't both among the ``frequent`` classes, which meet in blocks."""
+    marked = rare.join(frequent.select("class_id", F.lit(True).alias("hot")), "class_id", "left").select("like", "unit", "n", "class_id", F.coalesce("hot", F.lit(False)).alias("hot"))
+    other = marked.select("like", "unit", F.col("n").alias("m"), F.col("class_id").alias("y"), F.col("hot").alias("hot_y"))
+    near = marked.withColumnRenamed("class_id", "x").join(other, ["like", "unit"]).where("x < y and not (hot and hot_y) and least(n, m) >= 0.8 * greatest(n, m)").select("x", "y").distinct()
+    sig = signed.select("class_id", F.struct("units", "bigrams").alias("sig"))
     both = near.join(sig.select(F.col("class_id").alias("x"), F.col("sig").alias("sx")), "x").join(sig.select(F.col("class_id").alias("y"), F.col("sig").alias("sy")), "y")
-    linked = both.where(near_duplicate(F.col("sx"), F.col("sy"))).select(F.explode(F.array("x", "y")).alias("class_id"))
-    counts = linked.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = rows.join(classes.select(*keys, "same", "class_id"), [*keys, "same"]).join(counts, "class_id", "left")
-    return named.select(id_col, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    linked = both.where(overlapping(F.col("sx"), F.col("sy"))).select(F.explode(F.array("x", "y")).alias("class_id"))
+    return linked.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+def _links_in_blocks(members: DataFrame) -> DataFrame:
+    """``class_id, links`` of all pairs of ``members`` of one ``like``, in blocks of about ``BLOCK_CLASSES``."""
+    id_field = members.schema["class_id"]
+    kind, id_type = id_field.dataType.simpleString(), to_arrow_type(id_field.dataType)
+    # Sizes within a fifth fall into the same or neighbouring steps of a quarter.
+    stepped = members.withColumn("step", F.floor(F.log(F.size("units").cast("double")) / F.log(F.lit(1.25))).cast("int"))
+    sizes = stepped.groupBy("like", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks"))
+    placed = stepped.join(sizes, ["like", "step"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).drop("blocks")
+    place = ("like", "step", "block")
+    packed = written(placed.groupBy(*place).applyInArrow(blocks.pack(place, id_type), f"like bigint, step int, block int, {blocks.fields(kind)}"))
+    whole = packed.select(*place, F.struct(*packed.columns[3:]).alias("a"))
+    own = packed.select(*place)
+    near = own.select("like", F.explode(F.array("step", F.col("step") - 1)).alias("low"), "step", "block").toDF("like", "step", "step_b", "block_b")
+    pairs = own.join(near, ["like", "step"]).where("step < step_b or block <= block_b")
+    met = pairs.join(whole, list(place)).join(whole.toDF("like", "step_b", "block_b", "b"), ["like", "step_b", "block_b"])
+    met = met.select(F.expr("step = step_b and block = block_b").alias("same"), "a", "b")
+    return met.mapInArrow(blocks.count_links(id_type), f"class_id {kind}, links bigint")
 
 
 def newest(df: DataFrame, time: str, tie: str, k: int, slices: int = 1024) -> DataFrame:

@@ -68,6 +68,33 @@ def test_near_duplicate_classes_over_hot_units(spark, monkeypatch):
     assert got == {i: (first[n], links[n]) for i, n in enumerate(notes)} and sum(links.values()) > 40
 
 
+def test_near_duplicates_of_frequent_units_are_never_rows(spark, monkeypatch):
+    """Classes that share frequent units meet block by block, over steps of sizes; the largest step of the job makes far fewer rows than there are pairs."""
+    from tessera.functions import text
+
+    monkeypatch.setattr(retrieval, "BLOCK_CLASSES", 40)
+    r = random.Random(4)
+    letters = "甲乙丙丁戊己庚辛壬癸子丑"
+    base = ["".join(r.choices(letters[: r.choice([8, 9, 11, 12])], k=40)) for _ in range(12)]
+    notes = [t[: r.randrange(30, 41)] + "".join(r.sample(letters, 2)) for t in base for _ in range(25)] + ["x1 é y1", "甲乙", "甲乙丙"]
+    rows = [(i, r.choice("kj"), n) for i, n in enumerate(notes)]
+    handed = []
+    met = retrieval._links_by_rare_units
+    monkeypatch.setattr(retrieval, "_links_by_rare_units", lambda *a: handed.append(a[1].count()) or met(*a))
+    got = {x.id: (x.class_id, x.links) for x in retrieval.near_duplicate_classes(spark.createDataFrame(rows, "id long, key string, note string"), ["key"], "id", "note").collect()}
+    first = {}
+    for i, k, n in rows:
+        first.setdefault((k, n), i)
+    sig = spark.createDataFrame([(i, k, n) for (k, n), i in first.items()], "id long, k string, n string").select("id", "k", text.note_signature(F.col("n")).alias("s"))
+    same = sig.alias("a").join(sig.alias("b"), "k").where("a.id < b.id").where(text.near_duplicate(F.col("a.s"), F.col("b.s"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()
+    links = dict.fromkeys(first.values(), 0)
+    for p in same:
+        links[p.x] += 1
+        links[p.y] += 1
+    assert got == {i: (first[k, n], links[first[k, n]]) for i, k, n in rows}
+    assert sum(links.values()) > 1000 and handed[0] < len(rows)
+
+
 def test_found_tokens_are_those_of_the_whole_list(spark):
     words = ("ab", "a.b", "ab-", "b1", "光影", "光", "影动画", "x+y", "光影动画城", "b")
     texts = ["ab a.b", "-ab .ab-", "..ab", "xab ab1 b1", "光影动画城市 b1", "x+y x+y+", "a.b.", "ab\nab", "", "é-ab é"]
