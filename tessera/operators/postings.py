@@ -52,14 +52,18 @@ class Postings:
             return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: F.struct(x.alias("term"), F.lit(name).alias("field")))
 
         each = F.flatten(F.array(*[named(n, c) for n, c in fields.items()]))
-        flat = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).where(F.col("x.term").isNotNull())
-        counted = flat.groupBy("x.term", "x.field", "id").agg(F.count(F.lit(1)).alias("n"))
+        # Texts are dealt by id, so their tokens are counted where they are made, once, and only counts move on.
+        # (An outer generator, as for another one Spark would make the tokens a second time, to ask whether there are any.)
+        flat = docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode_outer(each).alias("x")).where(F.col("x.term").isNotNull())
+        counted = flat.groupBy("id", "x.term", "x.field").agg(F.count(F.lit(1)).alias("n")).select("term", "field", "id", "n")
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-        sized = counted.withColumn("bucket", bucket)
+        counted.withColumn("bucket", bucket).write.parquet(f"{staging}/counted")
+        sized = spark.read.schema(counted.withColumn("bucket", bucket).schema).parquet(f"{staging}/counted")
         share = F.broadcast(sized.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / _SPREAD).alias("parts")))  # at most ``buckets`` rows
         dealt = sized.join(share, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "field", "id").drop("part", "parts").write.partitionBy("bucket").parquet(f"{staging}/rows")
+        fs.delete(filesystem(spark, f"{staging}/counted")[1], True)
         made = spark.read.schema(counted.schema).parquet(f"{staging}/rows")
         rows, digest = made.agg(F.count(F.lit(1)), _digest()).first()
         receipt = {"buckets": buckets, "fields": list(fields), "rows": rows, "digest": str(digest or 0), "revision": revision, "id": docs.schema[id_col].dataType.simpleString()}

@@ -58,3 +58,18 @@ def test_whole_or_not_at_all(spark, tmp_path):
     _, none = build(spark, f"file://{tmp_path}/none", [(1, None, None)])
     none.verify()
     assert none.lexical(["a"], {"body": 1}).count() == 0
+
+
+def test_tokens_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        made.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i % 90, f"red ink {i}") for i in range(100)], "id long, body string")
+    index = Postings.build(docs, f"file://{tmp_path}/once", "id", {"body": F.udf(words, "array<string>")("body")}, "r1", 8)
+    assert made.value == 100
+    index.verify("r1")
+    assert sorted(r.n for r in index.lookup(["ink"]).collect()) == [1] * 80 + [2] * 10
+    assert sorted(os.listdir(f"{tmp_path}/once")) == ["RECEIPT", "rows"]
