@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batch, arrow_type, list_parts, one_array, ranges, row_key, same_row, stored
@@ -39,14 +39,15 @@ _POS_BITS = 31  # an Arrow string has fewer bytes than this can count
 
 
 def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
-    """The minimum of every ``w`` neighbours."""
-    m = len(x) - w + 1
-    if m <= 0:
-        return x[:0]
-    y = np.concatenate([x, np.full(-len(x) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(y, axis=1).ravel()
-    behind = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
+    """The minimum of every ``w`` neighbours, in pieces that stay in the cache."""
+    m, piece = max(0, len(x) - w + 1), 1 << 14
+    out = np.empty(m, x.dtype)
+    for lo in range(0, m, piece):
+        y, have, k = x[lo : lo + piece + w - 1], 1, min(piece, m - lo)
+        while 2 * have <= w:
+            y, have = np.minimum(y[:-have], y[have:]), 2 * have
+        np.minimum(y[:k], y[w - have : w - have + k], out=out[lo : lo + k])
+    return out
 
 
 def anchored_runs(block: TextBlock, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -94,13 +95,15 @@ def _run_rows(id_type: pa.DataType, length: int, anchor: int):
     return apply
 
 
-def _finer_rows(id_type: pa.DataType, length: int, step: int, last: bool):
+def _finer_rows(id_type: pa.DataType, length: int, step: int):
     """Cuts runs of windows into blocks of ``step``, aligned to the distance from the anchor.
 
     ``part`` names the bytes common to all windows of a full block and
-    ``whole`` those of the windows that are there; at a step of one they are equal.
+    ``whole`` those of the windows that are there; at a step of one they are
+    equal, and only what tells single windows apart is given.
     """
-    schema = pa.schema([("_id", id_type), ("_th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("part", pa.int64()), ("whole", pa.int64()), ("weight", pa.int32())])
+    fields = [("_id", id_type), ("_th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("part", pa.int64()), ("whole", pa.int64()), ("weight", pa.int32())]
+    schema = pa.schema([f for f in fields if step > 1 or f[0] not in ("n", "at", "whole")])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +123,12 @@ def _finer_rows(id_type: pa.DataType, length: int, step: int, last: bool):
                 start, count, q = p[run] - y, y - x + 1, p[run]
                 core = b.hashes(q - which * step, q - which * step - (step - 1) + length)
                 part = combine(core, which.astype(np.uint64))
-                whole = part if last else combine(combine(b.hashes(start, start + count - 1 + length), which.astype(np.uint64)), (x * 65536 + y).astype(np.uint64))
                 row = pa.array(doc[run] + b.first)
                 own = b.offs[doc[run]]
+                if step == 1:
+                    yield arrow_batch(schema, ids.take(row), ths.take(row), start - own, _signed(part), weight[lo:hi][run])
+                    continue
+                whole = combine(combine(b.hashes(start, start + count - 1 + length), which.astype(np.uint64)), (x * 65536 + y).astype(np.uint64))
                 yield arrow_batch(schema, ids.take(row), ths.take(row), start - own, count, q - own, _signed(part), _signed(whole), weight[lo:hi][run])
 
     return apply
@@ -136,34 +142,46 @@ def _merged(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     ``whole`` of every ``part`` that has more than one, weighing two if it
     stands for several: rows that are settled still count for others.
     """
-    sizes = scratch.stored(rows.groupBy("part", "whole").agg(F.sum("weight").alias("size"), F.min(F.struct("_id", "_th", "start", "n", "at")).alias("rep")))
+    # Any row of an interval may stand for it.  These five are one row's, and unlike the least struct they need no sorted input.
+    kept = [F.first(c).alias(c) for c in ("_id", "_th", "start", "n", "at")]
+    sizes = scratch.stored(rows.groupBy("part", "whole").agg(F.sum("weight").alias("size"), *kept))
     several = sizes.where("size > 1").select("part", "whole")
     settled = scratch.stored(rows.join(several, ["part", "whole"], "left_semi").select("_id", "_th", "start", "n"))
     scratch.drop(rows)
     parts = sizes.groupBy("part").agg(F.count(F.lit(1)).alias("wholes")).where("wholes > 1").select("part")
-    ahead = scratch.stored(sizes.join(parts, "part", "left_semi").select("rep.*", F.least("size", F.lit(2)).cast("int").alias("weight")))
+    ahead = scratch.stored(sizes.join(parts, "part", "left_semi").select("_id", "_th", "start", "n", "at", F.least("size", F.lit(2)).cast("int").alias("weight")))
     scratch.drop(sizes)
     return settled, ahead
 
 
+def _settled(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The single windows of which several stand in the texts: the last merge, which leaves nothing to refine."""
+    several = scratch.stored(rows.groupBy("part").agg(F.sum("weight").alias("size")).where("size > 1").select("part"))
+    settled = scratch.stored(rows.join(several, "part", "left_semi").select("_id", "_th", "start", F.lit(1).alias("n")))
+    scratch.drop(rows, several)
+    return settled
+
+
 def _schema(df: DataFrame, id_col: str) -> str:
     kind = df.schema[id_col].dataType.simpleString()
     return f"_id {kind}, _th bigint, start int, n int, at int, part bigint, whole bigint, weight int"
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, scratch: Scratch | None = None) -> DataFrame:
     """Runs of window starts whose ``length``-byte strings stand in several places.
 
     Returns ``_id, _th`` (the row key), ``start`` and ``n``: the windows that
     start at ``start .. start + n - 1`` of that text all occur elsewhere too.
-    Rows with one id and one text are copies and share their runs.
+    Rows with one id and one text are copies and share their runs.  With
+    ``scratch``, they lie in its tables until it drops them.
     """
     if length <= ANCHOR + 16:
         raise ValueError(f"length must exceed {ANCHOR + 16}")
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("_text"))
     id_type = arrow_type(docs, id_col)
     schema = _schema(docs, id_col)
-    scratch = Scratch()
+    own = scratch is None
+    scratch = Scratch() if scratch is None else scratch
     runs = scratch.stored(keyed.where(F.octet_length("_text") >= length).mapInArrow(_run_rows(id_type, length, ANCHOR), schema))
     # Most anchors stand in one place only; their runs are settled as unique before anything else is moved.
     # Stored by itself, so that the join deals out the runs of a frequent anchor anew instead of giving them to the task that counted them.
@@ -178,19 +196,34 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Copies of a row come back as often as they stand in the table; their runs are settled, so weights above two change nothing.
     texts = scratch.stored(with_runs(keyed, ahead))
-    second, ahead = _merged(scratch.stored(texts.mapInArrow(_finer_rows(id_type, length, BLOCK, False), schema)), scratch)
-    rows = scratch.stored(with_runs(texts.drop("runs"), ahead).mapInArrow(_finer_rows(id_type, length, 1, True), schema))
-    scratch.drop(texts)
-    third, _ = _merged(rows, scratch)
-    out = stored(first.unionByName(second).unionByName(third))
-    scratch.drop_rest()
+    scratch.drop(ahead)
+    second, ahead = _merged(scratch.stored(texts.mapInArrow(_finer_rows(id_type, length, BLOCK), schema)), scratch)
+    single = f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, start int, part bigint, weight int"
+    rows = scratch.stored(with_runs(texts.drop("runs"), ahead).mapInArrow(_finer_rows(id_type, length, 1), single))
+    scratch.drop(texts, ahead)
+    out = first.unionByName(second).unionByName(_settled(rows, scratch))
+    if own:
+        out = stored(out)
+        scratch.drop_rest()
     return out
 
 
-def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """By row key, the windows of :func:`repeated_windows` as one list of ``(start, n)`` structs."""
-    windows = repeated_windows(docs, id_col, text_col, length)
-    return windows.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+def _packed(start: Column, n: Column) -> Column:
+    """A run of windows as one number: sets of numbers are made and moved in less than half the time of sets of structs."""
+    return F.shiftleft(start.cast("long"), 32) + n
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of lists of :func:`_packed` runs, and all starts and numbers of windows."""
+    offs, runs = list_parts(column)
+    runs = np.asarray(runs).astype(np.int64)
+    return offs, runs >> 32, runs & 0xFFFFFFFF
+
+
+def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, scratch: Scratch | None = None) -> DataFrame:
+    """By row key, the windows of :func:`repeated_windows` as one list of :func:`_packed` runs, and how many they are at most (``reach``)."""
+    windows = repeated_windows(docs, id_col, text_col, length, scratch)
+    return windows.groupBy("_id", "_th").agg(F.collect_set(_packed(F.col("start"), F.col("n"))).alias("spans"), F.sum("n").alias("reach"))
 
 
 def _keep_mask(b: TextBlock, list_offs: np.ndarray, s: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -208,8 +241,8 @@ def _cut(length: int, id_type: pa.DataType, passages: tuple[int, int, int] | Non
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            list_offs, spans = list_parts(batch.column("spans"))
-            s, n = (np.asarray(spans.field(k)).astype(np.int64) for k in ("start", "n"))
+            list_offs, s, n = _unpacked(batch.column("spans"))
+            found = _unpacked(batch.column("passages")) if passages else None
             for b in blocks(batch.column("_text")):
                 keep = _keep_mask(b, list_offs, s, n, length)
                 starts, _ = b.runs(~keep)
@@ -221,9 +254,12 @@ def _cut(length: int, id_type: pa.DataType, passages: tuple[int, int, int] | Non
                 kept = [b.text(i) if not removed[i] else b.data[b.offs[i] : b.offs[i + 1]][keep[b.offs[i] : b.offs[i + 1]]].tobytes() for i in range(b.n)]
                 sha = [hashlib.sha256(k).hexdigest() for k in kept]
                 more = []
-                if passages:
-                    found = batch.column("passages").slice(b.first, b.n).to_pylist()
-                    more = [pa.array([_without(b.data[b.offs[i] : b.offs[i + 1]], own, *passages) for i, own in enumerate(found)], pa.string())]
+                if found:
+                    left = [b.text(i) for i in range(b.n)]
+                    doc, a, z = _passages(*_of_block(b, *found), passages[0])
+                    for i, places in _by_text(doc, a, z):
+                        left[i] = _without(b.data[b.offs[i] : b.offs[i + 1]], places, *passages[1:])
+                    more = [pa.array(left, pa.string())]
                 yield arrow_batch(schema, one_array(batch.column("_id")).slice(b.first, b.n), one_array(batch.column("_th")).slice(b.first, b.n), size, removed, n_spans, sha, *more)
 
     return apply
@@ -238,23 +274,36 @@ def _words_within(raw: np.ndarray, a: int, z: int) -> int:
     return len(raw[a:z].tobytes().split()) - cut
 
 
-def _passages(spans: list, length: int) -> list[tuple[int, int]]:
-    """Byte ranges whose ``length``-byte windows are all repeated: runs of window starts without a gap."""
-    out: list[list[int]] = []
-    for s, n in sorted((x["start"], x["n"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + n)
-        else:
-            out.append([s, s + n])
-    return [(s, e - 1 + length) for s, e in out]
+def _passages(text: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of the byte ranges whose ``length``-byte windows are all repeated: runs of window starts without a gap, in order."""
+    if not len(text):
+        return text, start, n
+    order = np.lexsort((start, text))
+    # Texts are laid out one behind the other, with room between them, so that one pass of greatest ends serves them all.
+    text, room = text[order], int((start + n).max()) + 1
+    begin, end = start[order] + text * room, np.maximum.accumulate((start + n)[order] + text * room)
+    first = np.append(True, begin[1:] > end[:-1])
+    text, last = text[first], np.append(first[1:], True)
+    return text, begin[first] - text * room, end[last] - text * room - 1 + length
+
+
+def _of_block(b: TextBlock, offs: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text within the block, start and number of the runs that a block's texts have."""
+    lo, hi = offs[b.first], offs[b.first + b.n]
+    return np.repeat(np.arange(b.n), np.diff(offs[b.first : b.first + b.n + 1])), start[lo:hi], n[lo:hi]
 
 
-def _without(raw: np.ndarray, spans: list | None, length: int, over_words: int, or_bytes: int) -> str:
-    """A text without its repeated passages of enough words or bytes."""
-    if not spans:
-        return raw.tobytes().decode()
+def _by_text(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Each text that has ranges, with its ranges; ``text`` ascends."""
+    edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(text[lo]), list(zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True))
+
+
+def _without(raw: np.ndarray, places: list[tuple[int, int]], over_words: int, or_bytes: int) -> str:
+    """A text without those of its repeated passages that have enough words or bytes."""
     keep = np.ones(len(raw), bool)
-    for a, z in _passages(spans, length):
+    for a, z in places:
         if z - a >= or_bytes or _words_within(raw, a, z) > over_words:
             keep[a:z] = False
     return raw[keep].tobytes().decode("utf-8", "ignore")
@@ -266,12 +315,14 @@ def _stretches(short: int, length: int, id_type: pa.DataType):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = one_array(batch.column("_id")), one_array(batch.column("_th"))
-            for i in range(len(batch)):
-                places = [(a, z) for a, z in _passages(batch.column("passages")[i].as_py(), short) if z - a >= length]
-                if places:
-                    raw, own = batch.column("_text")[i].as_py().encode(), pa.array([i] * len(places))
-                    yield arrow_batch(schema, ids.take(own), ths.take(own), [a for a, _ in places], [raw[a:z] for a, z in places])
+            ids, ths, found = one_array(batch.column("_id")), one_array(batch.column("_th")), _unpacked(batch.column("passages"))
+            for b in blocks(batch.column("_text")):
+                doc, a, z = _passages(*_of_block(b, *found), short)
+                enough = z - a >= length
+                doc, a, z = doc[enough], a[enough], z[enough]
+                if len(doc):
+                    row, base = pa.array(doc + b.first), b.offs[doc]
+                    yield arrow_batch(schema, ids.take(row), ths.take(row), a, [b.data[x:y].tobytes() for x, y in zip(base + a, base + z, strict=True)])
 
     return apply
 
@@ -283,15 +334,14 @@ def _longer_spans(keyed: DataFrame, found: DataFrame, short: int, length: int, s
     another, so all places of a longer one lie in stretches whose shorter
     strings are all repeated; the search goes over these alone.
     """
-    enough = F.aggregate("passages", F.lit(0).cast("long"), lambda a, x: a + x["n"]) > length - short
-    likely = found.where(enough).select("_id", "_th", "passages")
+    likely = found.where(F.col("reach") > length - short).select("_id", "_th", "passages")
     kind = found.schema["_id"].dataType.simpleString()
     near = keyed.join(likely, same_row(keyed, likely)).select(keyed["_id"], keyed["_th"], "_text", "passages")
     made = near.mapInArrow(_stretches(short, length, arrow_type(found, "_id")), f"_id {kind}, _th bigint, _from bigint, _text binary")
     parts = scratch.stored(made.withColumn("_part", F.monotonically_increasing_id()))
-    windows = repeated_windows(parts.select("_part", "_text"), "_part", "_text", length).select(F.col("_id").alias("_part"), "start", "n")
+    windows = repeated_windows(parts.select("_part", "_text"), "_part", "_text", length, scratch).select(F.col("_id").alias("_part"), "start", "n")
     placed = windows.join(parts.select("_part", "_id", "_th", "_from"), "_part")
-    return placed.groupBy("_id", "_th").agg(F.collect_set(F.struct((F.col("start") + F.col("_from")).cast("int").alias("start"), "n")).alias("spans"))
+    return placed.groupBy("_id", "_th").agg(F.collect_set(_packed(F.col("start") + F.col("_from"), F.col("n"))).alias("spans"))
 
 
 def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passages: tuple[int, int, int] | None = None) -> DataFrame:
@@ -314,7 +364,9 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = f"_id {kind}, _th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     scratch = Scratch()
     if passages:
-        found = scratch.stored(covered_spans(docs, id_col, text_col, passages[0]).withColumnRenamed("spans", "passages"))
+        inner = Scratch()
+        found = scratch.stored(covered_spans(docs, id_col, text_col, passages[0], inner).withColumnRenamed("spans", "passages"))
+        inner.drop_rest()
         spans = _longer_spans(keyed, found, passages[0], length, scratch) if passages[0] < length else covered_spans(docs, id_col, text_col, length)
         spans = found.join(spans, same_row(found, spans), "left").select(found["_id"], found["_th"], "spans", "passages")
         schema += ", text string"
@@ -346,7 +398,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if t is None or own is None or not len(own):
                 made.append(t)
                 continue
-            made.append(_without(np.frombuffer(t.encode(), np.uint8), list(own), length, over_words, or_bytes))
+            _, a, z = _passages(np.zeros(len(own), np.int64), own >> 32, own & 0xFFFFFFFF, length)
+            made.append(_without(np.frombuffer(t.encode(), np.uint8), list(zip(a.tolist(), z.tolist(), strict=True)), over_words, or_bytes))
         return pd.Series(made, dtype=object)
 
     cleaned = both.withColumn("_text", cut("_text", "spans"))

@@ -30,12 +30,14 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
 def _residue(x: np.ndarray) -> np.ndarray:
     """``x`` below 2^63 modulo the prime, by folding its upper bits twice."""
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    x -= _PRIME * (x >= _PRIME)
-    return x
+    x = _folded(_folded(x))
+    return np.minimum(x, x - _PRIME)  # below the prime, the difference wraps round to more than any residue
 
 
 _powers: list[np.ndarray] = [np.ones((2, 1), np.uint32), np.ones((2, 1), np.uint32)]
@@ -116,7 +118,7 @@ class TextBlock:
             for k in range(2):
                 for lo in range(0, len(self.data), 1 << 14):  # in pieces that stay in the cache
                     part = self.data[lo : lo + (1 << 14)]
-                    sums = np.cumsum(_residue(_TABLES[k][part] * pw[k, lo : lo + len(part)]))
+                    sums = np.cumsum(_folded(_TABLES[k][part] * pw[k, lo : lo + len(part)]))  # each below 2^32
                     self._prefix[k, lo + 1 : lo + 1 + len(part)] = _residue(sums + np.uint64(self._prefix[k, lo]))
         h = (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for k in range(2):
@@ -128,8 +130,16 @@ class TextBlock:
         n = len(self.data) - width + 1
         pw, inv = _quick_powers(len(self.data))
         prefix = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_TABLES[0] | np.uint64(1))[self.data] * pw[: len(self.data)], out=prefix[1:])
-        return mix((prefix[width:] - prefix[:n]) * inv[:n])
+        table, piece = _TABLES[0] | np.uint64(1), 1 << 14
+        for lo in range(0, len(self.data), piece):
+            part = prefix[lo + 1 : lo + 1 + piece]
+            np.cumsum(table[self.data[lo : lo + piece]] * pw[lo : lo + len(part)], out=part)
+            part += prefix[lo]
+        out = np.empty(max(0, n), np.uint64)
+        for lo in range(0, n, piece):
+            hi = min(n, lo + piece)
+            out[lo:hi] = mix((prefix[lo + width : hi + width] - prefix[lo:hi]) * inv[lo:hi])
+        return out
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs where ``inside`` holds; no run crosses a document."""

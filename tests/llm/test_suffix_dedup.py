@@ -119,3 +119,55 @@ def test_one_search_for_both_lengths(spark):
     got = sorted(tuple(x)[:5] for x in sd.measure_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), passages=(200, 50, 300)).collect())
     want = sd.brute_force([x[1] for x in rows])
     assert got == sorted((x[0], *w) for x, w in zip(rows, want, strict=True)) and sum(w[1] > 0 for w in want) > 20
+
+
+def test_passages_of_a_whole_block_at_once():
+    """Stretches of many texts are found together and leave in one batch, as a plain walk over each text's runs gives them."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    texts, runs = [], []
+    for _ in range(200):
+        texts.append("".join(r.choice("abcdé ") for _ in range(900)))
+        runs.append(sorted({(r.randrange(500) << 32) + r.randrange(1, 60) for _ in range(r.choice((0, 1, 4, 25)))}, key=lambda _: r.random()) or None)
+
+    def plain(own, length):
+        out = []
+        for s, n in sorted((x >> 32, x & 0xFFFFFFFF) for x in own or ()):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], s + n)
+            else:
+                out.append([s, s + n])
+        return [(s, e - 1 + length) for s, e in out]
+
+    want = [(i, a, z) for i, own in enumerate(runs) for a, z in plain(own, 200)]
+    offs, start, n = sd._unpacked(pa.array(runs, pa.list_(pa.int64())))
+    assert list(zip(*(x.tolist() for x in sd._passages(np.repeat(np.arange(200), np.diff(offs)), start, n, 200)), strict=True)) == want
+    ids, ths = pa.array([None if i == 3 else i for i in range(200)], pa.int64()), pa.array(range(200), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ths, pa.array(texts), pa.array(runs, pa.list_(pa.int64()))], names=["_id", "_th", "_text", "passages"])
+    made = list(sd._stretches(200, 260, pa.int64())(iter([batch])))
+    assert len(made) == 1
+    assert [tuple(x.values()) for x in made[0].to_pylist()] == [(ids[i].as_py(), i, a, texts[i].encode()[a:z]) for i, a, z in want if z - a >= 260]
+
+
+def test_least_of_neighbours_over_pieces():
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(0, 1 << 63, 40_000).astype(np.uint64)
+    for w in (1, 2, 3, 153, 353):
+        for n in (w - 1, w, w + 1, 16_384, 16_383 + w, 40_000):
+            want = np.lib.stride_tricks.sliding_window_view(x[:n], w).min(axis=1) if n >= w else x[:0]
+            assert np.array_equal(sd._slide_min(x[:n], w), want)
+
+
+def test_block_without_a_repeated_string():
+    import numpy as np
+    import pyarrow as pa
+
+    none = np.zeros(0, np.int64)
+    assert list(sd._by_text(none, none, none)) == [] and [len(x) for x in sd._passages(none, none, none, 200)] == [0, 0, 0]
+    assert list(sd._by_text(np.array([0, 0, 4]), np.array([1, 9, 2]), np.array([5, 12, 6]))) == [(0, [(1, 5), (9, 12)]), (4, [(2, 6)])]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array(["ab", ""]), *[pa.array([None, None], pa.list_(pa.int64()))] * 2], names=["_id", "_th", "_text", "spans", "passages"])
+    assert [x["text"] for x in next(sd._cut(400, pa.int64(), (200, 50, 300))(iter([batch]))).to_pylist()] == ["ab", ""]
+    assert list(sd._stretches(200, 400, pa.int64())(iter([batch]))) == []
