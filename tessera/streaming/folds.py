@@ -12,10 +12,13 @@ was cut into batches, and a stream goes on from its checkpoint.
 from __future__ import annotations
 
 import json
+import pickle
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import islice
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -109,66 +112,85 @@ def _taken(fold: Fold, state: Any, key: Any, row: Any) -> tuple[Any, list]:
     return state, out + ([made] if made is not None else [])
 
 
+#: So many held events at most are one value of the state.
+PACK = 4096
+
+
 class _Ordered(StatefulProcessor):
-    """Holds a key's events back until the watermark has passed them, then folds them in order."""
+    """Holds a key's events back until the watermark has passed them, then folds them in order.
 
-    def __init__(self, fold: Fold, names: list[str], kinds: str, out: list[str]):
-        self.fold, self.names, self.kinds, self.out = fold, names, kinds, out
+    Every call to the state is a message to another process, so events are held
+    in packs, one for what a batch brings of a key unless that is very much.
+    """
+
+    def __init__(self, fold: Fold, names: list[str], out: list[str]):
+        self.fold, self.names, self.out = fold, names, out
 
     def init(self, handle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", "state string, us bigint")
-        self.held = handle.getListState("held", self.kinds)
-        self.kind = namedtuple("kind", self.names)
+        self.held = handle.getListState("held", "events binary")
+        self.kind, self.row = namedtuple("kind", self.names), Row(*self.out)
+        self.us, self.by = self.names.index("us"), [self.names.index(c) for c in self.fold.order]
+
+    def _in_order(self, events: list[tuple]) -> list[tuple]:
+        try:
+            return sorted(events, key=itemgetter(*self.by))
+        except TypeError:  # nulls, which come first
+            return sorted(events, key=lambda r: tuple((r[i] is not None, r[i]) for i in self.by))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [tuple(r[c] for c in self.names) for r in rows if r["us"] >= passed]  # what comes later than allowed is dropped
-        if new:
-            self.held.appendList(new)
-            at = self.names.index("us")
-            self.handle.registerTimer(min(r[at] for r in new) // 1000 + 1)
+        passed, us, first = timerValues.getCurrentWatermarkInMs() * 1000, self.us, None
+        new = (r for r in map(tuple, rows) if r[us] >= passed)  # what comes later than allowed is dropped
+        while pack := list(islice(new, PACK)):
+            self.held.appendList([(pickle.dumps(pack),)])
+            least = min(r[us] for r in pack)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fold, held = self.fold, [self.kind(*r) for r in self.held.get()]
-        due = sorted((r for r in held if r.us < passed), key=lambda r: tuple((getattr(r, c) is not None, getattr(r, c)) for c in fold.order))
-        rest = [r for r in held if r.us >= passed]
-        kept = self.kept.get() if self.kept.exists() else None
+        passed, us = timerValues.getCurrentWatermarkInMs() * 1000, self.us
+        fold, held = self.fold, [r for (pack,) in self.held.get() for r in pickle.loads(pack)]
+        due = self._in_order([r for r in held if r[us] < passed])
+        rest = [r for r in held if r[us] >= passed]
+        kept = self.kept.get()
         state, last = (fold.load(json.loads(kept[0])), kept[1]) if kept else (fold.start(), None)
         out = []
-        for r in due:
+        for r in map(self.kind._make, due):
             state, made = _taken(fold, state, key[0], r)
-            out, last = out + made, r.us
+            out += made
+            last = r.us
         if fold.lapse and last is not None and (gone := fold.lapse(state, key[0], passed)):
             state = gone[0]
             out += [gone[1]] if gone[1] is not None else []
-        if last is not None and fold.idle is not None and last + fold.idle < passed:
+        over = last is not None and fold.idle is not None and last + fold.idle < passed
+        if over and kept:
             self.kept.clear()
-        elif due or fold.lapse:
+        elif not over and (due or fold.lapse):
             self.kept.update((json.dumps(state, default=sorted), last))
         if due:
             self.held.clear()
-            if rest:
-                self.held.put([tuple(r) for r in rest])
+            for i in range(0, len(rest), PACK):
+                self.held.appendList([(pickle.dumps(rest[i : i + PACK]),)])
         if rest:
-            self.handle.registerTimer(min(r.us for r in rest) // 1000 + 1)
-        if due and fold.idle is not None:
+            self.handle.registerTimer(min(r[us] for r in rest) // 1000 + 1)
+        if due and fold.idle is not None and not over:
             self.handle.registerTimer((last + fold.idle) // 1000 + 1)
         if fold.wake and (at := fold.wake(state)) is not None:
             self.handle.registerTimer(at // 1000 + 1)
-        yield from (Row(**dict(zip(self.out, r, strict=True))) for r in out)
+        yield from (self.row(*r) for r in out)
 
     def close(self) -> None:
         pass
 
 
 def _stream(df: DataFrame, fold: Fold, late: str) -> DataFrame:
-    kinds = ", ".join(f"`{n}` {k}" for n, k in df.dtypes)
-    timed = df.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late)
+    # The watermark needs the time as such, the events don't: a timestamp costs more to hand over than all else of a row.
+    timed = df.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late).select(df.columns)
     result = StructType.fromDDL(fold.result)
-    return timed.groupBy(fold.key).transformWithState(_Ordered(fold, df.columns, kinds, result.names), result, "append", "eventTime")
+    return timed.groupBy(fold.key).transformWithState(_Ordered(fold, df.columns, result.names), result, "append", "eventTime")
 
 
 def _timed(df: DataFrame, key: str, time: str, tie: str, **more: str) -> DataFrame:

@@ -127,3 +127,45 @@ def test_reader_goes_on_from_its_position(spark, tmp_path):
     again.done(rest)
     again.done(first)  # never back
     assert known(again.next(log).select("run").distinct()) == [(2,)]
+
+
+def test_held_events_are_few_values_of_the_state():
+    """Each call to the state is a message to another process: a key's events of a batch go there in packs."""
+    from types import SimpleNamespace
+
+    calls, timers, store = [], [], {"kept": None, "held": []}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*given):
+                calls.append((self.name, what))
+                if what == "get":
+                    return iter(list(store["held"])) if self.name == "held" else store["kept"]
+                if what in ("appendList", "put"):
+                    store["held"] = ([] if what == "put" else store["held"]) + list(given[0])
+                elif what == "exists":
+                    return store["kept"] is not None
+                else:
+                    store[self.name] = given[0] if what == "update" else [] if self.name == "held" else None
+
+            return call
+
+    handle = SimpleNamespace(getValueState=lambda name, _: State(name), getListState=lambda name, _: State(name), registerTimer=timers.append)
+    fold = folds.Fold("k", ("us", "id"), lambda: 0, lambda n, row: (n + 1, (row.id, row.k, n)), "id long, k long, n long", idle=1_000_000)
+    made = folds._Ordered(fold, ["k", "us", "id"], ["id", "k", "n"])
+    made.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    rows = [(7, 5_000_000 + i * 1000, None if i == 20 else i) for i in range(10_000)]
+    random.Random(1).shuffle(rows)
+    late = [(7, 10, -1)]
+    assert list(made.handleInputRows((7,), iter(rows[:9_000] + late), at(1))) == []
+    assert list(made.handleInputRows((7,), iter(rows[9_000:]), at(1))) == []
+    assert len(calls) <= 4 and len(store["held"]) <= 4 and min(timers) == 5_001
+    first = list(made.handleExpiredTimer((7,), at(5_000 + 3_000), None))
+    assert [tuple(r) for r in first] == [(None if i == 20 else i, 7, i) for i in range(3_000)] and first[0].asDict() == {"id": 0, "k": 7, "n": 0}
+    rest = list(made.handleExpiredTimer((7,), at(60_000), None))
+    assert [r.n for r in rest] == list(range(3_000, 10_000)) and store == {"kept": None, "held": []}
+    assert len(calls) < 20
