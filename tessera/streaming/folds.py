@@ -3,30 +3,31 @@
 A :class:`Fold` says what one key's events, taken in order, do to its state and
 what they give.  In batch, each partition is read sorted by key and time and the
 state of one key at a time is carried, so no key's events are ever held
-together.  As a stream, a key keeps its state and the events that may still be
-overtaken; once the watermark has passed an event, it is folded.  So both give
+together.  As a stream, keys are dealt to many shares; a share keeps its keys'
+states and the events that may still be overtaken; once the watermark has passed
+an event, it is folded.  So both give
 the same rows for all events that the watermark has passed, however the stream
 was cut into batches, and a stream goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
-import json
 import pickle
 from collections import namedtuple
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 from operator import itemgetter
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessera.sources.versioned import VersionedTable
 
@@ -50,8 +51,6 @@ class Fold:
     lapse: Callable[[Any, Any, int], tuple | None] | None = None
     wake: Callable[[Any], int | None] | None = None
     idle: int | None = None
-    #: A state from its JSON form, in which tuples and sets are lists.
-    load: Callable[[Any], Any] = lambda made: tuple(made) if isinstance(made, list) else made
 
 
 def folded(df: DataFrame, fold: Fold, upto: int | None = None, late: str = "10 minutes") -> DataFrame:
@@ -112,15 +111,20 @@ def _taken(fold: Fold, state: Any, key: Any, row: Any) -> tuple[Any, list]:
     return state, out + ([made] if made is not None else [])
 
 
-#: So many held events at most are one value of the state.
+#: So many held events at most are one value of the state, and so many results one row handed back.
 PACK = 4096
 
+#: Keys are dealt to so many shares, and a stream keeps its state by share: each call to the state is a message to another
+#: process, and one for every key costs far more than to fold its events. Much more keys than these share a value that is rewritten as one.
+SHARES = 1 << 15
+
 
 class _Ordered(StatefulProcessor):
-    """Holds a key's events back until the watermark has passed them, then folds them in order.
+    """Holds the events of some keys back until the watermark has passed them, then folds each key's in order.
 
     Every call to the state is a message to another process, so events are held
-    in packs, one for what a batch brings of a key unless that is very much.
+    in packs, one for what a batch brings unless that is very much, and the
+    states of the keys, each with the time of its last event, are one value.
     """
 
     def __init__(self, fold: Fold, names: list[str], out: list[str]):
@@ -128,10 +132,10 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "state string, us bigint")
+        self.kept = handle.getValueState("kept", "states binary")
         self.held = handle.getListState("held", "events binary")
         self.kind, self.row = namedtuple("kind", self.names), Row(*self.out)
-        self.us, self.by = self.names.index("us"), [self.names.index(c) for c in self.fold.order]
+        self.us, self.key, self.by = self.names.index("us"), self.names.index(self.fold.key), [self.names.index(c) for c in self.fold.order]
 
     def _in_order(self, events: list[tuple]) -> list[tuple]:
         try:
@@ -151,46 +155,106 @@ class _Ordered(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        passed, us = timerValues.getCurrentWatermarkInMs() * 1000, self.us
-        fold, held = self.fold, [r for (pack,) in self.held.get() for r in pickle.loads(pack)]
-        due = self._in_order([r for r in held if r[us] < passed])
-        rest = [r for r in held if r[us] >= passed]
+        passed, us, fold = timerValues.getCurrentWatermarkInMs() * 1000, self.us, self.fold
+        rest, due = [], {}
+        for (pack,) in self.held.get():
+            for r in pickle.loads(pack):
+                if r[us] < passed:
+                    due.setdefault(r[self.key], []).append(r)
+                else:
+                    rest.append(r)
         kept = self.kept.get()
-        state, last = (fold.load(json.loads(kept[0])), kept[1]) if kept else (fold.start(), None)
-        out = []
-        for r in map(self.kind._make, due):
-            state, made = _taken(fold, state, key[0], r)
-            out += made
-            last = r.us
-        if fold.lapse and last is not None and (gone := fold.lapse(state, key[0], passed)):
-            state = gone[0]
-            out += [gone[1]] if gone[1] is not None else []
-        over = last is not None and fold.idle is not None and last + fold.idle < passed
-        if over and kept:
+        states = pickle.loads(kept[0]) if kept else {}
+        out, left, changed, wakes, ends = [], {}, bool(due), [r[us] for r in rest], []
+        for k in states | due:
+            state, last = states.get(k) or (fold.start(), None)
+            for r in map(self.kind._make, self._in_order(due.get(k, []))):
+                state, made = _taken(fold, state, k, r)
+                out += made
+                last = r.us
+            if fold.lapse and (gone := fold.lapse(state, k, passed)):
+                state, changed = gone[0], True
+                out += [gone[1]] if gone[1] is not None else []
+            if fold.idle is not None:
+                if last + fold.idle < passed:
+                    continue
+                ends.append(last + fold.idle)
+            left[k] = state, last
+            if fold.wake and (at := fold.wake(state)) is not None:
+                wakes.append(at)
+        if left and (changed or len(left) < len(states)):
+            self.kept.update((pickle.dumps(left),))
+        elif kept and not left:
             self.kept.clear()
-        elif not over and (due or fold.lapse):
-            self.kept.update((json.dumps(state, default=sorted), last))
-        if due:
+        if rest and due:
+            self.held.put([(pickle.dumps(rest[i : i + PACK]),) for i in range(0, len(rest), PACK)])
+        elif due:
             self.held.clear()
-            for i in range(0, len(rest), PACK):
-                self.held.appendList([(pickle.dumps(rest[i : i + PACK]),)])
-        if rest:
-            self.handle.registerTimer(min(r[us] for r in rest) // 1000 + 1)
-        if due and fold.idle is not None and not over:
-            self.handle.registerTimer((last + fold.idle) // 1000 + 1)
-        if fold.wake and (at := fold.wake(state)) is not None:
-            self.handle.registerTimer(at // 1000 + 1)
-        yield from (self.row(*r) for r in out)
+        if ends:  # a state that is over may stay until all of its share are
+            wakes.append(max(ends))
+        if wakes:
+            self.handle.registerTimer(min(wakes) // 1000 + 1)
+        yield from self._given(out)
+
+    def _given(self, out: list[tuple]) -> Iterator[Row]:
+        return (self.row(*r) for r in out)
 
     def close(self) -> None:
         pass
 
 
+class _InPacks(_Ordered):
+    """The same for rows that hold many events column by column, as :func:`_packed` makes them; results are given in such rows too."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        return super().handleInputRows(key, chain.from_iterable(zip(*r[1:], strict=True) for r in rows), timerValues)
+
+    def _given(self, out: list[tuple]) -> Iterator[Row]:
+        return (self.row(*map(list, zip(*out[i : i + PACK], strict=True))) for i in range(0, len(out), PACK))
+
+
+#: So many rows, and a batch more at most, are looked through at once for those of one share.
+HELD_ROWS = 1 << 17
+
+
+def _packed(df: DataFrame, key: str) -> DataFrame:
+    """One row for a share's rows of a partition, unless these are very many: ``_share``, and an array of each column."""
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int").alias("_share"), *df.columns)
+    made = StructType([StructField("_share", IntegerType())] + [StructField(f.name, ArrayType(f.dataType)) for f in df.schema])
+    schema = to_arrow_schema(made)
+
+    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches)
+        share = rows["_share"].to_numpy()
+        order = np.argsort(share, kind="stable")
+        first = np.flatnonzero(np.diff(share[order], prepend=-1))
+        ends, order = pa.array(np.append(first, len(order)), pa.int32()), pa.array(order)
+        rows = rows.take(order).combine_chunks().to_batches()[0]
+        arrays = [pa.ListArray.from_arrays(ends, c) for c in rows.columns[1:]]
+        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip([rows["_share"].take(pa.array(first)), *arrays], schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return dealt.repartition("_share").mapInArrow(run, made)
+
+
 def _stream(df: DataFrame, fold: Fold, late: str) -> DataFrame:
     # The watermark needs the time as such, the events don't: a timestamp costs more to hand over than all else of a row.
     timed = df.withColumn("_at", F.timestamp_micros("us")).withWatermark("_at", late).select(df.columns)
     result = StructType.fromDDL(fold.result)
-    return timed.groupBy(fold.key).transformWithState(_Ordered(fold, df.columns, result.names), result, "append", "eventTime")
+    # A keyed state's rows go to Python and back value by value, so a row is what a batch brings of a share.
+    packs = StructType([StructField(f.name, ArrayType(f.dataType)) for f in result])
+    made = _packed(timed, fold.key).groupBy("_share").transformWithState(_InPacks(fold, df.columns, result.names), packs, "append", "eventTime")
+    return made.select(F.inline(F.arrays_zip(*result.names)))
 
 
 def _timed(df: DataFrame, key: str, time: str, tie: str, **more: str) -> DataFrame:
@@ -395,8 +459,7 @@ def evidence_rounds(df: DataFrame, key: str, order: list[str], record: str, dige
 
     kinds = dict(rows.dtypes)
     head = ", ".join(f"{c} {kinds[c]}" for c in order)
-    load = lambda made: (made[0], frozenset(made[1]), frozenset(made[2]), made[3])
-    fold = Fold("k", tuple(order), lambda: (0, frozenset(), frozenset(), False), step, f"{head}, k {kinds['k']}, stale int, status string", load=load)
+    fold = Fold("k", tuple(order), lambda: (0, frozenset(), frozenset(), False), step, f"{head}, k {kinds['k']}, stale int, status string")
     return folded(rows, fold, late=late).withColumnRenamed("k", key)
 
 

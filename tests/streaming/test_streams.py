@@ -169,3 +169,60 @@ def test_held_events_are_few_values_of_the_state():
     rest = list(made.handleExpiredTimer((7,), at(60_000), None))
     assert [r.n for r in rest] == list(range(3_000, 10_000)) and store == {"kept": None, "held": []}
     assert len(calls) < 20
+
+
+@pytest.mark.parametrize("name", ["anchored", "states"])
+def test_keys_of_one_share_stay_apart(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(folds, "SHARES", 1)
+    monkeypatch.setattr(folds, "HELD_ROWS", 20)
+    test_stream_equals_batch_over_batches_and_a_restart(spark, tmp_path, name)
+
+
+def test_leases_of_one_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folds, "SHARES", 1)
+    test_leases(spark, tmp_path)
+
+
+def test_rows_of_a_share_are_one_row(spark):
+    rows = frame(spark, events()).select("k", F.unix_micros("ts").alias("us"), "state")
+    packs = folds._packed(rows, "k")
+    assert packs.count() == 4  # three keys and null
+    assert known(packs.select(F.inline(F.arrays_zip("k", "us", "state")))) == known(rows)
+
+
+def test_many_keys_cost_few_calls_to_the_state():
+    """One call costs more than to fold a key's events, so the keys of a share are read and written together."""
+    from types import SimpleNamespace
+
+    calls, timers, store = [], [], {"kept": None, "held": []}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*given):
+                calls.append((self.name, what))
+                if what == "get":
+                    return iter(list(store["held"])) if self.name == "held" else store["kept"]
+                if what in ("appendList", "put"):
+                    store["held"] = ([] if what == "put" else store["held"]) + list(given[0])
+                else:
+                    store[self.name] = given[0] if what == "update" else [] if self.name == "held" else None
+
+            return call
+
+    handle = SimpleNamespace(getValueState=lambda name, _: State(name), getListState=lambda name, _: State(name), registerTimer=timers.append)
+    fold = folds.Fold("k", ("us", "id"), lambda: 0, lambda n, row: (n + 1, (row.id, row.k, n)), "id long, k long, n long", idle=1_000_000)
+    made = folds._InPacks(fold, ["k", "us", "id"], ["id", "k", "n"])
+    made.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    rows = [(k if k else None, 5_000_000 + i * 1_000_000, 1000 * k + i) for k in range(300) for i in range(4)]
+    random.Random(1).shuffle(rows)
+    packs = [(0, *map(list, zip(*rows[i : i + 500], strict=True))) for i in range(0, len(rows), 500)]
+    assert list(made.handleInputRows((0,), iter(packs), at(1))) == []
+    given = [made.handleExpiredTimer((0,), at(ms), None) for ms in (6_500, 60_000)]
+    first, last = ([r for row in g for r in zip(row.id, row.k, row.n, strict=True)] for g in given)
+    assert sorted(first) == [(1000 * k + i, k if k else None, i) for k in range(300) for i in range(2)]
+    assert sorted(last) == [(1000 * k + i, k if k else None, i) for k in range(300) for i in range(2, 4)]
+    assert len(calls) < 12 and len(timers) < 4 and store == {"kept": None, "held": []}
