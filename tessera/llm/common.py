@@ -61,6 +61,12 @@ def one_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def whole_rows(docs: DataFrame, text_col: str) -> tuple[Column, int]:
+    """All columns as one struct, and the place of the text in it: a text that goes to Python with its row needs no column of its own beside it."""
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]), at
+
+
 def list_parts(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets (from 0) and flattened values of a list column; null lists are empty."""
     column = one_array(column)

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batch, arrow_type, list_parts, one_array
+from .common import Scratch, arrow_batch, arrow_type, list_parts, one_array, whole_rows
 from .quality_rules import labelled_rows
-from .text_stats import RATIOS, block_counts, ratio_matrix
+from .text_stats import COUNT_BYTES, RATIOS, block_counts, ratio_matrix
 from .textblock import TextBlock, blocks
 
 WORD_BITS = 18
@@ -257,7 +257,7 @@ def _features(*more: pa.Field):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column("_text")):
+            for b in blocks(batch.column("_text"), COUNT_BYTES):
                 doc, bucket = word_buckets(b)
                 offs = np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32)
                 r = ratio_matrix(block_counts(b))
@@ -349,14 +349,14 @@ def _sure(model: CoModel, confident: float, id_type: pa.DataType):
     return apply
 
 
-def _score(model: CoModel, key_type: pa.DataType):
+def _score(model: CoModel, key_type: pa.DataType, texts: Callable[[pa.RecordBatch], pa.Array]):
     schema = pa.schema([("_key", key_type), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64()), ("toxic_score", pa.float64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, flat = list_parts(batch.column("meta"))
             meta = np.asarray(flat).reshape(len(batch), -1)
-            for b in blocks(batch.column("_text")):
+            for b in blocks(texts(batch), COUNT_BYTES):
                 words, ratios = word_buckets(b), ratio_matrix(block_counts(b))
                 zt = model.text_logit(words, ratios)
                 yield arrow_batch(schema, one_array(batch.column("_key")).slice(b.first, b.n), *model.scores(zt, model.meta_logit(meta[b.rows])), model.toxic_score(words, ratios))
@@ -364,10 +364,10 @@ def _score(model: CoModel, key_type: pa.DataType):
     return apply
 
 
-def _scored(docs: DataFrame, model: CoModel, key: Column, text_col: str) -> DataFrame:
-    rows = docs.select(key.alias("_key"), F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta"))
+def _scored(rows: DataFrame, model: CoModel, texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``_key``, scores and verdict of rows of ``_key`` and ``meta``, whose texts ``texts`` takes out of a batch."""
     schema = f"_key {rows.schema['_key'].dataType.simpleString()}, text_score double, meta_score double, score double, toxic_score double"
-    return rows.mapInArrow(_score(model, arrow_type(rows, "_key")), schema).withColumn("kept", (F.col("score") >= model.threshold) & (F.col("toxic_score") < (model.toxic.cut if model.toxic else 2.0))).drop("toxic_score")
+    return rows.mapInArrow(_score(model, arrow_type(rows, "_key"), texts), schema).withColumn("kept", (F.col("score") >= model.threshold) & (F.col("toxic_score") < (model.toxic.cut if model.toxic else 2.0))).drop("toxic_score")
 
 
 def score(docs: DataFrame, model: CoModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,12 +380,14 @@ def score(docs: DataFrame, model: CoModel | None, id_col: str = "doc_id", text_c
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(F.col(f"`{id_col}`").alias(id_col), none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("kept"))
-    return _scored(docs, model, F.col(f"`{id_col}`"), text_col).withColumnRenamed("_key", id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{text_col}`").alias("_text"), meta_columns(docs).alias("meta"))
+    return _scored(rows, model, lambda batch: batch.column("_text")).withColumnRenamed("_key", id_col)
 
 
 def filter_good(docs: DataFrame, model: CoModel | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with their columns."""
     if model is None:
         return docs
-    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _scored(docs, model, packed, text_col).where("kept").select(*[F.col("_key").getField(c).alias(c) for c in docs.columns])
+    packed, at = whole_rows(docs, text_col)
+    rows = docs.select(packed.alias("_key"), meta_columns(docs).alias("meta"))
+    return _scored(rows, model, lambda batch: one_array(batch.column("_key")).field(at)).where("kept").select(*[F.col("_key").getField(c).alias(c) for c in docs.columns])

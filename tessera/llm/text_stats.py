@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, one_array
+from .common import arrow_batch, one_array, whole_rows
 from .textblock import SPACE, TextBlock, blocks, combine
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_short")
@@ -37,6 +37,10 @@ RATIOS = {
 }
 
 
+#: Texts are counted in blocks of so many bytes: what is made of one stays in the cache, and little stands beside an Arrow batch.
+COUNT_BYTES = 1 << 18
+
+
 def ratio_column(name: str) -> Column:
     return F.expr(f"cast({RATIOS[name]} as double)")
 
@@ -131,16 +135,16 @@ def ratio_matrix(counts: dict[str, np.ndarray]) -> np.ndarray:
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without other columns than ``_rest`` (all of them, the text too) beside the counts of :data:`COUNTS`."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest"), F.col(f"`{text_col}`").alias("_text"))
-    return _counted(packed, ["_rest"])
+    packed, at = whole_rows(docs, text_col)
+    return _counted(docs.select(packed.alias("_rest")), ["_rest"], lambda batch: one_array(batch.column("_rest")).field(at))
 
 
 def counts_of(docs: DataFrame, key_cols: list[Column], text_col: str = "text") -> DataFrame:
     """``key_cols`` and the counts, without carrying texts on."""
-    return _counted(docs.select(*key_cols, F.col(f"`{text_col}`").alias("_text")), None)
+    return _counted(docs.select(*key_cols, F.col(f"`{text_col}`").alias("_text")), None, lambda batch: batch.column("_text"))
 
 
-def _counted(df: DataFrame, keep: list[str] | None) -> DataFrame:
+def _counted(df: DataFrame, keep: list[str] | None, texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     keep = keep or [c for c in df.columns if c != "_text"]
     fields = [df.schema[c] for c in keep]
     from pyspark.sql.pandas.types import to_arrow_type
@@ -149,7 +153,7 @@ def _counted(df: DataFrame, keep: list[str] | None) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column("_text")):
+            for b in blocks(texts(batch), COUNT_BYTES):
                 made = block_counts(b)
                 yield arrow_batch(schema, *[one_array(batch.column(c)).slice(b.first, b.n) for c in keep], *[made[c].astype(np.int64) for c in COUNTS])
 

@@ -143,3 +143,18 @@ def test_the_chain_is_its_stages(spark, folder):
     got = {(r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()}
     assert {(d, sum(x[2] for x in got if x[0] == d)) for d in {x[0] for x in got}} == {(d, sum(x[2] for x in want if x[0] == d)) for d in {x[0] for x in want}}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_dedup", "suffix_dedup", "packing"]
+
+
+def test_filters_send_each_text_to_python_once(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"word{r.randrange(10**9)}" for _ in range(300)) + (" vile nasty" if i % 4 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, Text string, lang string, source string").coalesce(1)
+    model = cotrain.fit(docs, spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(200)], "doc_id long, quality int"))
+    total = sum(map(len, texts))
+    for kept in (cotrain.filter_good(docs, model), quality_rules.filter_by_rules(docs, [])):
+        rows = kept.collect()
+        assert kept.columns == docs.columns and 100 < len(rows) and all(x.Text == texts[x.doc_id] for x in rows)
+        plan = kept._jdf.queryExecution().executedPlan()
+        while plan.metrics().get("pythonDataSent").isEmpty():
+            plan = plan.children().apply(0)
+        assert total < plan.metrics().get("pythonDataSent").get().value() < 1.5 * total
