@@ -13,6 +13,10 @@ are complete, and all of them are kept: each part weighs and scores the strings
 whose contexts it has.  Shorter contexts are shared by all parts.  A context that was never seen has an estimate of a half
 for every bit, so probabilities of all 256 bytes sum to one.  A text ends with
 a byte that no text holds.
+
+Tasks read what they need in order and piece by piece: counts leave a task once
+they are many, a part's strings are asked for in portions, and what is stored
+or moved is compressed before it leaves Python, so rows are small.
 """
 
 from __future__ import annotations
@@ -34,6 +38,11 @@ DEPTH = 5
 SHARED = 2
 END = 0xFF
 _MERGE_AT = 1_200_000
+_HELD = 4_000_000  # strings with counts that a task holds before it hands them on
+_ASKED = 1 << 21  # strings that are scored together
+_ROW = 1 << 14  # strings of a stored row
+_PIECE = 1 << 19  # bytes of text of a stored row
+_PART_BYTES = 16 << 20  # bytes of text for each part, at most
 _BLOCK = 1 << 19  # bytes of text worked on at once
 _STRING_BLOCK = 5 << 20  # bytes of text whose distinct strings are asked for together
 _U = np.uint64
@@ -42,13 +51,14 @@ _Levels = list[_Counts]
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, as equal high bytes compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Numbers byte plane by byte plane, as equal high bytes compress to nothing, and compressed, so that they are small wherever they go."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def from_planes(raw: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    flat = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def gaps(keys: np.ndarray) -> bytes:
@@ -98,47 +108,54 @@ def _bucket(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((ctx * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) % parts
 
 
+class _Tally:
+    """Sums of counts of strings, in order once they are asked for."""
+
+    def __init__(self) -> None:
+        self.held: list[_Counts] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((keys, n))
+        if sum(len(k) for k, _ in self.held[1:]) > _MERGE_AT:
+            self.held = [self.sums()]
+
+    def size(self) -> int:
+        return sum(len(k) for k, _ in self.held)
+
+    def sums(self) -> _Counts:
+        return count_sorted(*(np.concatenate(x) for x in zip(*self.held, strict=True))) if self.held else (np.zeros(0, _U), np.zeros(0, np.int64))
+
+
 def _count(parts: int):
     schema = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return count_sorted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])) if held else (np.zeros(0, _U), np.zeros(0, np.int64))
+    def by_part(tally: _Tally) -> pa.RecordBatch:
+        keys, n = tally.sums()
+        order, own = _by_part(keys, parts)
+        n, ends = n[order], np.cumsum([0, *[len(k) for _, k in own]])
+        return arrow_batch(schema, [p for p, _ in own], pa.array([gaps(k) for _, k in own], pa.binary()), pa.array([planes(n[a:z]) for a, z in zip(ends, ends[1:])], pa.binary()))
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for batch in batches:
             for b in blocks(batch.column("_text"), _BLOCK):
-                held.append(count_sorted(strings(b)[0]))
-                if sum(len(k) for k, _ in held[1:]) > _MERGE_AT:
-                    held = [merged()]
-        keys, n = merged()
-        p = _bucket(keys, parts)
-        order = np.argsort(p, kind="stable")
-        bounds = np.searchsorted(p[order], np.arange(parts + 1))
-        for i in range(parts):
-            own = order[bounds[i] : bounds[i + 1]]
-            if len(own):
-                yield arrow_batch(schema, [i], pa.array([gaps(keys[own])], pa.binary()), pa.array([planes(n[own])], pa.binary()))
+                tally.add(*count_sorted(strings(b)[0]))
+                if tally.size() > _HELD:
+                    yield by_part(tally)
+                    tally = _Tally()
+        yield by_part(tally)
 
     return apply
 
 
-_LEVELS = pa.schema([("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.binary())])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """All counts of one part: for each depth that isn't shared, its strings, their counts and those of their contexts."""
-    keys = np.concatenate([from_gaps(x) for x in table["keys"].to_pylist()])
-    n = np.concatenate([from_planes(x, np.int64) for x in table["n"].to_pylist()])
-    rows: list[list[object]] = [[], [], [], []]
-    for depth in range(DEPTH, SHARED, -1):
-        keys, n = count_sorted(keys & _U((1 << 8 * (depth + 1)) - 1), n)
-        total = _context_sums(keys, n)
-        for lo in range(0, len(keys), 1 << 20):
-            for r, v in zip(rows, (depth, gaps(keys[lo : lo + (1 << 20)]), *(planes(x[lo : lo + (1 << 20)]) for x in (n, total))), strict=True):
-                r.append(v)
-    return pa.Table.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _LEVELS, strict=True)], schema=_LEVELS)
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """The rows of sorted batches, cut where one of some columns changes, and what these hold."""
+    for batch in batches:
+        keys = [np.asarray(batch.column(c)) for c in names]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if lo < hi:
+                yield tuple(int(k[lo]) for k in keys), batch.slice(lo, hi - lo)
 
 
 def _context_sums(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -247,8 +264,9 @@ def log_probabilities(levels: list[_Counts], keys: np.ndarray, outer: _Counts |
 
 
 def _parts(docs: DataFrame) -> int:
-    """Twice the number of tasks that read the input, so that a part holds less than a task has counted."""
-    return max(8, 2 * docs.rdd.getNumPartitions())
+    """Twice the number of tasks that read the input, so that a part holds less than a task has counted; and as many as the size of the texts asks for, as tasks can be large."""
+    size = docs.agg(F.sum(F.octet_length("_text").cast("long")).alias("size")).first()["size"] or 0
+    return max(8, 2 * docs.rdd.getNumPartitions(), -(-size // _PART_BYTES))
 
 
 @dataclass
@@ -270,24 +288,36 @@ def _float_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return names, np.bincount(at, weights=values)
 
 
-def _read_levels(table: pa.Table) -> _Levels:
+def _read_levels(rows: list[pa.RecordBatch]) -> _Levels:
     """The strings of one part and their counts, by depth beyond the shared ones."""
-    depth = np.asarray(table["depth"].combine_chunks()) if len(table) else np.zeros(0, np.int32)
-    out = []
-    for d in range(SHARED + 1, DEPTH + 1):
-        own = table.take(pa.array(np.flatnonzero(depth == d)))
-        out.append(_sums([from_gaps(x) for x in own["keys"].to_pylist()], [from_planes(x, np.int64) for x in own["n"].to_pylist()], np.int64))
-    return out
+    kept: dict[int, tuple[list, list]] = {d: ([], []) for d in range(SHARED + 1, DEPTH + 1)}
+    for r in rows:
+        for d, k, n in zip(*(r.column(c).to_pylist() for c in ("depth", "keys", "n")), strict=True):
+            kept[d][0].append(from_gaps(k))
+            kept[d][1].append(from_planes(n, np.int64))
+    return [_sums(*kept[d], np.int64) for d in sorted(kept)]
 
 
 _PART = pa.schema([("p", pa.int32()), ("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
-def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
-    """The strings of one part by depth; as depth 1 its strings of the last shared depth, as depth 0 what it adds to the nodes of that depth."""
-    made = _merge(table)
-    levels = _read_levels(made)
-    for d in range(SHARED, -1, -1):
+def _part_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Part by part, its strings by depth; as depth 1 its strings of the last shared depth, as depth 0 what it adds to the nodes of that depth."""
+    now, tally = None, _Tally()
+    for (p,), rows in _runs(batches, "p"):
+        if p != now:
+            if now is not None:
+                yield from _levels_of(now, *tally.sums())
+            now, tally = p, _Tally()
+        for keys, n in zip(rows.column("keys"), rows.column("n"), strict=True):
+            tally.add(from_gaps(keys.as_py()), from_planes(n.as_py(), np.int64))
+    if now is not None:
+        yield from _levels_of(now, *tally.sums())
+
+
+def _levels_of(part: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    levels = [(keys, n)]
+    for d in range(DEPTH - 1, -1, -1):
         keys, n = levels[0]
         levels.insert(0, count_sorted(keys & _U((1 << 8 * (d + 1)) - 1), n))
     names, sums = [], []
@@ -296,10 +326,10 @@ def _part_levels(key: tuple, table: pa.Table) -> pa.Table:
         _, (parent, weighted) = _weigh(nodes, up, name, least=SHARED + 1)
         names.append(name[SHARED])
         sums.append(np.bincount(parent, weights=weighted, minlength=len(name[SHARED])))
-    more = [(1, *levels[SHARED]), (0, np.concatenate(names), np.concatenate(sums))]
-    depth = made["depth"].to_pylist() + [d for d, _, _ in more]
-    keys, n = (made[c].to_pylist() + [pack(x[i]) for x in more] for c, i, pack in (("keys", 1, gaps), ("n", 2, planes)))
-    return pa.table([pa.array([key[0].as_py()] * len(depth), pa.int32()), pa.array(depth, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], schema=_PART)
+    deeper = [(d, *levels[d]) for d in range(DEPTH, SHARED, -1)]
+    for depth, keys, n in [*deeper, (1, *levels[SHARED]), (0, np.concatenate(names), np.concatenate(sums))]:
+        for lo in range(0, len(keys), _ROW):
+            yield arrow_batch(_PART, [part], [depth], pa.array([gaps(keys[lo : lo + _ROW])], pa.binary()), pa.array([planes(n[lo : lo + _ROW])], pa.binary()))
 
 
 def _top(levels: DataFrame) -> _Top:
@@ -315,33 +345,29 @@ def _top(levels: DataFrame) -> _Top:
     return _Top([count_sorted(keys & _U((1 << 8 * (d + 1)) - 1), n) for d in range(SHARED)] + [(keys, n)], _sums(*got[0], np.float64))
 
 
-def _text_blocks(id_type: pa.DataType):
-    """Documents in blocks, a row each."""
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("rows", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        for batch in batches:
-            ids, rows, texts = (one_array(batch.column(c)) for c in ("_id", "_row", "_text"))
-            for b in blocks(texts, _STRING_BLOCK):
-                yield arrow_batch(schema, [block], *[one(x.slice(b.first, b.n)) for x in (ids, rows, texts)])
-                block += 1
 
-    return apply
+_BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("p", pa.int32()), ("data", pa.binary())])
 
 
-def _asked(parts: int):
-    """The distinct strings of every block, by part."""
-    schema = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("keys", pa.binary())])
+def _string_blocks(parts: int):
+    """Of each block of documents the documents themselves, as rows of kind 0, and their distinct strings by part, as rows of kind 1."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for i in range(len(batch)):
-                one = batch.slice(i, 1)
-                b = next(blocks(list_parts(one.column("texts"))[1], 1 << 40))
-                for p, keys in _by_part(np.unique(strings(b)[0]), parts)[1]:
-                    yield arrow_batch(schema, one.column("block"), [p], pa.array([gaps(keys)], pa.binary()))
+            for b in blocks(batch.column("_text"), _STRING_BLOCK):
+                asked = _by_part(np.unique(strings(b)[0]), parts)[1]
+                own = batch.slice(b.first, b.n)
+                docs = [_packed(own.slice(x.first, x.n)) for x in blocks(own.column("_text"), _PIECE)]
+                kinds, p = [0] * len(docs) + [1] * len(asked), [None] * len(docs) + [p for p, _ in asked]
+                yield arrow_batch(_BLOCKS, [block] * len(p), kinds, p, pa.array(docs + [gaps(k) for _, k in asked], pa.binary()))
+                block += 1
 
     return apply
 
@@ -354,42 +380,71 @@ def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int,
     return order, [(i, keys[order[bounds[i] : bounds[i + 1]]]) for i in range(parts) if bounds[i] < bounds[i + 1]]
 
 
-_LOGS = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("logp", pa.binary())])
+_LOGS = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("data", pa.binary())])
 
 
-def _score_part(top):
-    """The log probabilities of all blocks' strings of one part."""
+def _score_parts(top):
+    """The log probabilities of the blocks' strings, part by part: its levels come first (kind 0), then what is asked (kind 1), which is answered in portions."""
 
-    def apply(levels: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(asked):
-            return _LOGS.empty_table()
-        keys = [from_gaps(k) for k in asked["keys"].to_pylist()]
-        distinct = np.unique(np.concatenate(keys))
-        logp = log_probabilities([*top.value.levels, *_read_levels(levels)], distinct, top.value.outer).astype(np.float32)
-        out = [planes(logp[np.searchsorted(distinct, k)]) for k in keys]
-        return pa.Table.from_arrays([asked["block"].combine_chunks(), asked["p"].combine_chunks(), pa.array(out, pa.binary())], schema=_LOGS)
+    def answers(part: int, levels: _Levels, asked: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        distinct = np.unique(np.concatenate([k for _, k in asked]))
+        logp = log_probabilities([*top.value.levels, *levels], distinct, top.value.outer).astype(np.float32)
+        out = [planes(logp[np.searchsorted(distinct, k)]) for _, k in asked]
+        return arrow_batch(_LOGS, [block for block, _ in asked], [part] * len(asked), pa.array(out, pa.binary()))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stored_levels, levels, asked, size = None, [], [], [], 0
+        for (p, kind), rows in _runs(batches, "p", "kind"):
+            if p != now:
+                if asked:
+                    yield answers(now, levels, asked)
+                now, stored_levels, levels, asked, size = p, [], [], [], 0
+            if not kind:
+                stored_levels.append(rows)
+                continue
+            levels, stored_levels = levels or _read_levels(stored_levels), []
+            for block, keys in zip(rows.column("block"), rows.column("data"), strict=True):
+                asked.append((block.as_py(), from_gaps(keys.as_py())))
+                size += len(asked[-1][1])
+                if size >= _ASKED:
+                    yield answers(p, levels, asked)
+                    asked, size = [], 0
+        if asked:
+            yield answers(now, levels, asked)
 
     return apply
 
 
 def _sum_up(parts: int, id_type: pa.DataType):
+    """Block by block, the sums of its documents (kind 0) from the log probabilities of its strings, which come first (kind 1)."""
     schema = pa.schema([("_id", id_type), ("_row", pa.int64()), ("n_bytes", pa.int64()), ("score", pa.float64())])
 
+    def sums(docs: pa.Table, logs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        b = next(blocks(docs["_text"], 1 << 40))
+        key, offs = strings(b)
+        order = np.argsort(key)
+        s = key[order]
+        new = np.append(True, s[1:] != s[:-1])
+        found = np.empty(int(new.sum()))
+        found[_by_part(s[new], parts)[0]] = np.concatenate([from_planes(x, np.float32) for _, x in sorted(logs)])
+        p = np.empty(len(key))
+        p[order] = found[np.cumsum(new) - 1]
+        return arrow_batch(schema, one_array(docs["_id"]), one_array(docs["_row"]), np.diff(b.offs), np.add.reduceat(p, offs[:-1]) / np.log(10))
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                one = batch.slice(i, 1)
-                b = next(blocks(list_parts(one.column("texts"))[1], 1 << 40))
-                key, offs = strings(b)
-                order = np.argsort(key)
-                s = key[order]
-                new = np.append(True, s[1:] != s[:-1])
-                logs = sorted(one.column("logs").to_pylist()[0], key=lambda x: x["p"])
-                found = np.empty(int(new.sum()))
-                found[_by_part(s[new], parts)[0]] = np.concatenate([from_planes(x["logp"], np.float32) for x in logs])
-                p = np.empty(len(key))
-                p[order] = found[np.cumsum(new) - 1]
-                yield arrow_batch(schema, list_parts(one.column("ids"))[1], list_parts(one.column("rows"))[1], np.diff(b.offs), np.add.reduceat(p, offs[:-1]) / np.log(10))
+        now, docs, logs = None, [], []
+        for (block, kind), rows in _runs(batches, "block", "kind"):
+            if block != now:
+                if docs:
+                    yield sums(pa.concat_tables(docs), logs)
+                now, docs, logs = block, [], []
+            data = rows.column("data").to_pylist()
+            if kind:
+                logs += zip(rows.column("p").to_pylist(), data, strict=True)
+            else:
+                docs += [pa.ipc.open_stream(x).read_all() for x in data]
+        if docs:
+            yield sums(pa.concat_tables(docs), logs)
 
     return apply
 
@@ -406,14 +461,14 @@ def whole_code_lengths(docs: DataFrame, train_col: str, id_col: str = "doc_id",
     id_type, kind = arrow_type(rows, "_id"), rows.schema["_id"].dataType.simpleString()
     parts = _parts(rows)
     counted = rows.where("train").select("_text").mapInArrow(_count(parts), "p int, keys binary, n binary")
-    levels = stored(counted.groupBy("p").applyInArrow(_part_levels, "p int, depth int, keys binary, n binary"))
+    levels = stored(counted.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_part_levels, "p int, depth int, keys binary, n binary"))
     top = docs.sparkSession.sparkContext.broadcast(_top(levels))
-    made = stored(rows.select("_id", "_row", "_text").mapInArrow(_text_blocks(id_type), f"block bigint, ids array<{kind}>, rows array<bigint>, texts array<string>"))
-    asked = made.select("block", "texts").mapInArrow(_asked(parts), "block bigint, p int, keys binary")
-    logs = levels.where(f"depth > {SHARED}").groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_score_part(top), "block bigint, p int, logp binary")
-    back = logs.groupBy("block").agg(F.collect_list(F.struct("p", "logp")).alias("logs"))
-    joined = made.join(back, "block").select("ids", "rows", "texts", "logs")
-    out = joined.mapInArrow(_sum_up(parts, id_type), f"_id {kind}, _row bigint, n_bytes bigint, score double")
+    made = stored(rows.select("_id", "_row", "_text").mapInArrow(_string_blocks(parts), "block bigint, kind int, p int, data binary"))
+    known = levels.where(f"depth > {SHARED}").withColumn("kind", F.lit(0))
+    met = known.unionByName(made.where("kind = 1"), allowMissingColumns=True)
+    logs = met.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(_score_parts(top), "block bigint, p int, data binary")
+    back = made.where("kind = 0").unionByName(logs.withColumn("kind", F.lit(1)))
+    out = back.repartition(3 * parts, "block").sortWithinPartitions("block", F.desc("kind")).mapInArrow(_sum_up(parts, id_type), f"_id {kind}, _row bigint, n_bytes bigint, score double")
     bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
     return out.select(F.col("_id").alias(id_col), F.col("_row").alias(row_col), "n_bytes", "score", bits.alias("bits_per_byte"))
 
@@ -521,7 +576,7 @@ def base_scores(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(row_col).alias("_row"), F.col(train_col).alias("train"), F.col(text_col).alias("_text"))
     id_type, kind = arrow_type(rows, "_id"), rows.schema["_id"].dataType.simpleString()
-    bits = max(3, (rows.rdd.getNumPartitions() - 1).bit_length())
+    bits = max(3, (_parts(rows) // 2 - 1).bit_length())
     made = stored(rows.mapInArrow(_word_blocks(bits, id_type), f"block bigint, kind int, p int, ids array<{kind}>, rows array<bigint>, train array<boolean>, sizes array<int>, words binary, n binary"))
     counted = stored(made.where("kind = 1").select("block", "p", "words", "n").groupBy("p").applyInArrow(_total_words, "block bigint, p int, c binary, distinct bigint"))
     vocabulary = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"]

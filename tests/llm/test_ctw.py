@@ -113,3 +113,59 @@ def test_scores_are_those_of_the_whole_tree(spark):
         own = np.sort(ctw.strings(next(blocks(pa.array([t]))))[0])
         want = ctw.log_probabilities(levels, own).sum() / math.log(10)
         assert abs(out[i] - want) < 1e-5 * max(1, abs(want)), i
+
+
+def text_batches(n, size, seed=8):
+    r = np.random.default_rng(seed)
+    return [pa.record_batch({"_text": pa.array([bytes(r.integers(97, 123, size, dtype=np.uint8)).decode()])}) for _ in range(n)]
+
+
+def test_counts_leave_a_task_once_they_are_many(monkeypatch):
+    batches = text_batches(6, 3000)
+    whole = {}
+    for b in batches:
+        for k in ctw.strings(next(blocks(b.column("_text"))))[0]:
+            whole[int(k)] = whole.get(int(k), 0) + 1
+    monkeypatch.setattr(ctw, "_HELD", 5000)
+    got, most = {}, 0
+    for out in ctw._count(8)(iter(batches)):
+        made = [(ctw.from_gaps(k.as_py()), ctw.from_planes(n.as_py(), np.int64)) for k, n in zip(out.column("keys"), out.column("n"))]
+        most = max(most, sum(len(k) for k, _ in made))
+        for keys, n in made:
+            for k, c in zip(keys.tolist(), n.tolist()):
+                got[k] = got.get(k, 0) + c
+    assert got == whole and most < 10_000 < len(whole)
+
+
+def test_a_part_is_answered_in_portions(monkeypatch):
+    import types
+
+    keys = np.unique(ctw.strings(next(blocks(text_batches(1, 4000)[0].column("_text"))))[0])
+    levels = [ctw.count_sorted(keys & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(ctw.DEPTH + 1)]
+    top = types.SimpleNamespace(value=ctw._Top(levels[: ctw.SHARED + 1], None))
+    schema = pa.schema([("p", pa.int32()), ("depth", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+    rows = [{"p": 3, "depth": d, "keys": ctw.gaps(levels[d][0]), "n": ctw.planes(levels[d][1]), "kind": 0} for d in range(ctw.SHARED + 1, ctw.DEPTH + 1)]
+    rows += [{"p": 3, "kind": 1, "block": i, "data": ctw.gaps(keys[i : i + 500])} for i in range(40)]
+    taken = []
+    batches = (taken.append(i) or pa.RecordBatch.from_pylist([x], schema) for i, x in enumerate(rows))
+    monkeypatch.setattr(ctw, "_ASKED", 1000)
+    made = ctw._score_parts(top)(batches)
+    first = next(made)
+    assert len(taken) <= 6 and len(first) == 2
+    out = {b.as_py(): ctw.from_planes(x.as_py(), np.float32) for batch in (first, *made) for b, x in zip(batch.column("block"), batch.column("data"))}
+    want = ctw.log_probabilities(levels, keys)
+    assert sorted(out) == list(range(40)) and all(np.allclose(x, want[i : i + 500], atol=1e-5) for i, x in out.items())
+
+
+def test_parts_follow_the_size_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "_PART_BYTES", 1000)
+    df = spark.createDataFrame([("ab" * 1000,)] * 50 + [(None,)], "_text string").coalesce(1)
+    assert ctw._parts(df) == 100 and ctw._parts(df.limit(0)) == 8
+
+
+def test_stored_rows_are_small(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, i, prose(r, 2000) * 8) for i in range(100)], "_id long, _row long, _text string").coalesce(1)
+    whole = df.selectExpr("sum(length(_text))").first()[0]
+    sizes = [len(x.data) for x in df.mapInArrow(ctw._string_blocks(8), "block bigint, kind int, p int, data binary").where("kind = 0").collect()]
+    assert whole > 5 << 20 and max(sizes) < 1 << 19
