@@ -2,22 +2,30 @@
 
 A query reads the buckets of its own terms and nothing else, neither texts nor
 other terms.  An index is there whole or not at all, bound to a digest of its
-rows and to a name for the version of what was indexed.
+rows and to a name for the version of what was indexed.  A term's documents are
+moved and stored as lists, some thousands to a row.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .stages import filesystem
 
-#: Documents of a term's bucket that go to one file together.
-_SPREAD = 1 << 20
+#: Documents of which a bucket has a file of its own, about.
+_SPREAD = 1 << 18
+#: Tasks that write the files of so many documents, at most.
+_WRITERS = 64
 
 
 class PostingsFault(Exception):
@@ -38,48 +46,48 @@ class Postings:
     def build(cls, docs: DataFrame, path: str, id_col: str, fields: Mapping[str, Column], revision: str, buckets: int = 256) -> Postings:
         """Indexes arrays of tokens, one for each of ``fields``; a token counts as often as it stands in a field.
 
-        Documents share a bucket's files by a hash of their ids, as many as the
-        bucket's rows ask for, so a frequent term isn't one task's.  Null arrays
-        and tokens are none; documents of one id are one document.  A ``path``
-        that exists is refused.
+        A task counts the tokens of its documents and lists the documents of each
+        token, and only these lists move, once and compressed.  Batches of
+        documents share a bucket's files, as many as there are documents for, so
+        a frequent term isn't one task's.  Null arrays and tokens are none;
+        documents of one id are one document: where ids repeat, counts are added
+        up by those who read.  A ``path`` that exists is refused.
         """
         spark = docs.sparkSession
         fs, target = filesystem(spark, path.rstrip("/"))
         if fs.exists(target):
             raise FileExistsError(path)
 
-        def named(name: str, tokens: Column) -> Column:
-            return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: F.struct(x.alias("term"), F.lit(name).alias("field")))
-
-        each = F.flatten(F.array(*[named(n, c) for n, c in fields.items()]))
-        # Texts are dealt by id, so their tokens are counted where they are made, once, and only counts move on.
-        # (An outer generator, as for another one Spark would make the tokens a second time, to ask whether there are any.)
-        flat = docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode_outer(each).alias("x")).where(F.col("x.term").isNotNull())
-        counted = flat.groupBy("id", "x.term", "x.field").agg(F.count(F.lit(1)).alias("n")).select("term", "field", "id", "n")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        docs_n, most = docs.groupBy(id_col).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+        spread = max(1, -(-docs_n // _SPREAD))
+        kind, tokens = docs.schema[id_col].dataType, [c.alias(f"_{i}") for i, c in enumerate(fields.values())]
+        packed = docs.select(F.col(id_col).alias("id"), *tokens).mapInArrow(_lists(list(fields), to_arrow_type(kind), buckets, spread), "bucket int, part int, lists binary")
+        dealt = packed.repartition(min(_WRITERS, buckets) * spread, "bucket", "part").mapInArrow(_unpacked, f"{_schema(kind.simpleString())}, bucket int").sortWithinPartitions("bucket", "term", "field")
         staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-        counted.withColumn("bucket", bucket).write.parquet(f"{staging}/counted")
-        sized = spark.read.schema(counted.withColumn("bucket", bucket).schema).parquet(f"{staging}/counted")
-        share = F.broadcast(sized.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / _SPREAD).alias("parts")))  # at most ``buckets`` rows
-        dealt = sized.join(share, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "field", "id").drop("part", "parts").write.partitionBy("bucket").parquet(f"{staging}/rows")
-        fs.delete(filesystem(spark, f"{staging}/counted")[1], True)
-        made = spark.read.schema(counted.schema).parquet(f"{staging}/rows")
-        rows, digest = made.agg(F.count(F.lit(1)), _digest()).first()
-        receipt = {"buckets": buckets, "fields": list(fields), "rows": rows, "digest": str(digest or 0), "revision": revision, "id": docs.schema[id_col].dataType.simpleString()}
+        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{staging}/rows")
+        made = spark.read.schema(_schema(kind.simpleString())).parquet(f"{staging}/rows")
+        rows, digest = made.agg(*_sums()).first()
+        receipt = {"buckets": buckets, "fields": list(fields), "rows": rows, "digest": str(digest), "revision": revision, "id": kind.simpleString(), "repeated": (most or 0) > 1}
         spark.createDataFrame([(json.dumps(receipt),)], "value string").coalesce(1).write.text(f"{staging}/RECEIPT")
         if not fs.rename(filesystem(spark, staging)[1], target):
             raise OSError(f"could not rename {staging}")
         return cls(spark, path)
 
-    def rows(self) -> DataFrame:
-        schema = f"term string, field string, id {self.receipt['id']}, n bigint, bucket int"
+    def _stored(self) -> DataFrame:
+        schema = f"{_schema(self.receipt['id'])}, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/rows") if self.receipt["rows"] else self.spark.createDataFrame([], schema)
 
+    def rows(self) -> DataFrame:
+        each = self._stored().select("term", "field", F.explode(F.arrays_zip("ids", "ns")).alias("x"), "bucket")
+        out = each.select("term", "field", F.col("x.ids").alias("id"), F.col("x.ns").cast("long").alias("n"), "bucket")
+        if not self.receipt["repeated"]:
+            return out
+        return out.groupBy("term", "field", "id", "bucket").agg(F.sum("n").alias("n")).select("term", "field", "id", "n", "bucket")
+
     def verify(self, revision: str | None = None) -> None:
-        """Reads all rows once: they must be those of the receipt, made from ``revision``."""
-        rows, digest = self.rows().agg(F.count(F.lit(1)), _digest()).first()
-        if (rows, str(digest or 0)) != (self.receipt["rows"], self.receipt["digest"]):
+        """Reads all that is stored once: it must be what the receipt says, made from ``revision``."""
+        rows, digest = self._stored().agg(*_sums()).first()
+        if (rows, str(digest)) != (self.receipt["rows"], self.receipt["digest"]):
             raise PostingsFault(f"the rows of {self.path} are not those of its receipt")
         if revision is not None and revision != self.receipt["revision"]:
             raise PostingsFault(f"{self.path} was made from {self.receipt['revision']}")
@@ -88,8 +96,8 @@ class Postings:
         """``term, field, id, n`` of some terms; only their buckets are read, and of these the row groups that can hold them."""
         if not terms:
             return self.rows().drop("bucket").limit(0)
-        one = self.spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.receipt["buckets"])) for t in terms]).alias("b")).first()["b"]
-        return self.rows().where(F.col("bucket").isin(sorted({int(b) for b in one})) & F.col("term").isin(list(terms))).drop("bucket")
+        own = sorted({_bucket(t.encode(), self.receipt["buckets"]) for t in terms})
+        return self.rows().where(F.col("bucket").isin(own) & F.col("term").isin(list(terms))).drop("bucket")
 
     def lexical(self, terms: Sequence[str], weights: Mapping[str, int]) -> DataFrame:
         """``id, score, matched``: for each field and distinct term that it holds, min(length, 4) times the field's weight; ``matched`` in order."""
@@ -99,6 +107,61 @@ class Postings:
         return hits.groupBy("id").agg(F.sum(points).cast("long").alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
 
 
-def _digest() -> Column:
-    """Of rows in any order: the sum of their hashes as a decimal, which can't overflow."""
-    return F.sum(F.xxhash64("term", "field", "id", "n").cast("decimal(38,0)"))
+def _schema(id_type: str) -> str:
+    return f"term string, field string, ids array<{id_type}>, ns array<int>"
+
+
+def _bucket(term: bytes, buckets: int) -> int:
+    return zlib.crc32(term) % buckets
+
+
+def _lists(fields: Sequence[str], id_type: pa.DataType, buckets: int, spread: int):
+    """For each token of a field the documents of a batch that hold it, and how often each does; the lists of a bucket are one compressed row."""
+    schema = pa.schema([("term", pa.string()), ("field", pa.string()), ("ids", pa.list_(id_type)), ("ns", pa.list_(pa.int32()))])
+    out = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("lists", pa.binary())])
+
+    def lists(ids: pa.Array, field: str, tokens: pa.Array) -> tuple[pa.RecordBatch, np.ndarray]:
+        """In the order of their buckets, and the buckets."""
+        doc = np.repeat(np.arange(len(ids)), np.asarray(tokens.value_lengths().fill_null(0)))
+        flat = tokens.flatten()
+        doc, coded = doc[np.asarray(flat.is_valid())], flat.drop_null().dictionary_encode()
+        terms = coded.dictionary.cast(pa.string())
+        bucket = np.array([_bucket(t, buckets) for t in terms.cast(pa.binary()).to_pylist()], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        pairs, n = np.unique(place[np.asarray(coded.indices)] * len(ids) + doc, return_counts=True)
+        term, doc = np.divmod(pairs, max(1, len(ids)))  # every place has some
+        offs = pa.array(np.searchsorted(term, np.arange(len(order) + 1)), pa.int32())
+        made = [pa.ListArray.from_arrays(offs, x) for x in (ids.take(pa.array(doc)), pa.array(n, pa.int32()))]
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(order)), pa.array([field] * len(order), pa.string()), *made], schema=schema), bucket[order]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, batch in enumerate(batches, TaskContext.get().partitionId()):
+            for i, field in enumerate(fields):
+                made, bucket = lists(batch.column("id"), field, batch.column(f"_{i}"))
+                own, at = np.unique(bucket, return_index=True)
+                rows = [_packed(made.slice(a, z - a)) for a, z in zip(at, np.append(at, len(bucket))[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([part % spread] * len(own), pa.int32()), pa.array(rows, pa.binary())], schema=out)
+
+    return apply
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, lists in zip(batch.column("bucket"), batch.column("lists"), strict=True):
+            for rows in pa.ipc.open_stream(lists.as_py()):
+                yield rows.append_column("bucket", pa.array([bucket.as_py()] * len(rows), pa.int32()))
+
+
+def _sums() -> tuple[Column, Column]:
+    """Of stored lists in any order: how many documents they hold, and the sum of their hashes as a decimal, which can't overflow."""
+    digest = F.sum(F.xxhash64("term", "field", "ids", "ns").cast("decimal(38,0)"))
+    return F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0)), F.coalesce(digest, F.lit(0).cast("decimal(38,0)"))

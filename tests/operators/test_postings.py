@@ -73,3 +73,26 @@ def test_tokens_are_made_once(spark, tmp_path):
     index.verify("r1")
     assert sorted(r.n for r in index.lookup(["ink"]).collect()) == [1] * 80 + [2] * 10
     assert sorted(os.listdir(f"{tmp_path}/once")) == ["RECEIPT", "rows"]
+
+
+def test_a_terms_documents_are_stored_as_lists(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", ["common", "common", None, f"own{i}"]) for i in range(300)] + [(None, ["common"]), ("e", None)], "id string, words array<string>").coalesce(2)
+    index = Postings.build(docs, f"file://{tmp_path}/lists", "id", {"w": F.col("words")}, "r1", 4)
+    index.verify("r1")
+    assert index.receipt["rows"] == 601 and not index.receipt["repeated"]
+    assert spark.read.parquet(f"{tmp_path}/lists/rows").where("term = 'common'").count() == 2
+    assert {(r.id, r.n) for r in index.lookup(["common"]).collect()} == {(f"d{i}", 2) for i in range(300)} | {(None, 1)}
+    assert [(r.field, r.id, r.n) for r in index.lookup(["own7"]).collect()] == [("w", "d7", 1)]
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(50)], "id long, body string")
+    written = []
+    build = type(docs.write).parquet
+    try:
+        type(docs.write).parquet = lambda self, path, *a, **b: (written.append(path), build(self, path, *a, **b))[1]
+        index = Postings.build(docs, f"file://{tmp_path}/once", "id", {"body": F.split("body", " ")}, "r1", 4)
+    finally:
+        type(docs.write).parquet = build
+    assert [p.rsplit("/", 1)[-1] for p in written] == ["rows"]
+    assert {r.n for r in index.lookup(["word"]).collect()} == {200}
