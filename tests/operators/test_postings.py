@@ -96,3 +96,14 @@ def test_texts_stay_where_they_are(spark, tmp_path):
         type(docs.write).parquet = build
     assert [p.rsplit("/", 1)[-1] for p in written] == ["rows"]
     assert {r.n for r in index.lookup(["word"]).collect()} == {200}
+
+
+def test_the_seed_index_stores_words_by_lists(spark, sf_dir):
+    from tessera.plans import analytics, knowledge
+
+    index = knowledge._index(analytics.Tables(spark, sf_dir))
+    stored = spark.read.parquet(f"{index.path}/rows")
+    assert index.receipt["rows"] == index.rows().count() > 2 * stored.count()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = docs.where(F.array_contains(F.split(F.lower("text"), r"\s+"), "and")).select("doc_id").collect()
+    assert {r.id for r in index.lookup(["and"]).where("field = 'fts'").collect()} == {r.doc_id for r in want} and want
